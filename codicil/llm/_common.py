@@ -83,5 +83,5 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: st
     earlier = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(ends.select("_run", F.col(group).alias("_group"), F.coalesce(F.sum("_end").over(earlier), F.lit(0)).alias("_start")))
     starts = starts.withColumnRenamed("_run", "_run2")
-    joined = runs.join(starts, (runs["_run"] == starts["_run2"]) & runs[group].eqNullSafe(starts["_group"]))
-    return joined.select(*[runs[c] for c in df.columns], (runs[out] + starts["_start"]).alias(out))
+    joined = runs.join(starts, (F.col("_run") == F.col("_run2")) & F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*df.columns, (F.col(out) + F.col("_start")).alias(out))

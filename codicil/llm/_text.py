@@ -15,7 +15,7 @@ _KEEP = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], dtype=_U)
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 256
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ class MinHashConfig:
     rows: int = 5
     seed: int = 0
     #: Rows of one side of a block of step 4.
-    block: int = 256
+    block: int = 512
 
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
@@ -64,7 +64,7 @@ def sketch(docs: DataFrame, config: MinHashConfig) -> DataFrame:
             for s in X.shingle_sets(batch.column(1), width):
                 sets.append(s)
                 size += len(s) + 64
-                if size > 1 << 19:
+                if size > 1 << 18:
                     yield flush(batch.column(0).slice(first, len(sets)), sets)
                     first, sets, size = first + len(sets), [], 0
             if sets:
@@ -92,7 +92,7 @@ def shingles(docs: DataFrame, config: MinHashConfig) -> DataFrame:
             for s in X.shingle_sets(batch.column(1), width):
                 sets.append(s)
                 size += len(s)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield flush(batch.column(0).slice(first, len(sets)), sets)
                     first, sets, size = first + len(sets), [], 0
             if sets:
@@ -104,19 +104,22 @@ def shingles(docs: DataFrame, config: MinHashConfig) -> DataFrame:
 def _across(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
     """Confirmed links between members of a bucket that lie in different components.
 
-    Members: key, id, n, bands, component, of unresolved buckets only.  A bucket is cut into
-    blocks of about ``config.block`` rows, a component's rows side by side; each pair of blocks
-    that holds two components is one group of at most a few hundred sets, whatever the bucket's
-    size.  A pair counts in the first bucket that it shares, and a group returns a forest.
+    Members: key, id, n, bands, component, main (whether in the component of the bucket's
+    centre), of unresolved buckets only.  Members of the main component need not meet each
+    other, so blocks of about ``config.block`` other members meet every block of the bucket;
+    a group is two blocks, whatever the bucket's size.  A pair counts in the first bucket that
+    it shares, and a group returns a forest of its components.
     """
     percent, block = config.percent, config.block
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    parts = cut(sizes.select(F.col("key").alias("k"), F.ceil(F.col("size") / block).cast("int").alias("parts")))
+    parts = members.groupBy("key").agg(F.ceil(F.count_if(~F.col("main")) / block).cast("int").alias("others"), F.ceil(F.count_if("main") / block).cast("int").alias("mains"))
+    parts = cut(parts.withColumnRenamed("key", "k"))
     dealt = members.join(parts, members.key == parts.k).drop("k")
-    # Rows of a bucket fall into blocks by hash; block i meets block j once, as i <= j.
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
-    dealt = dealt.select("key", "id", "n", "component", "bands", "part", F.explode(pairs).alias("p"))
+    hashed = F.xxhash64("id")
+    own = F.when(F.col("main"), F.col("others") + F.pmod(hashed, "mains")).otherwise(F.pmod(hashed, F.when(F.col("others") > 0, F.col("others")))).cast("int")
+    dealt = dealt.withColumn("part", own)
+    meets = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    pairs = F.transform(F.sequence(F.lit(0), meets - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
+    dealt = dealt.where(meets > 0).select("key", "id", "n", "component", "bands", "part", F.explode(pairs).alias("p"))
     dealt = dealt.join(sets, "id").select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "id", "n", "component", "bands", "part", "set")
 
     def run(table):
@@ -196,9 +199,11 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     split = cut(split.select(F.col("key").alias("k")))
     if split.count():
-        some = placed.join(split, placed.key == split.k).drop("k")
+        heads = centres.join(groups, centres.centre == groups.i, "left").select("k", F.coalesce("component", "centre").alias("head"))
+        heads = cut(heads.join(split, "k"))
+        some = placed.join(heads, placed.key == heads.k).withColumn("main", F.col("component") == F.col("head"))
         known = reps.select(F.col("id").alias("i"), "bands")
-        some = cut(some.join(known, some.id == known.i).select("key", "id", "n", "component", "bands"))
+        some = cut(some.join(known, some.id == known.i).select("key", "id", "n", "component", "main", "bands"))
         links = cut(links.union(_across(some, sets, config)))
         groups = cut(components(links).withColumnRenamed("id", "i"))
 

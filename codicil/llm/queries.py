@@ -4,19 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import read
+from .cutting_stock import CuttingStockConfig, packed_pieces
+from .exact_topk import TopKConfig, exact_topk
 from .minhash_dedup import MinHashConfig, near_duplicates
+from .mixing import MixConfig, mixed
+from .token_packing import TokenPackingConfig, packed_tokens
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_tokens(read(spark, sf_dir, "documents"), TokenPackingConfig(tokenizer=tokenizer_path()))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(read(spark, sf_dir, "documents"), MixConfig()).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), MinHashConfig(width=2))
 
 
+def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(read(spark, sf_dir, "documents"), CuttingStockConfig(tokenizer=tokenizer_path()))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(read(spark, sf_dir, "embeddings"), TopKConfig(k=20, every=20))
+
+
+OP10_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS terms
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.terms, c.terms) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_minhash_near_dedup,)}
+    found = (op1_token_packing, op3_source_mixing, op8_minhash_near_dedup, op9_cutting_stock_packing, op10_exact_topk)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_topk": OP10_SQL}
