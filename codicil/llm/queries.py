@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import read
 from .cutting_stock import CuttingStockConfig, packed_pieces
 from .exact_topk import TopKConfig, exact_topk
+from .line_dedup import line_deduplicated
 from .minhash_dedup import MinHashConfig, near_duplicates
 from .mixing import MixConfig, mixed
+from .quality_classifier import PerplexityConfig, quality_judged
+from .quality_rules import BASE, POLICIES, judged, ledger
 from .token_packing import TokenPackingConfig, packed_tokens
+from .url_filter import UrlFilterConfig, url_verdicts
 
 
 def tokenizer_path() -> str:
@@ -26,10 +30,38 @@ def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens(read(spark, sf_dir, "documents"), TokenPackingConfig(tokenizer=tokenizer_path()))
 
 
+def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic."""
+    return read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_judged(docs, trusted_documents(spark, sf_dir), PerplexityConfig()).drop("text")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read(spark, sf_dir, "documents"), MixConfig()).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(ledger(read(spark, sf_dir, "documents")), POLICIES[-1])
+    base = F.col("failed").bitwiseAND(F.lit(BASE)) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_verdicts(pages, UrlFilterConfig(rules=URL_RULES)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), MinHashConfig(width=2))
 
@@ -42,12 +74,62 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(read(spark, sf_dir, "embeddings"), TopKConfig(k=20, every=20))
 
 
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS three
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+), counted AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS n FROM windows
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM counted, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id
+), measured AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+    length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations
+  FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id
+), judged AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * word_chars < 5 * n_words THEN 8 ELSE 0 END)
+    + (CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 32 ELSE 0 END)
+    + (CASE WHEN 100 * n_capitals > 50 * word_chars THEN 64 ELSE 0 END) + (CASE WHEN 10 * n_exclamations > 3 * n_words THEN 128 ELSE 0 END) AS failed
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed
+FROM judged
+"""
+
+OP6_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), windows AS (
+  SELECT doc_id, i, [l[i], l[i + 1], l[i + 2]] AS three
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM lines)
+  WHERE regexp_matches(concat(l[i], l[i + 1], l[i + 2]), '[^\x20\x09-\x0D]')
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY three ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), covered AS (
+  SELECT doc_id, list(DISTINCT i + k) AS gone FROM later, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+)
+SELECT t.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text,
+  CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed
+FROM lines t LEFT JOIN covered c ON t.doc_id = c.doc_id
+"""
+
 OP10_SQL = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS terms
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS terms
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.terms, c.terms) AS BIGINT) AS score
   FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
@@ -60,9 +142,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_packing, op3_source_mixing, op8_minhash_near_dedup, op9_cutting_stock_packing, op10_exact_topk)
+    found = (op1_token_packing, op2_quality_classifier, op3_source_mixing, op4_quality_rules, op6_line_dedup, op7_url_filter, op8_minhash_near_dedup, op9_cutting_stock_packing, op10_exact_topk)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_topk": OP10_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_exact_topk": OP10_SQL}
