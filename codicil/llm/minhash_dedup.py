@@ -18,12 +18,13 @@ of 3e-6, and one of 0.9 with 1e-12.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ._common import attach, cut
+from ._common import attach, bounded, cut, release
 from .graph import components
 
 
@@ -160,54 +161,71 @@ def _across(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataF
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, any more).
+def linked(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], config: MinHashConfig) -> DataFrame:
+    """(i, component) of the ids that verified links reach.
 
-    Words are runs of characters other than space and U+0009..U+000D, A-Z lower-cased; a set
-    holds the distinct ``width``-word shingles of the whole text, or the whole sequence of a
-    shorter text.  A row without words is linked with nothing.  component_id is the smallest
-    doc_id that links reach, kept whether it is the row's own.  Rows that share a doc_id are
-    one document.  A row with a null doc_id joins nothing and is kept, its component_id null.
-    An empty table gives an empty result.
+    reps: id, n (set size), bands, one row for each id; ``sets_of`` gives (id, set) for a table
+    of ids.
     """
     percent = config.percent
-    rows = cut(sketch(docs, config))
-    full = rows.where("n_shingles > 0 and doc_id is not null")
-    first = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("id")).withColumnRenamed("set_key", "k"))
-    reps = rows.join(first, (rows.set_key == first.k) & (rows.doc_id == first.id)).select("id", F.col("n_shingles").alias("n"), "set_key", "bands")
-
     entries = reps.select("id", "n", F.explode("bands").alias("key"))
     counts = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     counts = cut(counts.withColumnRenamed("key", "k"))
     shared = cut(entries.join(counts, entries.key == counts.k).select("key", "id", "n", "c"))
     central = cut(shared.groupBy("id").agg(F.sum("c").alias("weight")).withColumnRenamed("id", "i"))
     weighed = shared.join(central, shared.id == central.i).select("key", "id", "n", "weight")
-    centres = cut(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"), "n")).alias("top")).select(F.col("key").alias("k"), (-F.col("top.neg")).alias("centre"), F.col("top.n").alias("m")))
+    top = F.max(F.struct("weight", F.bitwise_not("id").alias("neg"), "n")).alias("top")
+    centres = cut(weighed.groupBy("key").agg(top).select(F.col("key").alias("k"), F.bitwise_not("top.neg").alias("centre"), F.col("top.n").alias("m")))
     tried = shared.join(centres, shared.key == centres.k).where(f"id != centre and 100 * least(n, m) >= {percent} * greatest(n, m)")
     tried = cut(tried.select("id", "centre", "n", "m").distinct())
 
-    wanted = cut(shared.select("id").distinct().withColumnRenamed("id", "doc_id"))
-    sets = cut(shingles(attach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, ["doc_id"], "left_semi"), config))
+    sets = cut(sets_of(cut(shared.select("id").distinct())))
     one = tried.join(sets, "id").withColumnRenamed("set", "one")
     two = one.join(sets.withColumnRenamed("id", "centre").withColumnRenamed("set", "two"), "centre")
     both = F.size(F.array_intersect("one", "two"))
     links = two.select("id", "centre", "n", "m", both.alias("both")).where(f"100 * both >= {percent} * (n + m - both)").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     links = cut(links)
+    del one, two, tried, both
+    release(reps.sparkSession)
     groups = cut(components(links).withColumnRenamed("id", "i"))
 
     placed = shared.join(groups, shared.id == groups.i, "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     split = cut(split.select(F.col("key").alias("k")))
-    if split.count():
+    if not bounded(split, 0):
         heads = centres.join(groups, centres.centre == groups.i, "left").select("k", F.coalesce("component", "centre").alias("head"))
         heads = cut(heads.join(split, "k"))
         some = placed.join(heads, placed.key == heads.k).withColumn("main", F.col("component") == F.col("head"))
         known = reps.select(F.col("id").alias("i"), "bands")
         some = cut(some.join(known, some.id == known.i).select("key", "id", "n", "component", "main", "bands"))
         links = cut(links.union(_across(some, sets, config)))
+        del some, sets
+        release(reps.sparkSession)
         groups = cut(components(links).withColumnRenamed("id", "i"))
+    return groups
+
+
+def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, any more).
+
+    Words are runs of characters other than space and U+0009..U+000D, A-Z lower-cased; a set
+    holds the distinct ``width``-word shingles of the whole text, or the whole sequence of a
+    shorter text.  A row without words is linked with nothing.  component_id is the smallest
+    doc_id that links reach, kept whether it is the row's own.  Rows that share a doc_id are
+    one document.  A row with a null doc_id joins nothing and is kept, its component_id null.
+    An empty table gives an empty result.
+    """
+    rows = cut(sketch(docs, config))
+    full = rows.where("n_shingles > 0 and doc_id is not null")
+    first = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("id")).withColumnRenamed("set_key", "k"))
+    reps = rows.join(first, (rows.set_key == first.k) & (rows.doc_id == first.id)).select("id", F.col("n_shingles").alias("n"), "bands")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return shingles(attach(text, ids.withColumnRenamed("id", "doc_id"), ["doc_id"], "left_semi"), config)
 
-    named = cut(first.join(groups, first.id == groups.i, "left").select(F.col("k"), F.coalesce("component", "id").alias("component")))
+    groups = linked(reps, sets_of, config)
+    named = cut(first.join(groups, first.id == groups.i, "left").select("k", F.coalesce("component", "id").alias("component")))
     out = rows.join(named, rows.set_key == named.k, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

@@ -15,6 +15,7 @@ from .minhash_dedup import MinHashConfig, near_duplicates
 from .mixing import MixConfig, mixed
 from .quality_classifier import PerplexityConfig, quality_judged
 from .quality_rules import BASE, POLICIES, judged, ledger
+from .substring_dedup import PassageConfig, repeated_passages
 from .token_packing import TokenPackingConfig, packed_tokens
 from .url_filter import UrlFilterConfig, url_verdicts
 
@@ -50,6 +51,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"), PassageConfig())
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -142,7 +147,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_packing, op2_quality_classifier, op3_source_mixing, op4_quality_rules, op6_line_dedup, op7_url_filter, op8_minhash_near_dedup, op9_cutting_stock_packing, op10_exact_topk)
+    found = (op1_token_packing, op2_quality_classifier, op3_source_mixing, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_url_filter, op8_minhash_near_dedup, op9_cutting_stock_packing, op10_exact_topk)
     return {f.__name__: f for f in found}
 
 
