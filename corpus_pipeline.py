@@ -1,6 +1,74 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
+Quality classifier, line dedup, near dedup, mixing and packing.  Every stage but the last
+returns the columns of ``documents``; the last returns the packed pieces.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import pyspark.sql.functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from codicil.llm._common import SEPARATORS, attach, cut
+from codicil.llm.cutting_stock import CuttingStockConfig, packed_pieces
+from codicil.llm.line_dedup import line_deduplicated
+from codicil.llm.minhash_dedup import MinHashConfig, near_duplicates
+from codicil.llm.mixing import MixConfig, repeated
+from codicil.llm.quality_classifier import PerplexityConfig, quality_judged
+from codicil.llm.queries import tokenizer_path, trusted_documents
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within the quantiles of their language's trusted documents."""
+    return quality_judged(docs, trusted_documents(spark, sf_dir), PerplexityConfig()).where("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later occurrences of three-line windows; documents of which no word is left go."""
+    rows = line_deduplicated(docs)
+    left = F.length(F.translate("text", SEPARATORS, "")) > 0
+    rows = rows.where((F.col("n_removed") == 0) | left)
+    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return rows.withColumn("n_chars", chars).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of smallest id, of each group of near copies (five-word shingles, 0.8)."""
+    found = near_duplicates(docs, MinHashConfig())
+    return attach(docs, cut(found.where("not kept").select("doc_id").distinct()), ["doc_id"], "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return repeated(docs, MixConfig())
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return packed_pieces(docs, CuttingStockConfig(tokenizer=tokenizer_path()))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: SQL can express neither the classifier nor the near-duplicate groups.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns goes through Parquet in the shared folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codicil-")
+    at = f"{shared}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
+        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs
