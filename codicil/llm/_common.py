@@ -52,7 +52,7 @@ def bounded(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def attach(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int = 1_000_000) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int = 250_000) -> DataFrame:
     """Join with ``right`` sent to every executor if it has at most ``most`` rows, else by a shuffle."""
     return left.join(F.broadcast(right) if bounded(right, most) else right, on, how)
 
