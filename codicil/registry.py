@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import _register, retrieval
+from .plans import ingestion, relational, streams, texts  # noqa: F401  (they register their queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_register.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_register.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return retrieval.ret21_hybrid_retrieval(spark, sf_dir)
