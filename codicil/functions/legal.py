@@ -121,13 +121,14 @@ def self_references(text: Column) -> Column:
 
 
 def other_references(text: Column) -> Column:
-    """Distinct struct(act, article) of other acts named in the text."""
+    """Distinct struct(act, article) of other acts named in the text; words for this act name no other."""
 
     def found(act: int, number: int, pattern: str) -> Column:
         acts, numbers = (F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(g)) for g in (act, number))
         return F.transform(F.arrays_zip(acts.alias("a"), numbers.alias("n")), lambda x: F.struct(F.trim(F.regexp_replace(x["a"], "(?U)\\s+", " ")).alias("act"), x["n"].alias("article")))
 
-    return F.array_distinct(F.flatten(F.array(*[found(*r) for r in OTHER_REFERENCES])))
+    every = F.array_distinct(F.flatten(F.array(*[found(*r) for r in OTHER_REFERENCES])))
+    return F.filter(every, lambda x: ~x["act"].rlike("(?iU)^(?:ushbu|ушбу|настоящ\\w*|this)\\b"))
 
 
 def infer_act_types(text: Column) -> Column:

@@ -1 +1,121 @@
-"""Queries."""
+"""Ingestion over pages and documents, and fixed lines of law."""
+
+from __future__ import annotations
+
+import pyspark.sql.functions as F
+
+from ..functions import legal
+from ..operators import ingest
+from ..session import table
+from ..sources import files
+from ._register import query
+from .texts import rows, values_sql
+
+LINES = [("54-modda", "modda", "54"), ("III bob", "bob", "III"), ("ГЛАВА IV", "bob", "IV"), ("UMUMIY QISM", "qism", "UMUMIY"), ("57 1 -модда. X", "modda", "57 1"), ("Статья 15 июня", "modda", "15"), ("1) birinchi band", "band", "1"), ("a) kichik", "qismcha", "a"), ("ILOVA 1", "annex", ""), ("Oddiy gap shu yerda", None, None), ("БИРИНЧИ БЎЛИМ", "bolim", "БИРИНЧИ"), ("CHAPTER 7", "bob", "7"), ("Article 12. Title", "modda", "12")]
+
+
+@query("SELECT line, type, number FROM " + values_sql("line, type, number", LINES))
+def ing01_classify(spark, sf_dir):
+    """ING-01, WIN-17: the unit that a line opens."""
+    c = legal.classify(F.col("line"))
+    return rows(spark, "line string, type string, number string", LINES).select("line", c["type"].alias("type"), c["number"].alias("number"))
+
+
+NUMBERS = [("57 1", "57-1"), ("57 - 1", "57-1"), ("57–1", "57-1"), ("", None), ("15", "15")]
+
+
+@query("SELECT raw, made FROM " + values_sql("raw, made", NUMBERS))
+def ing02_article_number(spark, sf_dir):
+    """ING-02: one form of an article number."""
+    return rows(spark, "raw string, made string", NUMBERS).select("raw", legal.normalise_article_number(F.col("raw")).alias("made"))
+
+
+@query(r"SELECT doc_id, nullif(trim(regexp_extract(text, '(?s)^.*?[.:]\s+(.*)$', 1)), '') AS heading FROM documents")
+def ing03_split_heading(spark, sf_dir):
+    """ING-03: what follows the first full stop or colon."""
+    return table(spark, sf_dir, "documents").select("doc_id", legal.split_heading(F.col("text")).alias("heading"))
+
+
+@query("""
+SELECT doc_id, CAST(k AS BIGINT) AS ix, substr(text, CAST(k * 2508 + 1 AS BIGINT), 2700) AS part, CAST(greatest(1, floor(length(substr(text, CAST(k * 2508 + 1 AS BIGINT), 2700)) / 3.0)) AS BIGINT) AS tokens
+FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 2508.0) AS BIGINT))) AS k FROM documents)
+""")
+def ing05_chunk_fixed_window(spark, sf_dir):
+    """ING-05 (hard split), ING-06: overlapping windows of characters."""
+    r = ingest.fixed_windows(table(spark, sf_dir, "documents"), 2700, 2508)
+    return r.select("doc_id", F.col("ix").cast("long").alias("ix"), "part", F.col("tokens").cast("long").alias("tokens"))
+
+
+REFS = [("ushbu Kodeksning 333-moddasi", "333", ""), ("ушбу Кодекснинг 333-моддаси", "333", ""), ("в статье 45 настоящего Кодекса", "45", ""), ("Fuqarolik kodeksining 54-moddasi", "", "Fuqarolik kodeksining:54"), ("Article 54 of the Civil Code", "", "Civil Code:54"), ("Article 7 of this Code", "7", ""), ("hech narsa", "", "")]
+
+
+@query("SELECT body, own, other FROM " + values_sql("body, own, other", REFS))
+def ing08_reference_extract(spark, sf_dir):
+    """ING-08: references to the same act and to others."""
+    other = F.array_join(F.transform(legal.other_references(F.col("body")), lambda x: F.concat(x["act"], F.lit(":"), x["article"])), ";")
+    return rows(spark, "body string, own string, other string", REFS).select("body", F.array_join(legal.self_references(F.col("body")), ";").alias("own"), other.alias("other"))
+
+
+ACTS = [("a1", "Mehnat kodeksi"), ("a2", "Civil Code of the Republic"), ("a3", "The Civil Code")]
+BODIES = [("a1", "12", "ushbu Kodeksning 5-moddasi"), ("a1", "13", "Article 54 of the Civil Code"), ("a1", "14", "Article 9 of the Lost Law")]
+EDGES = [("a1", "12", "a1", "5", None, 0.95), ("a1", "13", "a3", "54", "Civil Code", 0.8), ("a1", "14", None, "9", "Lost Law", 0.4)]
+
+
+@query("SELECT source_act_id, source_article, target_act_id, target_article, target_raw, CAST(confidence AS DOUBLE) AS confidence FROM " + values_sql("source_act_id, source_article, target_act_id, target_article, target_raw, confidence", EDGES))
+def ing09_reference_edges(spark, sf_dir):
+    """ING-09: edges with what they are sure of."""
+    return ingest.reference_edges(rows(spark, "act_id string, article_number string, body string", BODIES), rows(spark, "act_id string, name string", ACTS))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN regexp_matches(c_name, '0{3}1$') THEN 'a' ELSE 'b' END AS kind, strptime(lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || '.0' || (c_custkey % 9 + 1) || '.2020', '%d.%m.%Y')::DATE::VARCHAR AS first_date, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE '2021-03-04' END AS iso_date FROM customer
+""")
+def ing16_metadata(spark, sf_dir):
+    """ING-16, SCA-41: dates from text, impossible ones left out."""
+    day, month = F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), (F.col("c_custkey") % 9 + 1).cast("string")
+    text = F.concat(F.lit("adopted "), day, F.lit(".0"), month, F.lit(".2020 or 31.02.2020, "), F.when(F.col("c_custkey") % 2 == 0, "then").otherwise("then 2021-03-04"))
+    dates = legal.dates_in(text)
+    kind = F.when(F.col("c_name").rlike("0{3}1$"), "a").otherwise("b")
+    return table(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"), F.get(dates, F.lit(0)).cast("string").alias("first_date"), F.get(dates, F.lit(1)).cast("string").alias("iso_date"))
+
+
+@query("SELECT source, lang, min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY source, lang, sha256(text)")
+def ing17_language_dedup(spark, sf_dir):
+    """ING-17: one of equal contents of an identifier, the first asked for."""
+    d = table(spark, sf_dir, "documents").withColumn("content_hash", F.sha2("text", 256))
+    return d.groupBy("source", "lang", "content_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(r"SELECT page_id, CASE WHEN contains(url, 'example.org') THEN regexp_replace(url, '#.*$', '') || '#' || page_id ELSE url END AS link FROM pages")
+def ing14_deep_link(spark, sf_dir):
+    """ING-14: an anchor as the fragment, on one host only."""
+    return table(spark, sf_dir, "pages").select("page_id", ingest.deep_link(F.col("url"), F.col("page_id").cast("string"), "example.org").alias("link"))
+
+
+@query()
+def src04_html_blocks(spark, sf_dir):
+    """SRC-04, SCA-28, WIN-14, UDF-05: blocks of pages."""
+    return files.page_blocks(table(spark, sf_dir, "pages"))
+
+
+@query()
+def ing04_page_nodes(spark, sf_dir):
+    """ING-04, WIN-11, WIN-16, UDF-04: the tree of each page."""
+    blocks = files.page_blocks(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
+    return ingest.build_nodes(blocks)
+
+
+@query()
+def ing05_page_chunks(spark, sf_dir):
+    """ING-05, WIN-10, WIN-12: chunks of each page's nodes."""
+    blocks = files.page_blocks(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
+    return ingest.chunk_nodes(ingest.build_nodes(blocks), 200, 300)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'unsupported' WHEN page_id % 5 = 1 THEN 'too_large' WHEN length(html) < 100 THEN 'too_short' ELSE 'ok' END AS status FROM pages")
+def src14_uploads(spark, sf_dir):
+    """SRC-07, SRC-14: uploads checked by kind, size and text."""
+    name = F.when(F.col("page_id") % 5 == 0, "a.exe").when(F.col("page_id") % 2 == 0, "a.HTML").otherwise("b.txt")
+    size = F.when(F.col("page_id") % 5 == 1, 30 * 1024 * 1024).otherwise(F.length("html"))
+    p = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), F.lit(None).cast("string").alias("mime"), size.alias("size"), F.length("html").alias("chars"))
+    return files.checked_uploads(p).select("page_id", "status")

@@ -285,7 +285,7 @@ def ret17_title_affinity(spark, sf_dir):
 
 EDGES = """edges AS (
   SELECT doc_id AS edge_id, source AS source_act_id, CAST(doc_id % 40 AS VARCHAR) AS source_article, 'src' || ((doc_id * 7 + 3) % 20) AS target_act_id,
-    CAST((doc_id * 3 + 1) % 40 AS VARCHAR) AS target_article, CASE WHEN doc_id % 5 = 0 THEN 0.4 ELSE 0.8 END AS confidence FROM documents WHERE doc_id % 3 = 0
+    CAST((doc_id * 7 + 3) % 40 AS VARCHAR) AS target_article, CASE WHEN doc_id % 5 = 0 THEN 0.4 ELSE 0.8 END AS confidence FROM documents WHERE doc_id % 3 = 0
 )"""
 
 
@@ -295,7 +295,7 @@ def edges(spark, sf_dir):
         F.col("source").alias("source_act_id"),
         (F.col("doc_id") % 40).cast("string").alias("source_article"),
         F.concat(F.lit("src"), (F.col("doc_id") * 7 + 3) % 20).alias("target_act_id"),
-        ((F.col("doc_id") * 3 + 1) % 40).cast("string").alias("target_article"),
+        ((F.col("doc_id") * 7 + 3) % 40).cast("string").alias("target_article"),
         F.when(F.col("doc_id") % 5 == 0, 0.4).otherwise(0.8).alias("confidence"),
     )
 

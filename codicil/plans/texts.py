@@ -1 +1,266 @@
-"""Queries."""
+"""Text functions over documents, conversations and small tables of fixed rows."""
+
+from __future__ import annotations
+
+import pyspark.sql.functions as F
+from pyspark.sql import SparkSession, Window
+
+from ..functions import answers, legal, text, translit
+from ..operators import citations
+from ..session import table
+from ._register import query
+
+
+def rows(spark: SparkSession, schema: str, values: list[tuple]):
+    return spark.createDataFrame(values, schema)
+
+
+def values_sql(columns: str, values: list[tuple]) -> str:
+    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in values) + f") t({columns})"
+
+
+LATIN = [("shartnoma", "шартнома"), ("o‘zbekiston", "ўзбекистон"), ("huquq", "ҳуқуқ"), ("shahar", "шаҳар"), ("choy", "чой"), ("ta'til", "таътил"), ("etish", "этиш"), ("yer", "ер"), ("mehnat", "меҳнат"), ("yo'l", "йўл"), ("yong'in", "ёнғин")]
+
+
+@query("SELECT latin, cyrillic, cyrillic AS made FROM " + values_sql("latin, cyrillic", LATIN))
+def sca03_latin_to_cyrillic(spark, sf_dir):
+    """SCA-02, SCA-03: fixed pairs."""
+    return rows(spark, "latin string, cyrillic string", LATIN).withColumn("made", translit.latin_to_cyrillic(F.col("latin")))
+
+
+CYRILLIC = [("ер", "yer"), ("эр", "er"), ("шартнома", "shartnoma"), ("ўзбекистон", "o‘zbekiston"), ("чой", "choy"), ("цирк", "tsirk")]
+
+
+@query("SELECT cyrillic, latin AS made FROM " + values_sql("cyrillic, latin", CYRILLIC))
+def sca04_cyrillic_to_latin(spark, sf_dir):
+    """SCA-04: fixed pairs."""
+    return rows(spark, "cyrillic string, latin string", CYRILLIC).select("cyrillic", translit.cyrillic_to_latin(F.col("cyrillic")).alias("made"))
+
+
+VARIANTS = [("litsenziya", "лицензия"), ("ko'rsatsa", "кўрсатса")]
+
+
+@query("SELECT word, true AS found FROM " + values_sql("word, wanted", VARIANTS))
+def sca07_script_variants(spark, sf_dir):
+    """SCA-07: spellings in the other script."""
+    return rows(spark, "word string, wanted string", VARIANTS).select("word", F.array_contains(translit.script_variants(F.col("word")), F.col("wanted")).alias("found"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN c + l = 0 THEN 'unknown' WHEN c * 1.0 / (c + l) > 0.8 THEN 'cyrl' WHEN c * 1.0 / (c + l) < 0.2 THEN 'latn' ELSE 'mixed' END AS script
+FROM (SELECT doc_id, length(regexp_replace(text, '[^\x{0400}-\x{04FF}]', '', 'g')) AS c, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents)
+""")
+def sca05_script(spark, sf_dir):
+    """SCA-05, SCA-06: script by the share of letters."""
+    return table(spark, sf_dir, "documents").select("doc_id", translit.script_of(F.col("text")).alias("script"))
+
+
+LANGS = [("Mehnat shartnomasi qanday tuziladi va uchun", "uz-Latn"), ("Меҳнат шартномаси қандай тузилади", "uz-Cyrl"), ("В какой форме заключается договор и статья", "ru"), ("What is the law of the contract", "en"), ("", "uz-Latn"), ("Ҳуқуқ ва қонун тўғрисида matn", "uz-Cyrl")]
+
+
+@query("SELECT sentence, lang FROM " + values_sql("sentence, lang", LANGS))
+def sca08_detect_language(spark, sf_dir):
+    """SCA-08, SCA-01: fixed sentences."""
+    return rows(spark, "sentence string, lang string", LANGS).select("sentence", text.detect_language(F.col("sentence")).alias("lang"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_‘ʼ'']+')) AS w FROM documents)
+SELECT doc_id, CAST(len(list_intersect(w, string_split('"""
+    + text.MARKERS["en"]
+    + """', ' '))) AS BIGINT) AS en, CAST(len(list_intersect(w, string_split('"""
+    + text.MARKERS["uz"]
+    + """', ' '))) AS BIGINT) AS uz FROM t
+""")
+def sca08_marker_counts(spark, sf_dir):
+    """SCA-08: marker words of each language in a text."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_‘ʼ']+"), F.lit(0)))
+    n = lambda k: F.size(F.array_intersect(found, F.split(F.lit(text.MARKERS[k]), " "))).cast("long").alias(k)
+    return table(spark, sf_dir, "documents").select("doc_id", n("en"), n("uz"))
+
+
+@query(r"""
+SELECT doc_id, CAST(greatest(1, floor(length(text) / 3.0)) AS BIGINT) AS plain, CAST(CASE WHEN length(text) = 0 THEN 1 ELSE floor(c / 1.7 + (length(text) - c) / 3.5) + 1 END AS BIGINT) AS blended
+FROM (SELECT doc_id, text, length(regexp_replace(text, '[^\x{0400}-\x{04FF}]', '', 'g')) AS c FROM documents)
+""")
+def ing06_token_estimate(spark, sf_dir):
+    """ING-06, ING-07: tokens of a text by its length."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).cast("long").alias("plain"), text.blended_tokens(F.col("text")).cast("long").alias("blended"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(translate(lower(text), 'ʻʼ‘’''´`', ''), '[\p{L}\p{N}_]{2,}') AS raw FROM conversations),
+u AS (SELECT *, list_filter(raw, lambda x: NOT regexp_matches(x, '^\p{Nd}+$')) AS words FROM t),
+v AS (SELECT *, list_filter(words, lambda x: NOT list_contains(string_split('"""
+    + text.FRAMING["en"].replace("'", "''")
+    + r"""', ' '), x)) AS kept FROM u)
+SELECT conv_id, turn, CASE WHEN len(kept) > 0 THEN kept ELSE words END AS tokens FROM v WHERE NOT regexp_matches(array_to_string(raw, ' '), '[''’‘]')
+""")
+def sca11_content_tokens(spark, sf_dir):
+    """SCA-09, SCA-11, SCA-52: content words of a message."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.content_tokens(F.col("text"), "en").alias("tokens"))
+
+
+@query(r"""
+SELECT DISTINCT w AS token, CASE WHEN length(w) >= 6 THEN [w, substr(w, 1, greatest(4, length(w) - 3))] ELSE [w] END AS stems
+FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM documents WHERE doc_id < 200)
+""")
+def sca13_stem_variants(spark, sf_dir):
+    """SCA-13: a word and its shortened form."""
+    words = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
+    return words.select("token", text.stem_variants(F.col("token")).alias("stems"))
+
+
+SYNONYMS = [("ishchi", "xodim"), ("xodim", "ishchi"), ("bitim", "сделка"), ("сделка", "bitim"), ("worker", "xodim")]
+
+
+@query("SELECT q, list_sort(list_distinct(list(s) FILTER (s IS NOT NULL))) AS added FROM (SELECT q, unnest(string_split(q, ' ')) AS w FROM (VALUES ('ishchi bitim tuzadi'), ('worker contract'), ('сделка')) x(q)) LEFT JOIN " + values_sql("k, s", SYNONYMS) + " ON w = k GROUP BY q")
+def sca14_expand_tokens(spark, sf_dir):
+    """SCA-14, T-18: words added by a table of synonyms, sorted; English words are keys only."""
+    q = rows(spark, "q string", [("ishchi bitim tuzadi",), ("worker contract",), ("сделка",)])
+    words = q.select("q", F.explode(F.split("q", " ")).alias("k"))
+    return words.join(F.broadcast(rows(spark, "k string, s string", SYNONYMS)), "k", "left").groupBy("q").agg(F.sort_array(F.collect_set("s")).alias("added"))
+
+
+REFERENCES = [("155-moddasi 3-qismi", "155|3|"), ("155-modda 3-qism 2-band", "155|3|2"), ("ст. 12 и статья 15", "12||;15||"), ("155 - 1-modda", "155-1||"), ("hech narsa", "")]
+
+
+@query("SELECT question, wanted AS found FROM " + values_sql("question, wanted", REFERENCES))
+def sca15_parse_references(spark, sf_dir):
+    """SCA-15, UDF-02: article, part and clause of each provision named."""
+    part = lambda x: F.concat(x["article"], F.lit("|"), F.coalesce(x["part"], F.lit("")), F.lit("|"), F.coalesce(x["clause"], F.lit("")))
+    return rows(spark, "question string, wanted string", REFERENCES).withColumn("r", legal.parse_references(F.col("question"))).select("question", F.array_join(F.transform("r", part), ";").alias("found"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN length(text) <= 260 THEN text ELSE rtrim(CASE WHEN cutat > 156 THEN substr(head, 1, cutat) ELSE head END) || '…' END AS excerpt
+FROM (SELECT doc_id, text, substr(text, 1, 260) AS head, CASE WHEN contains(substr(text, 1, 260), ' ') THEN 260 - instr(reverse(substr(text, 1, 260)), ' ') ELSE 0 END AS cutat FROM documents)
+""")
+def sca17_excerpt(spark, sf_dir):
+    """SCA-17: a cut at a blank with an ellipsis."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[#*`_>]+', '', 'g'), '\s+', ' ', 'g')), 1, 350) AS summary FROM documents")
+def sca18_answer_summary(spark, sf_dir):
+    """SCA-18, SCA-29, SCA-32: plain text, cut."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.answer_summary(F.col("text")).alias("summary"))
+
+
+@query(r"""
+SELECT conv_id, turn, list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '\b(?:the|with|code|data|model|please)\b'))), 1, 20) AS topics FROM conversations
+""")
+def sca19_topics(spark, sf_dir):
+    """SCA-19: distinct keywords, sorted, twenty at most."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("\\b(?:the|with|code|data|model|please)\\b"), F.lit(0))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.sort_array(F.array_distinct(found)), 1, 20).alias("topics"))
+
+
+INTENTS = [("Salom!", "greeting"), ("Salom, qalaysiz?", "smalltalk"), ("спасибо", "smalltalk"), ("who are you", "capability"), ("Сен кимсан?", "capability"), ("Salom, mehnat shartnomasi haqida savolim bor edi", "legal"), ("", "legal"), ("Mehnat shartnomasi", "legal")]
+
+
+@query("SELECT message, intent FROM " + values_sql("message, intent", INTENTS))
+def sca21_intent(spark, sf_dir):
+    """SCA-21: fixed messages."""
+    return rows(spark, "message string, intent string", INTENTS).select("message", answers.classify_intent(F.col("message")).alias("intent"))
+
+
+@query(r"""
+SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(trim(text), '\S+')) > 6 OR trim(text) = '' THEN 'legal' WHEN regexp_matches(lower(trim(text)), '^(hi|hello|hey|good\s*(morning|afternoon|evening))[\s!.,?…]*$') THEN 'greeting'
+  WHEN regexp_matches(lower(trim(text)), '^((hi|hello|hey)[\s,!.-]*)?(thanks?|thank\s*you|ok(ay)?|zo{0,2}r)[\s!.,?…]*$') THEN 'smalltalk' ELSE 'legal' END AS intent FROM conversations
+""")
+def sca21_intent_route(spark, sf_dir):
+    """SCA-21: messages of conversations."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.classify_intent(F.col("text")).alias("intent"))
+
+
+SCOPES = [("Osh qanday pishiriladi?", False, True), ("Какая погода завтра?", False, True), ("Mehnat kodeksi 155-modda", True, False), ("What is the tax code penalty?", True, False), ("Ishdan boʻshash tartibi qanday?", False, False)]
+
+
+@query("SELECT question, legal, everyday FROM " + values_sql("question, legal, everyday", SCOPES))
+def sca22_scope(spark, sf_dir):
+    """SCA-22, RET-23: two judgements that are not each other's negation."""
+    return rows(spark, "question string, legal boolean, everyday boolean", SCOPES).select("question", answers.looks_legal(F.col("question")).alias("legal"), answers.looks_non_legal(F.col("question")).alias("everyday"))
+
+
+DIRECTIVES = [("batafsil", "detailed", True), ("qisqacha tushuntir", "detailed", True), ("короче, пожалуйста", "brief", True), ("Please make it shorter", "brief", True), ("qisqacha aytganda, mehnat shartnomasi nima?", "brief", False), ("Mehnat shartnomasi nima?", None, False)]
+
+
+@query("SELECT message, directive, bare FROM " + values_sql("message, directive, bare", DIRECTIVES))
+def sca23_verbosity(spark, sf_dir):
+    """SCA-23: requests for a length, and whether there is anything else."""
+    return rows(spark, "message string, directive string, bare boolean", DIRECTIVES).select("message", answers.detect_directive(F.col("message")).alias("directive"), F.coalesce(answers.is_bare_directive(F.col("message")), F.lit(False)).alias("bare"))
+
+
+STATED = [("**Risk level:** MEDIUM — x", "medium", "**Risk level:** HIGH — x"), ("Xavf darajasi: YUQORI", "high", "Xavf darajasi: HIGH"), ("Уровень риска — `НИЗКИЙ`", None, "Уровень риска — `НИЗКИЙ`"), ("none", None, "none")]
+
+
+@query("SELECT answer, level, rewritten FROM " + values_sql("answer, level, rewritten", STATED))
+def sca24_stated_risk(spark, sf_dir):
+    """SCA-24: the level that an answer states, read and replaced."""
+    return rows(spark, "answer string, level string, rewritten string", STATED).select("answer", answers.stated_risk(F.col("answer")).alias("level"), answers.rewrite_stated_risk(F.col("answer"), F.lit("high")).alias("rewritten"))
+
+
+FOLLOW = [("Text\n---FOLLOW-UP---\n1. One?\n2. Two?\n3. Three?\n4. Four?", "One?|Two?|Three?"), ("Text", "")]
+
+
+@query("SELECT answer, wanted AS found FROM " + values_sql("answer, wanted", FOLLOW))
+def sca25_follow_ups(spark, sf_dir):
+    """SCA-25: up to three questions."""
+    return rows(spark, "answer string, wanted string", FOLLOW).select("answer", F.array_join(answers.follow_ups(F.col("answer")), "|").alias("found"))
+
+
+@query(r"""
+SELECT l.doc_id, CASE WHEN quality = 0 AND toxic = 1 OR regexp_matches(text, '(?i)tax\b|penalt|deadline|limitation|criminal|punish|prison') THEN 'high' WHEN quality = 0 OR regexp_matches(text, '(?i)insufficient') THEN 'medium' ELSE 'low' END AS level
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE NOT regexp_matches(text, '(?i)jinoy|jazo|qamoq|muddat|da[’''ʼ]?vo|soliq|jarima|ishdan|dismissal|termination|litsenziya|licen|permit|ruxsat|bankrot|insolven|liquidat|tugatish|migra|visa|deport|fuqaro|does? not|topilmadi')
+""")
+def ret29_risk_levels(spark, sf_dir):
+    """RET-29, AGG-12, SCA-55: the highest of all factors."""
+    skip = "(?i)jinoy|jazo|qamoq|muddat|da[’'ʼ]?vo|soliq|jarima|ishdan|dismissal|termination|litsenziya|licen|permit|ruxsat|bankrot|insolven|liquidat|tugatish|migra|visa|deport|fuqaro|does? not|topilmadi"
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where(~F.col("text").rlike(skip))
+    bad = F.col("quality") == 0
+    given = j.select("doc_id", F.lit("").alias("question"), F.col("text").alias("answer"), F.lit(3).alias("n_chunks"), F.when(bad, 1).otherwise(3).alias("n_primary"), F.lit(1.0).alias("best_score"), F.lit(False).alias("constitutional"), (bad & (F.col("toxic") == 1)).alias("only_non_binding"), F.lit(0).alias("n_conflicts"), F.lit(False).alias("truncated"))
+    return citations.risk(given).select("doc_id", "level")
+
+
+CONTRACT = [("The party waives all rights. It is governed by the laws of England.", "waiver_of_statutory_rights|foreign_law_domestic_contract", 5), ("Governed by the laws of Uzbekistan. It shall automatically renew. Price and payment term.", "auto_renewal_no_notice", 2), ("A fine for the employee: unlimited liability", "unlimited_liability|employment_penalty", 1)]
+
+
+@query("SELECT contract, flags, n AS topics FROM " + values_sql("contract, flags, n", CONTRACT))
+def ret30_clause_flags(spark, sf_dir):
+    """RET-30: clauses that call for a look, and topics covered."""
+    c = rows(spark, "contract string, flags string, n int", CONTRACT)
+    return c.select("contract", F.array_join(F.transform(answers.red_flags(F.col("contract")), lambda f: f["code"]), "|").alias("flags"), F.size(answers.contract_topics(F.col("contract"))).alias("topics"))
+
+
+ANSWERS = [("See [S1] and [S7].", ["S1", "S2"], ["12"], "S1", "S7", "", False), ("As [S1, S2] say, article 999 applies", ["S1", "S2"], ["12"], "S1|S2", "", "999", False), ("word " * 90, ["S1"], ["12"], "", "", "", True), ("modda 12 [S2]", ["S1", "S2"], ["12"], "S2", "", "", False)]
+
+
+@query("SELECT answer, used, invalid, unverified, rejected FROM " + values_sql("answer, used, invalid, unverified, rejected", [(a, u, i, v, r) for a, _, _, u, i, v, r in ANSWERS]))
+def ret27_citation_validation(spark, sf_dir):
+    """RET-27, SET-04, SET-06: tags used, unknown tags, articles that were not retrieved."""
+    a = rows(spark, "answer string, tags array<string>, articles array<string>, laws array<string>", [(a, t, n, ["Civil code"]) for a, t, n, *_ in ANSWERS])
+    j = lambda c: F.array_join(c, "|")
+    return citations.validated(a).select("answer", j("used_tags").alias("used"), j("invalid_tags").alias("invalid"), j("unverified_articles").alias("unverified"), "rejected")
+
+
+@query("""
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY p + bonus DESC, effective DESC, chunk_id) AS pos, row_number() OVER (PARTITION BY query_id ORDER BY p + bonus DESC, effective DESC, chunk_id) = 1 AS controlling FROM (
+  SELECT o_custkey AS query_id, o_orderkey AS chunk_id, CAST(o_orderdate AS DATE) AS effective, [100, 80, 70, 60, 10][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS p, [0, 2, 0, 0, 0][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS bonus FROM orders) WHERE p > 10
+""")
+def ret28_legal_force(spark, sf_dir):
+    """RET-28, SRT-07, SRT-08: binding provisions by force, date and score."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("constitution", "code", "law", "presidential_decree", "commentary")]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), kind.alias("act_type"), F.to_date("o_orderdate").alias("last_updated"), F.lit(None).cast("date").alias("date_of_adoption"), F.lit(0.0).alias("score"), F.col("o_orderkey").alias("pos"))
+    return citations.legal_order(o).select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), "controlling")
+
+
+@query()
+def ret26_context(spark, sf_dir):
+    """RET-26, WIN-06, UDF-06: provisions put together within a budget of tokens."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 5 = 0")
+    kind = F.element_at(F.array(*[F.lit(x) for x in legal.PRECEDENCE]), (F.col("doc_id") % 11 + 1).cast("int"))
+    w = Window.partitionBy("query_id").orderBy("chunk_id")
+    r = d.select((F.col("doc_id") % 100).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit(", "), F.col("doc_id")).alias("citation"), F.lit(None).cast("string").alias("heading"), "text", kind.alias("act_type"), legal.precedence(kind).alias("precedence"), F.when(F.col("doc_id") % 15 == 0, "S1").alias("via"))
+    return citations.build_context(r.withColumn("pos", F.row_number().over(w)))
