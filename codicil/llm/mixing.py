@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from ._common import attach, cut, running_sum
+from ._common import SEPARATOR_RUN, attach, cut, running_sum
 
 
 def ranked_weights(rank: Column) -> Column:
@@ -27,6 +27,9 @@ def ranked_weights(rank: Column) -> Column:
 class MixConfig:
     epochs: int = 3
     seed: int = 17
+    #: Whether the last document of a source's seeded order may be taken in part (its first
+    #: words), which meets the target to a word; else whole documents come nearest to it.
+    partial: bool = False
     #: Weight of a source from its rank (from 0).
     weight: Callable[[Column], Column] = ranked_weights
 
@@ -38,9 +41,14 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).withColumn("_size", size).withColumn("_place", place)
 
 
+_PLACE = "struct<hash:bigint,id:bigint,words:bigint>"
+
+
 def mix_plan(docs: DataFrame, config: MixConfig) -> DataFrame:
     """One row for each source: _key, source_size, target, _whole (epochs), and what is taken once more:
-    the places up to _last, and of those up to _last2 the documents of at most _fit words."""
+    the places up to _last (of that one, _rest words at most), and of those up to _last2 the
+    documents of at most _fit words.
+    """
     sized = cut(_keyed(docs.select("doc_id", "text", "source"), config.seed).select("_key", "source", "_size", "_place"))
     sources = sized.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"))
     sources = sources.withColumn("all", F.lit(0)).withColumn("one", F.lit(1))
@@ -62,6 +70,11 @@ def mix_plan(docs: DataFrame, config: MixConfig) -> DataFrame:
     place = F.struct("hash", "id", F.col("_size").alias("words"))
     rows = sized.select("_key", "_size", F.col("_place.hash").alias("hash"), F.col("_place.id").alias("id"))
     summed = attach(running_sum(rows, "_key", ["hash", "id", "_size"], "_size", "before"), plan.select("_key", "_words"), ["_key"], "inner")
+    if config.partial:
+        words = F.round("_words").cast("long")
+        last = summed.where((F.col("before") < words) & (F.col("_size") > 0)).groupBy("_key").agg(F.max(F.struct(place.alias("at"), (words - F.col("before")).alias("rest"))).alias("l"))
+        none = [F.lit(None).cast("long").alias("_fit"), F.lit(None).cast(_PLACE).alias("_last2")]
+        return cut(plan.join(last, "_key", "left").select("_key", "source_size", "target", "_whole", F.col("l.at").alias("_last"), F.col("l.rest").alias("_rest"), *none))
     first = summed.where(F.col("before") + F.col("_size") <= F.col("_words")).groupBy("_key").agg(F.max(place).alias("_last"), F.max(F.col("before") + F.col("_size")).alias("_sum"))
     plan = plan.join(first, "_key", "left").withColumn("_fit", F.col("_words") - F.coalesce("_sum", F.lit(0)))
     plan = cut(plan.drop("_words", "_sum"))
@@ -69,28 +82,38 @@ def mix_plan(docs: DataFrame, config: MixConfig) -> DataFrame:
     rest = attach(rows, plan.select("_key", "_last", "_fit"), ["_key"], "inner").where(~F.coalesce(place <= F.col("_last"), F.lit(False)) & (F.col("_size") <= F.col("_fit")))
     summed = attach(running_sum(rest.select("_key", "_size", "hash", "id"), "_key", ["hash", "id", "_size"], "_size", "before"), plan.select("_key", "_fit"), ["_key"], "inner")
     second = summed.where(2 * F.col("before") + F.col("_size") <= 2 * F.col("_fit")).groupBy("_key").agg(F.max(place).alias("_last2"))
-    return cut(plan.join(second, "_key", "left"))
+    return cut(plan.join(second, "_key", "left").withColumn("_rest", F.lit(None).cast("long")))
 
 
 def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """docs (doc_id, text, source, any more) with size, source_size, target, copies, taken.
+    """docs (doc_id, text, source, any more) with size, source_size, target, copies, words_more, taken.
 
     size counts words (runs of characters other than space and U+0009..U+000D; null text: 0);
-    target is the source's share of all words; copies is how often the document is taken and
-    taken the words that makes.  A null source is a source.  Equal rows stand at the same place
+    target is the source's share of all words; copies is how often the whole document is taken,
+    words_more how many of its first words once more, and taken the words that makes.  A null source is a source.  Equal rows stand at the same place
     of the seeded order and are taken alike; a source of empty texts has target 0.  Columns of
     docs with the names of the new ones are replaced.  An empty table gives an empty result.
     """
     plan = mix_plan(docs, config)
-    rows = _keyed(docs.drop("size", "source_size", "target", "copies", "taken"), config.seed)
+    rows = _keyed(docs.drop("size", "source_size", "target", "copies", "words_more", "taken"), config.seed)
     rows = attach(rows, plan, ["_key"], "left")
     fits = (F.col("_place") <= F.col("_last2")) & (F.col("_size") <= F.col("_fit"))
     more = (F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False)) | F.coalesce(fits, F.lit(False))).cast("int")
-    rows = rows.withColumn("copies", F.col("_whole") + more).withColumn("size", F.col("_size"))
-    return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("_key", "_size", "_place", "_whole", "_last", "_fit", "_last2")
+    part = F.when((more == 1) & (F.col("_place") == F.col("_last")) & (F.col("_rest") < F.col("_size")), F.col("_rest"))
+    rows = rows.withColumn("words_more", F.coalesce(part, F.lit(0))).withColumn("copies", F.col("_whole") + F.when(part.isNull(), more).otherwise(0)).withColumn("size", F.col("_size"))
+    rows = rows.withColumn("taken", F.col("size") * F.col("copies") + F.col("words_more"))
+    return rows.drop("_key", "_size", "_place", "_whole", "_last", "_rest", "_fit", "_last2")
 
 
 def repeated(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    rows = mixed(docs, config).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+
+    A part is the first words of the text, joined by blanks.
+    """
+    rows = mixed(docs, config).where("taken > 0")
+    copies = F.when(F.col("copies") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("copies"))).otherwise(F.array().cast("array<bigint>"))
+    part = F.when(F.col("words_more") > 0, F.array("words_more")).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("_part", F.explode(F.concat(copies, part)))
+    first = F.slice(F.filter(F.split("text", SEPARATOR_RUN), lambda w: w != ""), F.lit(1), F.col("_part").cast("int"))
+    text = F.when(F.col("_part") > 0, F.array_join(first, " ")).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*docs.columns)

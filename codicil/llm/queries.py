@@ -42,7 +42,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(read(spark, sf_dir, "documents"), MixConfig()).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed(read(spark, sf_dir, "documents"), MixConfig(partial=True)).select("doc_id", "size", "source_size", "target", "taken", "copies", "words_more")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
