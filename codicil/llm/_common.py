@@ -42,6 +42,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in batches of ``rows``, unless the session says another number than the default.
+
+    A batch is held on both sides at once; the default of 10000 texts can take more memory than
+    the work on them.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once for the row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

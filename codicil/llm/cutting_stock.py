@@ -17,7 +17,7 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from ._common import cut, running_sum
+from ._common import cut, running_sum, small_batches
 from .tokens import documents, encoder
 
 
@@ -128,6 +128,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def pieces(docs: DataFrame, config: CuttingStockConfig) -> DataFrame:
     """Every document cut at multiples of ``length``, with a digest of each piece's ids; ids stay where they are made."""
+    small_batches(docs.sparkSession)
     get, length, end_id = encoder(docs.sparkSession, config.tokenizer), config.length, config.end_id
 
     def run(batches):

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ._common import attach, bounded, cut, release
+from ._common import attach, bounded, cut, release, small_batches
 from .graph import components
 
 
@@ -46,6 +46,7 @@ SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 def sketch(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     """doc_id, n_shingles, set_key, bands of every row; no shuffle."""
+    small_batches(docs.sparkSession)
     width, bands, rows, seed = config.width, config.bands, config.rows, config.seed
 
     def run(batches):
@@ -76,6 +77,7 @@ def sketch(docs: DataFrame, config: MinHashConfig) -> DataFrame:
 
 def shingles(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     """id and sorted distinct shingle hashes of every row."""
+    small_batches(docs.sparkSession)
     width = config.width
 
     def run(batches):
@@ -179,6 +181,7 @@ def linked(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], config: M
     tried = shared.join(centres, shared.key == centres.k).where(f"id != centre and 100 * least(n, m) >= {percent} * greatest(n, m)")
     tried = cut(tried.select("id", "centre", "n", "m").distinct())
 
+    release(reps.sparkSession)
     sets = cut(sets_of(cut(shared.select("id").distinct())))
     one = tried.join(sets, "id").withColumnRenamed("set", "one")
     two = one.join(sets.withColumnRenamed("id", "centre").withColumnRenamed("set", "two"), "centre")
@@ -225,6 +228,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
         return shingles(attach(text, ids.withColumnRenamed("id", "doc_id"), ["doc_id"], "left_semi"), config)
 
     groups = linked(reps, sets_of, config)
+    release(docs.sparkSession)
     named = cut(first.join(groups, first.id == groups.i, "left").select("k", F.coalesce("component", "id").alias("component")))
     out = rows.join(named, rows.set_key == named.k, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

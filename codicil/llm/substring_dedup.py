@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ._common import attach, cut, release
+from ._common import attach, cut, release, small_batches
 from .minhash_dedup import MinHashConfig, linked
 
 
@@ -49,6 +49,7 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool)
     ``runs``: the runs too, without bands; ``shingles``: each paragraph's 5-word shingles too.
     A text of fewer words than a paragraph or run has one run, the whole; no words, none.
     """
+    small_batches(docs.sparkSession)
     size, window, least, width, bands, rows = config.run, config.window, config.least, config.width, config.bands, config.rows
 
     def folded(np, mix, h, firsts, lasts):

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from ._common import small_batches
 from .tokens import documents, encoder
 
 
@@ -86,6 +87,7 @@ def packed_tokens(docs: DataFrame, config: TokenPackingConfig) -> DataFrame:
     block plus one document; sequence_id holds the partition above its running number.  Repeated
     rows are packed as often as they occur; a null doc_id is carried as null.  No rows, no result.
     """
+    small_batches(docs.sparkSession)
     get, length, end_id, pad_id, block = encoder(docs.sparkSession, config.tokenizer), config.length, config.end_id, config.pad_id, config.block_tokens
 
     def run(batches):
