@@ -36,7 +36,7 @@ def src15_vector_export(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT o_orderkey, o_orderstatus AS content FROM orders WHERE o_orderkey % 3 <> 0), s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS content FROM orders WHERE o_orderkey % 4 <> 0)
+WITH t AS (SELECT o_orderkey, o_orderstatus AS content FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), s AS (SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 'X' ELSE o_orderstatus END AS content FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01')
 SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, CASE WHEN s.o_orderkey IS NULL THEN t.content ELSE s.content END AS content,
   CASE WHEN t.o_orderkey IS NULL THEN 'new' WHEN s.o_orderkey IS NULL THEN 'kept' WHEN sha256(t.content) = sha256(s.content) THEN 'unchanged' ELSE 'amended' END AS change
 FROM t FULL JOIN s ON t.o_orderkey = s.o_orderkey
@@ -44,20 +44,21 @@ FROM t FULL JOIN s ON t.o_orderkey = s.o_orderkey
 def src16_change_upsert(spark, sf_dir):
     """SRC-16, ING-12, JOIN full outer: upsert gated by a content hash."""
     o = table(spark, sf_dir, "orders")
-    target = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("content"))
-    staging = o.where("o_orderkey % 4 <> 0").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END").alias("content"))
+    target = o.where("o_orderdate < timestamp_ntz'1997-01-01'").select("o_orderkey", F.col("o_orderstatus").alias("content"))
+    staging = o.where("o_orderdate >= timestamp_ntz'1994-01-01'").select("o_orderkey", F.expr("CASE WHEN o_totalprice > 250000 THEN 'X' ELSE o_orderstatus END").alias("content"))
     return records.upsert(target, staging, ["o_orderkey"], "content")
 
 
 @query("""
-WITH fresh AS (SELECT l_orderkey, l_linenumber, l_returnflag, -1.0::DOUBLE AS l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 7 = 0)
+WITH fresh AS (SELECT l_orderkey, l_linenumber, l_returnflag, -1.0::DOUBLE AS l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1997-01-01')
 SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.l_orderkey = l.l_orderkey AND f.l_returnflag = l.l_returnflag)
 UNION ALL SELECT * FROM fresh
 """)
 def src17_slice_replace(spark, sf_dir):
     """SRC-17: replace the slices that a load brings."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    fresh = rows.where("l_returnflag = 'R' AND l_orderkey % 7 = 0").withColumn("l_quantity", F.lit(-1.0))
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    fresh = lines.where("l_returnflag = 'R' AND l_shipdate >= timestamp_ntz'1997-01-01'").select("l_orderkey", "l_linenumber", "l_returnflag", F.lit(-1.0).alias("l_quantity"))
     return records.replace_slice(rows, fresh, ["l_orderkey", "l_returnflag"])
 
 
@@ -71,14 +72,14 @@ def src19_run_bookkeeping(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT sha256(text) AS key, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1), cache AS (SELECT DISTINCT sha256(text) AS key FROM documents WHERE doc_id % 4 = 0)
+WITH h AS (SELECT sha256(text) AS key, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1), cache AS (SELECT DISTINCT sha256(text) AS key FROM documents WHERE source = 'src0')
 SELECT key, doc_id, n FROM h WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.key = h.key)
 """)
 def src21_embed_cache_dedupe(spark, sf_dir):
     """SRC-21, SCA-57: distinct texts that a cache does not hold."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key"))
     h = d.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    return h.join(d.where("doc_id % 4 = 0").select("key").distinct(), "key", "left_anti")
+    return h.join(d.where("source = 'src0'").select("key").distinct(), "key", "left_anti")
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-23' ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -111,15 +112,15 @@ def flt03_name_search(spark, sf_dir):
 
 
 @query("""
-SELECT DISTINCT s.user_id, c.c_custkey AS alert_id FROM customer c JOIN (SELECT event_id % 20 AS user_id, CASE WHEN event_id % 2 = 0 THEN ['BUILDING', 'MACHINERY', 'AUTOMOBILE'][event_id % 3 + 1] END AS act_type, CASE WHEN event_id % 2 = 1 THEN '#0000000' || (event_id % 50 + 10) END AS keyword FROM events WHERE event_id < 20) s
+SELECT DISTINCT s.user_id, c.c_custkey AS alert_id FROM customer c JOIN (SELECT s_suppkey AS user_id, CASE WHEN s_acctbal > 5000 THEN ['BUILDING', 'MACHINERY', 'AUTOMOBILE'][s_suppkey % 3 + 1] END AS act_type, CASE WHEN s_acctbal <= 5000 THEN '#' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') END AS keyword FROM supplier) s
   ON c.c_mktsegment = s.act_type OR contains(lower(c.c_name), lower(s.keyword))
 """)
 def flt04_alerts_for_user(spark, sf_dir):
     """FLT-04, JOIN-13, SRC-28, SRC-37: alerts that a subscription to a kind or a keyword reaches."""
-    subs = table(spark, sf_dir, "events").where("event_id < 20").select(
-        (F.col("event_id") % 20).alias("user_id"),
-        F.expr("CASE WHEN event_id % 2 = 0 THEN element_at(array('BUILDING', 'MACHINERY', 'AUTOMOBILE'), cast(event_id % 3 + 1 AS int)) END").alias("act_type"),
-        F.expr("CASE WHEN event_id % 2 = 1 THEN '#0000000' || (event_id % 50 + 10) END").alias("keyword"),
+    subs = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("user_id"),
+        F.expr("CASE WHEN s_acctbal > 5000 THEN element_at(array('BUILDING', 'MACHINERY', 'AUTOMOBILE'), cast(s_suppkey % 3 + 1 AS int)) END").alias("act_type"),
+        F.expr("CASE WHEN s_acctbal <= 5000 THEN '#' || lpad(cast(s_suppkey AS string), 8, '0') END").alias("keyword"),
     )
     alerts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("alert_id"), F.col("c_mktsegment").alias("act_type"), F.col("c_name").alias("name"))
     return records.alerts_for(alerts, subs, ["name"]).select("user_id", "alert_id").distinct()
@@ -147,7 +148,7 @@ def join03_act_stats(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT o_custkey, o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS force, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey) AS pos FROM orders WHERE o_custkey % 10 = 1)
+WITH o AS (SELECT o_custkey, o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS force, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey) AS pos FROM orders)
 SELECT query_id, higher, lower, rule FROM (
   SELECT a.o_custkey AS query_id, CASE WHEN a.force < b.force OR a.o_orderdate > b.o_orderdate THEN a.o_orderkey ELSE b.o_orderkey END AS higher, CASE WHEN a.force < b.force OR a.o_orderdate > b.o_orderdate THEN b.o_orderkey ELSE a.o_orderkey END AS lower,
     CASE WHEN a.force < b.force THEN 'lex superior' ELSE 'lex posterior' END AS rule, row_number() OVER (PARTITION BY a.o_custkey ORDER BY a.pos, b.pos) AS k
@@ -158,7 +159,7 @@ def join08_conflict_pairs(spark, sf_dir):
     """JOIN-08, RET-28, SRT-07, SCA-40: the first five conflicts by force, then by date."""
     from ..operators.citations import conflicts
 
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("citation"), F.col("o_orderkey").alias("act_id"), (-F.substring("o_orderpriority", 1, 1).cast("int")).alias("precedence"), F.col("o_orderdate").alias("effective"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("citation"), F.col("o_orderkey").alias("act_id"), (-F.substring("o_orderpriority", 1, 1).cast("int")).alias("precedence"), F.col("o_orderdate").alias("effective"))
     order = Window.partitionBy("query_id").orderBy(F.col("precedence").desc(), F.col("effective").desc(), "citation")
     return conflicts(o.withColumn("pos", F.row_number().over(order)))
 
@@ -376,10 +377,10 @@ def str07_breaker_runs(spark, sf_dir):
 @query()
 def str08_payments_fold(spark, sf_dir):
     """STR-08, STR-12, SRC-38, SCA-42, SCA-51: orders as payment calls, repeated, folded into a ledger."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("payme_id"), F.col("o_custkey").cast("string").alias("user_id"), (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 1000).alias("at"), "o_orderstatus", "o_orderkey")
-    price = F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(C.price_tiyin).cast("long")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("payme_id"), F.col("o_custkey").cast("string").alias("user_id"), (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 1000).alias("at"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    price = F.when(F.col("o_totalprice") < 20_000, 1).otherwise(C.price_tiyin).cast("long")
     call = lambda m, at, where: o.where(where).select("payme_id", "user_id", F.lit(m).alias("method"), price.alias("amount"), (F.col("at") + at).alias("at"), F.lit(5).alias("reason"))
-    calls = call("create", 0, "true").union(call("create", 1000, "o_orderkey % 2 = 0")).union(call("perform", 60_000, "o_orderstatus <> 'O'")).union(call("perform", 13 * 3_600_000, "o_orderkey % 5 = 0")).union(call("cancel", 120_000, "o_orderkey % 7 = 0"))
+    calls = call("create", 0, "true").union(call("create", 1000, "o_orderpriority < '3'")).union(call("perform", 60_000, "o_orderstatus <> 'O'")).union(call("perform", 13 * 3_600_000, "o_orderpriority LIKE '4%'")).union(call("cancel", 120_000, "o_orderpriority LIKE '5%'"))
     return records.fold_payments(calls)
 
 

@@ -95,7 +95,7 @@ u AS (SELECT *, list_filter(raw, lambda x: NOT regexp_matches(x, '^\p{Nd}+$')) A
 v AS (SELECT *, list_filter(words, lambda x: NOT list_contains(string_split('"""
     + text.FRAMING["en"].replace("'", "''")
     + r"""', ' '), x)) AS kept FROM u)
-SELECT conv_id, turn, CASE WHEN len(kept) > 0 THEN kept ELSE words END AS tokens FROM v WHERE NOT regexp_matches(array_to_string(raw, ' '), '[''’‘]')
+SELECT conv_id, turn, CASE WHEN len(kept) > 0 THEN kept ELSE words END AS tokens FROM v
 """)
 def sca11_content_tokens(spark, sf_dir):
     """SCA-09, SCA-11, SCA-52: content words of a message."""
@@ -104,11 +104,11 @@ def sca11_content_tokens(spark, sf_dir):
 
 @query(r"""
 SELECT DISTINCT w AS token, CASE WHEN length(w) >= 6 THEN [w, substr(w, 1, greatest(4, length(w) - 3))] ELSE [w] END AS stems
-FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM documents WHERE doc_id < 200)
+FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM documents)
 """)
 def sca13_stem_variants(spark, sf_dir):
     """SCA-13: a word and its shortened form."""
-    words = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
     return words.select("token", text.stem_variants(F.col("token")).alias("stems"))
 
 
@@ -211,14 +211,17 @@ def sca25_follow_ups(spark, sf_dir):
     return rows(spark, "answer string, wanted string", FOLLOW).select("answer", F.array_join(answers.follow_ups(F.col("answer")), "|").alias("found"))
 
 
-@query(r"""
-SELECT l.doc_id, CASE WHEN quality = 0 AND toxic = 1 OR regexp_matches(text, '(?i)tax\b|penalt|deadline|limitation|criminal|punish|prison') THEN 'high' WHEN quality = 0 OR regexp_matches(text, '(?i)insufficient') THEN 'medium' ELSE 'low' END AS level
-FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE NOT regexp_matches(text, '(?i)jinoy|jazo|qamoq|muddat|da[’''ʼ]?vo|soliq|jarima|ishdan|dismissal|termination|litsenziya|licen|permit|ruxsat|bankrot|insolven|liquidat|tugatish|migra|visa|deport|fuqaro|does? not|topilmadi')
+_SUBJECTS = "(?is)" + "|".join(p for _, p in answers.HIGH_RISK).replace("'", "''")
+_HEDGES = "(?is)" + answers.HEDGING.replace("'", "''")
+
+
+@query(f"""
+SELECT l.doc_id, CASE WHEN quality = 0 AND toxic = 1 OR regexp_matches(text, '{_SUBJECTS}') THEN 'high' WHEN quality = 0 OR regexp_matches(text, '{_HEDGES}') THEN 'medium' ELSE 'low' END AS level
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id
 """)
 def ret29_risk_levels(spark, sf_dir):
     """RET-29, AGG-12, SCA-55: the highest of all factors."""
-    skip = "(?i)jinoy|jazo|qamoq|muddat|da[’'ʼ]?vo|soliq|jarima|ishdan|dismissal|termination|litsenziya|licen|permit|ruxsat|bankrot|insolven|liquidat|tugatish|migra|visa|deport|fuqaro|does? not|topilmadi"
-    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where(~F.col("text").rlike(skip))
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     bad = F.col("quality") == 0
     given = j.select("doc_id", F.lit("").alias("question"), F.col("text").alias("answer"), F.lit(3).alias("n_chunks"), F.when(bad, 1).otherwise(3).alias("n_primary"), F.lit(1.0).alias("best_score"), F.lit(False).alias("constitutional"), (bad & (F.col("toxic") == 1)).alias("only_non_binding"), F.lit(0).alias("n_conflicts"), F.lit(False).alias("truncated"))
     return citations.risk(given).select("doc_id", "level")
@@ -259,8 +262,8 @@ def ret28_legal_force(spark, sf_dir):
 @query()
 def ret26_context(spark, sf_dir):
     """RET-26, WIN-06, UDF-06: provisions put together within a budget of tokens."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 = 0")
+    d = table(spark, sf_dir, "documents")
     kind = F.element_at(F.array(*[F.lit(x) for x in legal.PRECEDENCE]), (F.col("doc_id") % 11 + 1).cast("int"))
     w = Window.partitionBy("query_id").orderBy("chunk_id")
-    r = d.select((F.col("doc_id") % 100).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit(", "), F.col("doc_id")).alias("citation"), F.lit(None).cast("string").alias("heading"), "text", kind.alias("act_type"), legal.precedence(kind).alias("precedence"), F.when(F.col("doc_id") % 15 == 0, "S1").alias("via"))
+    r = d.select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit(", "), F.col("doc_id")).alias("citation"), F.lit(None).cast("string").alias("heading"), "text", kind.alias("act_type"), legal.precedence(kind).alias("precedence"), F.when(F.col("doc_id") % 5 == 0, "S1").alias("via"))
     return citations.build_context(r.withColumn("pos", F.row_number().over(w)))
