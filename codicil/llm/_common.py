@@ -68,6 +68,64 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int
     return left.join(F.broadcast(right) if bounded(right, most) else right, on, how)
 
 
+#: Segments of an id filter and bits of each: 4 MB in all, whatever the number of ids.
+SEGMENTS, SEGMENT_BITS = 64, 1 << 19
+
+
+def id_filter(ids: DataFrame, column: str):
+    """A Bloom filter of a long column, broadcast for ``maybe_in``; its size does not depend on the ids.
+
+    Each segment is built by one task, so the driver gets SEGMENTS rows.  With 250 000 ids one
+    in 5000 others passes; with very many ids all pass.  So it may only spare work, and what
+    passes must be harmless or be joined exactly.
+    """
+    segment = F.col("i").bitwiseXOR(F.shiftright("i", 6)).bitwiseXOR(F.shiftright("i", 12)).bitwiseAND(F.lit(SEGMENTS - 1))
+
+    def build(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            i = batch.column(0).to_numpy()
+            segments, places = _places(i)
+            for s in np.unique(segments):
+                bits = maps.setdefault(int(s), np.zeros(SEGMENT_BITS, dtype=bool))
+                for p in places:
+                    bits[p[segments == s]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(b).tobytes() for b in maps.values()], pa.binary())], names=["segment", "bits"])
+
+    import numpy as np
+
+    rows = ids.select(F.col(column).cast("long").alias("i")).where("i is not null").repartition(SEGMENTS, segment)
+    out = np.zeros((SEGMENTS, SEGMENT_BITS // 8), dtype=np.uint8)
+    for r in rows.mapInArrow(build, "segment int, bits binary").collect():
+        out[r["segment"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def _places(ids):
+    """The segment of each id and its two places there."""
+    import numpy as np
+
+    from ._text import mix
+
+    h = mix(ids.view(np.uint64))
+    spots = [(h >> np.uint64(k) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for k in (0, 24)]
+    return (ids ^ (ids >> 6) ^ (ids >> 12)) & (SEGMENTS - 1), spots
+
+
+def maybe_in(sent, ids):
+    """Which of an int64 array may be in an ``id_filter``; ids in it always are."""
+    import numpy as np
+
+    bits, (segments, spots) = sent.value, _places(np.ascontiguousarray(ids))
+    found = np.ones(len(ids), dtype=bool)
+    for p in spots:
+        found &= (bits[segments, p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
 def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the same ``group`` in ``order``.
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ._common import attach, bounded, cut, release, small_batches
+from ._common import bounded, cut, id_filter, maybe_in, release, small_batches
 from .graph import components
 
 
@@ -75,8 +75,8 @@ def sketch(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
-def shingles(docs: DataFrame, config: MinHashConfig) -> DataFrame:
-    """id and sorted distinct shingle hashes of every row."""
+def shingles(docs: DataFrame, config: MinHashConfig, wanted) -> DataFrame:
+    """id and sorted distinct shingle hashes of the rows that an id filter lets through, which are the wanted and a few more."""
     small_batches(docs.sparkSession)
     width = config.width
 
@@ -91,6 +91,8 @@ def shingles(docs: DataFrame, config: MinHashConfig) -> DataFrame:
             return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], names=["id", "set"])
 
         for batch in batches:
+            ids = batch.column(0)
+            batch = batch.filter(pa.array(maybe_in(wanted, ids.fill_null(0).to_numpy())))
             sets, size, first = [], 0, 0
             for s in X.shingle_sets(batch.column(1), width):
                 sets.append(s)
@@ -167,7 +169,7 @@ def linked(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], config: M
     """(i, component) of the ids that verified links reach.
 
     reps: id, n (set size), bands, one row for each id; ``sets_of`` gives (id, set) for a table
-    of ids.
+    of ids, and may give more.
     """
     percent = config.percent
     entries = reps.select("id", "n", F.explode("bands").alias("key"))
@@ -224,8 +226,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     reps = rows.join(first, (rows.set_key == first.k) & (rows.doc_id == first.id)).select("id", F.col("n_shingles").alias("n"), "bands")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        return shingles(attach(text, ids.withColumnRenamed("id", "doc_id"), ["doc_id"], "left_semi"), config)
+        return shingles(docs.where("doc_id is not null"), config, id_filter(ids, "id"))
 
     groups = linked(reps, sets_of, config)
     release(docs.sparkSession)

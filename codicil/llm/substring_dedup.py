@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ._common import attach, cut, release, small_batches
+from ._common import cut, id_filter, maybe_in, release, small_batches
 from .minhash_dedup import MinHashConfig, linked
 
 
@@ -43,10 +43,11 @@ class PassageConfig:
 SHAPE = "doc_id long, start int, n_words int, passage long, bands array<long>, shingles array<long>"
 
 
-def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool) -> DataFrame:
+def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool, near=None, flagged=None) -> DataFrame:
     """doc_id, start (word), n_words, passage (hash) and, for paragraphs, bands.
 
     ``runs``: the runs too, without bands; ``shingles``: each paragraph's 5-word shingles too.
+    ``near``, ``flagged``: filters of band keys and of passages; what they surely lack is left out.
     A text of fewer words than a paragraph or run has one run, the whole; no words, none.
     """
     small_batches(docs.sparkSession)
@@ -68,6 +69,16 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool)
         u = np.uint64
 
         def emit(names, owner, begins, firsts, lasts, h, keys, sets):
+            hashed = folded(np, X.mix, h, firsts, lasts).view(np.int64)
+            if near is not None:
+                keep = maybe_in(near, keys.reshape(-1)).reshape(keys.shape).any(axis=1)
+            elif flagged is not None:
+                keep = maybe_in(flagged, hashed)
+            else:
+                keep = None
+            if keep is not None:
+                owner, begins, firsts, lasts, hashed = owner[keep], begins[keep], firsts[keep], lasts[keep], hashed[keep]
+                keys = keys[keep] if keys is not None else None
             k = len(firsts)
             ids = pa.array([names[i] for i in owner], pa.int64())
             none = pa.ListArray.from_arrays(pa.array(np.zeros(k + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
@@ -77,7 +88,6 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool)
                 n = lasts - firsts - (width - 1)
                 at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 got = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(sets[np.repeat(firsts, n) + at].view(np.int64)))
-            hashed = folded(np, X.mix, h, firsts, lasts).view(np.int64)
             return pa.RecordBatch.from_arrays(
                 [ids, pa.array((firsts - begins).astype(np.int32)), pa.array((lasts - firsts).astype(np.int32)), pa.array(hashed), per, got],
                 names=["doc_id", "start", "n_words", "passage", "bands", "shingles"],
@@ -157,18 +167,18 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
     equal = counts.where("band = 0").select(F.col("low").alias("passage"))
     near = counts.where("low != high").select("key")
 
-    pairs = passages(docs, config, False, False).select("passage", F.explode("bands").alias("key"))
-    ids = cut(attach(pairs, near, ["key"], "left_semi").select("passage").distinct())
-    kept = attach(passages(docs, config, False, True), ids, ["passage"], "left_semi")
+    kept = passages(docs, config, False, True, near=id_filter(near, "key"))
     nodes = cut(kept.groupBy(F.col("passage").alias("id")).agg(F.first("bands").alias("bands"), F.array_distinct(F.first("shingles")).alias("set")))
     reps = nodes.select("id", F.size("set").cast("long").alias("n"), "bands")
     link = MinHashConfig(width=config.width, percent=config.percent, bands=config.bands, rows=config.rows)
-    groups = linked(reps, lambda wanted: nodes.select("id", "set").join(wanted, "id", "left_semi"), link)
+    groups = linked(reps, lambda wanted: nodes.select("id", "set"), link)
     release(docs.sparkSession)
 
     named = groups.select(F.col("i").alias("passage"), "component")
     flagged = equal.join(named, "passage", "full").select("passage", F.coalesce("component", "passage").alias("component_id"))
-    places = attach(found.select("doc_id", "start", "n_words", "passage"), cut(flagged), ["passage"], "inner")
+    flagged = cut(flagged)
+    found = passages(docs, config, True, False, flagged=id_filter(flagged, "passage"))
+    places = found.select("doc_id", "start", "n_words", "passage").join(flagged, "passage")
     places = cut(places.select("doc_id", "start", "n_words", "component_id").distinct())
     first = places.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct("doc_id", "start", "n_words")).alias("first"))
     first = cut(first.select("c", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.col("first.n_words").alias("m")))
