@@ -29,7 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         # Only where no shared folder is named, as in tests.
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codicil-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # The checkpoint carries the estimated size of its plan along.  A join's estimate is the
+    # product of its sides', so over many cuts the number itself grows to megabytes on the
+    # driver.  A new frame over the same rows begins without an estimate.
+    session = df.sparkSession
+    fresh = session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(fresh, session)
 
 
 def release(spark: SparkSession) -> None:
