@@ -360,7 +360,8 @@ SELECT query_id, chunk_id, round(score, 6) AS score, via, row_number() OVER (PAR
 """)
 def ret21_hybrid_retrieval(spark, sf_dir):
     """RET-21: all branches, fused, pinned, deduplicated, cut, ordered by force and expanded."""
-    seeds = deduplicated(spark, sf_dir).where("pos <= 12")
+    # Three parts of the plan read the seeds, twelve rows for each question; they are kept, not made again.
+    seeds = deduplicated(spark, sf_dir).where("pos <= 12").persist()
     force = F.coalesce(*[F.when(F.col("act_type") == t, p) for t, p in PRECEDENCE.items()])
     ordered = fusion.final_order(seeds.withColumn("score", F.col("fused_score")).withColumn("precedence", force))
     first = ordered.select("query_id", "chunk_id", F.lit(0).alias("block"), F.col("final_pos").alias("place"), "score", F.lit(None).cast("string").alias("via"))
