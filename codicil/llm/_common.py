@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         # Only where no shared folder is named, as in tests.
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codicil-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codicil-"))
     kept = df.checkpoint(eager=True)
     # The checkpoint carries the estimated size of its plan along.  A join's estimate is the
     # product of its sides', so over many cuts the number itself grows to megabytes on the
