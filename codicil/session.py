@@ -2,8 +2,35 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each application.
+
+    Python functions name their modules; Spark's file server brings the modules wherever the
+    functions run, so no executor needs the package installed or in its path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="codicil-"), "codicil.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
     """UTC, adaptive execution with skew joins, and RocksDB for streaming state."""
@@ -17,7 +44,9 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **settings,
     }
-    return builder.config(map=conf).getOrCreate()
+    spark = builder.config(map=conf).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
