@@ -10,6 +10,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: A word is a run of characters other than these (space and U+0009..U+000D).
 SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_RUN = "[\\x20\\x09-\\x0D]+"
@@ -25,6 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     A lost executor costs at most the work since the last cut, and both sides of a
     later join are plain exchanges, so that adaptive execution can split skewed keys.
     """
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         # Only where no shared folder is named, as in tests.
@@ -54,6 +57,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     A batch is held on both sides at once; the default of 10000 texts can take more memory than
     the work on them.
     """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
