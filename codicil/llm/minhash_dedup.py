@@ -133,9 +133,10 @@ def _across(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataF
 
         key = table.column("key")[0].as_py()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids, n, comp, part = (table.column(c).to_numpy() for c in ("id", "n", "component", "part"))
+        ids, comp, part = (table.column(c).to_numpy() for c in ("id", "component", "part"))
         bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
         sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in table.column("set")]
+        n = np.array([len(s) for s in sets])
         roots: dict[int, int] = {}
 
         def find(c):
@@ -188,7 +189,8 @@ def linked(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], config: M
     one = tried.join(sets, "id").withColumnRenamed("set", "one")
     two = one.join(sets.withColumnRenamed("id", "centre").withColumnRenamed("set", "two"), "centre")
     both = F.size(F.array_intersect("one", "two"))
-    links = two.select("id", "centre", "n", "m", both.alias("both")).where(f"100 * both >= {percent} * (n + m - both)").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    # Sizes of the sets themselves: rows that share an id may bring several.
+    links = two.select("id", "centre", F.size("one").alias("n"), F.size("two").alias("m"), both.alias("both")).where(f"100 * both >= {percent} * (n + m - both)").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     links = cut(links)
     del one, two, tried, both
     release(reps.sparkSession)

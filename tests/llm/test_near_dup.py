@@ -59,6 +59,13 @@ def test_repeated_ids_null_ids_and_empty(spark):
     assert near_duplicates(documents(spark, ["x"]).where("false")).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = prose(1, 120), prose(2, 60), prose(3, 90)
+    docs = documents(spark, [a, b, edited(a, 4, 1), edited(b, 2, 2), c], [1, 1, 2, 3, 4])
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs, MinHashConfig(width=2)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_super_minhash_is_unbiased_and_tighter_than_independent_draws():
     a = np.arange(1, 41, dtype=np.uint64)
     b = a.copy()
