@@ -12,6 +12,11 @@ Two kinds of passage are compared over all documents.
 
 Equal passages fold by a 64-bit hash of all their words.  Every cluster keeps its first
 occurrence; later ones that do not overlap it are removals.
+
+Runs that repeat are extended to the full match.  The stretch from each anchor to the end of
+the next anchor's run is one more passage, so the words between them are compared too.  Where a
+stretch does not repeat, the match ends within window - 1 words of the run (further on, another
+anchor would be shared), and every length up to that is looked up.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 
 from ._common import cut, id_filter, maybe_in, release, small_batches
 from .minhash_dedup import MinHashConfig, linked
@@ -40,15 +45,25 @@ class PassageConfig:
     rows: int = 3
 
 
-SHAPE = "doc_id long, start int, n_words int, passage long, bands array<long>, shingles array<long>"
+SHAPE = "doc_id long, start int, n_words int, passage long, bands array<long>, shingles array<long>, before long, after long, after_words int"
+EXTENDED = "doc_id long, anchor int, side int, n_words int, key long"
+
 
+def _side(np, mix, passage, side: int):
+    """The key of an extension by no word: of the run ``passage``, to the left (0) or right (1)."""
+    return mix(passage.view(np.uint64) * np.uint64(2) + np.uint64(0x2545F4914F6CDD1D * (side + 1) & 0xFFFFFFFFFFFFFFFF))
 
-def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool, near=None, flagged=None) -> DataFrame:
+
+def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool, near=None, flagged=None, open_sides=None, wanted=None) -> DataFrame:
     """doc_id, start (word), n_words, passage (hash) and, for paragraphs, bands.
 
     ``runs``: the runs too, without bands; ``shingles``: each paragraph's 5-word shingles too.
     ``near``, ``flagged``: filters of band keys and of passages; what they surely lack is left out.
     A text of fewer words than a paragraph or run has one run, the whole; no words, none.
+    With ``flagged``, each run has the hashes of the stretches from the anchor before it and to the
+    one ``after`` it (of ``after_words`` words), null where there is none.
+    ``open_sides``, ``wanted``: instead, the keys of all extensions (EXTENDED) of the runs and sides of
+    which the filter ``open_sides`` may hold ``_side``, without those that ``wanted`` surely lacks.
     """
     small_batches(docs.sparkSession)
     size, window, least, width, bands, rows = config.run, config.window, config.least, config.width, config.bands, config.rows
@@ -68,7 +83,28 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool,
 
         u = np.uint64
 
-        def emit(names, owner, begins, firsts, lasts, h, keys, sets):
+        def extended(names, owner, first, firsts, h):
+            """Keys of the 1 to window - 1 words before and after each run, word by word."""
+            hashed = folded(np, X.mix, h, firsts, firsts + size).view(np.int64)
+            for side in (0, 1):
+                key = _side(np, X.mix, hashed, side)
+                live = np.flatnonzero(maybe_in(open_sides, key.view(np.int64)))
+                key = key[live]
+                for k in range(1, window):
+                    at = firsts[live] + size + k - 1 if side else firsts[live] - k
+                    inside = at < first[owner[live] + 1] if side else at >= first[owner[live]]
+                    live, key, at = live[inside], key[inside], at[inside]
+                    if not len(live):
+                        break
+                    key = X.mix(key * u(3) + h[at])
+                    some = maybe_in(wanted, key.view(np.int64)) if wanted is not None else np.ones(len(live), dtype=bool)
+                    own, n = owner[live[some]], int(some.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[i] for i in own], pa.int64()), pa.array((firsts[live[some]] - first[own]).astype(np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(np.full(n, size + k, np.int32)), pa.array(key[some].view(np.int64))],
+                        names=["doc_id", "anchor", "side", "n_words", "key"],
+                    )
+
+        def emit(names, owner, begins, firsts, lasts, h, keys, sets, following=None):
             hashed = folded(np, X.mix, h, firsts, lasts).view(np.int64)
             if near is not None:
                 keep = maybe_in(near, keys.reshape(-1)).reshape(keys.shape).any(axis=1)
@@ -76,7 +112,22 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool,
                 keep = maybe_in(flagged, hashed)
             else:
                 keep = None
+            before = after = pa.nulls(len(firsts), pa.int64())
+            more = pa.nulls(len(firsts), pa.int32())
+            if following is not None:
+                # Stretches of this document's anchors, the one before and the one after each.
+                reach, came = following
+                n = np.where(reach > 0, reach + size - firsts, 0)
+                back = np.where(came >= 0, firsts + size - came, 0)
+                after, before = np.zeros(len(firsts), np.int64), np.zeros(len(firsts), np.int64)
+                wide, far = n > 0, back > 0
+                if keep is not None:
+                    wide, far = wide & keep, far & keep
+                after[wide] = folded(np, X.mix, h, firsts[wide], firsts[wide] + n[wide]).view(np.int64)
+                before[far] = folded(np, X.mix, h, came[far], firsts[far] + size).view(np.int64)
+                after, before, more = pa.array(after, mask=~wide), pa.array(before, mask=~far), pa.array(n.astype(np.int32), mask=~wide)
             if keep is not None:
+                before, after, more = (c.filter(pa.array(keep)) for c in (before, after, more))
                 owner, begins, firsts, lasts, hashed = owner[keep], begins[keep], firsts[keep], lasts[keep], hashed[keep]
                 keys = keys[keep] if keys is not None else None
             k = len(firsts)
@@ -89,8 +140,8 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool,
                 at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 got = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(sets[np.repeat(firsts, n) + at].view(np.int64)))
             return pa.RecordBatch.from_arrays(
-                [ids, pa.array((firsts - begins).astype(np.int32)), pa.array((lasts - firsts).astype(np.int32)), pa.array(hashed), per, got],
-                names=["doc_id", "start", "n_words", "passage", "bands", "shingles"],
+                [ids, pa.array((firsts - begins).astype(np.int32)), pa.array((lasts - firsts).astype(np.int32)), pa.array(hashed), per, got, before, after, more],
+                names=["doc_id", "start", "n_words", "passage", "bands", "shingles", "before", "after", "after_words"],
             )
 
         for batch in batches:
@@ -105,7 +156,7 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool,
                 edges = np.unique(np.concatenate([first, breaks]))
                 a, b = edges[:-1], edges[1:]
                 long = b - a >= least
-                if long.any():
+                if open_sides is None and long.any():
                     rolled = h
                     for _ in range(width - 1):
                         rolled = X.mix(rolled[:-1] * u(5) + h[len(h) - len(rolled) + 1 :])
@@ -141,16 +192,28 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool,
                     owner.append(k)
                     n.append(len(chosen))
                 at, owner = np.concatenate(places), np.repeat(owner, n)
+                # The anchors after and before each in its text; 0 and -1 for none.
+                same = owner[1:] == owner[:-1]
+                reach, came = np.append(np.where(same, at[1:], 0), 0), np.append(-1, np.where(same, at[:-1], -1))
                 for lo in range(0, len(at), 16_384):
-                    own = owner[lo : lo + 16_384]
-                    yield emit(here, own, first[own], at[lo : lo + 16_384], np.minimum(at[lo : lo + 16_384] + size, first[own + 1]), h, None, None)
+                    own, here_at = owner[lo : lo + 16_384], at[lo : lo + 16_384]
+                    if open_sides is not None:
+                        full = here_at + size <= first[own + 1]
+                        yield from extended(here, own[full], first, here_at[full], h)
+                        continue
+                    following = (reach[lo : lo + 16_384], came[lo : lo + 16_384]) if flagged is not None else None
+                    yield emit(here, own, first[own], here_at, np.minimum(here_at + size, first[own + 1]), h, None, None, following)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SHAPE)
+    shape = SHAPE if open_sides is None else EXTENDED
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, shape)
 
 
 def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
     """doc_id, start, n_words, component_id, first_doc_id, first_start: one row for each passage to remove.
 
+    Word-for-word matches are as long as they go: pieces that join at the same distance from
+    their first occurrences are one row, named by its smallest hash.
+
     Starts count words (runs of characters other than space and U+0009..U+000D), compared with
     A-Z lower-cased.  A component is named by its smallest passage hash; its first occurrence
     by (doc_id, start) stays and is named in each row.  Null and empty texts hold no passage;
@@ -178,10 +241,79 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
     flagged = equal.join(named, "passage", "full").select("passage", F.coalesce("component", "passage").alias("component_id"))
     flagged = cut(flagged)
     found = passages(docs, config, True, False, flagged=id_filter(flagged, "passage"))
-    places = found.select("doc_id", "start", "n_words", "passage").join(flagged, "passage")
-    places = cut(places.select("doc_id", "start", "n_words", "component_id").distinct())
-    first = places.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct("doc_id", "start", "n_words")).alias("first"))
-    first = cut(first.select("c", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.col("first.n_words").alias("m")))
+    places = found.drop("bands", "shingles").join(flagged, "passage")
+    places = cut(places.distinct())
+    first = places.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct("doc_id", "start", "n_words", "passage")).alias("first"))
+    first = cut(first.select("c", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.col("first.n_words").alias("m"), F.col("first.passage").alias("p")))
     out = places.join(first, F.col("component_id") == F.col("c"))
     apart = (F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") >= F.col("first_start") + F.col("m"))
-    return out.where(apart).select("doc_id", "start", "n_words", "component_id", "first_doc_id", "first_start")
+    out = out.where(apart).select("doc_id", "start", "n_words", "component_id", "first_doc_id", "first_start", (F.col("passage") == F.col("p")).alias("equal"))
+    longer = extensions(docs, places, config)
+    return merged(cut(out.select("doc_id", "start", "n_words", "component_id", "first_doc_id", "first_start", "equal").union(longer)).distinct())
+
+
+def _later(rows: DataFrame, key: str, first: DataFrame) -> DataFrame:
+    """The rows (doc_id, start, n_words, key) that repeat an earlier one, with it; ``first`` is from ``_first``."""
+    at = rows.join(first, F.col(key) == F.col("k"))
+    apart = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + F.col("n_words"))
+    return at.where(apart)
+
+
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """k, first (doc_id, start) of the keys with more than one place."""
+    at = F.struct("doc_id", "start")
+    found = rows.groupBy(F.col(key).alias("k")).agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
+    return cut(found.select("k", "first"))
+
+
+def extensions(docs: DataFrame, places: DataFrame, config: PassageConfig) -> DataFrame:
+    """Longer matches around repeated runs, as rows of ``repeated_passages`` with ``equal``."""
+    import numpy as np
+
+    from . import _text as X
+
+    runs = places.where(f"n_words = {config.run}")
+    stretches = runs.where("after is not null").select("doc_id", "start", F.col("after_words").alias("n_words"), "after")
+    first = _first(stretches, "after")
+    shape = ["doc_id", "start", "n_words", F.col("k").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.lit(True).alias("equal")]
+    between = _later(stretches, "after", first).select(*shape)
+
+    # Sides of runs at which some occurrence's stretch does not repeat; all occurrences are looked up there.
+    open_ = None
+    for side, column in ((0, "before"), (1, "after")):
+        lone = runs.join(first.select(F.col("k").alias(column)), column, "left_anti").select("passage", F.lit(side).alias("side"))
+        open_ = lone if open_ is None else open_.union(lone)
+
+    def keys(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            passage, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = np.where(side == 0, _side(np, X.mix, passage, 0), _side(np, X.mix, passage, 1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["key"])
+
+    open_sides = id_filter(cut(open_.distinct()).mapInArrow(keys, "key long"), "key")
+
+    def around(wanted) -> DataFrame:
+        rows = passages(docs, config, True, False, open_sides=open_sides, wanted=wanted)
+        start = F.when(F.col("side") == 0, F.col("anchor") + config.run - F.col("n_words")).otherwise(F.col("anchor"))
+        return rows.withColumn("start", start.cast("int"))
+
+    first = _first(around(None), "key")
+    release(docs.sparkSession)
+    found = _later(around(id_filter(first, "k")), "key", first)
+    longest = found.groupBy("doc_id", "anchor", "side").agg(F.max(F.struct("n_words", "start", "k", "first")).alias("x"))
+    return between.union(longest.select("doc_id", "x.*").select(*shape))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Equal matches of two documents at the same distance that touch or overlap become one; the rest stay."""
+    rows = rows.withColumn("shift", F.when(F.col("equal"), F.col("start") - F.col("first_start")))
+    by = ["doc_id", "first_doc_id", "shift"]
+    order = Window.partitionBy(*by).orderBy("start", "n_words")
+    end = F.max(F.col("start") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = rows.where("equal").withColumn("new", F.when(F.col("start") <= end, 0).otherwise(1))
+    spans = new.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "span")
+    spans = spans.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n_words")).alias("end"), F.min("component_id").alias("component_id"), F.min("first_start").alias("first_start"))
+    spans = spans.select("doc_id", "start", (F.col("end") - F.col("start")).cast("int").alias("n_words"), "component_id", "first_doc_id", "first_start")
+    return spans.union(rows.where("not equal").select(spans.columns))

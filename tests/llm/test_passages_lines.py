@@ -77,3 +77,22 @@ def test_similar_paragraphs_cluster_and_clean_ones_stay(spark):
     assert repeated_passages(documents(spark, ["x"]).where("false")).count() == 0
     assert repeated_passages(documents(spark, [p, p], [4, 4])).count() == 0
     assert repeated_passages(documents(spark, [p, p], [None, 4])).count() == 0
+
+
+def test_every_word_of_a_planted_passage_is_covered(spark):
+    texts, planted = [prose(100 + k, 90 + 13 * k) for k in range(14)], []
+    for n, (size, holders) in enumerate([(51, (0, 3)), (51, (1, 4, 7)), (80, (2, 5)), (300, (6, 9)), (75, (8, 10, 11))]):
+        passage = prose(500 + n, size)
+        for j, k in enumerate(holders):
+            w = texts[k].split(" ")
+            # The last passage goes on for only 55 words in its first occurrence.
+            part = passage if n < 4 or j else " ".join(passage.split(" ")[:55])
+            texts[k] = " ".join([*w[: 20 + 7 * k], part, *w[20 + 7 * k :]])
+            if j:
+                planted.append((k, 20 + 7 * k, size if n < 4 or j > 1 else 55))
+    got = repeated_passages(documents(spark, texts)).collect()
+    for doc_id, start, size in planted:
+        covered = {i for r in got if r.doc_id == doc_id for i in range(r.start, r.start + r.n_words)}
+        assert covered == set(range(start, start + size))
+    for r in got:
+        assert words(texts[r.doc_id], True)[r.start : r.start + r.n_words] == words(texts[r.first_doc_id], True)[r.first_start : r.first_start + r.n_words]
