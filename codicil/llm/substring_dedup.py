@@ -2,9 +2,10 @@
 
 Two kinds of passage are compared over all documents.
 
-* Paragraphs, the lines of at least ``least`` words.  Different ones meet in band buckets of
-  their MinHash over 5-word shingles, are confirmed by the Jaccard similarity of their shingle
-  sets and clustered by components.
+* Paragraphs: the lines of at least ``least`` words, and blocks of neighbouring shorter lines
+  (``units``), so that all text is in some.  Different ones meet in band buckets of their
+  MinHash over 5-word shingles, are confirmed by the Jaccard similarity of their shingle sets
+  and clustered by components.
 * Runs of ``run`` words that begin at an anchor, which match if all words do.  Anchors are the
   minima of a hash of four words over every ``window`` consecutive places where a run fits, so
   two documents that share a passage of run + window - 1 words have an anchor, and the whole
@@ -36,12 +37,12 @@ class PassageConfig:
     #: words that repeats is found.
     run: int = 20
     window: int = 31
-    #: Words of a paragraph at least.
+    #: Words of a paragraph at least; shorter lines are joined.
     least: int = 20
     width: int = 5
     percent: int = 80
-    #: Paragraphs of similarity 0.8 share a bucket with a probability of 0.997.
-    bands: int = 8
+    #: Paragraphs of similarity 0.8 share no bucket with a probability of 2.5e-6.
+    bands: int = 18
     rows: int = 3
 
 
@@ -49,6 +50,54 @@ SHAPE = "doc_id long, start int, n_words int, passage long, bands array<long>, s
 EXTENDED = "doc_id long, anchor int, side int, n_words int, key long"
 
 
+def units(np, mix, h, a, b, first, least: int, width: int):
+    """Firsts and lasts (words) of the paragraphs of texts whose lines are the words a..b.
+
+    A stretch of short lines is cut before each line whose first two words have the smallest hash
+    of all lines that begin less than ``least`` words away, so that equal lines are cut alike
+    whatever stands before them, and changes of other words move no cut; no block has fewer than
+    ``least`` words.  A stretch of fewer words goes with the
+    long line after it, or else the one before it; a whole text is taken however short it is, if
+    it has a shingle.
+    """
+    owner = np.searchsorted(first, a, side="right") - 1
+    long = b - a >= least
+    firsts, lasts = [a[long]], [b[long]]
+    if not long.all():
+        opens = np.flatnonzero(~long & np.append(True, long[:-1] | (owner[1:] != owner[:-1])))
+        closes = np.flatnonzero(~long & np.append(long[1:] | (owner[1:] != owner[:-1]), True))
+        stretch = np.full(len(a), -1)
+        for k, (x, y) in enumerate(zip(opens, closes)):
+            stretch[x : y + 1] = k
+        value = mix(mix(h[a]) + np.where(b - a > 1, h[np.minimum(a + 1, len(h) - 1)], np.uint64(0)))
+        cut_here = ~long
+        for d in range(1, least):
+            near = (stretch[d:] == stretch[:-d]) & (stretch[d:] >= 0) & (a[d:] - a[:-d] < least)
+            if not near.any():
+                break
+            smaller = value[d:] < value[:-d]
+            cut_here[:-d] &= ~(near & smaller)
+            cut_here[d:] &= ~(near & ~smaller)
+        begin, end = a[opens], b[closes]
+        inner = np.flatnonzero(cut_here)
+        inner = inner[(a[inner] - begin[stretch[inner]] >= least) & (end[stretch[inner]] - a[inner] >= least)]
+        size = end - begin
+        alone = size >= least
+        at = np.sort(np.concatenate([begin[alone], a[inner]]))
+        firsts.append(at)
+        lasts.append(np.sort(np.concatenate([end[alone], a[inner]])))
+        x, y = opens[~alone], closes[~alone]
+        after = (y + 1 < len(a)) & (owner[np.minimum(y + 1, len(a) - 1)] == owner[y])
+        before = ~after & (x > 0) & (owner[x - 1] == owner[x])
+        firsts.append(np.where(before, a[x - 1], a[x]))
+        lasts.append(np.where(after, b[np.minimum(y + 1, len(a) - 1)], b[y]))
+    firsts, lasts = np.concatenate(firsts), np.concatenate(lasts)
+    order = np.argsort(firsts, kind="stable")
+    firsts, lasts = firsts[order], lasts[order]
+    some = lasts - firsts >= width
+    return firsts[some], lasts[some]
+
+
 def _side(np, mix, passage, side: int):
     """The key of an extension by no word: of the run ``passage``, to the left (0) or right (1)."""
     return mix(passage.view(np.uint64) * np.uint64(2) + np.uint64(0x2545F4914F6CDD1D * (side + 1) & 0xFFFFFFFFFFFFFFFF))
@@ -155,24 +204,21 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool,
                 breaks = np.searchsorted(starts, np.flatnonzero(data == 10))
                 edges = np.unique(np.concatenate([first, breaks]))
                 a, b = edges[:-1], edges[1:]
-                long = b - a >= least
-                if open_sides is None and long.any():
+                a, b = (units(np, X.mix, h, a, b, first, least, width) if open_sides is None else (a[:0], b[:0]))
+                if len(a):
                     rolled = h
                     for _ in range(width - 1):
                         rolled = X.mix(rolled[:-1] * u(5) + h[len(h) - len(rolled) + 1 :])
-                    owner = np.searchsorted(first, a[long], side="right") - 1
-                    # Shingles that leave their line are out of the minima.
-                    whole = np.zeros(len(h), dtype=bool)
-                    whole[: len(rolled)] = True
-                    for k in range(1, width):
-                        whole[np.maximum(b - k, 0)] = False
-                    padded = np.zeros(len(h), dtype=u)
-                    padded[: len(rolled)] = rolled
-                    registers = np.empty((int(long.sum()), bands * rows), dtype=u)
+                    owner = np.searchsorted(first, a, side="right") - 1
+                    # Shingles that leave their paragraph are out of the minima.
+                    pairs = np.stack([a, b - (width - 1)], axis=1).reshape(-1)
+                    registers = np.empty((len(a), bands * rows), dtype=u)
                     for k in range(bands * rows):
-                        values = np.where(whole, X.mix(padded + u(0x51ED2701 * (2 * k + 1))), u(2**64 - 1))
-                        registers[:, k] = np.minimum.reduceat(values, a)[long]
-                    yield emit(here, owner, first[owner], a[long], b[long], h, X.band_keys(registers, bands), rolled if shingles else None)
+                        values = np.append(X.mix(rolled + u(0x51ED2701 * (2 * k + 1))), u(2**64 - 1))
+                        registers[:, k] = np.minimum.reduceat(values, pairs)[::2]
+                    for lo in range(0, len(a), 16_384):
+                        k = slice(lo, lo + 16_384)
+                        yield emit(here, owner[k], first[owner[k]], a[k], b[k], h, X.band_keys(registers[k], bands), rolled if shingles else None)
                 if not runs:
                     continue
                 anchor = X.mix(X.mix(X.mix(h[:-3] * u(3) + h[1:-2]) * u(3) + h[2:-1]) * u(3) + h[3:]) if len(h) > 3 else h[:0]

@@ -1,5 +1,7 @@
+import random
+
 from codicil.llm.line_dedup import LineDedupConfig, line_deduplicated
-from codicil.llm.substring_dedup import PassageConfig, repeated_passages
+from codicil.llm.substring_dedup import PassageConfig, passages, repeated_passages
 
 from .helpers import documents, edited, prose, words
 
@@ -96,3 +98,37 @@ def test_every_word_of_a_planted_passage_is_covered(spark):
         assert covered == set(range(start, start + size))
     for r in got:
         assert words(texts[r.doc_id], True)[r.start : r.start + r.n_words] == words(texts[r.first_doc_id], True)[r.first_start : r.first_start + r.n_words]
+
+
+def in_lines(text, n):
+    w = text.split(" ")
+    return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def test_all_text_is_in_some_paragraph(spark):
+    r = random.Random(3)
+    texts = ["\n".join(prose(100 * k + j, r.choice([1, 2, 5, 9, 19, 20, 33])) for j in range(r.randint(1, 30))) for k in range(60)]
+    texts += [in_lines(prose(7, 300), n) for n in (1, 4, 19)] + ["q\n" * 200, prose(1, 5), prose(1, 4), "", None, prose(8, 30) + "\nend", "top\n" + prose(9, 30)]
+    covered = {}
+    for x in passages(documents(spark, texts), PassageConfig(), False, False).collect():
+        assert x.n_words >= 20 or x.n_words == len(words(texts[x.doc_id]))
+        covered.setdefault(x.doc_id, set()).update(range(x.start, x.start + x.n_words))
+    for i, t in enumerate(texts):
+        n = len(words(t))
+        assert covered.get(i, set()) == (set(range(n)) if n >= 5 else set())
+
+
+def test_passages_in_short_lines_with_changed_words_are_found(spark):
+    p = prose(1, 400)
+    w = p.split(" ")
+    for i in range(30, 400, 60):
+        w[i] = f"new{i}"
+    texts = [in_lines(prose(3, 63), 7) + "\n" + in_lines(p, 8), in_lines(prose(4, 40), 5) + "\n" + in_lines(" ".join(w), 8) + "\n" + prose(5, 30), in_lines(prose(6, 300), 8)]
+    got = repeated_passages(documents(spark, texts), PassageConfig(run=70, window=5)).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(1, 0)}
+    assert sum(r.n_words for r in got) >= 150
+
+
+def test_similar_paragraphs_rarely_share_no_bucket():
+    c = PassageConfig()
+    assert (1 - 0.8**c.rows) ** c.bands < 3e-6
