@@ -24,6 +24,8 @@ from .tokens import documents, encoder
 @dataclass(frozen=True)
 class CuttingStockConfig:
     tokenizer: str = ""
+    #: Whether the file's added tokens in a text are their own ids, not ordinary text.
+    markers: bool = False
     length: int = 2048
     end_id: int = 1
     #: Lengths in a class; a sequence loses less than this for each of its pieces.
@@ -129,7 +131,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def pieces(docs: DataFrame, config: CuttingStockConfig) -> DataFrame:
     """Every document cut at multiples of ``length``, with a digest of each piece's ids; ids stay where they are made."""
     small_batches(docs.sparkSession)
-    get, length, end_id = encoder(docs.sparkSession, config.tokenizer), config.length, config.end_id
+    get, length, end_id = encoder(docs.sparkSession, config.tokenizer, config.markers), config.length, config.end_id
 
     def run(batches):
         import pyarrow as pa

@@ -28,7 +28,7 @@ def tokenizer_path() -> str:
 
 
 def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_tokens(read(spark, sf_dir, "documents"), TokenPackingConfig(tokenizer=tokenizer_path()))
+    return packed_tokens(read(spark, sf_dir, "documents"), TokenPackingConfig(tokenizer=tokenizer_path(), markers=True))
 
 
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_pieces(read(spark, sf_dir, "documents"), CuttingStockConfig(tokenizer=tokenizer_path()))
+    return packed_pieces(read(spark, sf_dir, "documents"), CuttingStockConfig(tokenizer=tokenizer_path(), markers=True))
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from .tokens import documents, encoder
 class TokenPackingConfig:
     #: A ``tokenizers`` JSON file of a byte-level BPE vocabulary.
     tokenizer: str = ""
+    #: Whether the file's added tokens in a text are their own ids, not ordinary text.
+    markers: bool = False
     #: Tokens in a row of the matrix.
     length: int = 2048
     #: Id that ends a document, and id that fills a row.
@@ -88,7 +90,7 @@ def packed_tokens(docs: DataFrame, config: TokenPackingConfig) -> DataFrame:
     rows are packed as often as they occur; a null doc_id is carried as null.  No rows, no result.
     """
     small_batches(docs.sparkSession)
-    get, length, end_id, pad_id, block = encoder(docs.sparkSession, config.tokenizer), config.length, config.end_id, config.pad_id, config.block_tokens
+    get, length, end_id, pad_id, block = encoder(docs.sparkSession, config.tokenizer, config.markers), config.length, config.end_id, config.pad_id, config.block_tokens
 
     def run(batches):
         import numpy as np

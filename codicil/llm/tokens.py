@@ -19,6 +19,15 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def added(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` JSON file and their ids: each is one id wherever it stands."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", ())
+    if odd := [t["content"] for t in tokens if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]:
+        raise ValueError(f"added tokens that look at their neighbours are not supported: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id, from a ``tokenizers`` JSON file; special tokens are left out."""
     with open(path, encoding="utf-8") as f:
@@ -31,15 +40,16 @@ def ranks(path: str) -> dict[bytes, int]:
 _BUILT: dict[str, object] = {}
 
 
-def encoder(spark: SparkSession, path: str) -> Callable[[], Callable]:
+def encoder(spark: SparkSession, path: str, markers: bool = False) -> Callable[[], Callable]:
     """A picklable function that gives, on an executor, text -> uint32 array of ids.
 
     The file is read here once and its ranks are broadcast (a vocabulary, so bounded by the
     file's size): executors need no copy of it.  Ids are those of the ``tokenizers`` library
-    without added special tokens; strings of special tokens are ordinary text.
+    with ``add_special_tokens=False``; with ``markers`` the file's added tokens in a text are
+    their own ids, as the library has them when the file is loaded, else ordinary text.
     """
-    table = ranks(path)
-    name = hashlib.sha256(repr(sorted(table.items())).encode()).hexdigest()
+    table, special = ranks(path), added(path) if markers else {}
+    name = hashlib.sha256(repr((sorted(table.items()), sorted(special.items()))).encode()).hexdigest()
     sent = spark.sparkContext.broadcast(table)
 
     def get() -> Callable:
@@ -48,18 +58,25 @@ def encoder(spark: SparkSession, path: str) -> Callable[[], Callable]:
         if name not in tokens._BUILT:
             import tiktoken
 
-            tokens._BUILT[name] = tiktoken.Encoding("shared", pat_str=tokens.PATTERN, mergeable_ranks=sent.value, special_tokens={})
+            tokens._BUILT[name] = tiktoken.Encoding("shared", pat_str=tokens.PATTERN, mergeable_ranks=sent.value, special_tokens=special)
         built = tokens._BUILT[name]
 
         def encode(text: str):
             try:
-                return built.encode_to_numpy(text, disallowed_special=())
+                return built.encode_to_numpy(text, allowed_special="all", disallowed_special=())
             except ValueError:  # its regular expressions can't backtrack over a very long run of spaces
                 import numpy as np
                 import regex
 
                 one = built._core_bpe.encode_single_piece
-                return np.array([i for m in regex.finditer(tokens.PATTERN, text) for i in one(m[0].encode())], dtype=np.uint32)
+                marks = "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))
+                out = []
+                for part in regex.split(f"({marks})", text) if special else [text]:
+                    if part in special:
+                        out.append(special[part])
+                    else:
+                        out += [i for m in regex.finditer(tokens.PATTERN, part) for i in one(m[0].encode())]
+                return np.array(out, dtype=np.uint32)
 
         return encode
 

@@ -48,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packed_pieces(docs, CuttingStockConfig(tokenizer=tokenizer_path()))
+    return packed_pieces(docs, CuttingStockConfig(tokenizer=tokenizer_path(), markers=True))
 
 
 STAGES = [

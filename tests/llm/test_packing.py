@@ -116,3 +116,27 @@ def test_little_padding(spark, sf_dir):
     rows = packed_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), CuttingStockConfig(tokenizer=PATH)).groupBy("sequence_id").sum("length").collect()
     total = sum(r[1] for r in rows)
     assert 2048 * len(rows) < 1.02 * total
+
+
+def test_markers_are_the_ids_of_the_tokenizer_as_loaded(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from codicil.llm.queries import op1_token_packing, op9_cutting_stock_packing
+
+    t = Tokenizer.from_file(PATH)
+    mark = "<|endoftext|>"
+    texts = [x for x in TEXTS if x] + [mark, mark * 3, f"x{mark}y", f"a\n{mark}\n b", f"<|endoftext|{mark}", " " * 300_000 + f"{mark} end"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[texts.index(f"x{mark}y")] == [87, 50256, 88]
+    encode = encoder(spark, PATH, True)()
+    assert [encode(x).tolist() for x in texts] == want
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = op9_cutting_stock_packing(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in pieces} == {(i, len(x) + 1) for i, x in enumerate(want)}
+    for r in pieces:
+        if r.start + r.length <= len(want[r.doc_id]):
+            assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    back = {}
+    for r in sorted(unpacked_tokens(op1_token_packing(spark, str(tmp_path))).collect(), key=lambda r: (r.doc_id, r.start)):
+        back[r.doc_id] = back.get(r.doc_id, []) + r.ids
+    assert back == {i: x + [50256] for i, x in enumerate(want)}
