@@ -56,9 +56,10 @@ def units(np, mix, h, a, b, first, least: int, width: int):
     A stretch of short lines is cut before each line whose first two words have the smallest hash
     of all lines that begin less than ``least`` words away, so that equal lines are cut alike
     whatever stands before them, and changes of other words move no cut; no block has fewer than
-    ``least`` words.  A stretch of fewer words goes with the
-    long line after it, or else the one before it; a whole text is taken however short it is, if
-    it has a shingle.
+    ``least`` words.  A stretch of fewer words is
+    filled up to ``least`` from the long line after it, or else the one before it, which is a
+    paragraph by itself too; so the two are hardly ever similar.  A whole text is taken however
+    short it is, if it has a shingle.
     """
     owner = np.searchsorted(first, a, side="right") - 1
     long = b - a >= least
@@ -89,8 +90,8 @@ def units(np, mix, h, a, b, first, least: int, width: int):
         x, y = opens[~alone], closes[~alone]
         after = (y + 1 < len(a)) & (owner[np.minimum(y + 1, len(a) - 1)] == owner[y])
         before = ~after & (x > 0) & (owner[x - 1] == owner[x])
-        firsts.append(np.where(before, a[x - 1], a[x]))
-        lasts.append(np.where(after, b[np.minimum(y + 1, len(a) - 1)], b[y]))
+        firsts.append(np.where(before, b[y] - least, a[x]))
+        lasts.append(np.where(after, a[x] + least, b[y]))
     firsts, lasts = np.concatenate(firsts), np.concatenate(lasts)
     order = np.argsort(firsts, kind="stable")
     firsts, lasts = firsts[order], lasts[order]
@@ -273,11 +274,13 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
     keyed = found.select("passage", F.posexplode(F.concat(F.array(whole), F.col("bands"))).alias("band", "key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("passage").alias("low"), F.max("passage").alias("high"), F.min("band").alias("band"))
     counts = cut(counts.where("n > 1 and (band = 0 or low != high)"))
+    release(docs.sparkSession)
     equal = counts.where("band = 0").select(F.col("low").alias("passage"))
     near = counts.where("low != high").select("key")
 
     kept = passages(docs, config, False, True, near=id_filter(near, "key"))
     nodes = cut(kept.groupBy(F.col("passage").alias("id")).agg(F.first("bands").alias("bands"), F.array_distinct(F.first("shingles")).alias("set")))
+    release(docs.sparkSession)
     reps = nodes.select("id", F.size("set").cast("long").alias("n"), "bands")
     link = MinHashConfig(width=config.width, percent=config.percent, bands=config.bands, rows=config.rows)
     groups = linked(reps, lambda wanted: nodes.select("id", "set"), link)
@@ -321,6 +324,7 @@ def extensions(docs: DataFrame, places: DataFrame, config: PassageConfig) -> Dat
     runs = places.where(f"n_words = {config.run}")
     stretches = runs.where("after is not null").select("doc_id", "start", F.col("after_words").alias("n_words"), "after")
     first = _first(stretches, "after")
+    release(docs.sparkSession)
     shape = ["doc_id", "start", "n_words", F.col("k").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.lit(True).alias("equal")]
     between = _later(stretches, "after", first).select(*shape)
 
