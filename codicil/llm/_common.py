@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,39 +18,99 @@ from ..session import ship
 SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_RUN = "[\\x20\\x09-\\x0D]+"
 
+#: Folders of cuts that are not deleted yet, oldest first, with a session each.
+_FOLDERS: dict[str, SparkSession] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder of ``spark.checkpoint.dir`` and end its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A lost executor costs at most the work since the last cut, and both sides of a
-    later join are plain exchanges, so that adaptive execution can split skewed keys.
+    Without the setting, a local session takes a temporary folder; on a cluster each executor
+    would write to a disk of its own, so that is an error.
     """
-    ship(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        # Only where no shared folder is named, as in tests.
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codicil-"))
-    kept = df.checkpoint(eager=True)
-    # The checkpoint carries the estimated size of its plan along.  A join's estimate is the
-    # product of its sides', so over many cuts the number itself grows to megabytes on the
-    # driver.  A new frame over the same rows begins without an estimate.
-    session = df.sparkSession
-    fresh = session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
-    return DataFrame(fresh, session)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, after a cut.
-
-    Its cleaner acts when the driver's garbage is collected, which a small driver heap may not
-    do for hours.
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if spark.conf.get("spark.master", "").startswith("local") and "cluster" not in spark.conf.get("spark.master"):
+        spark.conf.set("spark.checkpoint.dir", made := tempfile.mkdtemp(prefix="codicil-"))
+        return made
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """Session settings (dots as ``__``) for the work inside, and what they were before after it."""
+    named = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there.
+
+    A lost executor costs at most the work since the last cut, both sides of a later join are
+    plain exchanges that adaptive execution can split, sizes are those of the files, and the
+    shuffle files of the work go as soon as it is written.  ``drop`` deletes the files.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_folder(spark)}/codicil-{uuid.uuid4().hex}"
+    _FOLDERS[path] = spark
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def _delete(path: str) -> None:
+    from pyarrow import fs
+
+    where, at = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    where.delete_dir(at)
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that nothing will read any more."""
+    for made in cuts:
+        path = made._folder
+        spark = _FOLDERS.pop(path, None)
+        if spark is None:
+            continue
+        try:
+            _delete(path)
+        except (OSError, ValueError):  # a store that only Spark writes to: its rows go, one empty file stays
+            made.limit(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what was cut inside and is still there: for work whose result has been written elsewhere."""
+    before = set(_FOLDERS)
+    try:
+        yield
+    finally:
+        _forget(set(_FOLDERS) - before)
+
+
+def _forget(paths) -> None:
+    for path in list(paths):
+        _FOLDERS.pop(path, None)
+        with contextlib.suppress(OSError, ValueError):
+            _delete(path)
+
+
+#: A result that is read lazily still needs its last cuts; they go when the driver ends.
+atexit.register(lambda: _forget(_FOLDERS))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -78,17 +140,23 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int
     return left.join(F.broadcast(right) if bounded(right, most) else right, on, how)
 
 
-#: Segments of an id filter and bits of each: 4 MB in all, whatever the number of ids.
-SEGMENTS, SEGMENT_BITS = 64, 1 << 19
+#: Segments of an id filter, bits for each id, and bytes of a filter at least and at most.
+SEGMENTS, ID_BITS, LEAST_BYTES, MOST_BYTES = 64, 10, 1 << 16, 1 << 25
 
 
 def id_filter(ids: DataFrame, column: str):
-    """A Bloom filter of a long column, broadcast for ``maybe_in``; its size does not depend on the ids.
+    """A Bloom filter of a long column, broadcast for ``maybe_in``.
 
-    Each segment is built by one task, so the driver gets SEGMENTS rows.  With 250 000 ids one
-    in 5000 others passes; with very many ids all pass.  So it may only spare work, and what
-    passes must be harmless or be joined exactly.
+    Its size follows the number of ids between LEAST_BYTES and MOST_BYTES, the bound of what is
+    broadcast.  Each segment is built by one task, so the driver gets SEGMENTS rows.  At
+    ID_BITS bits an id one in 30 others passes; with ids beyond the bound more pass.  So it may
+    only spare work, and what passes must be harmless or be joined exactly.
     """
+    import numpy as np
+
+    rows = ids.select(F.col(column).cast("long").alias("i")).where("i is not null")
+    each = max(1, ID_BITS * rows.count() // SEGMENTS)
+    size = min(8 * MOST_BYTES // SEGMENTS, max(8 * LEAST_BYTES // SEGMENTS, 1 << (each - 1).bit_length()))
     segment = F.col("i").bitwiseXOR(F.shiftright("i", 6)).bitwiseXOR(F.shiftright("i", 12)).bitwiseAND(F.lit(SEGMENTS - 1))
 
     def build(batches):
@@ -97,31 +165,27 @@ def id_filter(ids: DataFrame, column: str):
 
         maps: dict[int, np.ndarray] = {}
         for batch in batches:
-            i = batch.column(0).to_numpy()
-            segments, places = _places(i)
+            segments, places = _places(batch.column(0).to_numpy(), size)
             for s in np.unique(segments):
-                bits = maps.setdefault(int(s), np.zeros(SEGMENT_BITS, dtype=bool))
+                found = maps.setdefault(int(s), np.zeros(size, dtype=bool))
                 for p in places:
-                    bits[p[segments == s]] = True
+                    found[p[segments == s]] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(b).tobytes() for b in maps.values()], pa.binary())], names=["segment", "bits"])
 
-    import numpy as np
-
-    rows = ids.select(F.col(column).cast("long").alias("i")).where("i is not null").repartition(SEGMENTS, segment)
-    out = np.zeros((SEGMENTS, SEGMENT_BITS // 8), dtype=np.uint8)
-    for r in rows.mapInArrow(build, "segment int, bits binary").collect():
-        out[r["segment"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    out = np.zeros((SEGMENTS, size // 8), dtype=np.uint8)
+    for r in rows.repartition(SEGMENTS, segment).mapInArrow(build, "segment int, bits binary").collect():
+        out[r["segment"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
     return ids.sparkSession.sparkContext.broadcast(out)
 
 
-def _places(ids):
-    """The segment of each id and its two places there."""
+def _places(ids, size: int):
+    """The segment of each id and its two places among ``size`` bits there."""
     import numpy as np
 
     from ._text import mix
 
     h = mix(ids.view(np.uint64))
-    spots = [(h >> np.uint64(k) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for k in (0, 24)]
+    spots = [(h >> np.uint64(k) & np.uint64(size - 1)).astype(np.int64) for k in (0, 32)]
     return (ids ^ (ids >> 6) ^ (ids >> 12)) & (SEGMENTS - 1), spots
 
 
@@ -129,7 +193,7 @@ def maybe_in(sent, ids):
     """Which of an int64 array may be in an ``id_filter``; ids in it always are."""
     import numpy as np
 
-    bits, (segments, spots) = sent.value, _places(np.ascontiguousarray(ids))
+    bits, (segments, spots) = sent.value, _places(np.ascontiguousarray(ids), sent.value.shape[1] * 8)
     found = np.ones(len(ids), dtype=bool)
     for p in spots:
         found &= (bits[segments, p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)

@@ -9,7 +9,8 @@
 4. Buckets whose members then still lie in different components are compared in full between
    those components, block against block, each pair in the first bucket that it shares.
    So no link that banding can see is lost, and no bucket lists its pairs.
-5. Components of the confirmed links go back to all rows.
+5. Components of the confirmed links go back to all rows.  Over the whole table they come from
+   alternating large and small stars (``graph``); union-find works inside a block.
 
 With 32 bands of 5 values, a pair of similarity 0.8 shares no bucket with a probability
 of 3e-6, and one of 0.9 with 1e-12.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ._common import bounded, cut, id_filter, maybe_in, release, small_batches
+from ._common import bounded, cut, drop, id_filter, maybe_in, small_batches
 from .graph import components
 
 
@@ -37,8 +38,9 @@ class MinHashConfig:
     bands: int = 32
     rows: int = 5
     seed: int = 0
-    #: Rows of one side of a block of step 4.
+    #: Rows of one side of a block of step 4, and entries of their sets, about.
     block: int = 512
+    block_entries: int = 1 << 21
 
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
@@ -116,7 +118,11 @@ def _across(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataF
     it shares, and a group returns a forest of its components.
     """
     percent, block = config.percent, config.block
-    parts = members.groupBy("key").agg(F.ceil(F.count_if(~F.col("main")) / block).cast("int").alias("others"), F.ceil(F.count_if("main") / block).cast("int").alias("mains"))
+    def blocks(side):
+        rows, entries = F.count_if(side), F.sum(F.when(side, F.col("n")))
+        return F.ceil(F.greatest(rows / block, F.coalesce(entries, F.lit(0)) / config.block_entries)).cast("int")
+
+    parts = members.groupBy("key").agg(blocks(~F.col("main")).alias("others"), blocks(F.col("main")).alias("mains"))
     parts = cut(parts.withColumnRenamed("key", "k"))
     dealt = members.join(parts, members.key == parts.k).drop("k")
     hashed = F.xxhash64("id")
@@ -183,18 +189,19 @@ def linked(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], config: M
     centres = cut(weighed.groupBy("key").agg(top).select(F.col("key").alias("k"), F.bitwise_not("top.neg").alias("centre"), F.col("top.n").alias("m")))
     tried = shared.join(centres, shared.key == centres.k).where(f"id != centre and 100 * least(n, m) >= {percent} * greatest(n, m)")
     tried = cut(tried.select("id", "centre", "n", "m").distinct())
+    drop(counts)
 
-    release(reps.sparkSession)
-    sets = cut(sets_of(cut(shared.select("id").distinct())))
+    # Only sets of pairs that sizes leave open travel; buckets left in several components read more below.
+    asked = cut(tried.select("id").union(tried.select("centre")).distinct())
+    sets = cut(sets_of(asked))
     one = tried.join(sets, "id").withColumnRenamed("set", "one")
     two = one.join(sets.withColumnRenamed("id", "centre").withColumnRenamed("set", "two"), "centre")
     both = F.size(F.array_intersect("one", "two"))
     # Sizes of the sets themselves: rows that share an id may bring several.
     links = two.select("id", "centre", F.size("one").alias("n"), F.size("two").alias("m"), both.alias("both")).where(f"100 * both >= {percent} * (n + m - both)").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     links = cut(links)
-    del one, two, tried, both
-    release(reps.sparkSession)
-    groups = cut(components(links).withColumnRenamed("id", "i"))
+    drop(tried, asked, sets, central)
+    groups = components(links).withColumnRenamed("id", "i")
 
     placed = shared.join(groups, shared.id == groups.i, "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
@@ -205,10 +212,12 @@ def linked(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], config: M
         some = placed.join(heads, placed.key == heads.k).withColumn("main", F.col("component") == F.col("head"))
         known = reps.select(F.col("id").alias("i"), "bands")
         some = cut(some.join(known, some.id == known.i).select("key", "id", "n", "component", "main", "bands"))
+        asked = cut(some.select("id").distinct())
+        sets = cut(sets_of(asked))
         links = cut(links.union(_across(some, sets, config)))
-        del some, sets
-        release(reps.sparkSession)
-        groups = cut(components(links).withColumnRenamed("id", "i"))
+        drop(heads, some, asked, sets)
+        groups = components(links).withColumnRenamed("id", "i")
+    drop(shared, centres, split, links)
     return groups
 
 
@@ -216,24 +225,29 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, any more).
 
     Words are runs of characters other than space and U+0009..U+000D, A-Z lower-cased; a set
-    holds the distinct ``width``-word shingles of the whole text, or the whole sequence of a
-    shorter text.  A row without words is linked with nothing.  component_id is the smallest
-    doc_id that links reach, kept whether it is the row's own.  Rows that share a doc_id are
-    one document.  A row with a null doc_id joins nothing and is kept, its component_id null.
+    holds the distinct ``width``-word shingles of the whole text, however long, or the whole
+    sequence of a shorter text.  A row without words (null and empty texts) is linked with
+    nothing.  component_id is the smallest doc_id that links reach, kept whether it is the
+    row's own, so ties between equal texts go to the smallest doc_id.  Rows that share a doc_id
+    are one document and are kept or not together.  A row with a null doc_id joins nothing and
+    is kept, its component_id null.  Other columns of docs, whatever their names, are not read.
     An empty table gives an empty result.
     """
     rows = cut(sketch(docs, config))
     full = rows.where("n_shingles > 0 and doc_id is not null")
     first = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("id")).withColumnRenamed("set_key", "k"))
     reps = rows.join(first, (rows.set_key == first.k) & (rows.doc_id == first.id)).select("id", F.col("n_shingles").alias("n"), "bands")
+    reps = cut(reps)
+    plain = cut(rows.select("doc_id", "n_shingles", "set_key"))
+    drop(rows)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return shingles(docs.where("doc_id is not null"), config, id_filter(ids, "id"))
 
     groups = linked(reps, sets_of, config)
-    release(docs.sparkSession)
     named = cut(first.join(groups, first.id == groups.i, "left").select("k", F.coalesce("component", "id").alias("component")))
-    out = rows.join(named, rows.set_key == named.k, "left")
+    drop(reps, first)
+    out = plain.join(named, plain.set_key == named.k, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -1,23 +1,25 @@
-"""Repeated passages: MinHash banding of paragraphs, and runs of words that follow the content.
-
-Two kinds of passage are compared over all documents.
-
-* Paragraphs: the lines of at least ``least`` words, and blocks of neighbouring shorter lines
-  (``units``), so that all text is in some.  Different ones meet in band buckets of their
-  MinHash over 5-word shingles, are confirmed by the Jaccard similarity of their shingle sets
-  and clustered by components.
-* Runs of ``run`` words that begin at an anchor, which match if all words do.  Anchors are the
-  minima of a hash of four words over every ``window`` consecutive places where a run fits, so
-  two documents that share a passage of run + window - 1 words have an anchor, and the whole
-  run behind it, in common wherever the passage stands and whatever the lines are.
-
-Equal passages fold by a 64-bit hash of all their words.  Every cluster keeps its first
-occurrence; later ones that do not overlap it are removals.
-
-Runs that repeat are extended to the full match.  The stretch from each anchor to the end of
-the next anchor's run is one more passage, so the words between them are compared too.  Where a
-stretch does not repeat, the match ends within window - 1 words of the run (further on, another
-anchor would be shared), and every length up to that is looked up.
+"""Repeated passages: MinHash banding of paragraphs and of paragraph windows inside long lines.
+
+Two kinds of unit tile and slide over every text.
+
+* Paragraphs: the lines of at least ``paragraph`` words, and blocks of neighbouring shorter lines
+  (``units``), so that all text is in some.  Each has ``bands`` keys of its MinHash over 5-word
+  shingles.
+* Paragraph windows: every ``window`` consecutive places, whatever the lines are.  A window's
+  MinHash under one hash function is its smallest four-word hash; neighbouring windows share
+  it, so only the places where it changes are kept, and the key of a window is the run of
+  ``run`` words that begins there.  Two texts that share a passage of run + window - 1 words
+  therefore share a key, wherever the passage stands in either.
+
+1. One pass over the texts gives the keys; a key that two different places share is kept.
+2. A second pass brings the units that hold such a key: colliding paragraphs with their shingle
+   sets, equal ones and windows with the words around them.
+3. Different paragraphs of a bucket are confirmed by exact Jaccard similarity of their sets and
+   clustered by components (``minhash_dedup.linked``); equal ones are a cluster by themselves.
+4. Every cluster keeps its first occurrence by (doc_id, start).  Matches of equal units grow word
+   by word in both texts until the words differ (edit distance 0; words are compared by hashes).
+5. What a document repeats is merged into disjoint spans; those of at least ``least`` words are
+   the removals.
 """
 
 from __future__ import annotations
@@ -25,29 +27,33 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
-from ._common import cut, id_filter, maybe_in, release, small_batches
+from ._common import attach, cut, drop, id_filter, maybe_in, small_batches
 from .minhash_dedup import MinHashConfig, linked
 
 
 @dataclass(frozen=True)
 class PassageConfig:
-    #: Words of a run, and places of which one is an anchor: any passage of run + window - 1
-    #: words that repeats is found.
+    #: Words of a passage to remove at least.
+    least: int = 50
+    #: Words of a paragraph at least; shorter lines are joined.
+    paragraph: int = 20
+    #: Words of a window's key, and places in a window: any passage of run + window - 1 words
+    #: that repeats is found.
     run: int = 20
     window: int = 31
-    #: Words of a paragraph at least; shorter lines are joined.
-    least: int = 20
     width: int = 5
     percent: int = 80
-    #: Paragraphs of similarity 0.8 share no bucket with a probability of 2.5e-6.
-    bands: int = 18
-    rows: int = 3
+    #: Paragraphs of similarity 0.8 share no bucket with a probability of 1.7e-6.
+    bands: int = 13
+    rows: int = 2
 
 
-SHAPE = "doc_id long, start int, n_words int, passage long, bands array<long>, shingles array<long>, before long, after long, after_words int"
-EXTENDED = "doc_id long, anchor int, side int, n_words int, key long"
+KEYS = "key long, place int"
+#: ``group`` names equal units; bands and set are null for units that only equal ones meet; before
+#: and after hold 16 bits of a hash of each word around the unit, nearest first.
+PLACES = "doc_id long, start int, n_words int, group long, bands array<long>, set array<long>, before array<short>, after array<short>"
 
 
 def units(np, mix, h, a, b, first, least: int, width: int):
@@ -99,31 +105,14 @@ def units(np, mix, h, a, b, first, least: int, width: int):
     return firsts[some], lasts[some]
 
 
-def _side(np, mix, passage, side: int):
-    """The key of an extension by no word: of the run ``passage``, to the left (0) or right (1)."""
-    return mix(passage.view(np.uint64) * np.uint64(2) + np.uint64(0x2545F4914F6CDD1D * (side + 1) & 0xFFFFFFFFFFFFFFFF))
-
-
-def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool, near=None, flagged=None, open_sides=None, wanted=None) -> DataFrame:
-    """doc_id, start (word), n_words, passage (hash) and, for paragraphs, bands.
+def _keys(docs: DataFrame, config: PassageConfig, equal=None, near=None) -> DataFrame:
+    """The keys of all units (KEYS), or the units (PLACES) that hold a key of the filters ``equal`` or ``near``.
 
-    ``runs``: the runs too, without bands; ``shingles``: each paragraph's 5-word shingles too.
-    ``near``, ``flagged``: filters of band keys and of passages; what they surely lack is left out.
-    A text of fewer words than a paragraph or run has one run, the whole; no words, none.
-    With ``flagged``, each run has the hashes of the stretches from the anchor before it and to the
-    one ``after`` it (of ``after_words`` words), null where there is none.
-    ``open_sides``, ``wanted``: instead, the keys of all extensions (EXTENDED) of the runs and sides of
-    which the filter ``open_sides`` may hold ``_side``, without those that ``wanted`` surely lacks.
+    ``place`` tells different holders of a key apart: of a band key by the paragraph's words, of
+    the key of equal units by document and start.
     """
     small_batches(docs.sparkSession)
-    size, window, least, width, bands, rows = config.run, config.window, config.least, config.width, config.bands, config.rows
-
-    def folded(np, mix, h, firsts, lasts):
-        """A hash of the words first..last of each passage, which may overlap."""
-        n = lasts - firsts
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        parts = mix(h[np.repeat(firsts, n) + at] + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return mix(np.add.reduceat(parts, np.cumsum(n) - n) + n.astype(np.uint64)) if len(n) else h[:0]
+    size, window, least, width, bands, rows = config.run, config.window, config.paragraph, config.width, config.bands, config.rows
 
     def run(batches):
         import numpy as np
@@ -133,79 +122,68 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool,
 
         u = np.uint64
 
-        def extended(names, owner, first, firsts, h):
-            """Keys of the 1 to window - 1 words before and after each run, word by word."""
-            hashed = folded(np, X.mix, h, firsts, firsts + size).view(np.int64)
-            for side in (0, 1):
-                key = _side(np, X.mix, hashed, side)
-                live = np.flatnonzero(maybe_in(open_sides, key.view(np.int64)))
-                key = key[live]
-                for k in range(1, window):
-                    at = firsts[live] + size + k - 1 if side else firsts[live] - k
-                    inside = at < first[owner[live] + 1] if side else at >= first[owner[live]]
-                    live, key, at = live[inside], key[inside], at[inside]
-                    if not len(live):
-                        break
-                    key = X.mix(key * u(3) + h[at])
-                    some = maybe_in(wanted, key.view(np.int64)) if wanted is not None else np.ones(len(live), dtype=bool)
-                    own, n = owner[live[some]], int(some.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[i] for i in own], pa.int64()), pa.array((firsts[live[some]] - first[own]).astype(np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(np.full(n, size + k, np.int32)), pa.array(key[some].view(np.int64))],
-                        names=["doc_id", "anchor", "side", "n_words", "key"],
-                    )
-
-        def emit(names, owner, begins, firsts, lasts, h, keys, sets, following=None):
-            hashed = folded(np, X.mix, h, firsts, lasts).view(np.int64)
-            if near is not None:
-                keep = maybe_in(near, keys.reshape(-1)).reshape(keys.shape).any(axis=1)
-            elif flagged is not None:
-                keep = maybe_in(flagged, hashed)
-            else:
-                keep = None
-            before = after = pa.nulls(len(firsts), pa.int64())
-            more = pa.nulls(len(firsts), pa.int32())
-            if following is not None:
-                # Stretches of this document's anchors, the one before and the one after each.
-                reach, came = following
-                n = np.where(reach > 0, reach + size - firsts, 0)
-                back = np.where(came >= 0, firsts + size - came, 0)
-                after, before = np.zeros(len(firsts), np.int64), np.zeros(len(firsts), np.int64)
-                wide, far = n > 0, back > 0
-                if keep is not None:
-                    wide, far = wide & keep, far & keep
-                after[wide] = folded(np, X.mix, h, firsts[wide], firsts[wide] + n[wide]).view(np.int64)
-                before[far] = folded(np, X.mix, h, came[far], firsts[far] + size).view(np.int64)
-                after, before, more = pa.array(after, mask=~wide), pa.array(before, mask=~far), pa.array(n.astype(np.int32), mask=~wide)
-            if keep is not None:
-                before, after, more = (c.filter(pa.array(keep)) for c in (before, after, more))
-                owner, begins, firsts, lasts, hashed = owner[keep], begins[keep], firsts[keep], lasts[keep], hashed[keep]
-                keys = keys[keep] if keys is not None else None
+        def spread(n):
+            """For groups of n members: the number of each member in its group."""
+            return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+        def folded(h, firsts, lasts, seed):
+            """A hash of the words first..last of each unit; units may overlap."""
+            n = lasts - firsts
+            at = spread(n)
+            parts = X.mix(h[np.repeat(firsts, n) + at] + at.astype(u) * u(0x9E3779B97F4A7C15))
+            return X.mix(np.add.reduceat(parts, np.cumsum(n) - n) + n.astype(u) + u(seed)).view(np.int64) if len(n) else h[:0].view(np.int64)
+
+        def lists(values, n, kind):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values, kind))
+
+        def here(ids, firsts):
+            return (X.mix(ids[0].view(u) * u(3) + firsts.astype(u)) >> u(32)).astype(np.uint32).view(np.int32)
+
+        def words_of(h16, firsts, lasts, backwards):
+            n = lasts - firsts
+            at = spread(n)
+            at = np.repeat(lasts, n) - 1 - at if backwards else np.repeat(firsts, n) + at
+            return lists(h16[at], n, pa.int16())
+
+        def places(ids, h, h16, first, owner, firsts, lasts, whole, left, right, keys, rolled):
+            """Units with a shared key; left and right bound the words around them."""
+            some = maybe_in(equal, whole)
+            alike = maybe_in(near, keys.reshape(-1)).reshape(keys.shape).any(axis=1) if keys is not None else np.zeros(len(some), dtype=bool)
+            keep = some | alike
+            owner, firsts, lasts, whole, left, right, some, alike = (x[keep] for x in (owner, firsts, lasts, whole, left, right, some, alike))
             k = len(firsts)
-            ids = pa.array([names[i] for i in owner], pa.int64())
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(k + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
-            per = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1))) if keys is not None else none
-            got = none
-            if sets is not None:
-                n = lasts - firsts - (width - 1)
-                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                got = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(sets[np.repeat(firsts, n) + at].view(np.int64)))
-            return pa.RecordBatch.from_arrays(
-                [ids, pa.array((firsts - begins).astype(np.int32)), pa.array((lasts - firsts).astype(np.int32)), pa.array(hashed), per, got, before, after, more],
-                names=["doc_id", "start", "n_words", "passage", "bands", "shingles", "before", "after", "after_words"],
+            if not k:
+                return
+            blank = pa.nulls(k, pa.list_(pa.int64()))
+            per = sets = blank
+            if keys is not None and alike.any():
+                chosen = keys[keep][alike]
+                n = np.where(alike, lasts - firsts - (width - 1), 0)
+                at = np.repeat(firsts, n) + spread(n)
+                null = pa.array(~alike)
+                per = pa.compute.if_else(null, blank, lists(chosen.reshape(-1), np.where(alike, bands, 0), pa.int64()))
+                sets = pa.compute.if_else(null, blank, lists(rolled[at].view(np.int64), n, pa.int64()))
+            # Only matches of equal units grow.
+            left, right = np.where(some, left, firsts), np.where(some, right, lasts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[owner]), pa.array((firsts - first[owner]).astype(np.int32)), pa.array((lasts - firsts).astype(np.int32)), pa.array(whole), per, sets, words_of(h16, left, firsts, True), words_of(h16, lasts, right, False)],
+                names=["doc_id", "start", "n_words", "group", "bands", "set", "before", "after"],
             )
 
+        def found(key, place):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place)], names=["key", "place"])
+
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            numbers = batch.column(0).to_numpy()
             for row, data, offsets in X.chunks(batch.column(1)):
                 starts, ends, first = X.words(data, offsets)
                 if not len(starts):
                     continue
                 h = X.word_hashes(data, starts, ends)
-                here = names[row : row + len(offsets) - 1]
-                breaks = np.searchsorted(starts, np.flatnonzero(data == 10))
-                edges = np.unique(np.concatenate([first, breaks]))
-                a, b = edges[:-1], edges[1:]
-                a, b = (units(np, X.mix, h, a, b, first, least, width) if open_sides is None else (a[:0], b[:0]))
+                h16 = (h >> u(48)).astype(np.uint16).view(np.int16)
+                ids = numbers[row : row + len(offsets) - 1]
+                edges = np.unique(np.concatenate([first, np.searchsorted(starts, np.flatnonzero(data == 10))]))
+                a, b = units(np, X.mix, h, edges[:-1], edges[1:], first, least, width)
                 if len(a):
                     rolled = h
                     for _ in range(width - 1):
@@ -217,153 +195,167 @@ def passages(docs: DataFrame, config: PassageConfig, runs: bool, shingles: bool,
                     for k in range(bands * rows):
                         values = np.append(X.mix(rolled + u(0x51ED2701 * (2 * k + 1))), u(2**64 - 1))
                         registers[:, k] = np.minimum.reduceat(values, pairs)[::2]
-                    for lo in range(0, len(a), 16_384):
-                        k = slice(lo, lo + 16_384)
-                        yield emit(here, owner[k], first[owner[k]], a[k], b[k], h, X.band_keys(registers[k], bands), rolled if shingles else None)
-                if not runs:
+                    keys, whole = X.band_keys(registers, bands), folded(h, a, b, 1)
+                    if equal is None:
+                        yield found(keys.reshape(-1), np.repeat((whole >> 32).astype(np.int32), bands))
+                        yield found(whole, here((ids[owner],), a - first[owner]))
+                    else:
+                        left, right = np.maximum(a - window, first[owner]), np.minimum(b + window, first[owner + 1])
+                        for lo in range(0, len(a), 16_384):
+                            k = slice(lo, lo + 16_384)
+                            yield from places(ids, h, h16, first, owner[k], a[k], b[k], whole[k], left[k], right[k], keys[k], rolled)
+                # The places where the smallest hash of a window changes.
+                if len(h) < size:
                     continue
-                anchor = X.mix(X.mix(X.mix(h[:-3] * u(3) + h[1:-2]) * u(3) + h[2:-1]) * u(3) + h[3:]) if len(h) > 3 else h[:0]
-                places, owner, n = [], [], []
-                for k, (x, y) in enumerate(zip(first[:-1], first[1:])):
-                    if y == x:
-                        continue
-                    values = anchor[x : y - size + 1]
-                    if y - x < size:
-                        chosen = np.zeros(1, dtype=np.int64)
-                    elif len(values) > window:
+                anchor = X.mix(X.mix(X.mix(h[:-3] * u(3) + h[1:-2]) * u(3) + h[2:-1]) * u(3) + h[3:])
+                chosen, owner = [], []
+                for k in np.flatnonzero(first[1:] - first[:-1] >= size):
+                    values = anchor[first[k] : first[k + 1] - size + 1]
+                    if len(values) > window:
                         inside = np.lib.stride_tricks.sliding_window_view(values, window).argmin(axis=1)
-                        chosen = np.unique(inside + np.arange(len(inside)))
+                        inside = np.unique(inside + np.arange(len(inside)))
                     else:
-                        chosen = np.array([int(values.argmin())])
-                    places.append(chosen + x)
-                    owner.append(k)
-                    n.append(len(chosen))
-                at, owner = np.concatenate(places), np.repeat(owner, n)
-                # The anchors after and before each in its text; 0 and -1 for none.
-                same = owner[1:] == owner[:-1]
-                reach, came = np.append(np.where(same, at[1:], 0), 0), np.append(-1, np.where(same, at[:-1], -1))
+                        inside = np.array([int(values.argmin())])
+                    chosen.append(inside + first[k])
+                    owner.append(np.full(len(inside), k))
+                if not chosen:
+                    continue
+                at, owner = np.concatenate(chosen), np.concatenate(owner)
+                whole = folded(h, at, at + size, 2)
+                if equal is None:
+                    yield found(whole, here((ids[owner],), at - first[owner]))
+                    continue
+                # A match that went on for ``window`` words would hold one more shared key there.
+                left, right = np.maximum(at - window, first[owner]), np.minimum(at + size + window, first[owner + 1])
                 for lo in range(0, len(at), 16_384):
-                    own, here_at = owner[lo : lo + 16_384], at[lo : lo + 16_384]
-                    if open_sides is not None:
-                        full = here_at + size <= first[own + 1]
-                        yield from extended(here, own[full], first, here_at[full], h)
-                        continue
-                    following = (reach[lo : lo + 16_384], came[lo : lo + 16_384]) if flagged is not None else None
-                    yield emit(here, own, first[own], here_at, np.minimum(here_at + size, first[own + 1]), h, None, None, following)
+                    k = slice(lo, lo + 16_384)
+                    yield from places(ids, h, h16, first, owner[k], at[k], at[k] + size, whole[k], left[k], right[k], None, None)
 
-    shape = SHAPE if open_sides is None else EXTENDED
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, shape)
+    rows_in = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows_in.mapInArrow(run, KEYS if equal is None else PLACES)
 
 
-def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
-    """doc_id, start, n_words, component_id, first_doc_id, first_start: one row for each passage to remove.
+def _common_words(one: Column, two: Column) -> Column:
+    """How many words two arrays have in common from their beginnings."""
+    same = F.zip_with(one, two, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    ends = F.array_position(same, F.lit(False))
+    return F.when(ends > 0, ends - 1).otherwise(F.size(same)).cast("int")
 
-    Word-for-word matches are as long as they go: pieces that join at the same distance from
-    their first occurrences are one row, named by its smallest hash.
 
-    Starts count words (runs of characters other than space and U+0009..U+000D), compared with
-    A-Z lower-cased.  A component is named by its smallest passage hash; its first occurrence
-    by (doc_id, start) stays and is named in each row.  Null and empty texts hold no passage;
-    rows that share a doc_id are one document, so equal ones are not held against each other;
-    rows with a null doc_id take no part.  An empty table gives an empty result.
+def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
+    """doc_id, start, n_words, component_id, first_doc_id, first_start, first_words: one row for each passage to remove.
+
+    The rows of a document do not overlap.  Starts count words (runs of characters other than
+    space and U+0009..U+000D), compared with A-Z lower-cased over whole texts, however long.
+    first_doc_id and first_start name the earlier occurrence of the longest match that begins the
+    passage, which covers first_words of its words; component_id is its cluster, the smallest
+    hash of the cluster's units.  Among equal units the smallest (doc_id, start) stays.  Null and
+    empty texts and texts of fewer than ``least`` words have no passage; rows that share a doc_id
+    are one document, so equal ones are not held against each other; rows with a null doc_id take
+    no part; further columns of docs are not read.  An empty table gives an empty result.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    found = passages(docs, config, True, False)
-    # A passage's own hash is one more key, so one aggregation finds equal and similar ones.
-    whole = F.xxhash64(F.lit(1), F.col("passage"))
-    keyed = found.select("passage", F.posexplode(F.concat(F.array(whole), F.col("bands"))).alias("band", "key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("passage").alias("low"), F.max("passage").alias("high"), F.min("band").alias("band"))
-    counts = cut(counts.where("n > 1 and (band = 0 or low != high)"))
-    release(docs.sparkSession)
-    equal = counts.where("band = 0").select(F.col("low").alias("passage"))
-    near = counts.where("low != high").select("key")
-
-    kept = passages(docs, config, False, True, near=id_filter(near, "key"))
-    nodes = cut(kept.groupBy(F.col("passage").alias("id")).agg(F.first("bands").alias("bands"), F.array_distinct(F.first("shingles")).alias("set")))
-    release(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    counts = _keys(docs, config).groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    shared = cut(counts.where("low != high").select("key"))
+    sent = id_filter(shared, "key")
+    # The filter lets a few more units through; groups of one place and empty buckets drop out below.
+    places = cut(_keys(docs, config, sent, sent))
+    drop(shared)
+
+    nodes = cut(places.where("bands is not null").groupBy(F.col("group").alias("id")).agg(F.first("bands").alias("bands"), F.array_distinct(F.first("set")).alias("set")))
     reps = nodes.select("id", F.size("set").cast("long").alias("n"), "bands")
-    link = MinHashConfig(width=config.width, percent=config.percent, bands=config.bands, rows=config.rows)
-    groups = linked(reps, lambda wanted: nodes.select("id", "set"), link)
-    release(docs.sparkSession)
-
-    named = groups.select(F.col("i").alias("passage"), "component")
-    flagged = equal.join(named, "passage", "full").select("passage", F.coalesce("component", "passage").alias("component_id"))
-    flagged = cut(flagged)
-    found = passages(docs, config, True, False, flagged=id_filter(flagged, "passage"))
-    places = found.drop("bands", "shingles").join(flagged, "passage")
-    places = cut(places.distinct())
-    first = places.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct("doc_id", "start", "n_words", "passage")).alias("first"))
-    first = cut(first.select("c", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.col("first.n_words").alias("m"), F.col("first.passage").alias("p")))
-    out = places.join(first, F.col("component_id") == F.col("c"))
-    apart = (F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") >= F.col("first_start") + F.col("m"))
-    out = out.where(apart).select("doc_id", "start", "n_words", "component_id", "first_doc_id", "first_start", (F.col("passage") == F.col("p")).alias("equal"))
-    longer = extensions(docs, places, config)
-    return merged(cut(out.select("doc_id", "start", "n_words", "component_id", "first_doc_id", "first_start", "equal").union(longer)).distinct())
-
-
-def _later(rows: DataFrame, key: str, first: DataFrame) -> DataFrame:
-    """The rows (doc_id, start, n_words, key) that repeat an earlier one, with it; ``first`` is from ``_first``."""
-    at = rows.join(first, F.col(key) == F.col("k"))
-    apart = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + F.col("n_words"))
-    return at.where(apart)
-
-
-def _first(rows: DataFrame, key: str) -> DataFrame:
-    """k, first (doc_id, start) of the keys with more than one place."""
-    at = F.struct("doc_id", "start")
-    found = rows.groupBy(F.col(key).alias("k")).agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
-    return cut(found.select("k", "first"))
-
-
-def extensions(docs: DataFrame, places: DataFrame, config: PassageConfig) -> DataFrame:
-    """Longer matches around repeated runs, as rows of ``repeated_passages`` with ``equal``."""
-    import numpy as np
-
-    from . import _text as X
-
-    runs = places.where(f"n_words = {config.run}")
-    stretches = runs.where("after is not null").select("doc_id", "start", F.col("after_words").alias("n_words"), "after")
-    first = _first(stretches, "after")
-    release(docs.sparkSession)
-    shape = ["doc_id", "start", "n_words", F.col("k").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.lit(True).alias("equal")]
-    between = _later(stretches, "after", first).select(*shape)
-
-    # Sides of runs at which some occurrence's stretch does not repeat; all occurrences are looked up there.
-    open_ = None
-    for side, column in ((0, "before"), (1, "after")):
-        lone = runs.join(first.select(F.col("k").alias(column)), column, "left_anti").select("passage", F.lit(side).alias("side"))
-        open_ = lone if open_ is None else open_.union(lone)
-
-    def keys(batches):
+    groups = linked(reps, lambda wanted: nodes.select("id", "set"), MinHashConfig(width=config.width, percent=config.percent, bands=config.bands, rows=config.rows))
+    groups = cut(groups.select(F.col("i").alias("group"), "component"))
+    drop(nodes)
+
+    spans = cut(_equal_matches(places, config).union(_similar(places, groups)))
+    drop(places, groups)
+    return disjoint(spans, config.least)
+
+
+#: Words by which neighbouring matches may be shifted and still be one passage.
+SLACK = 5
+_SPAN = ("doc_id", "start", "end", "component_id", "first_doc_id", "first_start")
+_AT = ("doc_id", "start", "n_words")
+
+
+def _later(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a cluster after its first one (with it, as ``first``), and not overlapping it."""
+    firsts = rows.groupBy(F.col(name).alias("_name")).agg(F.min(F.struct(*_AT)).alias("first"), F.max(F.struct(*_AT)).alias("last"))
+    firsts = firsts.where("first != last").drop("last")
+    found = rows.join(firsts, F.col(name) == F.col("_name"))
+    return found.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + F.col("first.n_words"))).drop("_name")
+
+
+def _equal_matches(places: DataFrame, config: PassageConfig) -> DataFrame:
+    """Later occurrences of equal units, grown in both texts until the words differ."""
+    rows = places.select(*_AT, "group", "before", "after")
+    later = cut(_later(places.select(*_AT, "group"), "group"))
+    kept = later.select(F.col("group").alias("g"), F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")).distinct()
+    around = rows.join(kept, (rows.group == kept.g) & (rows.doc_id == kept.d) & (rows.start == kept.s)).groupBy("g").agg(F.first("before").alias("before_first"), F.first("after").alias("after_first"))
+    around = cut(around)
+    found = later.withColumnRenamed("doc_id", "i").withColumnRenamed("start", "at").withColumnRenamed("group", "h").drop("n_words")
+    found = rows.join(found, (rows.group == found.h) & (rows.doc_id == found.i) & (rows.start == found.at)).select(*rows.columns, "first")
+    found = found.join(around, found.group == around.g)
+    left, right = _common_words(F.col("before"), F.col("before_first")), _common_words(F.col("after"), F.col("after_first"))
+    grown = found.select("doc_id", "first", "group", (F.col("start") - left).alias("start"), (F.col("start") + F.col("n_words") + right).alias("end"), left.alias("left"))
+    return grown.select("doc_id", "start", "end", F.col("group").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), (F.col("first.start") - F.col("left")).alias("first_start"))
+
+
+def _similar(places: DataFrame, groups: DataFrame) -> DataFrame:
+    """Later paragraphs of clusters of similar ones."""
+    rows = places.where("bands is not null").select(*_AT, "group").join(groups, "group")
+    found = _later(rows, "component")
+    return found.select("doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"), F.col("component").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+
+
+def disjoint(spans: DataFrame, least: int) -> DataFrame:
+    """Spans (_SPAN) of each document that overlap become one; those of fewer than ``least`` words go.
+
+    So do spans that touch, here and (but for ``SLACK`` words) in the document of their first
+    occurrence.  A window holds the spans of one document.
+    """
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id", "first_start", "component_id")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    shift = F.col("start") - F.col("first_start")
+    goes_on = (F.col("start") == reach) & (F.col("first_doc_id") == F.lag("first_doc_id").over(order)) & (F.abs(shift - F.lag(shift).over(order)) <= SLACK)
+    new = spans.withColumn("new", F.when((F.col("start") < reach) | goes_on, 0).otherwise(1))
+    numbered = new.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    opening = F.min(F.struct("start", (-F.col("end")).alias("back"), "first_doc_id", "first_start", "component_id"))
+    merged = numbered.groupBy("doc_id", "span").agg(opening.alias("at"), F.max("end").alias("end")).where(F.col("end") - F.col("at.start") >= least)
+    n_words, reached = F.col("end") - F.col("at.start"), -F.col("at.back") - F.col("at.start")
+    return merged.select("doc_id", "at.start", n_words.cast("int").alias("n_words"), "at.component_id", "at.first_doc_id", "at.first_start", reached.cast("int").alias("first_words"))
+
+
+def without_passages(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """docs (doc_id, text, any more) with the words of the spans (doc_id, start, n_words) cut out of the texts.
+
+    What stands between the words that stay, blanks and newlines, is kept before each word; a
+    text without a span stays as it is.
+    """
+    spans = cut(removed.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("_spans")))
+    rows = attach(docs.withColumn("_id", F.col("doc_id").cast("long")), spans, ["_id"], "left").drop("_id")
+    at, last = docs.columns.index("text"), len(docs.columns)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
         import pyarrow as pa
+        import regex
 
+        word = regex.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
         for batch in batches:
-            passage, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = np.where(side == 0, _side(np, X.mix, passage, 0), _side(np, X.mix, passage, 1)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["key"])
-
-    open_sides = id_filter(cut(open_.distinct()).mapInArrow(keys, "key long"), "key")
-
-    def around(wanted) -> DataFrame:
-        rows = passages(docs, config, True, False, open_sides=open_sides, wanted=wanted)
-        start = F.when(F.col("side") == 0, F.col("anchor") + config.run - F.col("n_words")).otherwise(F.col("anchor"))
-        return rows.withColumn("start", start.cast("int"))
-
-    first = _first(around(None), "key")
-    release(docs.sparkSession)
-    found = _later(around(id_filter(first, "k")), "key", first)
-    longest = found.groupBy("doc_id", "anchor", "side").agg(F.max(F.struct("n_words", "start", "k", "first")).alias("x"))
-    return between.union(longest.select("doc_id", "x.*").select(*shape))
-
-
-def merged(rows: DataFrame) -> DataFrame:
-    """Equal matches of two documents at the same distance that touch or overlap become one; the rest stay."""
-    rows = rows.withColumn("shift", F.when(F.col("equal"), F.col("start") - F.col("first_start")))
-    by = ["doc_id", "first_doc_id", "shift"]
-    order = Window.partitionBy(*by).orderBy("start", "n_words")
-    end = F.max(F.col("start") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = rows.where("equal").withColumn("new", F.when(F.col("start") <= end, 0).otherwise(1))
-    spans = new.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "span")
-    spans = spans.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n_words")).alias("end"), F.min("component_id").alias("component_id"), F.min("first_start").alias("first_start"))
-    spans = spans.select("doc_id", "start", (F.col("end") - F.col("start")).cast("int").alias("n_words"), "component_id", "first_doc_id", "first_start")
-    return spans.union(rows.where("not equal").select(spans.columns))
+            texts = batch.column(at).to_pylist()
+            for i, spans in enumerate(batch.column(last).to_pylist()):
+                if not spans or not texts[i]:
+                    continue
+                bounds = [m.span() for m in word.finditer(texts[i])]
+                out, done = [], 0
+                for s in spans:
+                    out.append(texts[i][done : bounds[s["start"]][0]])
+                    done = bounds[s["start"] + s["n_words"] - 1][1]
+                texts[i] = "".join([*out, texts[i][done:]])
+            columns = list(batch.columns[:last])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:last])
+
+    return rows.mapInArrow(run, docs.schema)

@@ -1,7 +1,7 @@
 import random
 
 from codicil.llm.line_dedup import LineDedupConfig, line_deduplicated
-from codicil.llm.substring_dedup import PassageConfig, passages, repeated_passages
+from codicil.llm.substring_dedup import PassageConfig, repeated_passages, units, without_passages
 
 from .helpers import documents, edited, prose, words
 
@@ -55,7 +55,7 @@ def test_passages_of_fifty_words_are_found_wherever_they_stand(spark):
         texts[k] = " ".join(w[: 3 * k]) + "\n" * (k % 2) + " " + passage.upper() + " " + " ".join(w[3 * k :])
     texts += [None, "", "short", "short", " \n "]
     got = repeated_passages(documents(spark, texts)).collect()
-    assert {(r.doc_id, r.first_doc_id) for r in got} == {(5, 2), (9, 2), (15, 14)}
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(5, 2), (9, 2)}
     for r in got:
         assert words(texts[r.doc_id], True)[r.start : r.start + r.n_words] == words(texts[r.first_doc_id], True)[r.first_start : r.first_start + r.n_words]
 
@@ -97,7 +97,7 @@ def test_every_word_of_a_planted_passage_is_covered(spark):
         covered = {i for r in got if r.doc_id == doc_id for i in range(r.start, r.start + r.n_words)}
         assert covered == set(range(start, start + size))
     for r in got:
-        assert words(texts[r.doc_id], True)[r.start : r.start + r.n_words] == words(texts[r.first_doc_id], True)[r.first_start : r.first_start + r.n_words]
+        assert words(texts[r.doc_id], True)[r.start : r.start + r.first_words] == words(texts[r.first_doc_id], True)[r.first_start : r.first_start + r.first_words]
 
 
 def in_lines(text, n):
@@ -105,14 +105,23 @@ def in_lines(text, n):
     return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
 
 
-def test_all_text_is_in_some_paragraph(spark):
+def test_all_text_is_in_some_paragraph():
+    import numpy as np
+    import pyarrow as pa
+
+    from codicil.llm import _text as X
+
     r = random.Random(3)
     texts = ["\n".join(prose(100 * k + j, r.choice([1, 2, 5, 9, 19, 20, 33])) for j in range(r.randint(1, 30))) for k in range(60)]
     texts += [in_lines(prose(7, 300), n) for n in (1, 4, 19)] + ["q\n" * 200, prose(1, 5), prose(1, 4), "", None, prose(8, 30) + "\nend", "top\n" + prose(9, 30)]
+    ((_, data, offsets),) = X.chunks(pa.array(texts))
+    starts, ends, first = X.words(data, offsets)
+    edges = np.unique(np.concatenate([first, np.searchsorted(starts, np.flatnonzero(data == 10))]))
     covered = {}
-    for x in passages(documents(spark, texts), PassageConfig(), False, False).collect():
-        assert x.n_words >= 20 or x.n_words == len(words(texts[x.doc_id]))
-        covered.setdefault(x.doc_id, set()).update(range(x.start, x.start + x.n_words))
+    for a, b in zip(*units(np, X.mix, X.word_hashes(data, starts, ends), edges[:-1], edges[1:], first, 20, 5)):
+        i = int(np.searchsorted(first, a, side="right")) - 1
+        assert b <= first[i + 1] and (b - a >= 20 or b - a == len(words(texts[i])))
+        covered.setdefault(i, set()).update(range(a - first[i], b - first[i]))
     for i, t in enumerate(texts):
         n = len(words(t))
         assert covered.get(i, set()) == (set(range(n)) if n >= 5 else set())
@@ -132,3 +141,52 @@ def test_passages_in_short_lines_with_changed_words_are_found(spark):
 def test_similar_paragraphs_rarely_share_no_bucket():
     c = PassageConfig()
     assert (1 - 0.8**c.rows) ** c.bands < 3e-6
+
+
+def test_spans_are_disjoint_and_cut_from_the_text(spark):
+    passage, texts = prose(77, 90), [prose(k, 120) for k in range(4)]
+    for k in (0, 1, 3):
+        w = texts[k].split(" ")
+        texts[k] = " ".join(w[:40]) + "\n" + passage + " " + " ".join(w[40:])
+    texts += [texts[1], None, ""]
+    docs = documents(spark, texts)
+    removed = repeated_passages(docs)
+    rows = removed.collect()
+    for i in {r.doc_id for r in rows}:
+        spans = sorted((r.start, r.start + r.n_words) for r in rows if r.doc_id == i)
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:])) and all(b - a >= 50 for a, b in spans)
+    left = {r.doc_id: r for r in without_passages(docs.withColumnRenamed("rank", "start"), removed).collect()}
+    assert [left[k].text for k in (0, 2, 5, 6)] == [texts[0], texts[2], None, ""]
+    for k in (1, 3):
+        w = texts[k].replace("\n", " ").split(" ")
+        assert words(left[k].text) == w[:40] + w[130:]
+    assert words(left[4].text) == [] and left[4].start == "x"
+
+
+def test_precision_and_recall_by_words_against_brute_force(spark, sf_dir):
+    """Every later copy of a 51-word run is covered, and every covered word is repeated or in a similar paragraph."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    seen, need, texts = {}, {}, {r.doc_id: words(r.text, True) for r in docs.collect()}
+    for i in sorted(texts):
+        w = texts[i]
+        for k in range(len(w) - 50):
+            if seen.setdefault(tuple(w[k : k + 51]), i) != i:
+                need.setdefault(i, set()).update(range(k, k + 51))
+    got = {}
+    for r in repeated_passages(docs).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    missed = sum(len(n - got.get(i, set())) for i, n in need.items())
+    assert missed <= 0.03 * sum(map(len, need.values()))
+    # Runs of 10 words that occur more than once: what is covered lies in such runs but for changed words.
+    counts = {}
+    for i, w in texts.items():
+        for k in range(len(w) - 9):
+            key = tuple(w[k : k + 10])
+            counts[key] = counts.get(key, 0) + 1
+    wrong = total = 0
+    for i, covered in got.items():
+        w = texts[i]
+        repeated = {k + j for k in range(len(w) - 9) if counts[tuple(w[k : k + 10])] > 1 for j in range(10)}
+        total += len(covered)
+        wrong += len(covered - repeated)
+    assert wrong <= 0.03 * total
