@@ -141,7 +141,7 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int
 
 
 #: Segments of an id filter, bits for each id, and bytes of a filter at least and at most.
-SEGMENTS, ID_BITS, LEAST_BYTES, MOST_BYTES = 64, 10, 1 << 16, 1 << 25
+SEGMENTS, ID_BITS, LEAST_BYTES, MOST_BYTES = 64, 16, 1 << 16, 1 << 25
 
 
 def id_filter(ids: DataFrame, column: str):
@@ -149,7 +149,7 @@ def id_filter(ids: DataFrame, column: str):
 
     Its size follows the number of ids between LEAST_BYTES and MOST_BYTES, the bound of what is
     broadcast.  Each segment is built by one task, so the driver gets SEGMENTS rows.  At
-    ID_BITS bits an id one in 30 others passes; with ids beyond the bound more pass.  So it may
+    ID_BITS bits an id one in 400 others passes; with ids beyond the bound more pass.  So it may
     only spare work, and what passes must be harmless or be joined exactly.
     """
     import numpy as np
@@ -179,13 +179,13 @@ def id_filter(ids: DataFrame, column: str):
 
 
 def _places(ids, size: int):
-    """The segment of each id and its two places among ``size`` bits there."""
+    """The segment of each id and its four places among ``size`` bits there."""
     import numpy as np
 
     from ._text import mix
 
     h = mix(ids.view(np.uint64))
-    spots = [(h >> np.uint64(k) & np.uint64(size - 1)).astype(np.int64) for k in (0, 32)]
+    spots = [(h >> np.uint64(k) & np.uint64(size - 1)).astype(np.int64) for k in (0, 14, 28, 42)]
     return (ids ^ (ids >> 6) ^ (ids >> 12)) & (SEGMENTS - 1), spots
 
 

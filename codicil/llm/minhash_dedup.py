@@ -131,18 +131,25 @@ def _across(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataF
     meets = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
     pairs = F.transform(F.sequence(F.lit(0), meets - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
     dealt = dealt.where(meets > 0).select("key", "id", "n", "component", "bands", "part", F.explode(pairs).alias("p"))
-    dealt = dealt.join(sets, "id").select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "id", "n", "component", "bands", "part", "set")
+    dealt = dealt.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "id", "n", "component", "bands", "part")
+    # Most buckets are small: a task's group holds many, of about as many rows and entries as one pair of full blocks.
+    rows, entries = dealt.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = max(1, rows // (4 * block), entries // (2 * config.block_entries))
+    dealt = dealt.join(sets, "id").withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        key = table.column("key")[0].as_py()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids, comp, part = (table.column(c).to_numpy() for c in ("id", "component", "part"))
-        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
-        sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in table.column("set")]
-        n = np.array([len(s) for s in sets])
+        ids, comp, part, key, i, j = (table.column(c).to_numpy() for c in ("id", "component", "part", "key", "i", "j"))
+        lists = table.column("bands").combine_chunks()
+        width = len(lists.values) // max(1, len(ids))
+        bands = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
+        lists = table.column("set").combine_chunks()
+        flat, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(n) - n
+        order = np.lexsort((j, i, key))
+        new = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])))
         roots: dict[int, int] = {}
 
         def find(c):
@@ -150,26 +157,50 @@ def _across(members: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataF
                 c = roots[c]
             return c
 
+        def in_common(left, right):
+            """How many entries each set of ``left`` shares with each of ``right``."""
+            both = np.concatenate([left, right])
+            size = n[both]
+            at = np.repeat(starts[both] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            owner = np.repeat(np.arange(len(both)), size)
+            _, column, times = np.unique(flat[at], return_inverse=True, return_counts=True)
+            some = times[column] > 1
+            owner, column = owner[some], np.unique(column[some], return_inverse=True)[1]
+            out = np.zeros((len(left), len(right)), dtype=np.float32)
+            by = np.argsort(column, kind="stable")
+            owner, column = owner[by], column[by]
+            step = 4096
+            for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+                x, y = np.searchsorted(column, (lo, lo + step))
+                has = np.zeros((len(both), step), dtype=np.float32)
+                has[owner[x:y], column[x:y] - lo] = 1
+                out += has[: len(left)] @ has[len(left) :].T
+            return out.astype(np.int64)
+
         found = []
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        for x in left:
-            near = (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
-            if i == j:
-                near &= ids[right] > ids[x]
-            for y in right[near]:
+        for lo, hi in zip(new, np.append(new[1:], len(order))):
+            rows = order[lo:hi]
+            left, right = rows[part[rows] == i[rows[0]]], rows[part[rows] == j[rows[0]]]
+            near = (comp[left][:, None] != comp[right]) & (100 * np.minimum(n[left][:, None], n[right]) >= percent * np.maximum(n[left][:, None], n[right]))
+            if i[rows[0]] == j[rows[0]]:
+                near &= ids[left][:, None] < ids[right]
+            if not near.any():
+                continue
+            left, right, near = left[near.any(axis=1)], right[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+            both = in_common(left, right)
+            near &= 100 * both >= percent * (n[left][:, None] + n[right] - both)
+            for x, y in zip(*np.nonzero(near)):
+                x, y = left[x], right[y]
                 shared = np.flatnonzero(bands[x] == bands[y])
-                if not len(shared) or bands[x][shared[0]] != key:
+                if not len(shared) or bands[x][shared[0]] != key[rows[0]]:
                     continue
                 a, b = find(int(comp[x])), find(int(comp[y]))
-                if a == b:
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (n[x] + n[y] - both):
+                if a != b:
                     roots[max(a, b)] = min(a, b)
                     found.append((int(ids[x]), int(ids[y])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("group").applyInArrow(run, "a long, b long")
 
 
 def linked(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], config: MinHashConfig) -> DataFrame:

@@ -12,12 +12,13 @@ Two kinds of unit tile and slide over every text.
   therefore share a key, wherever the passage stands in either.
 
 1. One pass over the texts gives the keys; a key that two different places share is kept.
-2. A second pass brings the units that hold such a key: colliding paragraphs with their shingle
-   sets, equal ones and windows with the words around them.
+2. A second pass brings the units that hold such a key, colliding paragraphs with their shingle
+   sets.
 3. Different paragraphs of a bucket are confirmed by exact Jaccard similarity of their sets and
    clustered by components (``minhash_dedup.linked``); equal ones are a cluster by themselves.
-4. Every cluster keeps its first occurrence by (doc_id, start).  Matches of equal units grow word
-   by word in both texts until the words differ (edit distance 0; words are compared by hashes).
+4. Every cluster keeps its first occurrence by (doc_id, start).  Neighbouring matches of equal
+   units at one distance join, and a third pass brings the words around what they cover, so that
+   each grows word by word until the words differ (words are compared by hashes).
 5. What a document repeats is merged into disjoint spans; those of at least ``least`` words are
    the removals.
 """
@@ -51,9 +52,10 @@ class PassageConfig:
 
 
 KEYS = "key long, place int"
-#: ``group`` names equal units; bands and set are null for units that only equal ones meet; before
-#: and after hold 16 bits of a hash of each word around the unit, nearest first.
-PLACES = "doc_id long, start int, n_words int, group long, bands array<long>, set array<long>, before array<short>, after array<short>"
+#: ``group`` names equal units; bands and set are null for units that only equal ones meet.
+PLACES = "doc_id long, start int, n_words int, group long, bands array<long>, set array<long>"
+#: 16 bits of a hash of each word before and after a place, nearest first.
+AROUND = "doc_id long, start int, before array<short>, after array<short>"
 
 
 def units(np, mix, h, a, b, first, least: int, width: int):
@@ -105,8 +107,14 @@ def units(np, mix, h, a, b, first, least: int, width: int):
     return firsts[some], lasts[some]
 
 
-def _keys(docs: DataFrame, config: PassageConfig, equal=None, near=None) -> DataFrame:
-    """The keys of all units (KEYS), or the units (PLACES) that hold a key of the filters ``equal`` or ``near``.
+def spot(np, mix, doc_id, start):
+    """A number for each place (document, word) of int64 arrays."""
+    return mix(mix(doc_id.view(np.uint64)) * np.uint64(3) + start.astype(np.uint64)).view(np.int64)
+
+
+def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> DataFrame:
+    """The keys of all units (KEYS), or the units that hold one of the filter ``keys`` (PLACES),
+    or the words AROUND the beginnings and ends of units that the filter ``wanted`` holds.
 
     ``place`` tells different holders of a key apart: of a band key by the paragraph's words, of
     the key of equal units by document and start.
@@ -136,39 +144,37 @@ def _keys(docs: DataFrame, config: PassageConfig, equal=None, near=None) -> Data
         def lists(values, n, kind):
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values, kind))
 
-        def here(ids, firsts):
-            return (X.mix(ids[0].view(u) * u(3) + firsts.astype(u)) >> u(32)).astype(np.uint32).view(np.int32)
-
         def words_of(h16, firsts, lasts, backwards):
             n = lasts - firsts
             at = spread(n)
             at = np.repeat(lasts, n) - 1 - at if backwards else np.repeat(firsts, n) + at
             return lists(h16[at], n, pa.int16())
 
-        def places(ids, h, h16, first, owner, firsts, lasts, whole, left, right, keys, rolled):
-            """Units with a shared key; left and right bound the words around them."""
-            some = maybe_in(equal, whole)
-            alike = maybe_in(near, keys.reshape(-1)).reshape(keys.shape).any(axis=1) if keys is not None else np.zeros(len(some), dtype=bool)
+        def around(ids, h16, first, owner, at):
+            """The words before and after the word places ``at`` of the texts ``owner``, of those that ``wanted`` holds."""
+            keep = maybe_in(wanted, spot(np, X.mix, ids[owner], at - first[owner]))
+            at, owner = at[keep], owner[keep]
+            if len(at):
+                left, right = np.maximum(at - window, first[owner]), np.minimum(at + window, first[owner + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - first[owner]).astype(np.int32)), words_of(h16, left, at, True), words_of(h16, at, right, False)], names=["doc_id", "start", "before", "after"])
+
+        def places(ids, first, owner, firsts, lasts, whole, band, rolled):
+            """Units with a shared key."""
+            some = maybe_in(keys, whole)
+            alike = maybe_in(keys, band.reshape(-1)).reshape(band.shape).any(axis=1) if band is not None else np.zeros(len(some), dtype=bool)
             keep = some | alike
-            owner, firsts, lasts, whole, left, right, some, alike = (x[keep] for x in (owner, firsts, lasts, whole, left, right, some, alike))
+            owner, firsts, lasts, whole, alike = (x[keep] for x in (owner, firsts, lasts, whole, alike))
             k = len(firsts)
             if not k:
                 return
-            blank = pa.nulls(k, pa.list_(pa.int64()))
-            per = sets = blank
-            if keys is not None and alike.any():
-                chosen = keys[keep][alike]
+            per = sets = blank = pa.nulls(k, pa.list_(pa.int64()))
+            if alike.any():
                 n = np.where(alike, lasts - firsts - (width - 1), 0)
                 at = np.repeat(firsts, n) + spread(n)
                 null = pa.array(~alike)
-                per = pa.compute.if_else(null, blank, lists(chosen.reshape(-1), np.where(alike, bands, 0), pa.int64()))
+                per = pa.compute.if_else(null, blank, lists(band[keep][alike].reshape(-1), np.where(alike, bands, 0), pa.int64()))
                 sets = pa.compute.if_else(null, blank, lists(rolled[at].view(np.int64), n, pa.int64()))
-            # Only matches of equal units grow.
-            left, right = np.where(some, left, firsts), np.where(some, right, lasts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner]), pa.array((firsts - first[owner]).astype(np.int32)), pa.array((lasts - firsts).astype(np.int32)), pa.array(whole), per, sets, words_of(h16, left, firsts, True), words_of(h16, lasts, right, False)],
-                names=["doc_id", "start", "n_words", "group", "bands", "set", "before", "after"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((firsts - first[owner]).astype(np.int32)), pa.array((lasts - firsts).astype(np.int32)), pa.array(whole), per, sets], names=["doc_id", "start", "n_words", "group", "bands", "set"])
 
         def found(key, place):
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place)], names=["key", "place"])
@@ -184,26 +190,27 @@ def _keys(docs: DataFrame, config: PassageConfig, equal=None, near=None) -> Data
                 ids = numbers[row : row + len(offsets) - 1]
                 edges = np.unique(np.concatenate([first, np.searchsorted(starts, np.flatnonzero(data == 10))]))
                 a, b = units(np, X.mix, h, edges[:-1], edges[1:], first, least, width)
-                if len(a):
+                owner = np.searchsorted(first, a, side="right") - 1
+                if wanted is not None and len(a):
+                    yield from around(ids, h16, first, np.concatenate([owner, owner]), np.concatenate([a, b]))
+                elif len(a):
                     rolled = h
                     for _ in range(width - 1):
                         rolled = X.mix(rolled[:-1] * u(5) + h[len(h) - len(rolled) + 1 :])
-                    owner = np.searchsorted(first, a, side="right") - 1
                     # Shingles that leave their paragraph are out of the minima.
                     pairs = np.stack([a, b - (width - 1)], axis=1).reshape(-1)
                     registers = np.empty((len(a), bands * rows), dtype=u)
                     for k in range(bands * rows):
                         values = np.append(X.mix(rolled + u(0x51ED2701 * (2 * k + 1))), u(2**64 - 1))
                         registers[:, k] = np.minimum.reduceat(values, pairs)[::2]
-                    keys, whole = X.band_keys(registers, bands), folded(h, a, b, 1)
-                    if equal is None:
-                        yield found(keys.reshape(-1), np.repeat((whole >> 32).astype(np.int32), bands))
-                        yield found(whole, here((ids[owner],), a - first[owner]))
+                    band, whole = X.band_keys(registers, bands), folded(h, a, b, 1)
+                    if keys is None:
+                        yield found(band.reshape(-1), np.repeat((whole >> 32).astype(np.int32), bands))
+                        yield found(whole, (spot(np, X.mix, ids[owner], a - first[owner]) >> 32).astype(np.int32))
                     else:
-                        left, right = np.maximum(a - window, first[owner]), np.minimum(b + window, first[owner + 1])
                         for lo in range(0, len(a), 16_384):
                             k = slice(lo, lo + 16_384)
-                            yield from places(ids, h, h16, first, owner[k], a[k], b[k], whole[k], left[k], right[k], keys[k], rolled)
+                            yield from places(ids, first, owner[k], a[k], b[k], whole[k], band[k], rolled)
                 # The places where the smallest hash of a window changes.
                 if len(h) < size:
                     continue
@@ -221,18 +228,19 @@ def _keys(docs: DataFrame, config: PassageConfig, equal=None, near=None) -> Data
                 if not chosen:
                     continue
                 at, owner = np.concatenate(chosen), np.concatenate(owner)
+                if wanted is not None:
+                    yield from around(ids, h16, first, np.concatenate([owner, owner]), np.concatenate([at, at + size]))
+                    continue
                 whole = folded(h, at, at + size, 2)
-                if equal is None:
-                    yield found(whole, here((ids[owner],), at - first[owner]))
+                if keys is None:
+                    yield found(whole, (spot(np, X.mix, ids[owner], at - first[owner]) >> 32).astype(np.int32))
                     continue
-                # A match that went on for ``window`` words would hold one more shared key there.
-                left, right = np.maximum(at - window, first[owner]), np.minimum(at + size + window, first[owner + 1])
                 for lo in range(0, len(at), 16_384):
                     k = slice(lo, lo + 16_384)
-                    yield from places(ids, h, h16, first, owner[k], at[k], at[k] + size, whole[k], left[k], right[k], None, None)
+                    yield from places(ids, first, owner[k], at[k], at[k] + size, whole[k], None, None)
 
     rows_in = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_in.mapInArrow(run, KEYS if equal is None else PLACES)
+    return rows_in.mapInArrow(run, AROUND if wanted is not None else KEYS if keys is None else PLACES)
 
 
 def _common_words(one: Column, two: Column) -> Column:
@@ -255,21 +263,24 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
     no part; further columns of docs are not read.  An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    counts = _keys(docs, config).groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    counts = _pass(docs, config).groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"))
     shared = cut(counts.where("low != high").select("key"))
-    sent = id_filter(shared, "key")
     # The filter lets a few more units through; groups of one place and empty buckets drop out below.
-    places = cut(_keys(docs, config, sent, sent))
-    drop(shared)
+    found = cut(_pass(docs, config, keys=id_filter(shared, "key")))
+    alike = found.where("bands is not null")
+    nodes = cut(alike.groupBy(F.col("group").alias("id")).agg(F.first("bands").alias("bands"), F.array_distinct(F.first("set")).alias("set")))
+    places = cut(found.select(*_AT, "group", F.col("bands").isNotNull().alias("banded")))
+    drop(shared, found)
 
-    nodes = cut(places.where("bands is not null").groupBy(F.col("group").alias("id")).agg(F.first("bands").alias("bands"), F.array_distinct(F.first("set")).alias("set")))
     reps = nodes.select("id", F.size("set").cast("long").alias("n"), "bands")
-    groups = linked(reps, lambda wanted: nodes.select("id", "set"), MinHashConfig(width=config.width, percent=config.percent, bands=config.bands, rows=config.rows))
-    groups = cut(groups.select(F.col("i").alias("group"), "component"))
+    link = MinHashConfig(width=config.width, percent=config.percent, bands=config.bands, rows=config.rows)
+    groups = linked(reps, lambda wanted: nodes.select("id", "set").join(wanted, "id", "left_semi"), link)
+    similar = cut(_similar(places.where("banded"), groups.withColumnRenamed("i", "group")))
     drop(nodes)
-
-    spans = cut(_equal_matches(places, config).union(_similar(places, groups)))
-    drop(places, groups)
+    equal = cut(streaks(places, config))
+    drop(places)
+    spans = cut(grown(docs, equal, config).union(similar))
+    drop(equal, similar)
     return disjoint(spans, config.least)
 
 
@@ -287,25 +298,58 @@ def _later(rows: DataFrame, name: str) -> DataFrame:
     return found.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + F.col("first.n_words"))).drop("_name")
 
 
-def _equal_matches(places: DataFrame, config: PassageConfig) -> DataFrame:
-    """Later occurrences of equal units, grown in both texts until the words differ."""
-    rows = places.select(*_AT, "group", "before", "after")
-    later = cut(_later(places.select(*_AT, "group"), "group"))
-    kept = later.select(F.col("group").alias("g"), F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")).distinct()
-    around = rows.join(kept, (rows.group == kept.g) & (rows.doc_id == kept.d) & (rows.start == kept.s)).groupBy("g").agg(F.first("before").alias("before_first"), F.first("after").alias("after_first"))
-    around = cut(around)
-    found = later.withColumnRenamed("doc_id", "i").withColumnRenamed("start", "at").withColumnRenamed("group", "h").drop("n_words")
-    found = rows.join(found, (rows.group == found.h) & (rows.doc_id == found.i) & (rows.start == found.at)).select(*rows.columns, "first")
-    found = found.join(around, found.group == around.g)
-    left, right = _common_words(F.col("before"), F.col("before_first")), _common_words(F.col("after"), F.col("after_first"))
-    grown = found.select("doc_id", "first", "group", (F.col("start") - left).alias("start"), (F.col("start") + F.col("n_words") + right).alias("end"), left.alias("left"))
-    return grown.select("doc_id", "start", "end", F.col("group").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), (F.col("first.start") - F.col("left")).alias("first_start"))
+def streaks(places: DataFrame, config: PassageConfig) -> DataFrame:
+    """Later occurrences of equal units (_SPAN); those at the same distance from their first ones
+    with less than a window between them, in which only changed words can stand, are one.
+
+    A window holds what two documents have in common at one distance.
+    """
+    found = _later(places, "group").select("doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"), F.col("group").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), (F.col("start") - F.col("first.start")).alias("shift"))
+    by = ["doc_id", "first_doc_id", "shift"]
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = found.withColumn("new", F.when(F.col("start") <= reach + config.window, 0).otherwise(1))
+    numbered = new.withColumn("streak", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = numbered.groupBy(*by, "streak").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id"))
+    return one.select("doc_id", "start", "end", "component_id", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"))
+
+
+def grown(docs: DataFrame, spans: DataFrame, config: PassageConfig) -> DataFrame:
+    """Spans (_SPAN) with the words around them that both texts have in common: each once grown to the left, once to the right.
+
+    A match that went on for a whole window would hold one more shared unit, so that far is enough.
+    """
+    last = F.col("first_start") + F.col("end") - F.col("start")
+    sides = F.array(
+        F.struct(F.lit(False).alias("right"), F.col("start").alias("at"), F.col("first_start").alias("first_at")),
+        F.struct(F.lit(True).alias("right"), F.col("end").alias("at"), last.alias("first_at")),
+    )
+    edges = cut(spans.select(*_SPAN, F.explode(sides).alias("s")).select(*_SPAN, "s.*"))
+    asked = edges.select("doc_id", "at").union(edges.select("first_doc_id", "first_at")).toDF("doc_id", "start").distinct()
+
+    def spots(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from . import _text as X
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(spot(np, X.mix, batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["spot"])
+
+    sent = id_filter(cut(asked.mapInArrow(spots, "spot long")), "spot")
+    # Places that are the end of one unit and the beginning of another come twice.
+    words = cut(_pass(docs, config, wanted=sent).dropDuplicates(["doc_id", "start"]))
+    own = words.select(F.col("doc_id").alias("d"), F.col("start").alias("p"), F.col("before").alias("b1"), F.col("after").alias("a1"))
+    theirs = words.select(F.col("doc_id").alias("e"), F.col("start").alias("q"), F.col("before").alias("b2"), F.col("after").alias("a2"))
+    both = edges.join(own, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("p"))).join(theirs, (F.col("first_doc_id") == F.col("e")) & (F.col("first_at") == F.col("q")))
+    left = F.when(F.col("right"), 0).otherwise(_common_words(F.col("b1"), F.col("b2")))
+    right = F.when(F.col("right"), _common_words(F.col("a1"), F.col("a2"))).otherwise(0)
+    return both.select("doc_id", (F.col("start") - left).alias("start"), (F.col("end") + right).alias("end"), "component_id", "first_doc_id", (F.col("first_start") - left).alias("first_start"))
 
 
 def _similar(places: DataFrame, groups: DataFrame) -> DataFrame:
     """Later paragraphs of clusters of similar ones."""
-    rows = places.where("bands is not null").select(*_AT, "group").join(groups, "group")
-    found = _later(rows, "component")
+    found = _later(places.join(groups, "group"), "component")
     return found.select("doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"), F.col("component").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
