@@ -1,216 +1,336 @@
 """A quality classifier by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts a character class from the classes before it.  Bytes of UTF-8 fall into 64
-classes (fixed below), so order n has at most 64**n n-grams whatever the corpus: the joins that
-turn counts into probabilities are sharded by context, and the finished model is small by
-construction (at most 64**4 four-grams, 67 MB as a dense table) and can go to every executor.
-Counting covers all trusted text.  The thresholds are quantiles by language of the trusted
-documents: the upper one of how they fare under a model of the other half of them, as under a
-model that has seen them they look better than documents of the same kind that it has not; the
-lower one of how they fare under the model itself.
+The model's n-grams are word bigrams with the beginning and the end of each text, so the tables
+grow with the trusted text; words are told apart by 32 bits of a hash.  In back-off form the log
+probability of a text is a sum over its n-grams:
+
+* each word adds log p1(word) + log back(word), where p1 is the Kneser-Ney unigram probability
+  and back the weight that the word leaves to shorter contexts;
+* each bigram that the trusted text has adds log p(word | before) - log back(before) - log p1(word).
+
+So a document's perplexity is a join of its n-grams with one table (gram, weight), and a sum.
+The table is hash-partitioned; documents send the keys of their n-grams, packed by shard, and a
+task meets one shard of the table with the keys of that shard.  The commonest n-grams, a fixed
+number, go to every executor and are added where the text is read, so no hot word makes a hot
+shard; a Bloom filter of fixed size leaves out most bigrams that the model lacks, which add
+nothing.  The work is done in ``rounds`` over parts of the table to keep the shuffle files small.
+
+Part of the trusted documents is held out of the counts.  The thresholds are quantiles by
+language: the upper one of the perplexities of held-out documents, as documents that a model has
+seen look better than others of their kind; the lower one of all trusted documents'.  As a few
+held-out documents say little about the tail of their language, its upper bound is at least its
+median and what the same quantile of all languages' distances from their medians adds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ._common import attach, bounded, cut, small_batches
+from ._common import attach, bounded, cut, drop, id_filter, maybe_in, small_batches
 
-CLASSES = 64
-
-
-def _classes() -> np.ndarray:
-    """Class of each byte: 0 is the start of a text; small letters apart, capitals together, blanks,
-    newline, digits, full stop, comma, other ASCII; the other 31 share the bytes of longer characters."""
-    out = np.full(256, 32, dtype=np.uint8)
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = 27
-    out[[32, 9, 11, 12, 13]] = 28
-    out[10] = 29
-    out[48:58] = 30
-    out[[46, 44]] = [31, 32]
-    rest = [b for b in range(33, 127) if out[b] == 32 and b != 44]
-    out[rest] = 33
-    out[128:] = 34 + np.arange(128) % 64 % 30
-    return out
+#: Word numbers that no word has: the beginning and end of a text, and "no word before".
+BEGIN, END, NONE = 0, 1, (1 << 32) - 1
 
 
 @dataclass(frozen=True)
 class PerplexityConfig:
-    order: int = 4
+    #: One in so many trusted documents, by a hash of doc_id, is held out for the thresholds.
+    held_out: int = 4
     #: Quantiles of the trusted documents' perplexities, by language, outside which a document is rejected.
     low: float = 0.002
-    high: float = 0.995
+    high: float = 0.99
     #: Relative rank error of the quantiles is 1 / accuracy.
     accuracy: int = 10_000
+    #: N-grams that are sent to every executor, the commonest.
+    common: int = 200_000
+    #: Parts of the table that are joined one after the other, and bytes of text for each shard of a part.
+    rounds: int = 2
+    shard_bytes: int = 1 << 26
 
 
-def _padded(batch_column, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(rows, classes with order - 1 starts before each text, ends) of chunks of a string column."""
+def _numbers(data, starts, ends):
+    """32-bit numbers of words; none is BEGIN, END or NONE."""
     from . import _text as X
 
-    table, pad = _classes(), order - 1
-    for _, data, offsets in X.chunks(batch_column):
-        n = len(offsets) - 1
-        out = np.zeros(len(data) + pad * n, dtype=np.uint8)
-        sizes = np.diff(offsets)
-        at = np.arange(len(data)) + np.repeat((np.arange(n) + 1) * pad, sizes)
-        out[at] = table[data]
-        yield n, out, offsets[1:] + (np.arange(n) + 1) * pad
-
-
-def _codes(symbols: np.ndarray, n: int) -> np.ndarray:
-    """The n-gram that ends at each symbol, as a number to the base CLASSES."""
-    out = symbols.astype(np.int32 if n <= 5 else np.int64)
-    code = out.copy()
-    for k in range(1, n):
-        code[k:] += out[:-k] * CLASSES**k
-    return code
-
-
-def _real(size: int, ends: np.ndarray, pad: int) -> np.ndarray:
-    """Which symbols are text, not starts."""
-    real = np.ones(size, dtype=bool)
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    for k in range(pad):
-        real[begins + k] = False
-    return real
+    h = X.word_hashes(data, starts, ends, lower=False) >> np.uint64(32)
+    return np.clip(h, 2, NONE - 1)
 
 
-def ngram_counts(docs: DataFrame, order: int, folds: int = 1) -> DataFrame:
-    """fold, gram, n: counts of the highest order over all texts; each task sums its own before the shuffle.
+def _grams(column):
+    """For chunks of a string column: (first row, words of each text, grams, their texts).
 
-    The texts of each fold, dealt by a hash of doc_id, are counted apart.
+    A text's grams are its bigrams (before << 32 | word) with BEGIN and END around it, and its
+    words, BEGIN and END alone (NONE << 32 | word).  A text without words has none.
     """
+    from . import _text as X
+
+    for row, data, offsets in X.chunks(column):
+        starts, ends, first = X.words(data, offsets)
+        n = np.diff(first)
+        if not len(starts):
+            yield row, n, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            continue
+        size = np.where(n > 0, n + 2, 0)
+        begins = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(n)), size)
+        w = np.full(int(size.sum()), BEGIN, dtype=np.uint64)
+        text = np.repeat(np.arange(len(n)), n)
+        w[begins[text] + 1 + np.arange(len(starts)) - first[:-1][text]] = _numbers(data, starts, ends)
+        some = n > 0
+        w[(begins + size - 1)[some]] = END
+        inside = owner[1:] == owner[:-1]
+        two = (w[:-1] << np.uint64(32) | w[1:])[inside]
+        one = np.uint64(NONE << 32) | w
+        yield row, n, np.concatenate([two, one]), np.concatenate([owner[1:][inside], owner])
+
+
+def bigram_counts(docs: DataFrame) -> DataFrame:
+    """gram, n over all texts; each task sums its own before the shuffle."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        sums = [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)) for _ in range(folds)]
+        held, size = [], 0
+
+        def flush():
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["gram", "n"])
+
         for batch in batches:
-            for fold in range(folds):
-                part = batch.filter(pa.array(batch.column(1).to_numpy() == fold)) if folds > 1 else batch
-                for _, symbols, ends in _padded(part.column(0), order):
-                    code = _codes(symbols, order)[_real(len(symbols), ends, order - 1)]
-                    k, c = np.unique(code, return_counts=True)
-                    keys, inverse = np.unique(np.concatenate([sums[fold][0], k]), return_inverse=True)
-                    sums[fold] = keys, np.bincount(inverse, np.concatenate([sums[fold][1], c])).astype(np.int64)
-        for fold, (keys, counts) in enumerate(sums):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), fold), pa.int32()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["fold", "gram", "n"])
+            for _, n, grams, _ in _grams(batch.column(0)):
+                two = grams[: int((n + 1)[n > 0].sum())]
+                held.append(two)
+                size += len(two)
+                if size > 2_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"))
-    return rows.mapInArrow(run, "fold int, gram long, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(level, gram, term) and (level, context, back) of the interpolated model.
+def _discounts(counts: DataFrame, column: str) -> tuple[float, float, float]:
+    """Discounts for counts of 1, 2 and 3 or more, from the counts of counts."""
+    n1, n2, n3, n4 = counts.agg(*[F.count_if(F.col(column) == k) for k in (1, 2, 3, 4)]).first()
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    raw = [k - (k + 1) * y * b / a if a else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw))
 
-    p_n(gram) = term + back(context) * p_(n-1)(gram without its first symbol); the lower orders
-    count the different symbols before a gram.  Discounts for counts of 1, 2 and 3 or more come
-    from the counts of counts of each order.
+
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
+    """(gram, n, weight) of the interpolated model of bigram counts (gram, n), and the weight of an unknown word.
+
+    Words count the different words before them; the unigram keeps a share for an unknown word.
     """
-    terms, backs = [], []
-    grams = cut(counts)
-    for level in range(order, 0, -1):
-        n1, n2, n3, n4 = grams.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-        raw = [k - (k + 1) * y * b / a if a else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        d1, d2, d3 = (min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw))
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        rows = grams.select("gram", "n", F.floor(F.col("gram") / CLASSES).alias("context"), off.alias("off"))
-        totals = cut(rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("lost")))
-        joined = rows.join(totals, "context")
-        terms.append(joined.select(F.lit(level).alias("level"), "gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("term")))
-        backs.append(totals.select(F.lit(level).alias("level"), "context", (F.col("lost") / F.col("total")).alias("back")))
-        if level > 1:
-            grams = cut(grams.groupBy((F.col("gram") % CLASSES ** (level - 1)).alias("gram")).agg(F.count("*").alias("n")))
-    term, back = terms[0], backs[0]
-    for t, b in zip(terms[1:], backs[1:]):
-        term, back = term.union(t), back.union(b)
-    return term, back
-
-
-def perplexities(docs: DataFrame, term: DataFrame, back: DataFrame, order: int) -> DataFrame:
-    """docs with n_symbols and log_perplexity (null where there is no text); no shuffle."""
-    small_batches(docs.sparkSession)
-    # Both tables are bounded by the number of classes and the order.
-    terms, backs = term.toArrow(), back.toArrow()
-    model = []
-    for level in range(1, order + 1):
-        t = terms.filter(terms["level"].to_numpy() == level) if terms.num_rows else terms
-        b = backs.filter(backs["level"].to_numpy() == level) if backs.num_rows else backs
-        model.append((t["gram"].to_numpy(), t["term"].to_numpy().astype(np.float32), b["context"].to_numpy(), b["back"].to_numpy().astype(np.float32)))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    before, word = F.shiftrightunsigned("gram", 32), F.col("gram").bitwiseAND(F.lit(NONE))
+
+    def off(column, d):
+        return F.when(F.col(column) == 1, d[0]).when(F.col(column) == 2, d[1]).otherwise(d[2])
+
+    d2 = _discounts(counts, "n")
+    words = cut(counts.groupBy(word.alias("w")).agg(F.count("*").alias("kinds"), F.sum("n").alias("times")))
+    d1 = _discounts(words, "kinds")
+    kinds, known, lost = words.agg(F.sum("kinds"), F.count("*"), F.sum(off("kinds", d1))).first()
+    kinds, spare = kinds or 1, (lost or 1.0) / (kinds or 1) / ((known or 0) + 1)
+    p1 = (F.col("kinds") - off("kinds", d1)) / kinds + F.lit(spare)
+    contexts = cut(counts.groupBy(before.alias("c")).agg(F.sum("n").alias("total"), F.sum(off("n", d2)).alias("lost")))
+    # One row for each word as a word, as a context, or both.
+    both = words.join(contexts, F.col("w") == F.col("c"), "full")
+    back = F.coalesce(F.log(F.col("lost") / F.col("total")), F.lit(0.0))
+    single = both.select(
+        F.coalesce("w", "c").bitwiseOR(F.lit(-(1 << 32))).alias("gram"),  # NONE << 32 as a long
+        F.coalesce("times", "total").alias("n"),
+        (F.coalesce(F.log(p1), F.lit(0.0)) + back).alias("weight"),
+    )
+    rows = counts.select("gram", "n", before.alias("before"), word.alias("word"))
+    rows = cut(rows.join(words.select("w", p1.alias("p1")), F.col("word") == F.col("w")).select("gram", "n", "before", "p1"))
+    part = (F.col("n") - off("n", d2)) / F.col("lost") / F.col("p1")
+    pair = rows.join(contexts, F.col("before") == F.col("c")).select("gram", "n", F.log1p(part).alias("weight"))
+    table = cut(pair.select("gram", "n", F.col("weight").cast("float").alias("weight")).union(single.select("gram", "n", F.col("weight").cast("float"))))
+    drop(rows, words, contexts)
+    return table, float(np.log(spare))
+
+
+def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: PerplexityConfig) -> DataFrame:
+    """ref, n_words, log_perplexity for each (ref, text) of docs with a word.
+
+    Rows that share a ref hold the same text.  log_perplexity is the mean over words and the end.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    # By classes of counts, a few hundred; so many of the highest as hold ``common`` n-grams at most.
+    size_class = F.floor(F.log2("n") * 8)
+    classes = sorted(table.groupBy(size_class.alias("k")).count().collect(), reverse=True)
+    held, least = 0, float("inf")
+    for k, n in classes:
+        if (held := held + n) > config.common:
+            break
+        least = k
+    top = table.where(size_class >= F.lit(least)).select("gram", "weight").toPandas()
+    grams = top["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    common = spark.sparkContext.broadcast((grams[order], top["weight"].to_numpy()[order].astype(np.float64)))
+    pairs = table.where(F.shiftrightunsigned("gram", 32) != NONE)
+    seen = id_filter(pairs, "gram")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards, rounds = max(32, -(-size // config.shard_bytes)), config.rounds
+
+    def keys(number: int):
+        def run(batches):
+            import pyarrow as pa
+
+            from . import _text as X
+
+            known, weights = common.value
+            for batch in batches:
+                refs = batch.column(0).to_numpy()
+                for row, n, grams, owner in _grams(batch.column(1)):
+                    base = np.zeros(len(n))
+                    at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+                    hit = known[at] == grams if len(known) else np.zeros(len(grams), dtype=bool)
+                    if number == 0:
+                        base += np.bincount(owner[hit], weights[at[hit]], minlength=len(n))
+                    grams, owner = grams[~hit], owner[~hit]
+                    shard = X.mix(grams)
+                    mine = shard % np.uint64(rounds) == np.uint64(number)
+                    grams, owner, shard = grams[mine], owner[mine], (shard[mine] // np.uint64(rounds) % np.uint64(shards)).astype(np.int64)
+                    pair = grams >> np.uint64(32) != np.uint64(NONE)
+                    keep = ~pair
+                    keep[pair] = maybe_in(seen, grams[pair].view(np.int64))
+                    grams, owner, shard = grams[keep], owner[keep], shard[keep]
+                    by = np.lexsort((owner, shard))
+                    grams, owner, shard = grams[by], owner[by], shard[by]
+                    here = refs[row : row + len(n)]
+                    bounds = np.searchsorted(shard, np.arange(shards + 1))
+                    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+                    # Texts of the chunk whose keys a shard gets, and how many.
+                    edge = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1]))) if len(owner) else np.zeros(0, np.int64)
+                    each = np.diff(np.append(edge, len(owner)))
+                    per = np.searchsorted(edge, bounds)
+                    cuts = np.append(bounds[some], bounds[some[-1] + 1] if len(some) else 0).astype(np.int32)
+                    texts = np.append(per[some], per[some[-1] + 1] if len(some) else 0).astype(np.int32)
+                    rows = len(some)
+                    sums = [pa.array(some), pa.ListArray.from_arrays(pa.array(texts), pa.array(here[owner[edge]])), pa.ListArray.from_arrays(pa.array(texts), pa.array(each.astype(np.int32))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams.view(np.int64)))]
+                    blank = [pa.nulls(rows, pa.list_(t)) for t in (pa.int64(), pa.float64(), pa.int64())]
+                    names = ["shard", "refs", "each", "grams", "base_refs", "base", "words"]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([*sums, *blank], names=names)
+                    if number == 0 and (n > 0).any():
+                        has = n > 0
+                        one = np.array([0, int(has.sum())], dtype=np.int32)
+                        none = [pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int32(), pa.int64())]
+                        given = [pa.ListArray.from_arrays(pa.array(one), pa.array(v)) for v in (here[has], base[has], n[has].astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays([pa.array([int(here[has][0] % shards)]), *none, *given], names=names)
+
+        return docs.select("ref", F.col("text").cast("string").alias("text")).mapInArrow(run, "shard long, refs array<long>, each array<int>, grams array<long>, base_refs array<long>, base array<double>, words array<long>")
+
+    def add(model, packed):
+        import pyarrow as pa
 
-    def run(batches):
+        def flat(name):
+            column = packed.column(name).combine_chunks()
+            return column.flatten().to_numpy(zero_copy_only=False)
+
+        refs, sums, n = flat("base_refs"), flat("base"), flat("words")
+        if packed.num_rows:
+            grams, weights = model.column("gram").to_numpy(), model.column("weight").to_numpy()
+            order = np.argsort(grams)
+            grams, weights = grams[order], weights[order]
+            asked, each = flat("grams"), flat("each").astype(np.int64)
+            at = np.minimum(np.searchsorted(grams, asked), max(0, len(grams) - 1))
+            hit = grams[at] == asked if len(grams) else np.zeros(len(asked), dtype=bool)
+            single = asked.view(np.uint64) >> np.uint64(32) == np.uint64(NONE)
+            value = np.where(hit, weights[at] if len(grams) else 0.0, np.where(single, unknown, 0.0))
+            total = np.add.reduceat(value, np.cumsum(each) - each) if len(each) else np.zeros(0)
+            refs = np.concatenate([refs, flat("refs")])
+            sums, n = np.concatenate([sums, total]), np.concatenate([n, np.zeros(len(total), np.int64)])
+        ref, place = np.unique(refs, return_inverse=True)
+        out = np.bincount(place, sums, minlength=len(ref)), np.bincount(place, n, minlength=len(ref)).astype(np.int64)
+        return pa.table({"ref": pa.array(ref, pa.int64()), "s": pa.array(out[0], pa.float64()), "n": pa.array(out[1], pa.int64()), "rows": pa.array(np.bincount(place, n > 0, minlength=len(ref)).astype(np.int64))})
+
+    def mixed_parts(batches):
         import pyarrow as pa
 
-        dense = []
-        for level, (grams, term_, contexts, back_) in enumerate(sent.value, 1):
-            t, b = np.zeros(CLASSES**level, dtype=np.float32), np.ones(CLASSES ** (level - 1), dtype=np.float32)
-            t[grams], b[contexts] = term_, back_
-            dense.append((t, b))
+        from . import _text as X
+
         for batch in batches:
-            sums, sizes = [], []
-            for n, symbols, ends in _padded(batch.column(at), order):
-                p = np.full(len(symbols), 1 / CLASSES, dtype=np.float32)
-                for level, (t, b) in enumerate(dense, 1):
-                    code = _codes(symbols, level)
-                    p = t[code] + b[code // CLASSES] * p
-                real = _real(len(symbols), ends, order - 1)
-                logs = np.where(real, -np.log(p), 0.0)
-                total = np.concatenate([[0.0], np.cumsum(logs)])
-                begins = np.concatenate([[0], ends[:-1]])
-                sums.append(total[ends] - total[begins])
-                sizes.append(ends - begins - (order - 1))
-            size, total = np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*sums, np.zeros(0)])
-            mean = pa.array(np.divide(total, size, out=np.zeros(len(size)), where=size > 0), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), mean], names=[*batch.schema.names, "n_symbols", "log_perplexity"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_symbols", T.LongType()), T.StructField("log_perplexity", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+            h = X.mix(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((h % np.uint64(rounds)).astype(np.int64)), pa.array((h // np.uint64(rounds) % np.uint64(shards)).astype(np.int64))], names=["gram", "weight", "part", "shard"])
+
+    dealt = table.select("gram", "weight").mapInArrow(mixed_parts, "gram long, weight float, part long, shard long")
+    done, total = [], None
+    for number in range(rounds):
+        model = dealt.where(F.col("part") == number).drop("part")
+        part = model.groupBy("shard").cogroup(keys(number).groupBy("shard")).applyInArrow(add, "ref long, s double, n long, rows long")
+        done.append(cut(part.groupBy("ref").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))))
+        total = done[-1] if total is None else total.union(done[-1])
+    # Rows that share a ref brought the same sums, once each.
+    found = total.groupBy("ref").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    found = cut(found.select("ref", (F.col("n") / F.col("rows")).cast("long").alias("n_words"), (-F.col("s") / (F.col("n") + F.col("rows"))).alias("log_perplexity")))
+    drop(*done)
+    return found
+
+
+def _ref():
+    """Tells rows apart by doc_id and text (64 bits of a hash)."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def quality_scores(docs: DataFrame, trusted: DataFrame, config: PerplexityConfig = PerplexityConfig()) -> DataFrame:
+    """The columns of docs but text, with ref, n_words, log_perplexity, low, high and kept; see ``quality_judged``."""
+    docs = docs.drop("n_words", "log_perplexity", "low", "high", "kept", "ref")
+    trusted = cut(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(config.held_out)) == 0))
+    text = attach(docs.select("doc_id", "text"), trusted.where("not held").select("doc_id"), ["doc_id"], "left_semi")
+    counts = cut(bigram_counts(text))
+    table, unknown = kneser_ney(counts)
+    drop(counts)
+    scores = perplexities(docs.select(_ref().alias("ref"), "text"), table, unknown, config)
+    drop(table)
+    rows = docs.withColumn("ref", _ref()).drop("text").join(scores, "ref", "left")
+    rows = cut(rows.withColumn("n_words", F.coalesce("n_words", F.lit(0))))
+    drop(scores)
+    judged = rows.select("doc_id", "lang", "log_perplexity").join(trusted, "doc_id")
+    quantile = lambda q, which: F.percentile_approx(F.when(which, F.col("log_perplexity")), F.lit(q), F.lit(config.accuracy))
+    bounds = [quantile(config.low, F.lit(True)).alias("low"), quantile(config.high, F.col("held")).alias("high"), quantile(0.5, F.col("held")).alias("middle")]
+    by_lang = cut(judged.groupBy("lang").agg(*bounds).withColumnRenamed("lang", "_lang"))
+    low, high, _ = judged.agg(*bounds).first()
+    # One row for each language: sent to every executor, so that documents are not dealt by language.
+    bounds = F.broadcast(by_lang) if bounded(by_lang, 100_000) else by_lang
+    same = F.col("lang").eqNullSafe(F.col("_lang"))
+    above = judged.where("held").join(bounds, same).agg(F.percentile_approx(F.col("log_perplexity") - F.col("middle"), F.lit(config.high), F.lit(config.accuracy))).first()[0]
+    drop(trusted)
+    rows = rows.join(bounds.withColumn("high", F.greatest("high", F.col("middle") + F.lit(above).cast("double"))), same, "left").drop("_lang", "middle")
+    rows = rows.withColumn("low", F.coalesce("low", F.lit(low).cast("double"), F.lit(float("-inf")))).withColumn("high", F.coalesce("high", F.lit(high).cast("double"), F.lit(float("inf"))))
+    return rows.withColumn("kept", F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))
 
 
 def quality_judged(docs: DataFrame, trusted: DataFrame, config: PerplexityConfig = PerplexityConfig()) -> DataFrame:
-    """docs (doc_id, text, lang, any more) with n_symbols, log_perplexity, low, high and kept.
+    """docs (doc_id, text, lang, any more) with n_words, log_perplexity, low, high and kept.
 
     ``trusted`` holds the doc_ids of trusted documents.  A document is kept if its mean
     log-perplexity lies within its language's quantiles of the trusted documents; a language
-    (null is one) without trusted documents takes the quantiles of all.  Texts that are null or
-    empty have no perplexity and are rejected.  Without trusted text every other document is
-    kept.  Repeated rows are judged alike, and counted as often as they occur; columns of docs
-    with the names of the new ones are replaced.
+    (null is one) without trusted (for the upper bound: held-out) documents takes the quantiles
+    of all.  Texts that are null, empty or blank have no perplexity and are rejected; long ones
+    are read whole.  Without trusted text every other document is kept.  Repeated rows are
+    judged alike, ties with a quantile are kept, and trusted rows count as often as they occur;
+    columns of docs with the names of the new ones are replaced.  An empty table gives an empty
+    result.
     """
-    docs = docs.drop("n_symbols", "log_perplexity", "low", "high", "kept")
-    trusted = cut(trusted.select("doc_id").where("doc_id is not null").distinct())
-    text = attach(docs.select("doc_id", "text", "lang"), trusted, ["doc_id"], "left_semi")
-    text = text.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
-    counts = cut(ngram_counts(text, config.order, 2))
-    scored = None
-    for fold in (0, 1):
-        other = kneser_ney(counts.where(F.col("fold") != fold).select("gram", "n"), config.order)
-        part = perplexities(text.where(F.col("fold") == fold), *other, config.order).select("lang", "log_perplexity")
-        scored = part if scored is None else scored.union(part)
-    term, back = kneser_ney(counts.groupBy("gram").agg(F.sum("n").alias("n")), config.order)
-    seen = perplexities(text, term, back, config.order).select("lang", "log_perplexity", F.lit(True).alias("seen"))
-    scored = cut(scored.withColumn("seen", F.lit(False)).union(seen))
-    quantile = lambda q, seen: F.percentile_approx(F.when(F.col("seen") == F.lit(seen), F.col("log_perplexity")), F.lit(q), F.lit(config.accuracy))
-    bounds = [quantile(config.low, True).alias("low"), quantile(config.high, False).alias("high")]
-    by_lang = cut(scored.groupBy("lang").agg(*bounds).withColumnRenamed("lang", "_lang"))
-    low, high = scored.agg(*bounds).first()
-    rows = perplexities(docs, term, back, config.order)
-    # One row for each language: sent to every executor, so that texts are not dealt by language.
-    bounds = F.broadcast(by_lang) if bounded(by_lang, 100_000) else by_lang
-    rows = rows.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    rows = rows.withColumn("low", F.coalesce("low", F.lit(low).cast("double"), F.lit(float("-inf")))).withColumn("high", F.coalesce("high", F.lit(high).cast("double"), F.lit(float("inf"))))
-    kept = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return rows.withColumn("kept", kept)
+    docs = docs.drop("n_words", "log_perplexity", "low", "high", "kept", "ref")
+    scores = cut(quality_scores(docs.select("doc_id", "text", "lang"), trusted, config).select("ref", "n_words", "log_perplexity", "low", "high", "kept").dropDuplicates(["ref"]))
+    return attach(docs.withColumn("ref", _ref()), scores, ["ref"], "left").drop("ref")
+
+
+def quality_kept(docs: DataFrame, trusted: DataFrame, config: PerplexityConfig = PerplexityConfig()) -> DataFrame:
+    """The rows of docs that ``quality_judged`` keeps; only the smaller of the two parts, as hashes, meets the texts."""
+    scores = cut(quality_scores(docs.select("doc_id", "text", "lang"), trusted, config).select("ref", "kept").distinct())
+    kept = scores.agg(F.count_if("kept"), F.count_if(~F.col("kept"))).first()
+    how, part = ("left_semi", scores.where("kept")) if kept[0] < kept[1] else ("left_anti", scores.where("not kept"))
+    names = docs.columns
+    return attach(docs.withColumn("_ref", _ref()), part.select(F.col("ref").alias("_ref")), ["_ref"], how).select(*names)

@@ -13,7 +13,7 @@ from .exact_topk import TopKConfig, exact_topk
 from .line_dedup import line_deduplicated
 from .minhash_dedup import MinHashConfig, near_duplicates
 from .mixing import MixConfig, mixed
-from .quality_classifier import PerplexityConfig, quality_judged
+from .quality_classifier import PerplexityConfig, quality_scores
 from .quality_rules import BASE, POLICIES, judged, ledger
 from .substring_dedup import PassageConfig, repeated_passages
 from .token_packing import TokenPackingConfig, packed_tokens
@@ -38,7 +38,7 @@ def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_judged(docs, trusted_documents(spark, sf_dir), PerplexityConfig()).drop("text")
+    return quality_scores(docs, trusted_documents(spark, sf_dir), PerplexityConfig()).drop("ref")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

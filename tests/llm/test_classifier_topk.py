@@ -1,70 +1,104 @@
 import math
-from collections import Counter, defaultdict
+import random
+from collections import Counter
 
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
 from codicil.llm.exact_topk import TopKConfig, exact_topk, term_at_a_time
-from codicil.llm.quality_classifier import PerplexityConfig, _classes, kneser_ney, ngram_counts, perplexities, quality_judged
+from codicil.llm.quality_classifier import PerplexityConfig, bigram_counts, kneser_ney, perplexities, quality_judged, quality_kept
 
-from .helpers import documents, prose
+from .helpers import documents, prose, words
 
 
-def brute_model(texts, order):
-    """A plain modified Kneser-Ney model over byte classes."""
-    table, pad = _classes(), order - 1
-    seqs = [[0] * pad + [int(table[b]) for b in t.encode()] for t in texts]
-    counts = Counter(tuple(s[i - order + 1 : i + 1]) for s in seqs for i in range(pad, len(s)))
-    levels = []
-    for level in range(order, 0, -1):
-        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+def brute_model(texts):
+    """A plain interpolated modified Kneser-Ney bigram model over words: p(word | before), and all words."""
+    counts = Counter(pair for t in texts if words(t) for pair in pairs(t))
+
+    def discounts(values):
+        n = [sum(c == k for c in values) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
         raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 for k in (1, 2, 3)]
-        d = [min(max(x, 0.05), k - 0.05) for x, k in zip(raw, (1, 2, 3))]
-        total, lost = defaultdict(float), defaultdict(float)
-        for g, c in counts.items():
-            total[g[:-1]] += c
-            lost[g[:-1]] += d[min(c, 3) - 1]
-        levels.append(({g: (c - d[min(c, 3) - 1]) / total[g[:-1]] for g, c in counts.items()}, {h: lost[h] / total[h] for h in total}))
-        counts = Counter(g[1:] for g in counts)
-    levels.reverse()
-
-    def score(text):
-        s = [0] * pad + [int(table[b]) for b in text.encode()]
-        out = 0.0
-        for i in range(pad, len(s)):
-            p = 1 / 64
-            for k, (term, back) in enumerate(levels, 1):
-                g = tuple(s[i - k + 1 : i + 1])
-                p = term.get(g, 0.0) + back.get(g[:-1], 1.0) * p
-            out -= math.log(p)
-        return out / (len(s) - pad)
-
-    return score
-
-
-@pytest.mark.parametrize("order", [2, 4])
-def test_perplexity_equals_a_plain_model(spark, order):
-    texts = [prose(k, 60) + ".\nEnd, 12 Été!" for k in range(8)] + ["", None]
-    docs = documents(spark, texts)
-    term, back = kneser_ney(ngram_counts(docs, order).drop("fold"), order)
-    score = brute_model([t for t in texts if t], order)
-    asked = documents(spark, ["new text, not seen", texts[0], "ЖЖЖ", "a", None, ""])
-    got = [r.log_perplexity for r in perplexities(asked, term, back, order).orderBy("doc_id").collect()]
-    for g, t in zip(got, ["new text, not seen", texts[0], "ЖЖЖ", "a", None, ""]):
-        assert g is None if not t else abs(g - score(t)) < 1e-4
-
-
-def test_probabilities_sum_to_one(spark):
-    docs = documents(spark, [prose(k, 40) for k in range(5)])
-    term, back = (t.collect() for t in kneser_ney(ngram_counts(docs, 2).drop("fold"), 2))
-    uni = {r.gram: r.term for r in term if r.level == 1}
-    rest = next(r.back for r in back if r.level == 1)
-    p1 = {g: uni.get(g, 0.0) + rest / 64 for g in range(64)}
-    assert abs(sum(p1.values()) - 1) < 1e-9
-    for h in {r.context for r in back if r.level == 2}:
-        b = next(r.back for r in back if r.level == 2 and r.context == h)
-        assert abs(sum(r.term for r in term if r.level == 2 and r.gram // 64 == h) + b * sum(p1.values()) - 1) < 1e-9
+        return [min(max(x, 0.05), k - 0.05) for x, k in zip(raw, (1, 2, 3))]
+
+    kinds, total, lost = Counter(w for _, w in counts), Counter(), Counter()
+    d2, d1 = discounts(counts.values()), discounts(kinds.values())
+    for (b, _), c in counts.items():
+        total[b] += c
+        lost[b] += d2[min(c, 3) - 1]
+    spare = sum(d1[min(c, 3) - 1] for c in kinds.values()) / len(counts) / (len(kinds) + 1)
+
+    def one(w):
+        return spare + ((kinds[w] - d1[min(kinds[w], 3) - 1]) / len(counts) if w in kinds else 0.0)
+
+    def p(b, w):
+        if b not in total:
+            return one(w)
+        c = counts.get((b, w), 0)
+        return ((c - d2[min(c, 3) - 1]) if c else 0.0) / total[b] + lost[b] / total[b] * one(w)
+
+    return p, set(kinds), set(total)
+
+
+def pairs(text):
+    w = ["<s>", *words(text), "</s>"]
+    return list(zip(w, w[1:]))
+
+
+def log_perplexity(p, text):
+    return -sum(math.log(p(b, w)) for b, w in pairs(text)) / len(pairs(text))
+
+
+TEXTS = [prose(k % 5, 60 + k) + ".\nEnd, 12 Été!" for k in range(8)] + ["", None, "the the the the cat"]
+
+
+@pytest.mark.parametrize("config", [PerplexityConfig(), PerplexityConfig(common=10, rounds=3, shard_bytes=100), PerplexityConfig(common=0, rounds=1)])
+def test_perplexity_equals_a_plain_model(spark, config):
+    table, unknown = kneser_ney(bigram_counts(documents(spark, TEXTS)))
+    p, _, _ = brute_model(TEXTS)
+    asked = ["new text, not seen", TEXTS[0], "ЖЖЖ", "a", None, "", TEXTS[3] + " more End, 12", "the cat the the " * 50, TEXTS[0]]
+    docs = documents(spark, asked).withColumn("ref", F.xxhash64("doc_id"))
+    got = {r.doc_id: r for r in docs.join(perplexities(docs, table, unknown, config), "ref", "left").collect()}
+    for i, t in enumerate(asked):
+        assert got[i].n_words == (len(words(t)) or None)
+        assert got[i].log_perplexity is None if not t else abs(got[i].log_perplexity - log_perplexity(p, t)) < 1e-4
+
+
+def test_probabilities_sum_to_one():
+    p, known, contexts = brute_model(TEXTS)
+    for b in [*contexts, "unknown"]:
+        assert abs(sum(p(b, w) for w in known) + p(b, "another word") - 1) < 1e-9
+
+
+def test_verdicts_equal_plain_thresholds(spark):
+    texts = [prose(k % 30, 40 + k % 7) for k in range(80)] + [prose(900, 30), "x " * 40, None, "", " \n"]
+    ids = [*range(84), 3]
+    langs = ["en", "fr", None]
+    docs = documents(spark, texts, ids, langs)
+    trusted = spark.createDataFrame([(k,) for k in range(70)], "doc_id long")
+    config = PerplexityConfig(low=0.1, high=0.8)
+    held = {r.doc_id for r in trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(config.held_out)) == 0).collect()}
+    rows = list(zip(ids, texts, (langs * 30)[:85]))
+    p, _, _ = brute_model([t for i, t, _ in rows if i < 70 and i not in held])
+    scored = [(i, lang, log_perplexity(p, t) if words(t) else None) for i, t, lang in rows]
+
+    def quantile(values, q):
+        values = sorted(v for v in values if v is not None)
+        return values[max(0, math.ceil(q * len(values)) - 1)]
+
+    middle = {k: quantile([x for j, g, x in scored if j in held and g == k], 0.5) for k in langs}
+    above = quantile([x - middle[g] for j, g, x in scored if j in held and x is not None], config.high)
+    want = []
+    for i, lang, s in scored:
+        low = quantile([x for j, k, x in scored if j < 70 and k == lang], config.low)
+        high = quantile([x for j, k, x in scored if j in held and k == lang], config.high)
+        high = max(high, middle[lang] + above)
+        want.append((i, s is not None and low - 1e-6 <= s <= high + 1e-6))
+    got = [(r.doc_id, r.kept) for r in quality_judged(docs, trusted, config).collect()]
+    assert sorted(got) == sorted(want)
+    kept = [r.doc_id for r in quality_kept(docs, trusted, config).collect()]
+    assert sorted(kept) == sorted(i for i, k in want if k)
 
 
 def test_clean_documents_stay_and_junk_goes(spark):
@@ -87,14 +121,15 @@ def test_held_out_documents(spark):
 
 
 def test_languages_nulls_and_no_trusted_text(spark):
-    texts = [prose(k, 50) for k in range(12)] + [None, "", "§§§ §§§ ¤¤¤"]
+    known = prose(1, 40).split()
+    texts = [" ".join(random.Random(k).choices(known, k=50)) for k in range(48)] + [None, "", "§§§ §§§ ¤¤¤"]
     docs = documents(spark, texts, langs=["en", "fr", None]).withColumnRenamed("rank", "low")
-    trusted = spark.createDataFrame([(k,) for k in range(12)] + [(None,)], "doc_id long")
+    trusted = spark.createDataFrame([(k,) for k in range(48)] + [(None,)], "doc_id long")
     rows = {r.doc_id: r for r in quality_judged(docs, trusted, PerplexityConfig(low=0.0, high=1.0)).collect()}
-    assert all(rows[k].kept for k in range(12)) and not rows[12].kept and not rows[13].kept and not rows[14].kept
+    assert all(rows[k].kept for k in range(48)) and not rows[48].kept and not rows[49].kept and not rows[50].kept
     assert len({rows[k].high for k in range(3)}) >= 2
     none = {r.doc_id: r.kept for r in quality_judged(docs, trusted.where("false")).collect()}
-    assert none[0] and none[14] and not none[12]
+    assert none[0] and none[50] and not none[48]
     assert quality_judged(docs.where("false"), trusted).count() == 0
 
 
