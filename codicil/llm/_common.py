@@ -54,7 +54,7 @@ def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there.
 
     A lost executor costs at most the work since the last cut, both sides of a later join are
@@ -63,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_folder(spark)}/codicil-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/codicil-{uuid.uuid4().hex}"
     _FOLDERS[path] = spark
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(path)
@@ -94,12 +94,10 @@ def drop(*cuts: DataFrame) -> None:
 
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
-    """Delete what was cut inside and is still there: for work whose result has been written elsewhere."""
+    """Delete what was cut inside and is still there, but for the last cut: the result of the work."""
     before = set(_FOLDERS)
-    try:
-        yield
-    finally:
-        _forget(set(_FOLDERS) - before)
+    yield
+    _forget([p for p in _FOLDERS if p not in before][:-1])
 
 
 def _forget(paths) -> None:

@@ -31,8 +31,7 @@ class CuttingStockConfig:
     #: Lengths in a class; a sequence loses less than this for each of its pieces.
     unit: int = 4
     seed: int = 0
-    #: Columns generated at most, and the relative gap to the bound at which to stop.
-    max_columns: int = 1000
+    #: Relative gap to the lower bound at which the program ends.
     gap: float = 1e-3
 
 
@@ -76,12 +75,15 @@ def greedy(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[n
     return patterns, counts
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows: counts of each size) and how often each is used, covering ``demand`` exactly.
 
     Revised simplex.  Greedy patterns are priced first; when none of them improves the program,
-    ``knapsack`` prices new ones, until the bound of the duals is within ``gap``.  Then rounding
-    down, and greedy patterns for what is left.
+    ``knapsack`` prices new ones.  It ends when the program is within ``gap`` of a lower bound:
+    the room that the demand fills, or the best bound that the duals of any step have given.
+    Pricing looks between the present duals and those of the best bound, which keeps it from
+    swinging, and at the present ones where that finds nothing.  Then rounding down, and greedy
+    patterns for what is left.
     """
     m = len(sizes)
     if not m:
@@ -90,16 +92,24 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int
     basis = np.diag(capacity // sizes).astype(np.int64)
     inverse = np.diag(1.0 / (capacity // sizes))
     x = inverse @ demand
-    made = 0
-    for _ in range(20 * m + 2 * pool.shape[1] + max_columns):
+    bound, best = float(sizes @ demand) / capacity, sizes / capacity
+    while x.sum() - bound > gap * x.sum():
         dual = inverse.sum(axis=0)
         worth = dual @ pool
         if worth.max() > 1 + 1e-7:
             column = pool[:, int(worth.argmax())]
         else:
-            value, column = knapsack(np.maximum(dual, 0), sizes, capacity)
-            made += 1
-            if made > max_columns or value <= 1 + 1e-7 or x.sum() - np.maximum(dual, 0) @ demand / value <= gap * x.sum():
+            column = None
+            for weight in (0.7, 0.0):
+                asked = np.maximum(weight * best + (1 - weight) * dual, 0)
+                value, found = knapsack(asked, sizes, capacity)
+                # Duals divided by their dearest pattern's value are feasible.
+                if asked @ demand / max(value, 1e-12) > bound:
+                    bound, best = float(asked @ demand) / value, asked / value
+                if dual @ found > 1 + 1e-7:
+                    column = found
+                    break
+            if column is None:
                 break
         direction = inverse @ column
         up = direction > 1e-9
@@ -168,7 +178,7 @@ def packed_pieces(docs: DataFrame, config: CuttingStockConfig) -> DataFrame:
     # At most ``capacity`` rows come here.
     histogram = sorted((r["size"], r["count"]) for r in cut_up.groupBy("size").count().collect())
     sizes, demand = (np.array([h[i] for h in histogram], dtype=np.int64) for i in (0, 1))
-    patterns, counts = solve(sizes, demand, capacity, config.max_columns, config.gap)
+    patterns, counts = solve(sizes, demand, capacity, config.gap)
     base = np.cumsum([0, *counts])
     segments = {}
     for k, s in enumerate(sizes):

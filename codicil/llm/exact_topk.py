@@ -27,12 +27,12 @@ class TopKConfig:
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id and integer components of the vectors that take part, one row for each vec_id."""
+    """vec_id and integer components of the vectors that take part."""
     x = F.col("embedding")
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     kept = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(whole, F.lit(False)))
     terms = F.transform(x, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long"))
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), terms.alias("terms")).groupBy("vec_id").agg(F.min("terms").alias("terms"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), terms.alias("terms"))
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -74,9 +74,7 @@ def term_at_a_time(query_ids, queries: np.ndarray, ids, matrix: np.ndarray, k: i
                 scores[has] += np.multiply.outer(part[has, t], dense)
         for i, q in enumerate(query_ids[at : at + tile]):
             row = scores[i]
-            own = np.searchsorted(ids, q)
-            if own < n and ids[own] == q:
-                row[own] = lowest
+            row[np.searchsorted(ids, q) : np.searchsorted(ids, q, side="right")] = lowest
             least = np.partition(row, n - k)[n - k] if n > k else lowest
             above = np.flatnonzero(row > least)
             ties = np.flatnonzero(row == least)[: max(0, k - len(above))] if least > lowest else above[:0]
@@ -89,7 +87,8 @@ def exact_topk(vectors: DataFrame, config: TopKConfig = TopKConfig()) -> DataFra
     """query_id, rank, vec_id, score: each query's ``k`` best of all other vectors.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows
-    without an id; rows that repeat an id are one vector, the smallest.  Missing trailing
+    without an id.  Rows that repeat an id are candidates and queries each; a query meets no row
+    of its own id, and the rows of a query_id share its ``k`` places.  Missing trailing
     components of a shorter vector count as 0.  Scores are integer inner products; ties go to
     the smaller vec_id.  Queries and candidates are dealt by hash into groups, and each pair of
     groups is one task's grouped work, so memory depends on the group sizes only; the best k of

@@ -37,16 +37,16 @@ class MixConfig:
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     """docs with the source's key (never null), the size in words and the place in the seeded order."""
     size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    place = F.struct(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), size.alias("words"))
+    place = F.struct(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text"), size.alias("words"))
     return docs.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).withColumn("_size", size).withColumn("_place", place)
 
 
-_PLACE = "struct<hash:bigint,id:bigint,words:bigint>"
+_PLACE = "struct<hash:bigint,id:bigint,text:bigint,words:bigint>"
 
 
 def mix_plan(docs: DataFrame, config: MixConfig) -> DataFrame:
     """One row for each source: _key, source_size, target, _whole (epochs), and what is taken once more:
-    the places up to _last (of that one, _rest words at most), and of those up to _last2 the
+    the places up to _last (of each row there, _rest words at most), and of those up to _last2 the
     documents of at most _fit words.
     """
     sized = cut(_keyed(docs.select("doc_id", "text", "source"), config.seed).select("_key", "source", "_size", "_place"))
@@ -67,20 +67,25 @@ def mix_plan(docs: DataFrame, config: MixConfig) -> DataFrame:
     whole = F.when(F.col("source_size") > 0, F.floor(target / F.col("source_size"))).otherwise(0)
     plan = sources.select("_key", "source_size", target.alias("target"), whole.cast("int").alias("_whole"))
     plan = cut(plan.withColumn("_words", F.col("target") - F.col("_whole") * F.col("source_size")))
-    place = F.struct("hash", "id", F.col("_size").alias("words"))
-    rows = sized.select("_key", "_size", F.col("_place.hash").alias("hash"), F.col("_place.id").alias("id"))
-    summed = attach(running_sum(rows, "_key", ["hash", "id", "_size"], "_size", "before"), plan.select("_key", "_words"), ["_key"], "inner")
+    place = F.struct("hash", "id", "text", F.col("_size").alias("words"))
+    rows = sized.select("_key", "_size", F.col("_place.hash").alias("hash"), F.col("_place.id").alias("id"), F.col("_place.text").alias("text"))
+    order = ["hash", "id", "text", "_size"]
     if config.partial:
+        # Equal rows can't be told apart: they stand at one place and share what is taken there.
+        rows = rows.where("_size > 0").groupBy("_key", *order).agg(F.count("*").alias("equal")).withColumn("_all", F.col("_size") * F.col("equal"))
+        summed = attach(running_sum(rows, "_key", order, "_all", "before"), plan.select("_key", "_words"), ["_key"], "inner")
         words = F.round("_words").cast("long")
-        last = summed.where((F.col("before") < words) & (F.col("_size") > 0)).groupBy("_key").agg(F.max(F.struct(place.alias("at"), (words - F.col("before")).alias("rest"))).alias("l"))
+        rest = F.floor((words - F.col("before")) / F.col("equal")).cast("long")
+        last = summed.where(F.col("before") < words).groupBy("_key").agg(F.max(F.struct(place.alias("at"), rest.alias("rest"))).alias("l"))
         none = [F.lit(None).cast("long").alias("_fit"), F.lit(None).cast(_PLACE).alias("_last2")]
         return cut(plan.join(last, "_key", "left").select("_key", "source_size", "target", "_whole", F.col("l.at").alias("_last"), F.col("l.rest").alias("_rest"), *none))
+    summed = attach(running_sum(rows, "_key", order, "_size", "before"), plan.select("_key", "_words"), ["_key"], "inner")
     first = summed.where(F.col("before") + F.col("_size") <= F.col("_words")).groupBy("_key").agg(F.max(place).alias("_last"), F.max(F.col("before") + F.col("_size")).alias("_sum"))
     plan = plan.join(first, "_key", "left").withColumn("_fit", F.col("_words") - F.coalesce("_sum", F.lit(0)))
     plan = cut(plan.drop("_words", "_sum"))
     # A long document may leave a gap: shorter ones that come later in the order fill it.
     rest = attach(rows, plan.select("_key", "_last", "_fit"), ["_key"], "inner").where(~F.coalesce(place <= F.col("_last"), F.lit(False)) & (F.col("_size") <= F.col("_fit")))
-    summed = attach(running_sum(rest.select("_key", "_size", "hash", "id"), "_key", ["hash", "id", "_size"], "_size", "before"), plan.select("_key", "_fit"), ["_key"], "inner")
+    summed = attach(running_sum(rest.select("_key", *order), "_key", order, "_size", "before"), plan.select("_key", "_fit"), ["_key"], "inner")
     second = summed.where(2 * F.col("before") + F.col("_size") <= 2 * F.col("_fit")).groupBy("_key").agg(F.max(place).alias("_last2"))
     return cut(plan.join(second, "_key", "left").withColumn("_rest", F.lit(None).cast("long")))
 
@@ -90,8 +95,10 @@ def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
 
     size counts words (runs of characters other than space and U+0009..U+000D; null text: 0);
     target is the source's share of all words; copies is how often the whole document is taken,
-    words_more how many of its first words once more, and taken the words that makes.  A null source is a source.  Equal rows stand at the same place
-    of the seeded order and are taken alike; a source of empty texts has target 0.  Columns of
+    words_more how many of its first words once more, and taken the words that makes.  A null source is a source.  Rows equal in doc_id and text stand at the same place of the
+    seeded order and are taken alike: with ``partial`` they share the words taken there, so a
+    source misses its target by less than one word for each of them; without it, all or none of
+    them are taken once more.  A source of empty texts has target 0; long texts count whole.  Columns of
     docs with the names of the new ones are replaced.  An empty table gives an empty result.
     """
     plan = mix_plan(docs, config)

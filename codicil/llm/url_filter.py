@@ -75,8 +75,11 @@ def _score(bins: Column, weights: list[float], bias: float) -> Column:
 
 
 def trained(labelled: DataFrame, config: UrlFilterConfig) -> tuple[list[float], float]:
-    """Weights and bias from rows (host, path, label 0/1); accelerated gradient steps over the bounded sample."""
-    chosen = labelled.where("host is not null and path is not null and label is not null").orderBy(F.xxhash64(F.lit(config.seed), "host", "path"), "host", "path", "label").limit(config.sample)
+    """Weights and bias from rows (host, path, label 0/1); accelerated gradient steps over the bounded sample.
+
+    Rows that repeat a host, path and label are one, so a hot address can't fill the sample.
+    """
+    chosen = labelled.where("host is not null and path is not null and label is not null").select("host", "path", "label").distinct().orderBy(F.xxhash64(F.lit(config.seed), "host", "path"), "host", "path", "label").limit(config.sample)
     sample = cut(chosen.select(buckets_of(F.col("host"), F.col("path"), config).alias("bins"), F.col("label").cast("double").alias("label")))
     n = sample.count()
     weights, bias = [0.0] * config.buckets, 0.0

@@ -56,6 +56,27 @@ def test_targets_and_takings(spark, partial):
     assert mixed(docs.where("false")).count() == 0
 
 
+def test_equal_rows_share_what_their_source_takes(spark):
+    text = prose(1, 100)
+    rows = [(None, text, "a")] * 1000 + [(k, prose(2 + k, 100), "b") for k in range(200)] + [(7, text, "c")] * 3 + [(7, prose(9, 4), "c"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixed(docs, MixConfig(partial=True)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+    sizes = {"a": 100_000, "b": 20_000, "c": 304, None: 0}
+    want = dict(zip(sizes, water(list(sizes.values()))))
+    for r in out:
+        assert abs(r.target - want[r.source]) < 1e-6 * (1 + want[r.source])
+        assert want[r.source] - (1000 if r.source == "a" else 3) <= r.taken <= want[r.source] + 0.5
+    assert sum(r.n for r in out) == len(rows)
+
+
+def test_a_hot_address_does_not_fill_the_sample(spark):
+    urls = ["http://hot.org/x"] * 500 + [f"http://shop{k}.com/buy" for k in range(40)]
+    rows = [(i, u) for i, u in enumerate([*urls, "http://shop99.com/buy", "http://hot.org/x"])]
+    labels = spark.createDataFrame([(u, int("hot" in u)) for u in urls], "url string, label int")
+    got = {r.page_id: r.verdict for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), UrlFilterConfig(sample=100), labels).collect()}
+    assert got[len(urls)] == "block" and got[len(urls) + 1] == "allow"
+
+
 def brute_measures(text):
     w = words(text)
     where = {}

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codicil.llm.cutting_stock import CuttingStockConfig, knapsack, packed_pieces, solve
+from codicil.llm.cutting_stock import CuttingStockConfig, greedy, knapsack, packed_pieces, solve
 from codicil.llm.token_packing import CapacityTree, TokenPackingConfig, best_fit_decreasing, packed_tokens, unpacked_tokens
 from codicil.llm.tokens import encoder
 
@@ -79,12 +79,29 @@ def test_capacity_tree_takes_the_fullest_that_fits():
 def test_cutting_stock_covers_the_demand(demand):
     sizes = np.array(sorted(demand))
     b = np.array([demand[s] for s in sizes])
-    patterns, counts = solve(sizes, b, 30, 200, 1e-6)
+    patterns, counts = solve(sizes, b, 30, 1e-6)
     assert (patterns.T @ counts == b).all() and (patterns @ sizes <= 30).all() and (counts > 0).all()
     best = max(-(-int((sizes * b).sum()) // 30), int(b[sizes > 15].sum()))
     assert counts.sum() <= 1.25 * best + len(sizes)
 
 
+@pytest.mark.parametrize(("sizes", "demand", "capacity", "best"), [([3, 4], [200, 100], 10, 100), ([7, 8, 11], [200, 200, 200], 26, 200)])
+def test_the_program_beats_greedy_patterns(sizes, demand, capacity, best):
+    sizes, demand = np.array(sizes), np.array(demand)
+    patterns, counts = solve(sizes, demand, capacity, 1e-6)
+    assert (patterns.T @ counts == demand).all()
+    assert counts.sum() <= best + len(sizes) and sum(greedy(sizes, demand, capacity)[1]) > counts.sum()
+
+
+def test_the_program_ends_within_its_gap():
+    rng = np.random.default_rng(4)
+    sizes = np.arange(1, 257)
+    demand = rng.integers(0, 60, 256) * (rng.random(256) < 0.6)
+    sizes, demand = sizes[demand > 0], demand[demand > 0]
+    patterns, counts = solve(sizes, demand, 512, 1e-3)
+    assert (patterns.T @ counts == demand).all() and counts.sum() <= 1.01 * (sizes @ demand) / 512 + 2
+
+
 def test_knapsack_prices_the_best_pattern():
     value, counts = knapsack(np.array([0.4, 0.35, 0.6]), np.array([4, 3, 6]), 10)
     assert abs(value - 1.1) < 1e-12 and counts.tolist() in ([1, 2, 0], [0, 3, 0]) or value > 1.1 - 1e-12

@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pyspark.sql.functions as F
 import pytest
 
 import __spark_entry__ as entry
@@ -51,6 +52,22 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, stages[-1][key].values))
 
 
+def test_nulls_repeats_and_no_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("kept", F.lit("x"))
+    some = docs.where("doc_id < 30")
+    odd = spark.createDataFrame([(900, None, "en", "s", 0, "x"), (901, "", None, None, None, "x"), (902, " \n\t", "en", "s", 3, "x"), (None, "null id " * 30, "en", None, 240, "x")], docs.schema)
+    for name, rows in (("some", docs.union(some).union(odd)), ("none", docs.where("false"))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").toPandas()
+    assert len(got) and not {900, 901, 902} & set(got.doc_id.dropna())
+    assert got.groupby("sequence_id").length.sum().max() <= 2048
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    copies = docs.where("doc_id < 30").union(some).union(odd)
+    near = corpus_pipeline.near_dedup(spark, copies, SF).toPandas()
+    assert not near.duplicated().any() and {900, 901, 902} <= set(near.doc_id.dropna()) and near.doc_id.isna().sum() == 1
+
+
 def test_every_query_is_registered():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {f"op{n}_" for n in range(1, 11) if any(x.startswith(f"op{n}_") for x in names)}
