@@ -80,11 +80,10 @@ def _delete(path: str) -> None:
 
 
 def drop(*cuts: DataFrame) -> None:
-    """Delete the files of cuts that nothing will read any more."""
+    """Delete the files of cuts that nothing will read any more; other frames stay as they are."""
     for made in cuts:
-        path = made._folder
-        spark = _FOLDERS.pop(path, None)
-        if spark is None:
+        path = made.__dict__.get("_folder")
+        if _FOLDERS.pop(path, None) is None:
             continue
         try:
             _delete(path)

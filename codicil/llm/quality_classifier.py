@@ -48,7 +48,7 @@ class PerplexityConfig:
     #: N-grams that are sent to every executor, the commonest.
     common: int = 200_000
     #: Parts of the table that are joined one after the other, and bytes of text for each shard of a part.
-    rounds: int = 2
+    rounds: int = 3
     shard_bytes: int = 1 << 26
 
 
@@ -127,6 +127,7 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
     """(gram, n, weight) of the interpolated model of bigram counts (gram, n), and the weight of an unknown word.
 
     Words count the different words before them; the unigram keeps a share for an unknown word.
+    Counts that were cut are deleted as soon as they are used up.
     """
     before, word = F.shiftrightunsigned("gram", 32), F.col("gram").bitwiseAND(F.lit(NONE))
 
@@ -148,10 +149,11 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
         F.coalesce("times", "total").alias("n"),
         (F.coalesce(F.log(p1), F.lit(0.0)) + back).alias("weight"),
     )
-    rows = counts.select("gram", "n", before.alias("before"), word.alias("word"))
-    rows = cut(rows.join(words.select("w", p1.alias("p1")), F.col("word") == F.col("w")).select("gram", "n", "before", "p1"))
+    rows = counts.select("gram", F.col("n").cast("int").alias("n"), word.alias("word"))
+    rows = cut(rows.join(words.select("w", p1.cast("float").alias("p1")), F.col("word") == F.col("w")).select("gram", "n", "p1"))
+    drop(counts)
     part = (F.col("n") - off("n", d2)) / F.col("lost") / F.col("p1")
-    pair = rows.join(contexts, F.col("before") == F.col("c")).select("gram", "n", F.log1p(part).alias("weight"))
+    pair = rows.join(contexts, before == F.col("c")).select("gram", F.col("n").cast("long").alias("n"), F.log1p(part).alias("weight"))
     table = cut(pair.select("gram", "n", F.col("weight").cast("float").alias("weight")).union(single.select("gram", "n", F.col("weight").cast("float"))))
     drop(rows, words, contexts)
     return table, float(np.log(spare))
@@ -289,7 +291,6 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, config: PerplexityConfig
     text = attach(docs.select("doc_id", "text"), trusted.where("not held").select("doc_id"), ["doc_id"], "left_semi")
     counts = cut(bigram_counts(text))
     table, unknown = kneser_ney(counts)
-    drop(counts)
     scores = perplexities(docs.select(_ref().alias("ref"), "text"), table, unknown, config)
     drop(table)
     rows = docs.withColumn("ref", _ref()).drop("text").join(scores, "ref", "left")
