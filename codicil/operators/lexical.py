@@ -1,8 +1,12 @@
 """Full-text search by postings: weighted fields, OR of prefixes, phrases.
 
-A matched position counts its field's weight once, however many terms reach it.  Terms meet the
-vocabulary, not the postings, so a prefix costs its distinct words and the postings are joined
-by equality.  Scores are rounded to nine places, so that ties are ties whatever the order of sums.
+A matched position counts its field's weight once, however many terms reach it.  A table of
+questions with at most ``SENT_TERMS`` terms goes to every executor: the words of a batch of
+chunks are folded to (chunk, word, count) where they are read and multiplied with the questions
+that each word answers, so no posting is shuffled and only the best of a batch are ranked.
+Beyond that, terms meet the vocabulary, not the postings, so a prefix costs its distinct words
+and the postings are joined by equality.  Scores are rounded to nine places, so that ties are
+ties whatever the order of sums.
 """
 
 from __future__ import annotations
@@ -11,10 +15,13 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from ..functions.text import tokens
+from ..session import ship
 
 # Weights of the fields.
 FIELD_WEIGHTS = {"law_name": 1.0, "heading": 0.4, "text": 0.2}
 PLAIN_WEIGHT = 0.1
+#: Terms of all questions that are sent to every executor at most.
+SENT_TERMS = 100_000
 
 
 def postings(chunks: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, key: str = "chunk_id") -> DataFrame:
@@ -49,6 +56,84 @@ def or_scores(posts: DataFrame, expanded: DataFrame, key: str = "chunk_id") -> D
     return posts.join(expanded, "lexeme").groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("weight"))
 
 
+def batch_scores(chunks: DataFrame, terms: DataFrame, fields: dict[str, float], key: str, k: int | None = None, least: int = 2) -> DataFrame:
+    """query_id, key, weight as by ``or_scores``, of each batch's ``k`` best for a question (or all), without a shuffle.
+
+    ``terms`` is collected: SENT_TERMS rows at most.
+    """
+    import numpy as np
+
+    spark = chunks.sparkSession
+    ship(spark)
+    asked = terms.where(F.length("term") >= least).select("query_id", "term").distinct().toPandas()
+    queries = np.unique(asked["query_id"].to_numpy())
+    places = np.searchsorted(queries, asked["query_id"].to_numpy())
+    by_term: dict[str, list[int]] = {}
+    for term, place in zip(asked["term"], places):
+        by_term.setdefault(term, []).append(int(place))
+    sent, weights = spark.sparkContext.broadcast((queries, by_term)), list(fields.values())
+    longest = max(map(len, by_term), default=0)
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, wanted = sent.value
+        rows_of: dict[str, int] = {}
+        answers = np.zeros((0, len(ids)), dtype=np.uint8)
+
+        def row_of(word: str, made: list) -> int:
+            """The row of ``answers`` for the questions with a prefix of the word; -1 for none."""
+            if (row := rows_of.get(word)) is None:
+                found = [q for n in range(least, min(len(word), longest) + 1) for q in wanted.get(word[:n], ())]
+                row = -1
+                if found:
+                    row = len(answers) + len(made)
+                    made.append(np.bincount(found, minlength=len(ids)).astype(bool).astype(np.uint8))
+                rows_of[word] = row
+            return row
+
+        for batch in batches:
+            n, keys = batch.num_rows, batch.column(0)
+            scores = np.zeros((n, len(ids)))
+            for column, weight in zip(batch.columns[1:], weights):
+                words = column.flatten().dictionary_encode()
+                made: list = []
+                rows = np.array([row_of(w, made) for w in words.dictionary.to_pylist()], dtype=np.int64)
+                if made:
+                    answers = np.concatenate([answers, np.stack(made)])
+                if not len(rows):
+                    continue
+                chunk = np.repeat(np.arange(n), column.value_lengths().fill_null(0).to_numpy())
+                row = rows[words.indices.to_numpy()]
+                chunk, row = chunk[row >= 0], row[row >= 0]
+                pair, count = np.unique(chunk * len(answers) + row, return_counts=True)
+                chunk, row = pair // max(1, len(answers)), pair % max(1, len(answers))
+                for lo in range(0, len(pair), 16_384):
+                    c = chunk[lo : lo + 16_384]
+                    begins = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+                    part = np.add.reduceat(answers[row[lo : lo + 16_384]] * count[lo : lo + 16_384, None].astype(np.float64), begins)
+                    scores[c[begins]] += weight * part
+            order_keys = np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            at, of = [], []
+            for q in range(len(ids)):
+                some = np.flatnonzero(scores[:, q] > 0)
+                if k is not None and len(some) > k:
+                    some = some[np.lexsort((order_keys[some], -np.round(scores[some, q], 9)))[:k]]
+                at.append(some)
+                of.append(np.full(len(some), q))
+            at, of = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (at, of))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), keys.take(pa.array(at)), pa.array(scores[at, of])], names=["query_id", key, "weight"])
+
+    kind, asks = dict(chunks.dtypes)[key], dict(terms.dtypes)["query_id"]
+    words = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{i}") for i, f in enumerate(fields)]
+    rows = chunks.select(key, *words).mapInArrow(run, f"query_id {asks}, {key} {kind}, weight double")
+    return rows.withColumn("weight", F.round("weight", 9))
+
+
+def _few(terms: DataFrame) -> bool:
+    return terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+
+
 def ranked(scores: DataFrame, score: str, key: str, k: int, *before) -> DataFrame:
     """The k best of each query with their rank; ties go to the smaller key."""
     order = Window.partitionBy("query_id").orderBy(*before, F.col(score).desc(), key)
@@ -57,8 +142,11 @@ def ranked(scores: DataFrame, score: str, key: str, k: int, *before) -> DataFram
 
 def sparse_branch(chunks: DataFrame, terms: DataFrame, k: int = 40, key: str = "chunk_id", fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """query_id, key, score = W / (W + 1), rank of the k best chunks for an OR of prefixes."""
-    posts = postings(chunks, fields, key)
-    found = or_scores(posts, expand_prefixes(terms, vocabulary(posts)), key)
+    if _few(terms):
+        found = batch_scores(chunks, terms, fields, key, k)
+    else:
+        posts = postings(chunks, fields, key)
+        found = or_scores(posts, expand_prefixes(terms, vocabulary(posts)), key)
     return ranked(found.withColumn("score", F.round(F.col("weight") / (F.col("weight") + 1), 9)).drop("weight"), "score", key, k)
 
 
@@ -74,9 +162,13 @@ def phrase_hits(posts: DataFrame, phrases: DataFrame, key: str = "chunk_id") ->
 
 def title_branch(chunks: DataFrame, terms: DataFrame, phrases: DataFrame, k: int = 40, key: str = "chunk_id") -> DataFrame:
     """query_id, key, phrase_hit, score = W / words, rank over headings; phrase hits come first."""
-    posts = postings(chunks.where("heading is not null"), {"heading": PLAIN_WEIGHT}, key)
-    size = posts.groupBy(key).agg(F.count("*").alias("n"))
-    found = or_scores(posts, expand_prefixes(terms, vocabulary(posts)), key).join(size, key)
+    titled = chunks.where("heading is not null")
+    posts = postings(titled, {"heading": PLAIN_WEIGHT}, key)
+    size = titled.select(key, F.size(tokens(F.col("heading"))).alias("n"))
+    if _few(terms):
+        found = batch_scores(titled, terms, {"heading": PLAIN_WEIGHT}, key).join(size, key)
+    else:
+        found = or_scores(posts, expand_prefixes(terms, vocabulary(posts)), key).join(size, key)
     hits = phrase_hits(posts, phrases, key).withColumn("phrase_hit", F.lit(True))
     found = found.join(hits, ["query_id", key], "left").withColumn("phrase_hit", F.coalesce("phrase_hit", F.lit(False)))
     found = found.withColumn("score", F.round(F.col("weight") / F.col("n"), 9)).drop("weight", "n")

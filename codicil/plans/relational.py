@@ -166,7 +166,7 @@ def join08_conflict_pairs(spark, sf_dir):
 
 @query("""
 WITH toc AS (SELECT page_id AS anchor_id, page_id % 60 AS base, page_id % 60 || '-' || page_id % 3 AS number, substr(url, 1, 20) AS heading FROM pages),
-art AS (SELECT doc_id, doc_id % 60 AS base, (SELECT substr(url, 1, 20) FROM pages p WHERE p.page_id = doc_id % 250) AS heading FROM documents),
+art AS (SELECT doc_id, doc_id % 60 AS base, (SELECT substr(url, 1, 20) FROM pages p WHERE p.page_id = doc_id % (SELECT count(*) FROM pages)) AS heading FROM documents),
 m AS (SELECT doc_id, anchor_id, count(*) OVER (PARTITION BY doc_id) AS n, a.heading = t.heading AS same FROM art a JOIN toc t USING (base))
 SELECT doc_id, CASE WHEN max(n) = 1 THEN min(anchor_id) WHEN count(*) FILTER (same) > 0 THEN min(anchor_id) FILTER (same) END AS anchor_id FROM m GROUP BY doc_id
 """)
@@ -176,7 +176,8 @@ def join11_anchor_match(spark, sf_dir):
 
     p = table(spark, sf_dir, "pages")
     toc = p.select(F.col("page_id").alias("anchor_id"), (F.col("page_id") % 60).cast("string").alias("base"), F.substring("url", 1, 20).alias("heading"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 60).cast("string").alias("base"), (F.col("doc_id") % 250).alias("page"))
+    pages = p.agg(F.count("*").alias("pages"))  # one row
+    d = table(spark, sf_dir, "documents").crossJoin(F.broadcast(pages)).select("doc_id", (F.col("doc_id") % 60).cast("string").alias("base"), (F.col("doc_id") % F.col("pages")).alias("page"))
     art = d.join(p.select(F.col("page_id").alias("page"), F.substring("url", 1, 20).alias("heading")), "page", "left").select("doc_id", "base", "heading")
     return match_anchors(art, toc, "doc_id").select("doc_id", "anchor_id")
 

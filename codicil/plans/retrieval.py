@@ -262,14 +262,23 @@ def ret16_threshold_fallback(spark, sf_dir):
     return fusion.relevant(rows).select("query_id", "chunk_id", "rerank_score", F.col("pos").cast("long").alias("pos"))
 
 
+def sparse_ranked(spark, sf_dir):
+    """query_id, chunk_id, score, rank of the sparse branch."""
+    return lexical.sparse_branch(chunks(spark, sf_dir), terms(spark, sf_dir), C.top_k_sparse)
+
+
+def sparse_candidates(spark, sf_dir):
+    return sparse_ranked(spark, sf_dir).select("query_id", "chunk_id")
+
+
 def _words_sql(column: str) -> str:
     return f"regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 
 @query(rf"""
-WITH {CHUNKS}, pairs AS (
+WITH {CHUNKS}, {TERMS}, {POSTS}, {SPARSE}, pairs AS (
   SELECT b.item_id AS query_id, c.chunk_id, {_words_sql("b.text")} AS q, {_words_sql("c.heading")} AS t
-  FROM benchmark b JOIN chunks c ON b.item_id = c.chunk_id % 40
+  FROM sparse s JOIN benchmark b ON b.item_id = s.query_id JOIN chunks c ON c.chunk_id = s.chunk_id
 ), counted AS (
   SELECT *, len(list_filter(q, lambda a: len(list_filter(t, lambda b: a = b OR (length(a) >= 4 AND length(b) >= 4 AND substr(a, 1, 4) = substr(b, 1, 4)))) > 0)) / nullif(len(q), 0) AS a,
     len(list_filter(t, lambda b: len(list_filter(q, lambda a: a = b OR (length(a) >= 4 AND length(b) >= 4 AND substr(a, 1, 4) = substr(b, 1, 4)))) > 0)) / nullif(len(t), 0) AS b FROM pairs
@@ -277,11 +286,11 @@ WITH {CHUNKS}, pairs AS (
 SELECT query_id, chunk_id, round(coalesce(CASE WHEN a > 0 AND b > 0 THEN 2 * a * b / (a + b) END, 0), 6) AS affinity FROM counted
 """)
 def ret17_title_affinity(spark, sf_dir):
-    """RET-17, JOIN-10, SCA-47: harmonic mean of both coverages under a common prefix of four."""
+    """RET-17, JOIN-10, SCA-47: harmonic mean of both coverages under a common prefix of four, for each question's sparse candidates."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD + "{2,}"), F.lit(0))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("q"))
     c = chunks(spark, sf_dir).select("chunk_id", words(F.col("heading")).alias("t"))
-    pairs = b.join(c, F.col("query_id") == F.col("chunk_id") % 40)
+    pairs = sparse_candidates(spark, sf_dir).join(b, "query_id").join(c, "chunk_id")
     return pairs.select("query_id", "chunk_id", F.round(fusion.title_affinity(F.col("q"), F.col("t")), 6).alias("affinity"))
 
 

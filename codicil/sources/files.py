@@ -66,19 +66,33 @@ HEADING_LINE = re.compile(
 )
 VOID = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "col", "area", "base", "embed", "param", "track"}
 BLOCK = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "div", "li", "td", "pre"}
+INNER_BLOCK = BLOCK - {"td", "pre", "h5", "h6"}
+_CELLS = (("td", "th"), ("tr", "table"))
+_ENDS_P = (("p",), ("div", "td", "th", "li", "table", "article", "section", "body"))
+#: What a start tag closes first, and what keeps it from doing so: HTML leaves these end tags out.
+IMPLIED_ENDS = {
+    **{t: (_ENDS_P,) for t in ("p", "div", "ul", "ol", "table", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote", "hr")},
+    "li": (_ENDS_P, (("li",), ("ul", "ol"))),
+    "td": (_ENDS_P, _CELLS),
+    "th": (_ENDS_P, _CELLS),
+    "tr": (_ENDS_P, _CELLS, (("tr",), ("table",))),
+}
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "holds_blocks")
 
     def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.tag, self.attrs, self.children, self.parent, self.holds_blocks = tag, attrs, [], parent, False
 
     def walk(self):
-        for c in self.children:
+        """Nodes and strings below, in the order of the page, however deep."""
+        waiting = self.children[::-1]
+        while waiting:
+            c = waiting.pop()
             yield c
             if isinstance(c, _Node):
-                yield from c.walk()
+                waiting += c.children[::-1]
 
     def text(self) -> str:
         return " ".join("\n" if isinstance(c, _Node) and c.tag == "br" else c for c in self.walk() if isinstance(c, str) or c.tag == "br")
@@ -99,18 +113,24 @@ class _Tree(HTMLParser):
         self.root = self.at = _Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        for closed, within in IMPLIED_ENDS.get(tag, ()):
+            self._end(closed, within)
         node = _Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
 
-    def handle_endtag(self, tag):
+    def _end(self, tags, within=()):
+        """Close the innermost open element of ``tags``, unless one of ``within`` stands between."""
         node = self.at
-        while node.parent is not None and node.tag != tag:
+        while node.parent is not None and node.tag not in tags and node.tag not in within:
             node = node.parent
-        if node.parent is not None:
+        if node.parent is not None and node.tag in tags:
             self.at = node.parent
 
+    def handle_endtag(self, tag):
+        self._end((tag,))
+
     def handle_data(self, data):
         self.at.children.append(data)
 
@@ -119,11 +139,18 @@ def _furniture(n: _Node) -> bool:
     return n.tag in DROP_TAGS or n.attrs.get("id") in DROP_IDS or bool(DROP_NAMES & set((n.attrs.get("class") or "").split()))
 
 
-def _clean(node: _Node) -> None:
-    node.children = [c for c in node.children if isinstance(c, str) or not _furniture(c)]
-    for c in node.children:
-        if isinstance(c, _Node):
-            _clean(c)
+def _clean(root: _Node) -> None:
+    """Drop the furniture below and note which nodes hold blocks."""
+    nodes, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not _furniture(c)]
+        inner = [c for c in node.children if isinstance(c, _Node)]
+        nodes += inner
+        waiting += inner
+    for node in reversed(nodes):
+        if node.holds_blocks or node.tag in INNER_BLOCK:
+            node.parent.holds_blocks = True
 
 
 def _norm(text: str) -> str:
@@ -142,7 +169,7 @@ def html_blocks(markup: str | None) -> list[dict]:
     for n in root.walk():
         if not isinstance(n, _Node) or n.tag not in BLOCK:
             continue
-        if n.tag == "div" and any(isinstance(c, _Node) and c.tag in BLOCK - {"td", "pre", "h5", "h6"} for c in n.walk()):
+        if n.tag == "div" and n.holds_blocks:
             continue
         text = n.text()
         for phrase in CHROME_PHRASES:

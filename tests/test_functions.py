@@ -90,11 +90,13 @@ def test_retry_after_is_never_zero(spark):
 
 def test_packing_keeps_to_the_maximum():
     parts = [f"clause {k} " + "w" * 90 for k in range(30)]
-    for chunk in ingest.pack(parts, 100, 150, 20, repeat=True):
+    for chunk in ingest.split_body("\n".join(parts), 0, 100, 150, 20):
         assert len(chunk) / 3 <= 150
+    assert ingest.ranges([4, 3, 2, 9, 1, 1, 30, 2], 10, 20) == [(0, 3), (3, 5), (5, 6), (6, 7), (7, 8)]
+    assert ingest.ranges([4, 4, 2, 4, 4], 10, 20, 2) == [(0, 3), (2, 5)]
     body = "\n".join(f"{k}) " + "word " * 60 for k in range(1, 8))
     assert len(ingest.split_body(body, 0, 200, 300, 20)) > 1 and ingest.split_body("short") == ["short"] and ingest.split_body("") == []
-    assert "".join(dict.fromkeys("".join(ingest.hard_split("abcdef", 1, 0)))) == "abcdef"
+    assert ingest.split_body("abcdef" * 9, 0, 4, 4, 0) == ["abcdefabcdef"] * 4 + ["abcdef"]
 
 
 def test_relevance(spark):
@@ -133,3 +135,25 @@ def test_payments_are_idempotent(spark):
     df = spark.createDataFrame(calls, "payme_id string, user_id string, method string, amount long, at long, reason int")
     got = {r.payme_id: (r.state, r.perform_time, r.cancel_time, r.reason, r.refused) for r in records.fold_payments(df).collect()}
     assert got == {"p": (-2, 9, 20, 5, 0), "q": (0, 0, 0, None, 1), "r": (-1, 0, 50_000_000, 4, 1), "s": (-1, 0, 2, 3, 0)}
+
+
+def test_no_word_of_a_clause_is_lost(spark):
+    body = ["1-modda. Maqsad", "1) birinchi band matni", "2) ikkinchi band matni", "a) kichik qism", "oddiy satr", "2-modda. Soha", "Matn bor"]
+    blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate(body)], "doc_id long, block_ix int, text string")
+    nodes = ingest.build_nodes(blocks)
+    chunks = " ".join(r.text for r in ingest.chunk_nodes(nodes).collect())
+    for word in "birinchi ikkinchi band matni kichik qism oddiy satr Matn bor".split():
+        assert word in chunks
+
+
+@pytest.mark.parametrize("terms", [[(1, "ab"), (1, "abc"), (2, "xy"), (3, "zz")], [(1, "a")]])
+def test_batches_score_like_postings(spark, terms):
+    from codicil.operators import lexical
+
+    rows = [(k, f"law ab{k % 3}", None if k % 4 == 0 else f"abc xyz {k}", " ".join(["abcd", "xyyy", "ab", "none"][j % 4] for j in range(k))) for k in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, law_name string, heading string, text string")
+    asked = spark.createDataFrame(terms, "query_id long, term string")
+    posts = lexical.postings(chunks)
+    want = lexical.or_scores(posts, lexical.expand_prefixes(asked, lexical.vocabulary(posts))).collect()
+    got = lexical.batch_scores(chunks, asked, lexical.FIELD_WEIGHTS, "chunk_id").collect()
+    assert sorted((r.query_id, r.chunk_id, round(r.weight, 6)) for r in got) == sorted((r.query_id, r.chunk_id, round(r.weight, 6)) for r in want)

@@ -22,6 +22,16 @@ def test_law_csv(spark, tmp_path):
         files.read_law_csv(spark, str(tmp_path / "b.csv"))
 
 
+def test_html_without_end_tags():
+    texts = lambda page: [b["text"] for b in files.html_blocks(page)]
+    assert texts("<ul><li>one<li>two<li>three</ul>") == ["one", "two", "three"]
+    assert texts("<table><tr><td>aa<td>bb<tr><td>cc</table><p>dd<p>ee<div>ff") == ["aa", "bb", "cc", "dd", "ee", "ff"]
+    assert texts("<ul><li>top<ul><li>inner</ul><li>next</ul>")[1:] == ["inner", "next"]
+    for tag in ("p", "li", "div", "td"):
+        assert texts(f"<{tag}>word" * 3 + f"<{tag}>" * 10_000 + "end")[-1].endswith("end")
+    assert texts("<p>" + "<b>" * 10_000 + "end") == ["end"]
+
+
 def test_html_blocks():
     page = "<html><title>T</title><body><nav>menu</nav><div id='divCont'><h1>III bob</h1><p>54-modda. Nom</p><p>body<br>line</p><p>body<br>line</p><table><tr><td>cell text</td></tr></table><div class='COMMENT'>no</div>Audioni tinglash<p>Audioni tinglash |</p><div>" + "long text " * 40 + "</div></div><footer>f</footer></body></html>"
     got = files.html_blocks(page)
