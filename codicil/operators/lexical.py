@@ -15,7 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from ..functions.text import tokens
-from ..session import ship
+from ..session import ship, spread
 
 # Weights of the fields.
 FIELD_WEIGHTS = {"law_name": 1.0, "heading": 0.4, "text": 0.2}
@@ -126,7 +126,7 @@ def batch_scores(chunks: DataFrame, terms: DataFrame, fields: dict[str, float],
 
     kind, asks = dict(chunks.dtypes)[key], dict(terms.dtypes)["query_id"]
     words = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{i}") for i, f in enumerate(fields)]
-    rows = chunks.select(key, *words).mapInArrow(run, f"query_id {asks}, {key} {kind}, weight double")
+    rows = spread(chunks.select(key, *fields)).select(key, *words).mapInArrow(run, f"query_id {asks}, {key} {kind}, weight double")
     return rows.withColumn("weight", F.round("weight", 9))
 
 

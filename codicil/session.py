@@ -53,6 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files make fewer tasks than there are cores; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is."""
     from pyspark.sql.functions import broadcast

@@ -12,6 +12,8 @@ from xml.etree import ElementTree
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
+from ..session import spread
+
 # Headers of the two known layouts of law tables.
 LAYOUTS = {
     "code": {"part": "Qism", "section": "Bo'lim", "chapter_number": "Bob raqami", "chapter_title": "Bob nomi", "article_number": "Modda raqami", "article_title": "Modda nomi", "body": "Modda matni"},
@@ -273,7 +275,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
             out = [(p, i, b["text"], b["role"], b["level"]) for p, h in zip(batch["page_id"], batch["html"]) for i, b in enumerate(html_blocks(h))]
             yield pd.DataFrame(out, columns=["page_id", "block_ix", "text", "role", "level"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, block_ix int, text string, role string, level int")
+    return spread(pages.select("page_id", "html")).mapInPandas(run, "page_id long, block_ix int, text string, role string, level int")
 
 
 def checked_uploads(files: DataFrame, most_bytes: int = 25 * 1024 * 1024, least_chars: int = 100) -> DataFrame:
