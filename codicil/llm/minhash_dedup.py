@@ -6,7 +6,7 @@
    copies costs one row from here on.
 3. Representatives meet in band buckets.  Each bucket compares its members with one centre,
    the member whose other buckets are fullest; pairs are confirmed on full sets.
-4. Buckets whose members then still lie in different components are compared in full between
+4. Buckets whose other members then still lie in different components are compared in full between
    those components, block against block, each pair in the first bucket that it shares.
    So no link that banding can see is lost, and no bucket lists its pairs.
 5. Components of the confirmed links go back to all rows.  Over the whole table they come from
@@ -235,18 +235,19 @@ def linked(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], config: M
     groups = components(links).withColumnRenamed("id", "i")
 
     placed = shared.join(groups, shared.id == groups.i, "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    # The centre has met all members of its bucket, so only the others can have a link that is not seen yet.
+    heads = centres.join(groups, centres.centre == groups.i, "left").select("k", "centre", F.coalesce("component", "centre").alias("head"))
+    others = placed.join(heads, placed.key == heads.k).where("id != centre").select("key", "id", "n", "component", "head")
+    split = others.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     split = cut(split.select(F.col("key").alias("k")))
     if not bounded(split, 0):
-        heads = centres.join(groups, centres.centre == groups.i, "left").select("k", F.coalesce("component", "centre").alias("head"))
-        heads = cut(heads.join(split, "k"))
-        some = placed.join(heads, placed.key == heads.k).withColumn("main", F.col("component") == F.col("head"))
+        some = others.join(split, others.key == split.k).withColumn("main", F.col("component") == F.col("head"))
         known = reps.select(F.col("id").alias("i"), "bands")
         some = cut(some.join(known, some.id == known.i).select("key", "id", "n", "component", "main", "bands"))
         asked = cut(some.select("id").distinct())
         sets = cut(sets_of(asked))
         links = cut(links.union(_across(some, sets, config)))
-        drop(heads, some, asked, sets)
+        drop(some, asked, sets)
         groups = components(links).withColumnRenamed("id", "i")
     drop(shared, centres, split, links)
     return groups
