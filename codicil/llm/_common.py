@@ -170,8 +170,11 @@ def id_filter(ids: DataFrame, column: str):
         yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(b).tobytes() for b in maps.values()], pa.binary())], names=["segment", "bits"])
 
     out = np.zeros((SEGMENTS, size // 8), dtype=np.uint8)
-    for r in rows.repartition(SEGMENTS, segment).mapInArrow(build, "segment int, bits binary").collect():
+    # A cut, so that the shuffle files of the ids go before the next work starts.
+    parts = cut(rows.repartition(SEGMENTS, segment).mapInArrow(build, "segment int, bits binary"))
+    for r in parts.collect():
         out[r["segment"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
+    drop(parts)
     return ids.sparkSession.sparkContext.broadcast(out)
 
 
