@@ -186,3 +186,43 @@ def dates_in(text: Column) -> Column:
     dotted = F.transform(F.regexp_extract_all(text, F.lit("\\b(\\d{1,2}[./-]\\d{1,2}[./-]\\d{4})\\b"), F.lit(1)), lambda d: F.try_to_date(F.translate(d, "/-", ".."), "d.M.yyyy"))
     iso = F.transform(F.regexp_extract_all(text, F.lit("\\b(\\d{4}-\\d{2}-\\d{2})\\b"), F.lit(1)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
     return F.array_compact(F.concat(dotted, iso))
+
+
+# What a title says of an act's kind and standing, and who issued it; the first that fits counts.
+TITLE_KINDS = (
+    ("code", r"kodeks|кодекс|\bcode\b"),
+    ("constitution", r"konstitutsiya|конституц|constitution"),
+    ("presidential_decree", r"farmon|указ\s+президента"),
+    ("presidential_resolution", r"prezident\w*\s+qaror|постановление\s+президента"),
+    ("cabinet_resolution", r"vazirlar\s+mahkamasi|кабинета\s+министров"),
+    ("law", r"\bqonun\b|\bзакон\b"),
+    ("ministerial_act", r"buyruq|приказ|nizom|положение"),
+)
+STANDINGS = (
+    ("repealed", r"kuchini\s+yo[’'ʻ‘]?qotgan|утратил\s+силу|repealed"),
+    ("amended", r"o[’'ʻ‘]?zgartirish\s+kiritilgan|с\s+изменениями|amended"),
+    ("not_yet_in_force", r"kuchga\s+kirmagan|не\s+вступил"),
+)
+ISSUERS = (
+    ("Oliy Majlis", r"oliy\s+majlis"),
+    ("President of the Republic of Uzbekistan", r"prezident|президент"),
+    ("Cabinet of Ministers", r"vazirlar\s+mahkamasi|кабинет\s+министров"),
+    ("Constitutional Court", r"konstitutsiyaviy\s+sud"),
+    ("Supreme Court", r"oliy\s+sud|верховн\w+\s+суд"),
+)
+DOCUMENT_NUMBER = r"(?:№|N|son|сон|raqam)\s*[:\-]?\s*([A-ZА-Я0-9][A-ZА-Я0-9\-/]{1,24})"
+
+
+def _first_named(text: Column, names: tuple, default: str | None) -> Column:
+    return F.coalesce(*[F.when(text.rlike("(?iU)" + pattern), name) for name, pattern in names], F.lit(default))
+
+
+def title_metadata(title: Column) -> Column:
+    """A struct of act_type, status, doc_number and issuer; law and in_force where the title says nothing, else null."""
+    number = F.nullif(F.regexp_extract(title, "(?iU)" + DOCUMENT_NUMBER, 1), F.lit(""))
+    return F.struct(
+        _first_named(title, TITLE_KINDS, "law").alias("act_type"),
+        _first_named(title, STANDINGS, "in_force").alias("status"),
+        number.alias("doc_number"),
+        _first_named(title, ISSUERS, None).alias("issuer"),
+    )

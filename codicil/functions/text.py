@@ -168,3 +168,14 @@ def display_title(lang: str, uz: Column, ru: Column, en: Column, short: Column)
     """The title in the asked language, else the next that exists."""
     by = {"ru": (ru, uz, en), "en": (en, uz, ru)}.get(lang, (uz, ru, en))
     return F.coalesce(*by, short)
+
+
+def markup_safe(text: Column) -> Column:
+    """Without control characters other than tab and line ends, and with &, < and > as entities."""
+    out = F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    return F.replace(F.replace(F.replace(out, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def question_with_document(question: Column, document: Column, most: int = 4000) -> Column:
+    """What is searched for when a document is asked about: the question and the document's beginning."""
+    return F.when(F.coalesce(F.length(document), F.lit(0)) == 0, question).otherwise(F.concat(question, F.lit("\n\n"), F.substring(document, 1, most)))

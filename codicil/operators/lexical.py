@@ -183,3 +183,11 @@ def exact_branch(chunks: DataFrame, numbers: DataFrame, limit: int = 12, key: st
     found = chunks.join(numbers.distinct(), "article_number")
     order = Window.partitionBy("query_id").orderBy("ordinal", key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", key, F.lit(1.0).alias("score"), "rank")
+
+
+def admitted(chunks: DataFrame, languages: list[str] | None = None, act_types: list[str] | None = None, act_ids: list[str] | None = None, in_force_only: bool = False) -> DataFrame:
+    """Chunks that fit every given list; an empty list or None asks nothing.  In force are the states in_force and amended."""
+    for name, wanted in (("language", languages), ("act_type", act_types), ("act_id", act_ids), ("status", ["in_force", "amended"] if in_force_only else None)):
+        if wanted:
+            chunks = chunks.where(F.col(name).isin(wanted))
+    return chunks

@@ -185,3 +185,23 @@ def one_open_each(ledger: DataFrame) -> DataFrame:
     """Open transactions that must wait because their user has an earlier one."""
     order = Window.partitionBy("user_id").orderBy("create_time", "payme_id")
     return ledger.where("state = 1").withColumn("_n", F.row_number().over(order)).where("_n > 1").drop("_n")
+
+
+def newest_code(codes: DataFrame) -> DataFrame:
+    """The latest code of each phone that is not consumed: codes hold phone, code_id, created_at, consumed."""
+    latest = Window.partitionBy("phone").orderBy(F.col("created_at").desc(), F.col("code_id").desc())
+    return codes.where(~F.col("consumed")).withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+
+
+def streamed_answers(events: DataFrame) -> DataFrame:
+    """request, answer, final from request, seq, kind (delta or done), text.
+
+    The last ``done`` replaces what was streamed; without one, the deltas stand in order.  A
+    request's deltas are one answer's, so their list is small.
+    """
+    done = F.col("kind") == "done"
+    last = F.max_by(F.when(done, F.col("text")), F.when(done, F.col("seq")))
+    deltas = F.sort_array(F.collect_list(F.when(F.col("kind") == "delta", F.struct("seq", "text"))))
+    rows = events.groupBy("request").agg(last.alias("last"), deltas.alias("deltas"), F.bool_or(done).alias("final"))
+    streamed = F.array_join(F.col("deltas.text"), "")
+    return rows.select("request", F.when(F.col("final"), F.col("last")).otherwise(streamed).alias("answer"), "final")

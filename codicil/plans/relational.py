@@ -395,7 +395,7 @@ def sca44_math(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'event: ' || event_type || chr(10) || 'data: ' || props AS frame FROM events")
 def sca54_json(spark, sf_dir):
-    """SCA-53, SCA-54, SCA-56: JSON fields and event frames."""
+    """SCA-54, SCA-56: JSON fields and event frames."""
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), "props").alias("frame"))
 
 

@@ -348,14 +348,14 @@ def ret19_crossref_expand(spark, sf_dir):
 
 @query("""
 WITH rows AS (
-  SELECT o_custkey AS query_id, o_orderkey AS chunk_id, round(o_totalprice / 500000, 2) AS score, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 10 AS precedence,
+  SELECT o_custkey AS query_id, o_orderkey AS chunk_id, round(o_totalprice / 500000, 3) AS score, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 10 AS precedence,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders
 )
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, precedence DESC, pos) AS final_pos FROM rows
 """)
 def ret20_final_order(spark, sf_dir):
     """RET-20, SRT-05, SCA-48: score to three places, legal force, the place before."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.round(F.col("o_totalprice") / 500000, 2).alias("score"), (F.substring("o_orderpriority", 1, 1).cast("int") * 10).alias("precedence"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), (F.col("o_totalprice") / 500000).alias("score"), (F.substring("o_orderpriority", 1, 1).cast("int") * 10).alias("precedence"))
     return fusion.final_order(fusion.positions(rows, F.col("chunk_id"))).select("query_id", "chunk_id", F.col("final_pos").cast("long").alias("final_pos"))
 
 

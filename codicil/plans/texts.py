@@ -144,7 +144,7 @@ def sca17_excerpt(spark, sf_dir):
 
 @query(r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[#*`_>]+', '', 'g'), '\s+', ' ', 'g')), 1, 350) AS summary FROM documents")
 def sca18_answer_summary(spark, sf_dir):
-    """SCA-18, SCA-29, SCA-32: plain text, cut."""
+    """SCA-18: plain text, cut."""
     return table(spark, sf_dir, "documents").select("doc_id", text.answer_summary(F.col("text")).alias("summary"))
 
 
