@@ -18,29 +18,45 @@ TOKEN_MARKS = "ʻʼ‘’'´`"
 
 # Interrogative and structural words that are not content, by language.
 FRAMING = {
-    "ru": "какой какая какое какие каков какова каково каковы что как где когда почему зачем кто чем чему это такое является являются"
-    " предусмотрено предусмотрена предусмотрены устанавливается установлен установлена происходит осуществляется признается признаётся"
-    " грозит нужно надо можно ли же бы если или для при об обо про по из от до над под без за",
-    "uz": "qanday qanaqa qaysi qachon qayerda nima nimalar nega kim kimlar necha nechta qancha bo'ladi boladi boʻladi qilinadi tuziladi"
-    " beriladi hisoblanadi deyiladi kerak mumkin uchun haqida bilan yoki va ham қандай қанақа қайси қачон қаерда нима нималар нега ким"
-    " кимлар неча нечта қанча бўлади қилинади тузилади берилади ҳисобланади дейилади керак мумкин учун ҳақида билан ёки ва ҳам",
-    "en": "what which how when where why who whom whose is are was were be been does do did can could should would must the a an of for"
-    " to in on at by with about under and or",
+    "ru": (
+        "какой", "какая", "какое", "какие", "каков", "какова", "каково", "каковы", "что", "как", "где", "когда", "почему", "зачем", "кто", "чем",
+        "чему", "это", "такое", "является", "являются", "предусмотрено", "предусмотрена", "предусмотрены", "устанавливается", "установлен",
+        "установлена", "происходит", "осуществляется", "признается", "признаётся", "грозит", "нужно", "надо", "можно", "ли", "же", "бы", "если",
+        "или", "для", "при", "об", "обо", "про", "по", "из", "от", "до", "над", "под", "без", "за",
+    ),
+    "uz": (
+        "qanday", "qanaqa", "qaysi", "qachon", "qayerda", "nima", "nimalar", "nega", "kim", "kimlar", "necha", "nechta", "qancha", "bo'ladi",
+        "boladi", "boʻladi", "qilinadi", "tuziladi", "beriladi", "hisoblanadi", "deyiladi", "kerak", "mumkin", "uchun", "haqida", "bilan", "yoki",
+        "va", "ham", "қандай", "қанақа", "қайси", "қачон", "қаерда", "нима", "нималар", "нега", "ким", "кимлар", "неча", "нечта", "қанча", "бўлади",
+        "қилинади", "тузилади", "берилади", "ҳисобланади", "дейилади", "керак", "мумкин", "учун", "ҳақида", "билан", "ёки", "ва", "ҳам",
+    ),
+    "en": (
+        "what", "which", "how", "when", "where", "why", "who", "whom", "whose", "is", "are", "was", "were", "be", "been", "does", "do", "did", "can",
+        "could", "should", "would", "must", "the", "a", "an", "of", "for", "to", "in", "on", "at", "by", "with", "about", "under", "and", "or",
+    ),
 }
 # Frequent words that tell languages apart.
 MARKERS = {
-    "uz": "va uchun bilan boʻyicha boyicha hisoblanadi qonun modda kodeks shartnoma huquq majburiyat javobgarlik tomonidan belgilangan"
-    " nazarda tutilgan oʻzbekiston ozbekiston respublikasi qanday nima qilish boʻlsa bolsa agar yoki ammo lekin",
-    "ru": "и в на по для статья закон кодекс договор право обязательство ответственность который если или не что как узбекистан"
-    " республики лица случае порядке",
-    "en": "the and of to in is article law code contract right obligation liability what how if or shall must",
+    "uz": (
+        "va", "uchun", "bilan", "boʻyicha", "boyicha", "hisoblanadi", "qonun", "modda", "kodeks", "shartnoma", "huquq", "majburiyat", "javobgarlik",
+        "tomonidan", "belgilangan", "nazarda", "tutilgan", "oʻzbekiston", "ozbekiston", "respublikasi", "qanday", "nima", "qilish", "boʻlsa",
+        "bolsa", "agar", "yoki", "ammo", "lekin",
+    ),
+    "ru": (
+        "и", "в", "на", "по", "для", "статья", "закон", "кодекс", "договор", "право", "обязательство", "ответственность", "который", "если", "или",
+        "не", "что", "как", "узбекистан", "республики", "лица", "случае", "порядке",
+    ),
+    "en": (
+        "the", "and", "of", "to", "in", "is", "article", "law", "code", "contract", "right", "obligation", "liability", "what", "how", "if", "or",
+        "shall", "must",
+    ),
 }
 # Fixed value: a branch of law named in an oblique case.
 BRANCH_OF_LAW = r"(?iU)\b(?:гражданск|уголовн|трудов|налогов|семейн|администрат\w*)\w*(?:ому|ого|ом)\s+прав(?:у|а|е)\b"
 
 
-def _words(text: str) -> Column:
-    return F.array(*[F.lit(w) for w in text.split()])
+def _words(words: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
 @pandas_udf(StringType())

@@ -82,14 +82,14 @@ def title_affinity(query: Column, title: Column) -> Column:
 
 # Words of act names that tell nothing about which act it is.
 ACT_NAME_NOISE = (
-    "кодекс кодекса кодексе кодекси кодексининг республики республикаси республикасининг узбекистан ўзбекистон uzbekiston"
-    " respublikasining kodeksi ответственности ответственность javobgarlik"
+    "кодекс", "кодекса", "кодексе", "кодекси", "кодексининг", "республики", "республикаси", "республикасининг", "узбекистан", "ўзбекистон",
+    "uzbekiston", "respublikasining", "kodeksi", "ответственности", "ответственность", "javobgarlik",
 )
 
 
 def act_affinity(query: Column, name: Column) -> Column:
     """Share of the act name's telling words that the question has."""
-    noise = F.array(*[F.lit(w) for w in ACT_NAME_NOISE.split()])
+    noise = F.array(*[F.lit(w) for w in ACT_NAME_NOISE])
     own = F.filter(name, lambda t: ~F.array_contains(noise, t))
     return F.coalesce(coverage(own, query), F.lit(0.0))
 

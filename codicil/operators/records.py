@@ -144,11 +144,14 @@ def backoff(attempt: Column) -> Column:
 
 LEDGER = "payme_id string, user_id string, amount long, state int, create_time long, perform_time long, cancel_time long, reason int, refused int"
 
+#: Calls of one time stand in this order.
+CALL_ORDER = {"create": 0, "perform": 1, "cancel": 2}
+
 
 def fold_payments(calls: DataFrame, price: int = DEFAULT.price_tiyin, timeout_ms: int = DEFAULT.payment_timeout_ms) -> DataFrame:
     """The ledger after a table of calls: payme_id, user_id, method, amount, at (epoch ms), reason.
 
-    create, perform and cancel of one transaction in order of time; a repeated call changes
+    create, perform and cancel of one transaction in order of time (at one time in that order); a repeated call changes
     nothing.  States: 1 created, 2 performed, -1 cancelled before, -2 refunded.  A create with a
     wrong amount and a perform after the time-out are refused, the latter cancelling with
     reason 4.  A fold for each transaction, whose calls are few.
@@ -158,7 +161,7 @@ def fold_payments(calls: DataFrame, price: int = DEFAULT.price_tiyin, timeout_ms
         import pandas as pd
 
         state, created, performed, cancelled, reason, refused, amount, user = 0, 0, 0, 0, None, 0, None, None
-        for r in rows.sort_values(["at", "method"], kind="stable").itertuples():
+        for r in rows.assign(step=rows["method"].map(CALL_ORDER)).sort_values(["at", "step"], kind="stable").itertuples():
             if r.method == "create":
                 if state == 0 and r.amount == price:
                     state, created, amount, user = 1, r.at, r.amount, r.user_id

@@ -68,15 +68,15 @@ def sca08_detect_language(spark, sf_dir):
 @query(r"""
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_‘ʼ'']+')) AS w FROM documents)
 SELECT doc_id, CAST(len(list_intersect(w, string_split('"""
-    + text.MARKERS["en"]
+    + " ".join(text.MARKERS["en"])
     + """', ' '))) AS BIGINT) AS en, CAST(len(list_intersect(w, string_split('"""
-    + text.MARKERS["uz"]
+    + " ".join(text.MARKERS["uz"])
     + """', ' '))) AS BIGINT) AS uz FROM t
 """)
 def sca08_marker_counts(spark, sf_dir):
     """SCA-08: marker words of each language in a text."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_‘ʼ']+"), F.lit(0)))
-    n = lambda k: F.size(F.array_intersect(found, F.split(F.lit(text.MARKERS[k]), " "))).cast("long").alias(k)
+    n = lambda k: F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in text.MARKERS[k]]))).cast("long").alias(k)
     return table(spark, sf_dir, "documents").select("doc_id", n("en"), n("uz"))
 
 
@@ -93,7 +93,7 @@ def ing06_token_estimate(spark, sf_dir):
 WITH t AS (SELECT conv_id, turn, regexp_extract_all(translate(lower(text), 'ʻʼ‘’''´`', ''), '[\p{L}\p{N}_]{2,}') AS raw FROM conversations),
 u AS (SELECT *, list_filter(raw, lambda x: NOT regexp_matches(x, '^\p{Nd}+$')) AS words FROM t),
 v AS (SELECT *, list_filter(words, lambda x: NOT list_contains(string_split('"""
-    + text.FRAMING["en"].replace("'", "''")
+    + " ".join(text.FRAMING["en"]).replace("'", "''")
     + r"""', ' '), x)) AS kept FROM u)
 SELECT conv_id, turn, CASE WHEN len(kept) > 0 THEN kept ELSE words END AS tokens FROM v
 """)

@@ -119,3 +119,10 @@ def srt12_tree_order(spark, sf_dir):
     path = F.concat((F.col("o_orderkey") % 12).cast("string"), F.lit("/"), F.col("o_orderstatus"))
     n = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("act_id"), path.alias("path"), F.col("o_orderkey").alias("ordinal"))
     return n.withColumn("nth", F.row_number().over(Window.partitionBy("act_id").orderBy("path", "ordinal")).cast("long"))
+
+
+@query("SELECT o_orderkey AS payme_id, o_custkey AS user_id FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) > 1")
+def src38_waiting_payments(spark, sf_dir):
+    """SRC-38: open transactions of users who have an earlier open one."""
+    ledger = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("payme_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("create_time"), F.when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("state"))
+    return records.one_open_each(ledger).select("payme_id", "user_id")

@@ -192,3 +192,19 @@ def ingest_stream(source: DataFrame, target: str, keys: list[str], content: str,
     q = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def alert_stream(changes: DataFrame, subscriptions: DataFrame, names: list[str], target: str, checkpoint: str) -> StreamingQuery:
+    """Fan each micro-batch of changed acts (alert_id, act_type, names) out to the users whom it concerns.
+
+    Subscriptions (user_id, act_type, keyword) are read anew for each batch.  A batch writes its
+    own folder, so one that runs again after a failure replaces what it wrote.
+    """
+    from ..operators.records import alerts_for
+
+    def emit(batch: DataFrame, number: int) -> None:
+        alerts_for(batch, subscriptions, names).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    q = changes.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q

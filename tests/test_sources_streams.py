@@ -177,3 +177,20 @@ def test_once_and_ingest(spark, tmp_path):
     load()
     now = spark.read.parquet(spark.read.text(str(tmp_path / "out/current")).first()[0])
     assert {tuple(r) for r in now.select("k", "content", "change").collect()} == {("a", "z", "amended"), ("b", "y", "unchanged"), ("c", "w", "new")}
+
+
+def test_alert_stream(spark, tmp_path):
+    acts = "alert_id long, act_type string, name string"
+    spark.createDataFrame([(1, "code", "Tax Code"), (2, "law", "On land"), (3, "decree", "Other")], acts).write.parquet(str(tmp_path / "in"))
+    subs = spark.createDataFrame([(7, "code", None), (8, None, "LAND"), (9, "none", None)], "user_id long, act_type string, keyword string")
+    changes = spark.readStream.schema(acts).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        streaming.alert_stream(changes, subs, ["name"], str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.user_id, r.alert_id) for r in got.collect()) == [(7, 1), (8, 2)]
+
+
+def test_calls_of_one_time_are_created_first(spark):
+    price = records.DEFAULT.price_tiyin
+    calls = spark.createDataFrame([("p", "u", m, price, 5, 3) for m in ("cancel", "perform", "create")], "payme_id string, user_id string, method string, amount long, at long, reason int")
+    assert [(r.state, r.refused) for r in records.fold_payments(calls).collect()] == [(-2, 0)]
