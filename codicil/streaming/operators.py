@@ -167,9 +167,11 @@ def available_now(rows: DataFrame, name: str, checkpoint: str, mode: str = "appe
     return q
 
 
-def ingest_stream(source: DataFrame, target: str, keys: list[str], content: str, checkpoint: str) -> StreamingQuery:
+def ingest_stream(source: DataFrame, target: str, keys: list[str], content: str, checkpoint: str, newest: str | None = None) -> StreamingQuery:
     """Upsert each micro-batch into a Parquet table by key, gated by a content hash.
 
+    Of a key's rows in a batch the one with the largest ``newest`` counts (then the largest content).
+
     The table lives in numbered folders; a batch writes the next one whole and then moves the
     pointer file, so a failed batch leaves the last state in place.
     """
@@ -179,7 +181,7 @@ def ingest_stream(source: DataFrame, target: str, keys: list[str], content: str,
         spark = batch.sparkSession
         fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
         pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/current")
-        latest = batch.groupBy(*keys).agg(F.max(content).alias(content))
+        latest = batch.groupBy(*keys).agg(F.max(F.struct(newest or content, F.col(content).alias("_content")))["_content"].alias(content))
         if fs.exists(pointer):
             now = spark.read.text(f"{target}/current").first()[0]
             fresh = upsert(spark.read.parquet(now), latest, keys, content)

@@ -194,3 +194,12 @@ def test_calls_of_one_time_are_created_first(spark):
     price = records.DEFAULT.price_tiyin
     calls = spark.createDataFrame([("p", "u", m, price, 5, 3) for m in ("cancel", "perform", "create")], "payme_id string, user_id string, method string, amount long, at long, reason int")
     assert [(r.state, r.refused) for r in records.fold_payments(calls).collect()] == [(-2, 0)]
+
+
+def test_newest_content_of_a_batch(spark, tmp_path):
+    rows = "k long, body string, at long"
+    spark.createDataFrame([(1, "z old", 1), (1, "a new", 2), (2, "x", 1)], rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows).parquet(str(tmp_path / "in"))
+    streaming.ingest_stream(source, str(tmp_path / "t"), ["k"], "body", str(tmp_path / "cp"), newest="at")
+    got = spark.read.parquet(spark.read.text(str(tmp_path / "t/current")).first()[0])
+    assert sorted((r.k, r.body) for r in got.collect()) == [(1, "a new"), (2, "x")]
