@@ -17,7 +17,10 @@ from .quality_classifier import PerplexityConfig, quality_scores
 from .quality_rules import BASE, POLICIES, judged, ledger
 from .substring_dedup import PassageConfig, repeated_passages
 from .token_packing import TokenPackingConfig, packed_tokens
+from .prefix_trie import TrieConfig, coded_turns, prefix_trie, rebuilt
+from .spelling import SpellingConfig, spelling_variants
 from .url_filter import UrlFilterConfig, url_verdicts
+from .vector_packing import VectorPackingConfig, vector_packed
 
 
 def tokenizer_path() -> str:
@@ -79,6 +82,20 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(read(spark, sf_dir, "embeddings"), TopKConfig(k=20, every=20))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(coded_turns(read(spark, sf_dir, "conversations"))), TrieConfig())
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return vector_packed(read(spark, sf_dir, "documents"), VectorPackingConfig(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"), SpellingConfig())
+
+
 OP4_SQL = r"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -147,7 +164,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_packing, op2_quality_classifier, op3_source_mixing, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_url_filter, op8_minhash_near_dedup, op9_cutting_stock_packing, op10_exact_topk)
+    found = (op1_token_packing, op2_quality_classifier, op3_source_mixing, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_url_filter, op8_minhash_near_dedup, op9_cutting_stock_packing, op10_exact_topk, op11_prefix_trie, op12_vector_packing, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
