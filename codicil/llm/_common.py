@@ -122,6 +122,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def private(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` has."""
+    low = {c.lower() for c in taken}
+    while f"_{name}" in low:
+        name = f"_{name}"
+    return f"_{name}"
+
+
+def aside(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that are not in ``used`` under names of their own, and what selects all as they were named.
+
+    So what an operator adds can't take the place of a column that it doesn't read.
+    """
+    hidden = {c: private(f"own{i}", docs.columns) for i, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(hidden), [F.col(hidden.get(c, c)).alias(c) for c in docs.columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once for the row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

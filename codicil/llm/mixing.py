@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from ._common import SEPARATOR_RUN, attach, cut, running_sum
+from ._common import SEPARATOR_RUN, aside, attach, cut, running_sum
 
 
 def ranked_weights(rank: Column) -> Column:
@@ -113,14 +113,15 @@ def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
 
 
 def repeated(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names.
 
     A part is the first words of the text, joined by blanks.
     """
+    docs, named = aside(docs, ["doc_id", "text", "source"])
     rows = mixed(docs, config).where("taken > 0")
     copies = F.when(F.col("copies") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("copies"))).otherwise(F.array().cast("array<bigint>"))
     part = F.when(F.col("words_more") > 0, F.array("words_more")).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("_part", F.explode(F.concat(copies, part)))
     first = F.slice(F.filter(F.split("text", SEPARATOR_RUN), lambda w: w != ""), F.lit(1), F.col("_part").cast("int"))
     text = F.when(F.col("_part") > 0, F.array_join(first, " ")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    return rows.withColumn("text", text).select(*named)

@@ -10,10 +10,13 @@ probability of a text is a sum over its n-grams:
 
 So a document's perplexity is a join of its n-grams with one table (gram, weight), and a sum.
 The table is hash-partitioned; documents send the keys of their n-grams, packed by shard, and a
-task meets one shard of the table with the keys of that shard.  The commonest n-grams, a fixed
-number, go to every executor and are added where the text is read, so no hot word makes a hot
-shard; a Bloom filter of fixed size leaves out most bigrams that the model lacks, which add
-nothing.  The work is done in ``rounds`` over parts of the table to keep the shuffle files small.
+task meets one shard of the table with the keys of that shard.  The commonest n-grams of the
+trusted text and of the documents, a fixed number of each, go to every executor with their
+weights, or with what an n-gram that the model lacks adds, and are added where the text is read,
+so no hot word makes a hot shard; which n-grams of the documents those are is estimated from a
+bounded part of them and changes no result.  A Bloom filter of fixed size leaves out most
+n-grams that the model lacks: bigrams add nothing, words the weight of an unknown one.  The work
+is done in ``rounds`` over parts of the table to keep the shuffle files small.
 
 Part of the trusted documents is held out of the counts.  The thresholds are quantiles by
 language: the upper one of the perplexities of held-out documents, as documents that a model has
@@ -30,7 +33,7 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ._common import attach, bounded, cut, drop, id_filter, maybe_in, small_batches
+from ._common import attach, bounded, cut, drop, id_filter, maybe_in, private, small_batches
 
 #: Word numbers that no word has: the beginning and end of a text, and "no word before".
 BEGIN, END, NONE = 0, 1, (1 << 32) - 1
@@ -45,8 +48,11 @@ class PerplexityConfig:
     high: float = 0.99
     #: Relative rank error of the quantiles is 1 / accuracy.
     accuracy: int = 10_000
-    #: N-grams that are sent to every executor, the commonest.
+    #: N-grams that are sent to every executor: the commonest of the trusted text, and of the documents.
     common: int = 200_000
+    frequent: int = 100_000
+    #: Bytes of the documents' text in which their commonest n-grams are counted.
+    part_bytes: int = 1 << 25
     #: Parts of the table that are joined one after the other, and bytes of text for each shard of a part.
     rounds: int = 3
     shard_bytes: int = 1 << 26
@@ -115,6 +121,23 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def frequent_grams(docs: DataFrame, size: int, config: PerplexityConfig) -> DataFrame:
+    """gram of at most ``frequent`` n-grams that are commonest in a part of docs (ref, text) of about ``part_bytes`` of ``size``."""
+    part = docs.where(F.pmod(F.xxhash64("ref"), F.lit(-(-max(1, size) // config.part_bytes))) == 0)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, _, grams, _ in _grams(batch.column(0)):
+                keys, counts = np.unique(grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["gram", "n"])
+
+    counted = part.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return counted.where("n > 3").orderBy(F.col("n").desc(), "gram").limit(config.frequent).select("gram")
+
+
 def _discounts(counts: DataFrame, column: str) -> tuple[float, float, float]:
     """Discounts for counts of 1, 2 and 3 or more, from the counts of counts."""
     n1, n2, n3, n4 = counts.agg(*[F.count_if(F.col(column) == k) for k in (1, 2, 3, 4)]).first()
@@ -174,13 +197,17 @@ def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: Perp
         if (held := held + n) > config.common:
             break
         least = k
-    top = table.where(size_class >= F.lit(least)).select("gram", "weight").toPandas()
-    grams = top["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(grams)
-    common = spark.sparkContext.broadcast((grams[order], top["weight"].to_numpy()[order].astype(np.float64)))
-    pairs = table.where(F.shiftrightunsigned("gram", 32) != NONE)
-    seen = id_filter(pairs, "gram")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    hot = cut(frequent_grams(docs, size, config))
+    # Two tables of a fixed number of rows each.
+    top = table.where(size_class >= F.lit(least)).select("gram", F.col("weight").cast("double").alias("weight"))
+    lacks = F.when(F.shiftrightunsigned("gram", 32) == NONE, unknown).otherwise(0.0)
+    hot_weights = hot.join(table.select(F.col("gram").alias("g"), "weight"), F.col("gram") == F.col("g"), "left").select("gram", F.coalesce(F.col("weight").cast("double"), lacks).alias("weight"))
+    top = top.union(hot_weights).distinct().toPandas()
+    grams, order = np.unique(top["gram"].to_numpy().view(np.uint64), return_index=True)
+    common = spark.sparkContext.broadcast((grams, top["weight"].to_numpy(dtype=np.float64)[order]))
+    drop(hot)
+    seen = id_filter(table, "gram")
     shards, rounds = max(32, -(-size // config.shard_bytes)), config.rounds
 
     def keys(number: int):
@@ -199,13 +226,14 @@ def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: Perp
                     if number == 0:
                         base += np.bincount(owner[hit], weights[at[hit]], minlength=len(n))
                     grams, owner = grams[~hit], owner[~hit]
+                    keep = maybe_in(seen, grams.view(np.int64))
+                    if number == 0:
+                        single = ~keep & (grams >> np.uint64(32) == np.uint64(NONE))
+                        base += unknown * np.bincount(owner[single], minlength=len(n))
+                    grams, owner = grams[keep], owner[keep]
                     shard = X.mix(grams)
                     mine = shard % np.uint64(rounds) == np.uint64(number)
                     grams, owner, shard = grams[mine], owner[mine], (shard[mine] // np.uint64(rounds) % np.uint64(shards)).astype(np.int64)
-                    pair = grams >> np.uint64(32) != np.uint64(NONE)
-                    keep = ~pair
-                    keep[pair] = maybe_in(seen, grams[pair].view(np.int64))
-                    grams, owner, shard = grams[keep], owner[keep], shard[keep]
                     by = np.lexsort((owner, shard))
                     grams, owner, shard = grams[by], owner[by], shard[by]
                     here = refs[row : row + len(n)]
@@ -334,4 +362,5 @@ def quality_kept(docs: DataFrame, trusted: DataFrame, config: PerplexityConfig =
     kept = scores.agg(F.count_if("kept"), F.count_if(~F.col("kept"))).first()
     how, part = ("left_semi", scores.where("kept")) if kept[0] < kept[1] else ("left_anti", scores.where("not kept"))
     names = docs.columns
-    return attach(docs.withColumn("_ref", _ref()), part.select(F.col("ref").alias("_ref")), ["_ref"], how).select(*names)
+    key = private("ref", names)
+    return attach(docs.withColumn(key, _ref()), part.select(F.col("ref").alias(key)), [key], how).select(*names)

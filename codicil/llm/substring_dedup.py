@@ -16,9 +16,11 @@ Two kinds of unit tile and slide over every text.
    sets.
 3. Different paragraphs of a bucket are confirmed by exact Jaccard similarity of their sets and
    clustered by components (``minhash_dedup.linked``); equal ones are a cluster by themselves.
-4. Every cluster keeps its first occurrence by (doc_id, start).  Neighbouring matches of equal
-   units at one distance join, and a third pass brings the words around what they cover, so that
-   each grows word by word until the words differ (words are compared by hashes).
+4. Every cluster keeps its first occurrence by (doc_id, start).  Matches of equal units at one
+   distance that touch join, and a third pass brings the words around what they cover, so that
+   each grows word by word until the words differ (words are compared by hashes).  Two matches
+   with changed words between them are one passage only if those words are few and apart and the
+   exact Jaccard similarity of the whole says so (``grown``).
 5. What a document repeats is merged into disjoint spans; those of at least ``least`` words are
    the removals.
 """
@@ -54,8 +56,8 @@ class PassageConfig:
 KEYS = "key long, place int"
 #: ``group`` names equal units; bands and set are null for units that only equal ones meet.
 PLACES = "doc_id long, start int, n_words int, group long, bands array<long>, set array<long>"
-#: 16 bits of a hash of each word before and after a place, nearest first.
-AROUND = "doc_id long, start int, before array<short>, after array<short>"
+#: 32 bits of a hash of each word before and after a place, nearest first.
+AROUND = "doc_id long, start int, before array<int>, after array<int>"
 
 
 def units(np, mix, h, a, b, first, least: int, width: int):
@@ -144,19 +146,19 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
         def lists(values, n, kind):
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values, kind))
 
-        def words_of(h16, firsts, lasts, backwards):
+        def words_of(short, firsts, lasts, backwards):
             n = lasts - firsts
             at = spread(n)
             at = np.repeat(lasts, n) - 1 - at if backwards else np.repeat(firsts, n) + at
-            return lists(h16[at], n, pa.int16())
+            return lists(short[at], n, pa.int32())
 
-        def around(ids, h16, first, owner, at):
+        def around(ids, short, first, owner, at):
             """The words before and after the word places ``at`` of the texts ``owner``, of those that ``wanted`` holds."""
             keep = maybe_in(wanted, spot(np, X.mix, ids[owner], at - first[owner]))
             at, owner = at[keep], owner[keep]
             if len(at):
                 left, right = np.maximum(at - window, first[owner]), np.minimum(at + window, first[owner + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - first[owner]).astype(np.int32)), words_of(h16, left, at, True), words_of(h16, at, right, False)], names=["doc_id", "start", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - first[owner]).astype(np.int32)), words_of(short, left, at, True), words_of(short, at, right, False)], names=["doc_id", "start", "before", "after"])
 
         def places(ids, first, owner, firsts, lasts, whole, band, rolled):
             """Units with a shared key."""
@@ -186,13 +188,13 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
                 if not len(starts):
                     continue
                 h = X.word_hashes(data, starts, ends)
-                h16 = (h >> u(48)).astype(np.uint16).view(np.int16)
+                short = (h >> u(32)).astype(np.uint32).view(np.int32)
                 ids = numbers[row : row + len(offsets) - 1]
                 edges = np.unique(np.concatenate([first, np.searchsorted(starts, np.flatnonzero(data == 10))]))
                 a, b = units(np, X.mix, h, edges[:-1], edges[1:], first, least, width)
                 owner = np.searchsorted(first, a, side="right") - 1
                 if wanted is not None and len(a):
-                    yield from around(ids, h16, first, np.concatenate([owner, owner]), np.concatenate([a, b]))
+                    yield from around(ids, short, first, np.concatenate([owner, owner]), np.concatenate([a, b]))
                 elif len(a):
                     rolled = h
                     for _ in range(width - 1):
@@ -229,7 +231,7 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
                     continue
                 at, owner = np.concatenate(chosen), np.concatenate(owner)
                 if wanted is not None:
-                    yield from around(ids, h16, first, np.concatenate([owner, owner]), np.concatenate([at, at + size]))
+                    yield from around(ids, short, first, np.concatenate([owner, owner]), np.concatenate([at, at + size]))
                     continue
                 whole = folded(h, at, at + size, 2)
                 if keys is None:
@@ -243,11 +245,10 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
     return rows_in.mapInArrow(run, AROUND if wanted is not None else KEYS if keys is None else PLACES)
 
 
-def _common_words(one: Column, two: Column) -> Column:
-    """How many words two arrays have in common from their beginnings."""
-    same = F.zip_with(one, two, lambda x, y: F.coalesce(x == y, F.lit(False)))
+def _leading(same: Column) -> Column:
+    """How many words are the same from the beginning on."""
     ends = F.array_position(same, F.lit(False))
-    return F.when(ends > 0, ends - 1).otherwise(F.size(same)).cast("int")
+    return F.coalesce(F.when(ends > 0, ends - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
 
 
 def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
@@ -293,38 +294,62 @@ _AT = ("doc_id", "start", "n_words")
 def _later(rows: DataFrame, name: str) -> DataFrame:
     """Rows of a cluster after its first one (with it, as ``first``), and not overlapping it."""
     firsts = rows.groupBy(F.col(name).alias("_name")).agg(F.min(F.struct(*_AT)).alias("first"), F.max(F.struct(*_AT)).alias("last"))
-    firsts = firsts.where("first != last").drop("last")
+    # A cut, so that both sides of the join are plain exchanges and a hot cluster can be split.
+    firsts = cut(firsts.where("first != last").drop("last"))
     found = rows.join(firsts, F.col(name) == F.col("_name"))
     return found.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.start") + F.col("first.n_words"))).drop("_name")
 
 
+_DISTANCE = ["doc_id", "first_doc_id", "shift"]
+
+
 def streaks(places: DataFrame, config: PassageConfig) -> DataFrame:
-    """Later occurrences of equal units (_SPAN); those at the same distance from their first ones
-    with less than a window between them, in which only changed words can stand, are one.
+    """Later occurrences of equal units (_SPAN, shift), those that touch at one distance from their first ones joined.
 
+    gap is the number of words to the next one at that distance, null if it is two windows or more:
+    what both matches go on for is not in it yet, which is less than a window for each.
     A window holds what two documents have in common at one distance.
     """
     found = _later(places, "group").select("doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"), F.col("group").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), (F.col("start") - F.col("first.start")).alias("shift"))
-    by = ["doc_id", "first_doc_id", "shift"]
-    order = Window.partitionBy(*by).orderBy("start", "end")
+    order = Window.partitionBy(*_DISTANCE).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = found.withColumn("new", F.when(F.col("start") <= reach + config.window, 0).otherwise(1))
+    new = found.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
     numbered = new.withColumn("streak", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    one = numbered.groupBy(*by, "streak").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id"))
-    return one.select("doc_id", "start", "end", "component_id", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"))
+    one = numbered.groupBy(*_DISTANCE, "streak").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id"))
+    gap = F.lead("start").over(Window.partitionBy(*_DISTANCE).orderBy("start")) - F.col("end")
+    gap = F.when(gap < 2 * config.window, gap)
+    return one.select("doc_id", "start", "end", "component_id", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"), "shift", gap.alias("gap"))
+
+
+def _lost_shingles(same: Column, gap: Column, width: int) -> Column:
+    """Shingles that touch a word that differs, of ``gap`` words that are the same or not; null if ``width`` neighbouring words differ."""
+    begin = F.struct(F.lit(0).alias("lost"), F.lit(width).alias("since"), F.lit(0).alias("row"), F.lit(0).alias("most"))
+
+    def step(s, equal):
+        row = F.when(equal, 0).otherwise(s["row"] + 1)
+        lost = s["lost"] + F.when(equal, 0).otherwise(F.least(s["since"], F.lit(width)))
+        return F.struct(lost.alias("lost"), F.when(equal, s["since"] + 1).otherwise(1).alias("since"), row.alias("row"), F.greatest(s["most"], row).alias("most"))
+
+    seen = F.aggregate(same, begin, step)
+    return F.when((F.size(same) == gap) & (seen["most"] < width), seen["lost"])
 
 
 def grown(docs: DataFrame, spans: DataFrame, config: PassageConfig) -> DataFrame:
     """Spans (_SPAN) with the words around them that both texts have in common: each once grown to the left, once to the right.
 
-    A match that went on for a whole window would hold one more shared unit, so that far is enough.
+    A match that went on for a whole window would hold one more shared unit, so that far is
+    enough.  Spans at one distance between which never ``width`` neighbouring words differ are a
+    chain; where the exact Jaccard similarity of the two passages that a chain covers is
+    ``percent`` or more (all their shingles but those that touch a changed word are common), the
+    chain is one passage, changed words included.  Else its matches stand for themselves.
     """
+    width = config.width
     last = F.col("first_start") + F.col("end") - F.col("start")
     sides = F.array(
         F.struct(F.lit(False).alias("right"), F.col("start").alias("at"), F.col("first_start").alias("first_at")),
         F.struct(F.lit(True).alias("right"), F.col("end").alias("at"), last.alias("first_at")),
     )
-    edges = cut(spans.select(*_SPAN, F.explode(sides).alias("s")).select(*_SPAN, "s.*"))
+    edges = cut(spans.select(*_SPAN, "shift", "gap", F.explode(sides).alias("s")).select(*_SPAN, "shift", "gap", "s.*"))
     asked = edges.select("doc_id", "at").union(edges.select("first_doc_id", "first_at")).toDF("doc_id", "start").distinct()
 
     def spots(batches):
@@ -336,15 +361,35 @@ def grown(docs: DataFrame, spans: DataFrame, config: PassageConfig) -> DataFrame
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(spot(np, X.mix, batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["spot"])
 
-    sent = id_filter(cut(asked.mapInArrow(spots, "spot long")), "spot")
+    spotted = cut(asked.mapInArrow(spots, "spot long"))
+    sent = id_filter(spotted, "spot")
     # Places that are the end of one unit and the beginning of another come twice.
     words = cut(_pass(docs, config, wanted=sent).dropDuplicates(["doc_id", "start"]))
     own = words.select(F.col("doc_id").alias("d"), F.col("start").alias("p"), F.col("before").alias("b1"), F.col("after").alias("a1"))
     theirs = words.select(F.col("doc_id").alias("e"), F.col("start").alias("q"), F.col("before").alias("b2"), F.col("after").alias("a2"))
     both = edges.join(own, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("p"))).join(theirs, (F.col("first_doc_id") == F.col("e")) & (F.col("first_at") == F.col("q")))
-    left = F.when(F.col("right"), 0).otherwise(_common_words(F.col("b1"), F.col("b2")))
-    right = F.when(F.col("right"), _common_words(F.col("a1"), F.col("a2"))).otherwise(0)
-    return both.select("doc_id", (F.col("start") - left).alias("start"), (F.col("end") + right).alias("end"), "component_id", "first_doc_id", (F.col("first_start") - left).alias("first_start"))
+    right = F.col("right")
+    same = lambda one, two: F.zip_with(F.col(one), F.col(two), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    out = cut(both.select(*_SPAN, "shift", "gap", "right", F.when(right, same("a1", "a2")).otherwise(same("b1", "b2")).alias("same")))
+    drop(edges, spotted, words)
+    side = lambda which: F.max(F.when(which, F.col("same")))
+    ends = out.groupBy(*_SPAN, "shift", "gap").agg(side(~right).alias("before"), side(right).alias("after"))
+    order = Window.partitionBy(*_DISTANCE).orderBy("start")
+    # The words between two matches: those after the first one, then those before the second.
+    near = F.least("gap", F.size("after"))
+    between = F.concat(F.slice("after", F.lit(1), near), F.reverse(F.slice("next", F.lit(1), F.col("gap") - near)))
+    ends = ends.withColumn("next", F.lead("before").over(order))
+    lost = F.when(F.col("gap").isNotNull() & F.col("next").isNotNull(), _lost_shingles(between, F.col("gap"), width))
+    ends = ends.select(*_SPAN, "shift", _leading(F.col("before")).alias("left"), _leading(F.col("after")).alias("more"), lost.alias("lost"))
+    chained = ends.withColumn("new", F.when(F.lag("lost").over(order).isNull(), 1).otherwise(0))
+    chained = chained.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    start, end, changed = F.col("start") - F.col("left"), F.col("end") + F.col("more"), F.coalesce("lost", F.lit(0))
+    span = F.struct(start.alias("start"), end.alias("end"), "component_id")
+    chains = chained.groupBy(*_DISTANCE, "chain").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.min("component_id").alias("component_id"), F.sum(changed).alias("lost"), F.collect_list(span).alias("spans"))
+    common = F.col("end") - F.col("start") - (width - 1) - F.col("lost")
+    whole = 100 * common >= config.percent * (common + 2 * F.col("lost"))
+    spans = F.when(whole, F.array(F.struct("start", "end", "component_id"))).otherwise(F.col("spans"))
+    return chains.select("doc_id", "first_doc_id", "shift", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.component_id", "first_doc_id", (F.col("s.start") - F.col("shift")).alias("first_start"))
 
 
 def _similar(places: DataFrame, groups: DataFrame) -> DataFrame:

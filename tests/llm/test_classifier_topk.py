@@ -166,3 +166,18 @@ def test_sparse_terms_scatter():
         scores = m @ q[i]
         want = sorted(range(200), key=lambda c: (-scores[c], c))[:4]
         assert sorted(c for a, c, _ in got if a == 1000 + i) == sorted(want)
+
+
+def test_a_hot_word_that_the_model_lacks_travels_with_the_text(spark):
+    """One unseen word is half of all words: its keys go to no shard, and the scores are those of the plain model."""
+    from codicil.llm import quality_classifier as Q
+
+    texts = [prose(k, 60) for k in range(40)]
+    hot = [" ".join(w for x in prose(100 + k, 60).split() for w in (x, "unseenword")) for k in range(40)]
+    rows = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts + hot)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(40)], "doc_id long")
+    frequent = Q.frequent_grams(rows.select(F.col("doc_id").alias("ref"), "text"), 1 << 20, Q.PerplexityConfig())
+    assert frequent.count() > 0
+    few = Q.PerplexityConfig(frequent=0, common=1)
+    a, b = ({r.doc_id: round(r.log_perplexity, 6) for r in Q.quality_scores(rows, trusted, c).collect()} for c in (Q.PerplexityConfig(), few))
+    assert a == b and len(a) == 80

@@ -190,3 +190,26 @@ def test_precision_and_recall_by_words_against_brute_force(spark, sf_dir):
         total += len(covered)
         wrong += len(covered - repeated)
     assert wrong <= 0.03 * total
+
+
+def test_words_between_short_matches_stay(spark):
+    """Pairs of documents with two common passages below the limit around different words."""
+    texts = []
+    for k in range(60):
+        gap, one, two = (8, 14, 20, 26)[k % 4], prose(9000 + k, 48), prose(9100 + k, 48)
+        for side in (0, 1):
+            texts.append(" ".join([prose(9200 + 2 * k + side, 40), one, prose(9400 + 2 * k + side, gap), two, prose(9600 + 2 * k + side, 40)]))
+    assert repeated_passages(documents(spark, texts)).count() == 0
+
+
+def test_a_long_passage_keeps_to_its_words_and_one_changed_word_joins(spark):
+    texts, want = [], {}
+    for k, gap in enumerate((1, 3, 8, 26, 1, 3)):
+        one, two = prose(7000 + k, 60), prose(7100 + k, 60)
+        for side in (0, 1):
+            texts.append(" ".join([prose(7200 + 2 * k + side, 30), one, prose(7400 + 2 * k + side, gap), two, prose(7600 + 2 * k + side, 30)]))
+        want[2 * k + 1] = [(30, 120 + gap)] if gap < 5 else [(30, 60), (90 + gap, 60)]
+    got = {}
+    for r in repeated_passages(documents(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.n_words))
+    assert {i: sorted(x) for i, x in got.items()} == want

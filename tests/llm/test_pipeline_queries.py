@@ -85,3 +85,15 @@ def test_query_equals_sql(spark, name):
     assert columns == sorted(want.columns)
     rows = lambda df: sorted((tuple(r[c] for c in columns) for r in df), key=repr)
     assert rows(r.asDict() for r in got.collect()) == rows(dict(zip(want.columns, r)) for r in want.fetchall())
+
+
+def test_further_columns_are_handed_on(spark):
+    names = ["size", "source_size", "target", "taken", "copies", "words_more", "n_lines", "n_removed", "low", "high", "ref", "_ref", "kept", "n_words", "log_perplexity", "rank", "positions", "_key", "_n", "_own0", "component_id", "id", "_part", "h1"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i} "), "doc_id"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        rows = got.select("doc_id", *names).collect()
+        assert rows and all(r[c] == f"{i} {r.doc_id}" for r in rows for i, c in enumerate(names)), name
