@@ -1,9 +1,9 @@
 """Full-text search by postings: weighted fields, OR of prefixes, phrases.
 
 A matched position counts its field's weight once, however many terms reach it.  A table of
-questions with at most ``SENT_TERMS`` terms goes to every executor: the words of a batch of
-chunks are folded to (chunk, word, count) where they are read and multiplied with the questions
-that each word answers, so no posting is shuffled and only the best of a batch are ranked.
+questions with at most ``SENT_TERMS`` terms goes to every executor: the words of a few hundred
+chunks are folded to (chunk, word, count) where they are read and meet the questions that each
+word answers, so no posting is shuffled and only the best of a task are ranked.
 Beyond that, terms meet the vocabulary, not the postings, so a prefix costs its distinct words
 and the postings are joined by equality.  Scores are rounded to nine places, so that ties are
 ties whatever the order of sums.
@@ -12,16 +12,19 @@ ties whatever the order of sums.
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
 from ..functions.text import tokens
-from ..session import ship, spread
+from ..scratch import stored
+from ..session import ship, small, spread
 
 # Weights of the fields.
 FIELD_WEIGHTS = {"law_name": 1.0, "heading": 0.4, "text": 0.2}
 PLAIN_WEIGHT = 0.1
 #: Terms of all questions that are sent to every executor at most.
 SENT_TERMS = 100_000
+#: Chunks that are scored at once at most, pairs of a chunk and a question that are held, and words a task remembers.
+ROWS, PAIRS, SEEN_WORDS = 512, 1 << 21, 200_000
 
 
 def postings(chunks: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, key: str = "chunk_id") -> DataFrame:
@@ -56,10 +59,12 @@ def or_scores(posts: DataFrame, expanded: DataFrame, key: str = "chunk_id") -> D
     return posts.join(expanded, "lexeme").groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("weight"))
 
 
-def batch_scores(chunks: DataFrame, terms: DataFrame, fields: dict[str, float], key: str, k: int | None = None, least: int = 2) -> DataFrame:
-    """query_id, key, weight as by ``or_scores``, of each batch's ``k`` best for a question (or all), without a shuffle.
+def batch_scores(chunks: DataFrame, terms: DataFrame, fields: dict[str, float], key: str, k: int | None = None, least: int = 2, masks: DataFrame | None = None) -> DataFrame:
+    """query_id, key, weight as by ``or_scores``, of each task's ``k`` best for a question (or all), without a shuffle.
 
-    ``terms`` is collected: SENT_TERMS rows at most.
+    ``terms`` is collected: SENT_TERMS rows at most.  Matches are kept as pairs of a chunk and a
+    question, PAIRS at a time, and a task holds ``k`` rows for each question besides.  With
+    ``masks`` (query_id, mask) a question meets the chunks whose ``bit`` its mask has.
     """
     import numpy as np
 
@@ -71,62 +76,95 @@ def batch_scores(chunks: DataFrame, terms: DataFrame, fields: dict[str, float],
     by_term: dict[str, list[int]] = {}
     for term, place in zip(asked["term"], places):
         by_term.setdefault(term, []).append(int(place))
-    sent, weights = spark.sparkContext.broadcast((queries, by_term)), list(fields.values())
+    allowed = None
+    if masks is not None:
+        of = dict(masks.join(terms.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "mask").collect())
+        allowed = np.array([of.get(q, -1) for q in queries.tolist()], dtype=np.int64)
+    sent, weights = spark.sparkContext.broadcast((queries, by_term, allowed)), list(fields.values())
     longest = max(map(len, by_term), default=0)
 
     def run(batches):
         import pyarrow as pa
 
-        ids, wanted = sent.value
-        rows_of: dict[str, int] = {}
-        answers = np.zeros((0, len(ids)), dtype=np.uint8)
-
-        def row_of(word: str, made: list) -> int:
-            """The row of ``answers`` for the questions with a prefix of the word; -1 for none."""
-            if (row := rows_of.get(word)) is None:
-                found = [q for n in range(least, min(len(word), longest) + 1) for q in wanted.get(word[:n], ())]
-                row = -1
-                if found:
-                    row = len(answers) + len(made)
-                    made.append(np.bincount(found, minlength=len(ids)).astype(bool).astype(np.uint8))
-                rows_of[word] = row
-            return row
-
-        for batch in batches:
-            n, keys = batch.num_rows, batch.column(0)
-            scores = np.zeros((n, len(ids)))
-            for column, weight in zip(batch.columns[1:], weights):
+        ids, wanted, allowed = sent.value
+        seen: dict[str, np.ndarray] = {}
+        none = np.zeros(0, dtype=np.int64)
+
+        def questions(word: str):
+            """The questions with a prefix of the word."""
+            if (found := seen.get(word)) is None:
+                if len(seen) >= SEEN_WORDS:
+                    seen.clear()
+                found = [wanted[word[:n]] for n in range(least, min(len(word), longest) + 1) if word[:n] in wanted]
+                found = seen[word] = np.unique(np.concatenate(found)) if found else none
+            return found
+
+        def folded(pair, weight):
+            """Distinct pairs and the sums of their weights."""
+            distinct, at = np.unique(pair, return_inverse=True)
+            return distinct, np.bincount(at, weights=weight, minlength=len(distinct))
+
+        def matched(columns, n):
+            """(row * questions + question, weight) of the rows of a batch, in order."""
+            pairs, sums, waiting = none, np.zeros(0), []
+            for column, weight in zip(columns, weights):
                 words = column.flatten().dictionary_encode()
-                made: list = []
-                rows = np.array([row_of(w, made) for w in words.dictionary.to_pylist()], dtype=np.int64)
-                if made:
-                    answers = np.concatenate([answers, np.stack(made)])
-                if not len(rows):
+                lists = [questions(w) for w in words.dictionary.to_pylist()]
+                if not lists:
+                    continue
+                size = np.array([len(x) for x in lists])
+                flat, begin = np.concatenate([*lists, none]), np.cumsum(size) - size
+                row, word = np.repeat(np.arange(n), column.value_lengths().fill_null(0).to_numpy()), words.indices.to_numpy()
+                some = size[word] > 0
+                places, count = np.unique(row[some] * len(lists) + word[some], return_counts=True)
+                row, word = places // len(lists), places % len(lists)
+                each = np.cumsum(size[word])
+                at = 0
+                while at < len(row):
+                    to = max(at + 1, int(np.searchsorted(each, (each[at - 1] if at else 0) + PAIRS, side="right")))
+                    m = size[word[at:to]]
+                    q = flat[np.repeat(begin[word[at:to]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+                    waiting.append(folded(np.repeat(row[at:to], m) * len(ids) + q, np.repeat(count[at:to] * weight, m)))
+                    at = to
+            if waiting:
+                pairs, sums = folded(*(np.concatenate(x) for x in zip(*waiting)))
+            return pairs, sums
+
+        def best(q, score, keys):
+            """The k best rows of each question, ties to the smaller key."""
+            order = np.lexsort((np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)[1], -np.round(score, 9), q))
+            ordered = q[order]
+            begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+            order = order[nth < k]
+            return q[order], score[order], keys.take(pa.array(order))
+
+        def rows_of(q, score, keys):
+            return pa.RecordBatch.from_arrays([pa.array(ids[q]), keys, pa.array(score)], names=["query_id", key, "weight"])
+
+        held, step = None, max(1, min(ROWS, PAIRS // max(1, len(ids))))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                pairs, score = matched(part.columns[2:], part.num_rows)
+                if allowed is not None:
+                    meets = part.column(1).to_numpy()[pairs // len(ids)] & allowed[pairs % len(ids)] != 0
+                    pairs, score = pairs[meets], score[meets]
+                if not len(pairs):
+                    continue
+                q, keys = pairs % len(ids), part.column(0).take(pa.array(pairs // len(ids)))
+                if k is None:
+                    yield rows_of(q, score, keys)
                     continue
-                chunk = np.repeat(np.arange(n), column.value_lengths().fill_null(0).to_numpy())
-                row = rows[words.indices.to_numpy()]
-                chunk, row = chunk[row >= 0], row[row >= 0]
-                pair, count = np.unique(chunk * len(answers) + row, return_counts=True)
-                chunk, row = pair // max(1, len(answers)), pair % max(1, len(answers))
-                for lo in range(0, len(pair), 16_384):
-                    c = chunk[lo : lo + 16_384]
-                    begins = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                    part = np.add.reduceat(answers[row[lo : lo + 16_384]] * count[lo : lo + 16_384, None].astype(np.float64), begins)
-                    scores[c[begins]] += weight * part
-            order_keys = np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            at, of = [], []
-            for q in range(len(ids)):
-                some = np.flatnonzero(scores[:, q] > 0)
-                if k is not None and len(some) > k:
-                    some = some[np.lexsort((order_keys[some], -np.round(scores[some, q], 9)))[:k]]
-                at.append(some)
-                of.append(np.full(len(some), q))
-            at, of = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (at, of))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), keys.take(pa.array(at)), pa.array(scores[at, of])], names=["query_id", key, "weight"])
+                new = best(q, score, keys)
+                held = new if held is None else best(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]), pa.concat_arrays([held[2], new[2]]))
+        if held is not None:
+            yield rows_of(*held)
 
     kind, asks = dict(chunks.dtypes)[key], dict(terms.dtypes)["query_id"]
     words = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{i}") for i, f in enumerate(fields)]
-    rows = spread(chunks.select(key, *fields)).select(key, *words).mapInArrow(run, f"query_id {asks}, {key} {kind}, weight double")
+    bit = F.lit(0).cast("long").alias("bit") if masks is None else F.col("bit")
+    rows = spread(chunks.select(key, bit, *fields)).select(key, "bit", *words).mapInArrow(run, f"query_id {asks}, {key} {kind}, weight double")
     return rows.withColumn("weight", F.round("weight", 9))
 
 
@@ -140,47 +178,92 @@ def ranked(scores: DataFrame, score: str, key: str, k: int, *before) -> DataFram
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_branch(chunks: DataFrame, terms: DataFrame, k: int = 40, key: str = "chunk_id", fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """query_id, key, score = W / (W + 1), rank of the k best chunks for an OR of prefixes."""
-    if _few(terms):
-        found = batch_scores(chunks, terms, fields, key, k)
-    else:
-        posts = postings(chunks, fields, key)
-        found = or_scores(posts, expand_prefixes(terms, vocabulary(posts)), key)
-    return ranked(found.withColumn("score", F.round(F.col("weight") / (F.col("weight") + 1), 9)).drop("weight"), "score", key, k)
+def _admitted_pairs(found: DataFrame, chunks: DataFrame, key: str, masks: DataFrame | None) -> DataFrame:
+    if masks is None:
+        return found
+    pairs = found.join(small(masks, 1_000_000), "query_id").join(chunks.select(key, "bit"), key)
+    return pairs.where(F.col("bit").bitwiseAND(F.col("mask")) != 0).drop("bit", "mask")
 
 
-def phrase_hits(posts: DataFrame, phrases: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Distinct (query_id, key) in which the two words of a phrase are neighbours, the second by prefix.
+def sparse_branch(chunks: DataFrame, terms: DataFrame, k: int = 40, key: str = "chunk_id", fields: dict[str, float] = FIELD_WEIGHTS, phrases: DataFrame | None = None, masks: DataFrame | None = None) -> DataFrame:
+    """query_id, key, score = W / (W + 1), rank of the k best chunks for an OR of prefixes and phrases.
 
-    phrases: query_id, first, second.
+    phrases: query_id, ix, words; the places of a matched phrase count like those of words, each
+    place once.  ``masks`` as in ``batch_scores``.
     """
-    a = posts.select(key, "field", (F.col("pos") + 1).alias("pos"), F.col("lexeme").alias("first"))
-    one = phrases.join(a, "first")
-    return one.join(posts.select(key, "field", "pos", "lexeme"), [key, "field", "pos"]).where(F.startswith("lexeme", "second")).select("query_id", key).distinct()
+    posts = postings(chunks, fields, key)
+
+    def words(rows: DataFrame, some: DataFrame, most: int | None) -> DataFrame:
+        if _few(some):
+            return batch_scores(rows, some, fields, key, most, masks=masks)
+        own = postings(rows, fields, key)
+        return _admitted_pairs(or_scores(own, expand_prefixes(some, vocabulary(own)), key), rows, key, masks)
+
+    found = words(chunks, terms, k)
+    if phrases is not None:
+        # What phrases add stands on few chunks; those are scored in full, the others are cut before.
+        more = stored(_admitted_pairs(phrase_scores(posts, phrases, terms, key), chunks, key, masks).select("query_id", key, "weight"), "phrases")
+        pairs = small(more.select("query_id", key), SENT_TERMS)
+        whole = words(chunks.join(small(more.select(key).distinct(), SENT_TERMS), key, "left_semi"), terms.join(more.select("query_id").distinct(), "query_id", "left_semi"), None)
+        boosted = whole.join(pairs, ["query_id", key], "left_semi").unionByName(more).groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("weight"))
+        found = found.join(pairs, ["query_id", key], "left_anti").unionByName(boosted)
+    return ranked(found.withColumn("score", F.round(F.col("weight") / (F.col("weight") + 1), 9)).drop("weight"), "score", key, k)
 
 
-def title_branch(chunks: DataFrame, terms: DataFrame, phrases: DataFrame, k: int = 40, key: str = "chunk_id") -> DataFrame:
-    """query_id, key, phrase_hit, score = W / words, rank over headings; phrase hits come first."""
+def phrase_places(posts: DataFrame, phrases: DataFrame, key: str = "chunk_id", least: int = 2) -> DataFrame:
+    """query_id, key, field, pos, lexeme, weight: the distinct places of the phrases (query_id, ix, words).
+
+    A phrase's words are neighbours in order, the last by prefix.  Its words meet the postings
+    by equality (the last one on its first characters, ``least`` at most); what meets is grouped by the
+    place where the phrase would begin.
+    """
+    n = F.size("words")
+    each = phrases.select("query_id", "ix", n.alias("n"), F.posexplode("words").alias("i", "word")).withColumn("last", F.col("i") == F.col("n") - 1)
+    head = F.when(F.col("last"), F.substring("word", 1, least)).otherwise(F.col("word"))
+    each = small(each.withColumn("meet", head), SENT_TERMS)
+    at = posts.select(key, "field", "weight", "pos", "lexeme")
+    whole = at.join(each.where("not last"), F.col("lexeme") == F.col("meet"))
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(least)), lambda n: F.substring("lexeme", F.lit(1), n)))
+    begun = at.withColumn("head", F.explode(heads)).join(each.where("last"), F.col("head") == F.col("meet")).where(F.startswith("lexeme", "word")).drop("head")
+    met = whole.unionByName(begun).withColumn("begin", F.col("pos") - F.col("i"))
+    group = ["query_id", "ix", key, "field", "begin"]
+    full = met.groupBy(*group).agg(F.first("n").alias("n"), F.collect_set(F.struct("i", "pos", "lexeme", "weight")).alias("at")).where("size(at) = n")
+    return full.select("query_id", key, "field", F.explode("at").alias("a")).select("query_id", key, "field", "a.pos", "a.lexeme", "a.weight").distinct()
+
+
+def phrase_scores(posts: DataFrame, phrases: DataFrame, terms: DataFrame, key: str = "chunk_id", least: int = 2) -> DataFrame:
+    """query_id, key, weight of the places that phrases match and no single term of the question does."""
+    places = phrase_places(posts, phrases, key, least)
+    reached = expand_prefixes(terms, places.select("lexeme").distinct(), least)
+    return places.join(reached, ["query_id", "lexeme"], "left_anti").groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("weight"))
+
+
+def title_branch(chunks: DataFrame, terms: DataFrame, phrases: DataFrame, k: int = 40, key: str = "chunk_id", masks: DataFrame | None = None) -> DataFrame:
+    """query_id, key, phrase_hit, score = W / words, rank over headings; chunks with a phrase (query_id, ix, words) come first."""
     titled = chunks.where("heading is not null")
     posts = postings(titled, {"heading": PLAIN_WEIGHT}, key)
     size = titled.select(key, F.size(tokens(F.col("heading"))).alias("n"))
     if _few(terms):
-        found = batch_scores(titled, terms, {"heading": PLAIN_WEIGHT}, key).join(size, key)
+        found = batch_scores(titled, terms, {"heading": PLAIN_WEIGHT}, key, masks=masks)
     else:
-        found = or_scores(posts, expand_prefixes(terms, vocabulary(posts)), key).join(size, key)
-    hits = phrase_hits(posts, phrases, key).withColumn("phrase_hit", F.lit(True))
-    found = found.join(hits, ["query_id", key], "left").withColumn("phrase_hit", F.coalesce("phrase_hit", F.lit(False)))
+        found = _admitted_pairs(or_scores(posts, expand_prefixes(terms, vocabulary(posts)), key), titled, key, masks)
+    places = phrase_places(posts, phrases, key)
+    hits = places.select("query_id", key).distinct().withColumn("phrase_hit", F.lit(True))
+    more = _admitted_pairs(phrase_scores(posts, phrases, terms, key), titled, key, masks)
+    found = found.unionByName(more.select("query_id", key, "weight")).groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("weight"))
+    found = found.join(size, key).join(hits, ["query_id", key], "left").withColumn("phrase_hit", F.coalesce("phrase_hit", F.lit(False)))
     found = found.withColumn("score", F.round(F.col("weight") / F.col("n"), 9)).drop("weight", "n")
     return ranked(found, "score", key, k, F.col("phrase_hit").desc())
 
 
-def exact_branch(chunks: DataFrame, numbers: DataFrame, limit: int = 12, key: str = "chunk_id") -> DataFrame:
+def exact_branch(chunks: DataFrame, numbers: DataFrame, limit: int = 12, key: str = "chunk_id", allowed: Column | None = None) -> DataFrame:
     """query_id, key, score 1, rank: chunks of the articles that a question names, by ordinal.
 
-    numbers: query_id, article_number.
+    numbers: query_id, article_number, and what the condition ``allowed`` reads besides.
     """
     found = chunks.join(numbers.distinct(), "article_number")
+    if allowed is not None:
+        found = found.where(allowed)
     order = Window.partitionBy("query_id").orderBy("ordinal", key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", key, F.lit(1.0).alias("score"), "rank")
 

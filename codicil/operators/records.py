@@ -53,14 +53,17 @@ def alerts_for(alerts: DataFrame, subscriptions: DataFrame, names: list[str]) ->
     """user_id and alert columns of alerts whose act_type or any of whose names a user subscribes to.
 
     The disjunction is two joins: an equality on the kind, and a containment for keyword
-    subscriptions only, so the first never becomes a nested loop.
+    subscriptions, which meet the alerts by their rarest characters; neither is a nested loop.
+    An empty keyword reaches nothing.
     """
+    from .containment import held
+
     kinds = subscriptions.where("act_type IS NOT NULL").select("user_id", "act_type").distinct()
-    words = subscriptions.where("keyword IS NOT NULL").select("user_id", F.lower("keyword").alias("keyword")).distinct()
-    by_kind = alerts.join(kinds, "act_type")
+    words = subscriptions.where("keyword IS NOT NULL").select("user_id", F.lower("keyword").alias("_keyword")).distinct()
+    by_kind = alerts.join(kinds, "act_type").select("user_id", *alerts.columns)
     text = F.lower(F.concat_ws("\n", *names))
-    by_word = alerts.withColumn("_text", text).join(F.broadcast(words) if words.limit(100_001).count() <= 100_000 else words, F.contains("_text", "keyword")).drop("_text", "keyword")
-    return by_kind.unionByName(by_word).distinct()
+    by_word = held(alerts.withColumn("_text", text), words, "_text", "_keyword", counted=False)
+    return by_kind.unionByName(by_word.select("user_id", *alerts.columns)).distinct()
 
 
 def decayed(weight: Column, created: Column, now: Column, half_life_weeks: float = DEFAULT.memory_half_life_weeks) -> Column:

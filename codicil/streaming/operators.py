@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..config import DEFAULT
+from ..session import small
 
 
 def timed(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -31,7 +32,7 @@ def quota_stream(requests: DataFrame, subscriptions: DataFrame, lateness: str =
 
     Unknown identities are anonymous.
     """
-    rows = timed(requests, lateness).join(F.broadcast(subscriptions), "identity", "left")
+    rows = timed(requests, lateness).join(small(subscriptions, DEFAULT.broadcast_rows), "identity", "left")
     limit = F.when(F.col("tier") == "pro", DEFAULT.quota_pro).when(F.col("tier") == "user", DEFAULT.quota_user).otherwise(DEFAULT.quota_anonymous)
     counted = rows.groupBy(F.window("ts", f"{DEFAULT.quota_seconds} seconds"), "identity", limit.alias("allowed")).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("start"), "identity", "n", F.greatest(F.lit(0), F.col("n") - F.col("allowed")).cast("long").alias("refused"))
@@ -167,29 +168,23 @@ def available_now(rows: DataFrame, name: str, checkpoint: str, mode: str = "appe
     return q
 
 
-def ingest_stream(source: DataFrame, target: str, keys: list[str], content: str, checkpoint: str, newest: str | None = None) -> StreamingQuery:
-    """Upsert each micro-batch into a Parquet table by key, gated by a content hash.
+def ingest_stream(source: DataFrame, target: str, keys: list[str], content: str, checkpoint: str, newest: str | None = None, buckets: int = 64, columns: str | None = None) -> StreamingQuery:
+    """Upsert each micro-batch by key into a ``BucketedTable`` at ``target``, gated by content.
 
-    Of a key's rows in a batch the one with the largest ``newest`` counts (then the largest content).
-
-    The table lives in numbered folders; a batch writes the next one whole and then moves the
-    pointer file, so a failed batch leaves the last state in place.
+    A batch reads and writes the buckets of its own keys only.  Of a key's rows the one with the
+    largest ``newest`` counts, whether stored or staged (then, in a batch, the largest content);
+    equal content changes nothing.  A batch that is run again after it was committed, which the
+    table knows by checkpoint and number, does nothing; one that died before is done whole.
     """
-    from ..operators.records import upsert
+    from ..sources.buckets import BucketedTable, upserted
+
+    kept = [*keys, *([newest] if newest else []), content]
+    kinds = dict(source.dtypes)
+    schema = columns or ", ".join(f"`{c}` {kinds[c]}" for c in kept)
 
     def load(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-        pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/current")
-        latest = batch.groupBy(*keys).agg(F.max(F.struct(newest or content, F.col(content).alias("_content")))["_content"].alias(content))
-        if fs.exists(pointer):
-            now = spark.read.text(f"{target}/current").first()[0]
-            fresh = upsert(spark.read.parquet(now), latest, keys, content)
-        else:
-            fresh = latest.withColumn("change", F.lit("new"))
-        at = f"{target}/v{number}"
-        fresh.select(*keys, content, "change").write.mode("overwrite").parquet(at)
-        spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/current")
+        table = BucketedTable(batch.sparkSession, target, schema, keys, buckets)
+        table.merge(batch.select(*[f.name for f in table.schema.fields]), upserted(keys, content, newest), (checkpoint, number))
 
     q = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

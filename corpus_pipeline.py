@@ -14,7 +14,7 @@ import uuid
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from codicil.llm._common import SEPARATORS, attach, cut, drop, scratch, shared_folder
+from codicil.llm._common import SEPARATORS, aside, attach, cut, drop, scratch, shared_folder
 from codicil.llm.cutting_stock import CuttingStockConfig, packed_pieces
 from codicil.llm.line_dedup import line_deduplicated
 from codicil.llm.minhash_dedup import MinHashConfig, near_duplicates
@@ -35,13 +35,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later occurrences of three-line windows; documents of which no word is left go.
 
     Equal rows of one doc_id are one document and keep the same lines; a text from which nothing
-    is removed stays as it is, null included.
+    is removed stays as it is, null included.  Texts are read whole, however long; of equal
+    windows the one of smallest doc_id and place stays.
     """
+    docs, named = aside(docs, ["doc_id", "text", "n_chars"])
     rows = line_deduplicated(docs)
     left = F.length(F.translate("text", SEPARATORS, "")) > 0
     rows = rows.where((F.col("n_removed") == 0) | left)
     chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return rows.withColumn("n_chars", chars).select(docs.columns)
+    return rows.withColumn("n_chars", chars).select(named)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +64,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a null source is a source, equal rows are taken alike."""
+    """Each document as often as the mix takes it; a null source is a source, equal rows are taken alike.
+
+    Very long texts count whole and are taken whole; ties of the seeded order fall to the smaller doc_id.
+    """
     return repeated(docs, MixConfig())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens; a null text is its end id."""
+    """The pieces of all documents and their places in sequences of 2048 tokens; a null text is its end id.
+
+    Very long texts are cut, without loss; which of two equal rows a piece comes from is not told.
+    """
     return packed_pieces(docs, CuttingStockConfig(tokenizer=tokenizer_path(), markers=True))
 
 

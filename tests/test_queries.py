@@ -49,4 +49,4 @@ def test_other_queries_give_the_same_rows_again(spark, name):
 
 def test_flagship(spark):
     rows = registry.flagship(spark, SF)
-    assert rows.count() > 0 and rows.columns == ["query_id", "chunk_id", "score", "via", "rank"]
+    assert rows.count() > 0 and rows.columns == ["query_id", "chunk_id", "score", "fused_score", "rerank_score", "via", "rank"]
