@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import _register, retrieval
-from .plans import ingestion, more, relational, rest, streams, texts, upkeep  # noqa: F401  (they register their queries)
+from .plans import ingestion, more, relational, rest, stores, streams, texts, upkeep  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
