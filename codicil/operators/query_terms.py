@@ -49,6 +49,24 @@ def _by_family(column: Column, language: Column) -> Column:
     return F.when(kind == "uz", T.content_tokens(column, "uz")).when(kind == "ru", T.content_tokens(column, "ru")).otherwise(T.content_tokens(column, "en"))
 
 
+def contents(questions: DataFrame) -> DataFrame:
+    """query_id, language, variant, content: the content words of each spelling of the questions (query_id, text, language)."""
+    spellings = F.when(F.col("language") == "en", F.array("text")).otherwise(script_variants(F.col("text")))
+    spelled = questions.select("query_id", "language", F.posexplode_outer(spellings).alias("variant", "spelling"))
+    content = _by_family(F.coalesce("spelling", F.lit("")), F.col("language"))
+    return spelled.select("query_id", "language", "variant", F.coalesce(content, F.array().cast("array<string>")).alias("content"))
+
+
+def additions(spelled: DataFrame, synonyms: DataFrame, longest: int = 6) -> DataFrame:
+    """query_id, language, variant, size, start, term: the synonyms of each run of up to ``longest`` content words."""
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(T.ngrams(F.col("content"), n), lambda p: F.struct(n.alias("size"), p.alias("phrase")))))
+    found = spelled.select("query_id", "language", "variant", "content", F.posexplode(runs).alias("start", "run"))
+    found = found.select("query_id", "language", "variant", "content", "start", "run.size", "run.phrase").join(small(synonyms, SENT), "phrase")
+    # Words that the question has are no additions.
+    found = found.where(~F.array_contains("content", F.col("synonym")))
+    return found.select("query_id", "language", "variant", "size", "start", F.col("synonym").alias("term"))
+
+
 def query_terms(questions: DataFrame, synonyms: DataFrame | None = None, cap: int = DEFAULT.term_cap, longest: int = 6) -> DataFrame:
     """query_id, ix, words of questions (query_id, text, language): the terms of each in order, from 0.
 
@@ -59,18 +77,11 @@ def query_terms(questions: DataFrame, synonyms: DataFrame | None = None, cap: in
     is its own text, and ``x`` without text.
     """
     q = questions.select("query_id", F.coalesce("text", F.lit("")).alias("text"), "language")
-    english = F.col("language") == "en"
-    spelled = q.select("query_id", "text", "language", F.posexplode_outer(F.when(english, F.array("text")).otherwise(script_variants(F.col("text")))).alias("variant", "spelling"))
-    spelled = spelled.select("query_id", "language", "variant", F.coalesce(_by_family(F.coalesce("spelling", F.lit("")), F.col("language")), F.array().cast("array<string>")).alias("content"))
+    spelled = contents(q)
     own = spelled.select("query_id", "language", "variant", F.posexplode("content").alias("start", "term"))
     raw = own.select("query_id", "language", "variant", F.lit(0).alias("size"), "start", "term")
     if synonyms is not None:
-        runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(T.ngrams(F.col("content"), n), lambda p: F.struct(n.alias("size"), p.alias("phrase")))))
-        found = spelled.select("query_id", "language", "variant", "content", F.posexplode(runs).alias("start", "run"))
-        found = found.select("query_id", "language", "variant", "content", "start", "run.size", "run.phrase").join(small(synonyms, SENT), "phrase")
-        # Words that the question has are no additions.
-        found = found.where(~F.array_contains("content", F.col("synonym")))
-        raw = raw.unionByName(found.select("query_id", "language", "variant", "size", "start", F.col("synonym").alias("term")))
+        raw = raw.unionByName(additions(spelled, synonyms, longest))
     forms = F.when(F.col("language") == "en", F.array("term")).otherwise(T.stem_variants(F.col("term")))
     rows = raw.select("query_id", F.struct("variant", "size", "start", "term").alias("at"), forms.alias("forms"))
     listed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", "forms"))).alias("found"))

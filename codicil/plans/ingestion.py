@@ -9,25 +9,24 @@ from ..operators import ingest
 from ..session import table
 from ..sources import files
 from ._register import query
-from .texts import rows, values_sql
 
-LINES = [("54-modda", "modda", "54"), ("III bob", "bob", "III"), ("ГЛАВА IV", "bob", "IV"), ("UMUMIY QISM", "qism", "UMUMIY"), ("57 1 -модда. X", "modda", "57 1"), ("Статья 15 июня", "modda", "15"), ("1) birinchi band", "band", "1"), ("a) kichik", "qismcha", "a"), ("ILOVA 1", "annex", ""), ("Oddiy gap shu yerda", None, None), ("БИРИНЧИ БЎЛИМ", "bolim", "БИРИНЧИ"), ("CHAPTER 7", "bob", "7"), ("Article 12. Title", "modda", "12")]
-
-
-@query("SELECT line, type, number FROM " + values_sql("line, type, number", LINES))
+@query("""
+SELECT doc_id, CASE lang WHEN 'en' THEN 'modda' WHEN 'de' THEN 'bob' WHEN 'fr' THEN 'band' END AS type, CASE lang WHEN 'en' THEN CAST(doc_id AS VARCHAR) WHEN 'de' THEN CAST(doc_id AS VARCHAR) WHEN 'fr' THEN CAST(doc_id % 90 + 1 AS VARCHAR) END AS number FROM documents
+""")
 def ing01_classify(spark, sf_dir):
-    """ING-01, WIN-17: the unit that a line opens."""
-    c = legal.classify(F.col("line"))
-    return rows(spark, "line string, type string, number string", LINES).select("line", c["type"].alias("type"), c["number"].alias("number"))
-
-
-NUMBERS = [("57 1", "57-1"), ("57 - 1", "57-1"), ("57–1", "57-1"), ("", None), ("15", "15")]
+    """ING-01, WIN-17: the unit that a line opens; lines are beginnings of documents behind a mark of their language."""
+    number = F.col("doc_id").cast("string")
+    mark = F.when(F.col("lang") == "en", F.concat(F.lit("Article "), number, F.lit(". "))).when(F.col("lang") == "de", F.concat(F.lit("CHAPTER "), number, F.lit(" "))).when(F.col("lang") == "fr", F.concat((F.col("doc_id") % 90 + 1).cast("string"), F.lit(") "))).otherwise("- ")
+    c = legal.classify(F.concat(mark, F.substring(F.coalesce("text", F.lit("")), 1, 30)))
+    return table(spark, sf_dir, "documents").select("doc_id", c["type"].alias("type"), c["number"].alias("number"))
 
 
-@query("SELECT raw, made FROM " + values_sql("raw, made", NUMBERS))
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 4 THEN NULL ELSE l_orderkey || '-' || l_linenumber END AS made FROM lineitem")
 def ing02_article_number(spark, sf_dir):
-    """ING-02: one form of an article number."""
-    return rows(spark, "raw string, made string", NUMBERS).select("raw", legal.normalise_article_number(F.col("raw")).alias("made"))
+    """ING-02: one form of an article number from all its spellings."""
+    between = F.when(F.col("l_returnflag") == "N", " ").when(F.col("l_returnflag") == "R", " - ").otherwise("–")
+    raw = F.when(F.col("l_linenumber") == 4, "  ").otherwise(F.concat(F.lit(" "), "l_orderkey", between, "l_linenumber", F.lit(" ")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", legal.normalise_article_number(raw).alias("made"))
 
 
 @query(r"SELECT doc_id, nullif(trim(regexp_extract(text, '(?s)^.*?[.:]\s+(.*)$', 1)), '') AS heading FROM documents")
@@ -46,25 +45,30 @@ def ing05_chunk_fixed_window(spark, sf_dir):
     return r.select("doc_id", F.col("ix").cast("long").alias("ix"), "part", F.col("tokens").cast("long").alias("tokens"))
 
 
-REFS = [("ushbu Kodeksning 333-moddasi", "333", ""), ("ушбу Кодекснинг 333-моддаси", "333", ""), ("в статье 45 настоящего Кодекса", "45", ""), ("Fuqarolik kodeksining 54-moddasi", "", "Fuqarolik kodeksining:54"), ("Article 54 of the Civil Code", "", "Civil Code:54"), ("Article 7 of this Code", "7", ""), ("hech narsa", "", "")]
-
-
-@query("SELECT body, own, other FROM " + values_sql("body, own, other", REFS))
+@query("SELECT doc_id, CAST(doc_id % 400 + 1 AS VARCHAR) AS own, 'Act of ' || source || ' Law:' || (n_chars % 90 + 1) AS other FROM documents WHERE text IS NOT NULL")
 def ing08_reference_extract(spark, sf_dir):
-    """ING-08: references to the same act and to others."""
+    """ING-08: references to the same act and to others, behind the texts of documents."""
     other = F.array_join(F.transform(legal.other_references(F.col("body")), lambda x: F.concat(x["act"], F.lit(":"), x["article"])), ";")
-    return rows(spark, "body string, own string, other string", REFS).select("body", F.array_join(legal.self_references(F.col("body")), ";").alias("own"), other.alias("other"))
+    return _referring(spark, sf_dir).select("doc_id", F.array_join(legal.self_references(F.col("body")), ";").alias("own"), other.alias("other"))
 
 
-ACTS = [("a1", "Mehnat kodeksi"), ("a2", "Civil Code of the Republic"), ("a3", "The Civil Code")]
-BODIES = [("a1", "12", "ushbu Kodeksning 5-moddasi"), ("a1", "13", "Article 54 of the Civil Code"), ("a1", "14", "Article 9 of the Lost Law")]
-EDGES = [("a1", "12", "a1", "5", None, 0.95), ("a1", "13", "a3", "54", "Civil Code", 0.8), ("a1", "14", None, "9", "Lost Law", 0.4)]
+@query("""
+SELECT source AS source_act_id, CAST(doc_id AS VARCHAR) AS source_article, source AS target_act_id, CAST(doc_id % 400 + 1 AS VARCHAR) AS target_article, NULL AS target_raw, 0.95::DOUBLE AS confidence FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT source, CAST(doc_id AS VARCHAR), (SELECT arg_min(s, (length(s), s)) FROM (SELECT DISTINCT source AS s FROM documents WHERE length(source) > 4) WHERE contains(lower('the Act of ' || s || ' Law'), lower('Act of ' || d.source || ' Law'))),
+  CAST(n_chars % 90 + 1 AS VARCHAR), 'Act of ' || source || ' Law', CASE WHEN length(source) > 4 THEN 0.8 ELSE 0.4 END FROM documents d WHERE text IS NOT NULL
+""")
+def ing09_reference_edges(spark, sf_dir):
+    """ING-09: edges with what they are sure of; acts of short names are not known."""
+    d = _referring(spark, sf_dir)
+    acts = d.where(F.length("source") > 4).select(F.col("source").alias("act_id"), F.concat(F.lit("the Act of "), "source", F.lit(" Law")).alias("name")).distinct()
+    return ingest.reference_edges(d.select(F.col("source").alias("act_id"), F.col("doc_id").cast("string").alias("article_number"), "body"), acts)
 
 
-@query("SELECT source_act_id, source_article, target_act_id, target_article, target_raw, CAST(confidence AS DOUBLE) AS confidence FROM " + values_sql("source_act_id, source_article, target_act_id, target_article, target_raw, confidence", EDGES))
-def ing09_reference_edges(spark, sf_dir):
-    """ING-09: edges with what they are sure of."""
-    return ingest.reference_edges(rows(spark, "act_id string, article_number string, body string", BODIES), rows(spark, "act_id string, name string", ACTS))
+def _referring(spark, sf_dir):
+    """doc_id, source, body: texts with two references behind them."""
+    own, other = (F.col("doc_id") % 400 + 1).cast("string"), (F.col("n_chars") % 90 + 1).cast("string")
+    said = F.concat(F.lit("; see Article "), own, F.lit(" of this Code. See Article "), other, F.lit(" of the Act of "), "source", F.lit(" Law."))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.concat("text", said).alias("body"))
 
 
 @query("""

@@ -58,13 +58,14 @@ def sca20_act_key(spark, sf_dir):
     return rows(spark, "name string, key string", KEYS).select("name", citations.act_key(F.col("name")).alias("key"))
 
 
-FRAMED = [("Mehnat shartnomasi qanday bekor qilinadi", "mehnat shartnomasi bekor"), ("Nima qanday kerak bo'ladi huquq", "Nima qanday kerak bo'ladi huquq")]
-
-
-@query("SELECT question, stripped FROM " + values_sql("question, stripped", FRAMED))
+@query(r'''
+WITH t AS (SELECT conv_id, turn, text, list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_ʻʼ‘’''´`]{2,}'), lambda x: translate(lower(x), 'ʻʼ‘’''´`', '')), lambda x: x <> '' AND NOT regexp_matches(x, '^\p{Nd}+$')) AS w FROM conversations),
+k AS (SELECT *, list_filter(w, lambda x: NOT list_contains(string_split('@FRAMING@', ' '), x)) AS l FROM t), j AS (SELECT *, array_to_string(CASE WHEN len(l) > 0 THEN l ELSE w END, ' ') AS joined FROM k)
+SELECT conv_id, turn, CASE WHEN joined <> '' AND length(joined) >= 0.4 * length(trim(text)) THEN joined ELSE text END AS stripped FROM j
+'''.replace("@FRAMING@", " ".join(text.FRAMING["en"])))
 def sca12_strip_framing(spark, sf_dir):
-    """SCA-10, SCA-12: the content of a question, unless too little is left."""
-    return rows(spark, "question string, stripped string", FRAMED).select("question", text.strip_framing(F.col("question"), "uz").alias("stripped"))
+    """SCA-10, SCA-12: the content of messages, unless too little is left."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_framing(F.col("text"), "en").alias("stripped"))
 
 
 BLOCKS = ("Audioni tinglash | ", "hujjatga taklif yuborish — ", " - 12 - ", "bet 7", "1999", "20245", "page 3 of 9", "")
@@ -81,23 +82,18 @@ def sca28_chrome(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", layout.is_chrome(line).alias("chrome"), layout.is_page_noise(line).alias("noise"))
 
 
-TITLES = [("uz1", "ru1", "en1", "ru1"), ("uz2", None, "en2", "uz2"), (None, None, "en3", "en3"), (None, None, None, "short")]
-
-
-@query("SELECT uz, ru, en, want AS title FROM " + values_sql("uz, ru, en, want", TITLES))
+@query("SELECT c_custkey, coalesce(CASE WHEN c_mktsegment < 'F' THEN c_mktsegment END, CASE WHEN c_acctbal > 0 THEN c_name END, CASE WHEN c_nationkey > 5 THEN 'nation ' || c_nationkey END, 'short') AS title FROM customer")
 def sca31_display_title(spark, sf_dir):
-    """SCA-31: a title in the asked language, or the next."""
-    r = rows(spark, "uz string, ru string, en string, want string", TITLES)
-    return r.select("uz", "ru", "en", text.display_title("ru", F.col("uz"), F.col("ru"), F.col("en"), F.lit("short")).alias("title"))
-
-
-SUFFIXES = [("3", "2", ", part 3, clause 2"), ("3", None, ", part 3"), (None, "2", ", clause 2"), (None, None, "")]
+    """SCA-31: a title in the asked language, or the next that there is."""
+    uz, ru, en = F.when(F.col("c_acctbal") > 0, F.col("c_name")), F.when(F.col("c_mktsegment") < "F", F.col("c_mktsegment")), F.when(F.col("c_nationkey") > 5, F.concat(F.lit("nation "), "c_nationkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.display_title("ru", uz, ru, en, F.lit("short")).alias("title"))
 
 
-@query("SELECT part, clause, suffix FROM " + values_sql("part, clause, suffix", SUFFIXES))
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN ', part ' || l_linenumber ELSE '' END || CASE WHEN l_linestatus = 'F' THEN ', clause ' || l_suppkey ELSE '' END AS suffix FROM lineitem")
 def sca34_citation_suffix(spark, sf_dir):
-    """SCA-34: part and clause of a citation."""
-    return rows(spark, "part string, clause string, suffix string", SUFFIXES).select("part", "clause", legal.citation_suffix(F.col("part"), F.col("clause")).alias("suffix"))
+    """SCA-34: part and clause of a citation, where there are any."""
+    part, clause = F.when(F.col("l_returnflag") != "N", F.col("l_linenumber").cast("string")), F.when(F.col("l_linestatus") == "F", F.col("l_suppkey").cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", legal.citation_suffix(part, clause).alias("suffix"))
 
 
 @query("SELECT event_id, 'event_type=' || event_type || chr(10) || 'user_id=' || user_id AS line FROM events")

@@ -66,7 +66,7 @@ def _replacements(sql: str, pairs: list[tuple[str, str]]) -> str:
     return sql
 
 
-def _cyrillic_sql(column: str) -> str:
+def cyrillic_sql(column: str) -> str:
     """Latin letters to Cyrillic, as ``translit.latin_to_cyrillic``."""
     folded = f"translate({column}, '{translit.APOSTROPHES.replace(chr(39), chr(39) * 2)}', '{translit.FOLDED * len(translit.APOSTROPHES)}')"
     for letter, initial in (("e", "э"), ("E", "Э")):
@@ -74,13 +74,20 @@ def _cyrillic_sql(column: str) -> str:
     return _replacements(folded, translit._cased(translit.LATIN_TO_CYRILLIC))
 
 
+def latin_sql(column: str) -> str:
+    """Cyrillic letters to Latin, as ``translit.cyrillic_to_latin``."""
+    for letter, initial in (("е", "ye"), ("Е", "Ye")):
+        column = f"regexp_replace({column}, '(^|[^\\p{{L}}\\p{{N}}_]){letter}', '\\1{initial}', 'g')"
+    return _replacements(column, translit._cased(translit.CYRILLIC_TO_LATIN))
+
+
 _MARKS = TOKEN_MARKS.replace("'", "''")
 _FRAMING = {k: "string_split('" + " ".join(FRAMING[k]).replace("'", "''") + "', ' ')" for k in ("en", "uz")}
 
 TERMS = f"""asked AS (
   SELECT item_id AS query_id, text, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'uz-Latn' END AS language FROM benchmark
 ), cyrillic AS (
-  SELECT *, {_cyrillic_sql("text")} AS c FROM asked
+  SELECT *, {cyrillic_sql("text")} AS c FROM asked
 ), variants AS (
   SELECT *, CASE WHEN language = 'en' THEN [text] WHEN replace(c, 'тс', 'ц') <> c THEN [text, c, replace(c, 'тс', 'ц')] WHEN c <> text THEN [text, c] ELSE [text] END AS v FROM cyrillic
 ), spelled AS (
@@ -96,7 +103,7 @@ TERMS = f"""asked AS (
 ), glossed AS (
   SELECT g, unnest([w[1] || ' ' || w[2], w[-1]]) AS term FROM pairs_of WHERE len(w) > 1
 ), members AS (
-  SELECT DISTINCT g, unnest([translate(lower(term), '{_MARKS}', ''), translate(lower({_cyrillic_sql("term")}), '{_MARKS}', '')]) AS form FROM glossed
+  SELECT DISTINCT g, unnest([translate(lower(term), '{_MARKS}', ''), translate(lower({cyrillic_sql("term")}), '{_MARKS}', '')]) AS form FROM glossed
 ), synonyms AS (
   SELECT DISTINCT a.form AS phrase, b.form AS synonym FROM members a JOIN members b USING (g) WHERE a.form <> b.form
 ), runs AS (

@@ -6,9 +6,10 @@ import pyspark.sql.functions as F
 from pyspark.sql import SparkSession, Window
 
 from ..functions import answers, legal, text, translit
-from ..operators import citations
+from ..operators import citations, query_terms
 from ..session import table
 from ._register import query
+from .retrieval import TERMS, cyrillic_sql, latin_sql, questions, synonyms
 
 
 def rows(spark: SparkSession, schema: str, values: list[tuple]):
@@ -20,31 +21,26 @@ def values_sql(columns: str, values: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in values) + f") t({columns})"
 
 
-LATIN = [("shartnoma", "шартнома"), ("o‘zbekiston", "ўзбекистон"), ("huquq", "ҳуқуқ"), ("shahar", "шаҳар"), ("choy", "чой"), ("ta'til", "таътил"), ("etish", "этиш"), ("yer", "ер"), ("mehnat", "меҳнат"), ("yo'l", "йўл"), ("yong'in", "ёнғин")]
-
-
-@query("SELECT latin, cyrillic, cyrillic AS made FROM " + values_sql("latin, cyrillic", LATIN))
+@query(f"SELECT doc_id, md5({cyrillic_sql('text')}) AS made FROM documents")
 def sca03_latin_to_cyrillic(spark, sf_dir):
-    """SCA-02, SCA-03: fixed pairs."""
-    return rows(spark, "latin string, cyrillic string", LATIN).withColumn("made", translit.latin_to_cyrillic(F.col("latin")))
-
-
-CYRILLIC = [("ер", "yer"), ("эр", "er"), ("шартнома", "shartnoma"), ("ўзбекистон", "o‘zbekiston"), ("чой", "choy"), ("цирк", "tsirk")]
+    """SCA-02, SCA-03: whole texts in Cyrillic letters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(translit.latin_to_cyrillic(F.col("text"))).alias("made"))
 
 
-@query("SELECT cyrillic, latin AS made FROM " + values_sql("cyrillic, latin", CYRILLIC))
+@query(f"SELECT conv_id, turn, {latin_sql('c')} AS made FROM (SELECT conv_id, turn, {cyrillic_sql('text')} AS c FROM conversations)")
 def sca04_cyrillic_to_latin(spark, sf_dir):
-    """SCA-04: fixed pairs."""
-    return rows(spark, "cyrillic string, latin string", CYRILLIC).select("cyrillic", translit.cyrillic_to_latin(F.col("cyrillic")).alias("made"))
+    """SCA-04: messages in Cyrillic letters, and back in Latin ones."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", translit.cyrillic_to_latin(translit.latin_to_cyrillic(F.col("text"))).alias("made"))
 
 
-VARIANTS = [("litsenziya", "лицензия"), ("ko'rsatsa", "кўрсатса")]
-
-
-@query("SELECT word, true AS found FROM " + values_sql("word, wanted", VARIANTS))
+@query(f'''
+WITH t AS (SELECT conv_id, turn, text, {cyrillic_sql("text")} AS c, {latin_sql("text")} AS l FROM conversations), v AS (SELECT *, [text, c, replace(c, 'тс', 'ц'), l] AS f FROM t)
+SELECT conv_id, turn, list_filter(f, lambda x, i: x <> '' AND list_position(f, x) = i) AS variants FROM v
+''')
 def sca07_script_variants(spark, sf_dir):
-    """SCA-07: spellings in the other script."""
-    return rows(spark, "word string, wanted string", VARIANTS).select("word", F.array_contains(translit.script_variants(F.col("word")), F.col("wanted")).alias("found"))
+    """SCA-07: the spellings of messages in both scripts."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", translit.script_variants(F.col("text")).alias("variants"))
 
 
 @query(r"""
@@ -56,13 +52,16 @@ def sca05_script(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", translit.script_of(F.col("text")).alias("script"))
 
 
-LANGS = [("Mehnat shartnomasi qanday tuziladi va uchun", "uz-Latn"), ("Меҳнат шартномаси қандай тузилади", "uz-Cyrl"), ("В какой форме заключается договор и статья", "ru"), ("What is the law of the contract", "en"), ("", "uz-Latn"), ("Ҳуқуқ ва қонун тўғрисида matn", "uz-Cyrl")]
-
-
-@query("SELECT sentence, lang FROM " + values_sql("sentence, lang", LANGS))
+@query(
+    r"""
+WITH n AS (SELECT doc_id, translate(text, 'ʻʼ’''`´', '‘‘‘‘‘‘') AS x FROM documents), w AS (SELECT *, list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_‘ʼ'']+')) AS l FROM n),
+s AS (SELECT *, len(list_intersect(l, string_split('@EN@', ' '))) AS en, len(list_intersect(l, string_split('@UZ@', ' '))) AS uz FROM w)
+SELECT doc_id, CASE WHEN trim(x) = '' THEN 'uz-Latn' WHEN uz > en THEN 'uz-Latn' WHEN en > uz THEN 'en' ELSE 'uz-Latn' END AS lang FROM s
+""".replace("@EN@", " ".join(text.MARKERS["en"])).replace("@UZ@", " ".join(text.MARKERS["uz"]))
+)
 def sca08_detect_language(spark, sf_dir):
-    """SCA-08, SCA-01: fixed sentences."""
-    return rows(spark, "sentence string, lang string", LANGS).select("sentence", text.detect_language(F.col("sentence")).alias("lang"))
+    """SCA-08, SCA-01: the language of whole texts (all in Latin letters here)."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.detect_language(F.col("text")).alias("lang"))
 
 
 @query(r"""
@@ -112,25 +111,24 @@ def sca13_stem_variants(spark, sf_dir):
     return words.select("token", text.stem_variants(F.col("token")).alias("stems"))
 
 
-SYNONYMS = [("ishchi", "xodim"), ("xodim", "ishchi"), ("bitim", "сделка"), ("сделка", "bitim"), ("worker", "xodim")]
-
-
-@query("SELECT q, list_sort(list_distinct(list(s) FILTER (s IS NOT NULL))) AS added FROM (SELECT q, unnest(string_split(q, ' ')) AS w FROM (VALUES ('ishchi bitim tuzadi'), ('worker contract'), ('сделка')) x(q)) LEFT JOIN " + values_sql("k, s", SYNONYMS) + " ON w = k GROUP BY q")
+@query(f"WITH {TERMS} SELECT query_id, list_sort(list(DISTINCT term)) AS added FROM raw WHERE size > 0 GROUP BY query_id")
 def sca14_expand_tokens(spark, sf_dir):
-    """SCA-14, T-18: words added by a table of synonyms, sorted; English words are keys only."""
-    q = rows(spark, "q string", [("ishchi bitim tuzadi",), ("worker contract",), ("сделка",)])
-    words = q.select("q", F.explode(F.split("q", " ")).alias("k"))
-    return words.join(F.broadcast(rows(spark, "k string, s string", SYNONYMS)), "k", "left").groupBy("q").agg(F.sort_array(F.collect_set("s")).alias("added"))
+    """SCA-14, T-18: what a glossary adds to questions, by runs of their content words; sorted."""
+    found = query_terms.additions(query_terms.contents(questions(spark, sf_dir)), synonyms(spark, sf_dir))
+    return found.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("added"))
 
 
-REFERENCES = [("155-moddasi 3-qismi", "155|3|"), ("155-modda 3-qism 2-band", "155|3|2"), ("ст. 12 и статья 15", "12||;15||"), ("155 - 1-modda", "155-1||"), ("hech narsa", "")]
-
-
-@query("SELECT question, wanted AS found FROM " + values_sql("question, wanted", REFERENCES))
+@query("""
+SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN doc_id || '|' || (n_chars % 9 + 1) || '|' WHEN n_chars % 3 = 1 THEN doc_id || '|' || (n_chars % 9 + 1) || '|' || (n_chars % 5 + 1) ELSE doc_id || '||;' || (doc_id + 1) || '||' END AS found FROM documents
+""")
 def sca15_parse_references(spark, sf_dir):
-    """SCA-15, UDF-02: article, part and clause of each provision named."""
-    part = lambda x: F.concat(x["article"], F.lit("|"), F.coalesce(x["part"], F.lit("")), F.lit("|"), F.coalesce(x["clause"], F.lit("")))
-    return rows(spark, "question string, wanted string", REFERENCES).withColumn("r", legal.parse_references(F.col("question"))).select("question", F.array_join(F.transform("r", part), ";").alias("found"))
+    """SCA-15, UDF-02: article, part and clause of each provision that a question about a document names."""
+    d = table(spark, sf_dir, "documents")
+    n, part, clause = F.col("doc_id").cast("string"), (F.col("n_chars") % 9 + 1).cast("string"), (F.col("n_chars") % 5 + 1).cast("string")
+    asked = F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("qonun "), n, F.lit("-moddasi "), part, F.lit("-qismi"))).when(F.col("n_chars") % 3 == 1, F.concat(n, F.lit("-modda "), part, F.lit("-qism "), clause, F.lit("-band")))
+    asked = F.coalesce(asked, F.concat(F.lit("ст. "), n, F.lit(" и статья "), (F.col("doc_id") + 1).cast("string")))
+    form = lambda x: F.concat(x["article"], F.lit("|"), F.coalesce(x["part"], F.lit("")), F.lit("|"), F.coalesce(x["clause"], F.lit("")))
+    return d.select("doc_id", F.array_join(F.transform(legal.parse_references(asked), form), ";").alias("found"))
 
 
 @query(r"""
@@ -193,22 +191,26 @@ def sca23_verbosity(spark, sf_dir):
     return rows(spark, "message string, directive string, bare boolean", DIRECTIVES).select("message", answers.detect_directive(F.col("message")).alias("directive"), F.coalesce(answers.is_bare_directive(F.col("message")), F.lit(False)).alias("bare"))
 
 
-STATED = [("**Risk level:** MEDIUM — x", "medium", "**Risk level:** HIGH — x"), ("Xavf darajasi: YUQORI", "high", "Xavf darajasi: HIGH"), ("Уровень риска — `НИЗКИЙ`", None, "Уровень риска — `НИЗКИЙ`"), ("none", None, "none")]
-
-
-@query("SELECT answer, level, rewritten FROM " + values_sql("answer, level, rewritten", STATED))
+@query(r"""
+SELECT l.doc_id, CASE WHEN quality = 1 THEN 'low' WHEN toxic = 1 THEN 'high' ELSE 'medium' END AS level, md5(text || chr(10) || '**Risk level:** HIGH — ' || source) AS rewritten FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+""")
 def sca24_stated_risk(spark, sf_dir):
-    """SCA-24: the level that an answer states, read and replaced."""
-    return rows(spark, "answer string, level string, rewritten string", STATED).select("answer", answers.stated_risk(F.col("answer")).alias("level"), answers.rewrite_stated_risk(F.col("answer"), F.lit("high")).alias("rewritten"))
-
-
-FOLLOW = [("Text\n---FOLLOW-UP---\n1. One?\n2. Two?\n3. Three?\n4. Four?", "One?|Two?|Three?"), ("Text", "")]
+    """SCA-24: the level that an answer states, read and replaced; answers are documents with a stated level."""
+    level = F.expr("CASE WHEN quality = 1 THEN 'LOW' WHEN toxic = 1 THEN 'high' ELSE 'Medium' END")
+    answer = F.concat("text", F.lit("\n**Risk level:** "), level, F.lit(" — "), "source")
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return j.select("doc_id", answers.stated_risk(answer).alias("level"), F.md5(answers.rewrite_stated_risk(answer, F.lit("high"))).alias("rewritten"))
 
 
-@query("SELECT answer, wanted AS found FROM " + values_sql("answer, wanted", FOLLOW))
+@query("SELECT conv_id, string_agg(replace(left(text, 40), chr(10), ' ') || '?', '|' ORDER BY turn) AS found FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 3 GROUP BY conv_id")
 def sca25_follow_ups(spark, sf_dir):
-    """SCA-25: up to three questions."""
-    return rows(spark, "answer string, wanted string", FOLLOW).select("answer", F.array_join(answers.follow_ups(F.col("answer")), "|").alias("found"))
+    """SCA-25: up to three of the questions that stand behind an answer; here a conversation's first five messages."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).where("n <= 5")
+    asked = F.concat(F.col("n").cast("string"), F.lit(". "), F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")), F.lit("?"))
+    lines = F.sort_array(F.collect_list(F.struct("n", asked.alias("line"))))
+    answer = F.concat(F.lit("An answer.\n---FOLLOW-UP---\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n"))
+    return c.groupBy("conv_id").agg(answer.alias("answer")).select("conv_id", F.array_join(answers.follow_ups(F.col("answer")), "|").alias("found"))
 
 
 _SUBJECTS = "(?is)" + "|".join(p for _, p in answers.HIGH_RISK).replace("'", "''")
@@ -237,15 +239,18 @@ def ret30_clause_flags(spark, sf_dir):
     return c.select("contract", F.array_join(F.transform(answers.red_flags(F.col("contract")), lambda f: f["code"]), "|").alias("flags"), F.size(answers.contract_topics(F.col("contract"))).alias("topics"))
 
 
-ANSWERS = [("See [S1] and [S7].", ["S1", "S2"], ["12"], "S1", "S7", "", False), ("As [S1, S2] say, article 999 applies", ["S1", "S2"], ["12"], "S1|S2", "", "999", False), ("word " * 90, ["S1"], ["12"], "", "", "", True), ("modda 12 [S2]", ["S1", "S2"], ["12"], "S2", "", "", False)]
-
-
-@query("SELECT answer, used, invalid, unverified, rejected FROM " + values_sql("answer, used, invalid, unverified, rejected", [(a, u, i, v, r) for a, _, _, u, i, v, r in ANSWERS]))
+@query(r"""
+WITH a AS (SELECT conv_id, turn, text, 'S' || turn AS tag, conv_id % 90 + 10 AS article FROM conversations),
+b AS (SELECT *, turn IN (1, 2) AS known, trim(regexp_replace(text || CASE WHEN turn IN (1, 2) THEN ' [' || tag || ']' ELSE ' ' END || ' modda ' || article, '[ \t]{2,}', ' ', 'g')) AS clean FROM a)
+SELECT conv_id, turn, CASE WHEN known THEN tag ELSE '' END AS used, CASE WHEN known THEN '' ELSE tag END AS invalid, NOT known AND length(clean) > 400 AS rejected FROM b
+""")
 def ret27_citation_validation(spark, sf_dir):
-    """RET-27, SET-04, SET-06: tags used, unknown tags, articles that were not retrieved."""
-    a = rows(spark, "answer string, tags array<string>, articles array<string>, laws array<string>", [(a, t, n, ["Civil code"]) for a, t, n, *_ in ANSWERS])
+    """RET-27, SET-04, SET-06: tags used, unknown tags and rejected answers; answers are messages that cite a tag."""
+    c = table(spark, sf_dir, "conversations")
+    answer = F.concat("text", F.lit(" [S"), F.col("turn").cast("string"), F.lit("] modda "), (F.col("conv_id") % 90 + 10).cast("string"))
+    a = c.select("conv_id", "turn", answer.alias("answer"), F.array(F.lit("S1"), F.lit("S2")).alias("tags"), F.array(F.lit("12")).alias("articles"), F.array(F.lit("Civil code")).alias("laws"))
     j = lambda c: F.array_join(c, "|")
-    return citations.validated(a).select("answer", j("used_tags").alias("used"), j("invalid_tags").alias("invalid"), j("unverified_articles").alias("unverified"), "rejected")
+    return citations.validated(a).select("conv_id", "turn", j("used_tags").alias("used"), j("invalid_tags").alias("invalid"), "rejected")
 
 
 @query("""
