@@ -105,15 +105,13 @@ def src04_html_blocks(spark, sf_dir):
 @query()
 def ing04_page_nodes(spark, sf_dir):
     """ING-04, WIN-11, WIN-16, UDF-04: the tree of each page."""
-    blocks = files.page_blocks(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
-    return ingest.build_nodes(blocks)
+    return ingest.document_nodes(files.page_texts(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id"))
 
 
 @query()
 def ing05_page_chunks(spark, sf_dir):
-    """ING-05, WIN-10, WIN-12: chunks of each page's nodes."""
-    blocks = files.page_blocks(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
-    return ingest.chunk_nodes(ingest.build_nodes(blocks), 200, 300)
+    """ING-05, WIN-10, WIN-12: chunks of each page's nodes, made where the page is read."""
+    return ingest.document_chunks(files.page_texts(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "doc_id"), 200, 300)
 
 
 @query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'unsupported' WHEN page_id % 5 = 1 THEN 'too_large' WHEN length(html) < 100 THEN 'too_short' ELSE 'ok' END AS status FROM pages")

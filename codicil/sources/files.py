@@ -278,6 +278,16 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return spread(pages.select("page_id", "html")).mapInPandas(run, "page_id long, block_ix int, text string, role string, level int")
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id, texts: the block texts of HTML pages (page_id, html), a row for each page."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch[["page_id"]].assign(texts=[[b["text"] for b in html_blocks(h)] for h in batch["html"]])
+
+    return spread(pages.select("page_id", "html")).mapInPandas(run, "page_id long, texts array<string>")
+
+
 def checked_uploads(files: DataFrame, most_bytes: int = 25 * 1024 * 1024, least_chars: int = 100) -> DataFrame:
     """files with ``status``: ok, unsupported, too_large, empty or too_short.
 

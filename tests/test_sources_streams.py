@@ -70,6 +70,17 @@ def test_tree_and_chunks(spark):
     assert [c.article_number for c in chunks] == ["1", "2", None] and "Asosiy qoidalar" in chunks[0].text and chunks[0].heading == "1-modda. Maqsad"
 
 
+def test_pages_folded_where_they_are_read_equal_tables_of_blocks(spark, sf_dir):
+    law = "<html><body><h1>I bob. A</h1><p>1-modda. Maqsad</p><p>matn</p><p>1) band bir</p><p>davomi</p><p>2-modda. Ikki</p><p>III BO'LIM</p><p>ILOVA</p><p>x</p></body></html>"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").unionByName(spark.createDataFrame([(10**6, law), (10**6 + 1, None), (10**6 + 2, "")], "page_id long, html string"))
+    blocks, texts = files.page_blocks(pages).withColumnRenamed("page_id", "doc_id"), files.page_texts(pages).withColumnRenamed("page_id", "doc_id")
+    key = lambda df: sorted(map(repr, df.collect()))
+    nodes = ingest.build_nodes(blocks)
+    assert key(ingest.document_nodes(texts)) == key(nodes)
+    assert key(ingest.document_chunks(texts, 200, 300)) == key(ingest.chunk_nodes(nodes, 200, 300))
+    assert ingest.document_chunks(texts.where("doc_id > 1000000")).count() == 0
+
+
 def test_anchors(spark):
     html = "<a onclick=\"scrollText('10')\">57-модда. Bir</a><a onclick=\"scrollText('11')\">57 1 -модда. Ikki</a><a onclick=\"scrollText('12')\">5-боб</a><div id='10'></div><div id='11'></div><div id='12'></div><a onclick=\"scrollText('99')\">9-модда. Yoq</a>"
     got = ingest.toc_anchors(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
