@@ -8,6 +8,7 @@ from ..operators import ann, asof, clauses, containment, dense, payments
 from ..scratch import folder
 from ..session import table
 from ..sources.buckets import BucketedTable, upserted
+from ..sources.cache import CachedMap, rewrite
 from ._register import query
 from .retrieval import query_vectors, vectors
 
@@ -135,3 +136,24 @@ def str08_payment_books(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     calls = e.select(F.col("user_id").cast("string").alias("user_id"), F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 400)).alias("payme_id"), method.alias("method"), F.when(F.col("event_type") == "view", F.lit(1)).otherwise(price).cast("long").alias("amount"), at, F.when(F.col("event_type") == "purchase", 3).alias("reason"))
     return payments.books(calls)
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS value, (SELECT count(DISTINCT text) FROM documents) AS mapped FROM documents")
+def src21_cached_map(spark, sf_dir):
+    """SRC-21, SCA-57: a costly map of texts behind a cache; a second run maps nothing."""
+    cache = CachedMap(spark, folder(spark, "cache"), "long", 3600, 8)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    measure = lambda rows: rows.withColumn("value", F.length("text").cast("long"))
+    cache.apply(docs, measure, 0)
+    again = cache.apply(docs, lambda rows: measure(rows).withColumn("value", F.lit(-1).cast("long")), 60)
+    return again.select("doc_id", "value", F.lit(cache.table.read().count()).alias("mapped"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'made ' || o_orderkey ELSE o_orderstatus END AS body FROM orders")
+def src20_rewrite_missing(spark, sf_dir):
+    """SRC-20: the rows of a stored table that lack a value get one, some buckets at a time."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("body"))
+    made = BucketedTable(spark, folder(spark, "rewrite"), f"o_orderkey {dict(o.dtypes)['o_orderkey']}, body string", ["o_orderkey"], 8)
+    made.merge(o, lambda current, staged: staged)
+    rewrite(made, F.col("body").isNull(), lambda rows: rows.withColumn("body", F.concat(F.lit("made "), "o_orderkey")), 4)
+    return made.read()

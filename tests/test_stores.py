@@ -232,3 +232,43 @@ def test_postings_of_many_questions_and_long_sets(spark, index, monkeypatch):
     assert ranks(lexical.sparse_branch(docs, terms, 7)) == want
     monkeypatch.setattr(lexical, "SENT_TERMS", 0)
     assert ranks(lexical.sparse_branch(docs, terms, 7)) == want
+
+
+def test_a_cached_map_maps_each_text_once_and_again_after_its_time(spark, tmp_path):
+    from codicil.sources.cache import CachedMap
+
+    seen = []
+
+    def costly(rows):
+        seen.append(sorted(r.text for r in rows.collect()))
+        return rows.withColumn("value", F.length("text").cast("long"))
+
+    cache = CachedMap(spark, str(tmp_path), "long", 100, 4)
+    texts = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "id long, text string")
+    want = {1: 1, 2: 2, 3: 1, 4: None}
+    values = lambda now, df=texts: {r.id: r.value for r in cache.apply(df, costly, now).collect()}
+    assert values(0) == want and values(50) == want and values(99, texts.unionByName(spark.createDataFrame([(5, "ccc")], texts.schema))) == want | {5: 3}
+    assert values(100) == want
+    assert seen == [["a", "bb"], [], ["ccc"], ["a", "bb"]]
+    assert {(r.key, r.expires) for r in cache.table.read().collect()} >= {(r.key, 199) for r in cache.table.read().where("value = 3").collect()} and cache.table.read().count() == 3
+
+
+def test_a_rewrite_is_taken_up_again(spark, tmp_path):
+    from codicil.sources.cache import rewrite
+
+    table = BucketedTable(spark, str(tmp_path), ROWS, ["k"], 8)
+    table.merge(spark.createDataFrame([(k, 0, None if k % 3 else "has") for k in range(40)], ROWS), lambda current, staged: staged)
+    calls = []
+
+    def fill(rows):
+        calls.append(rows.count())
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return rows.withColumn("body", F.concat(F.lit("made "), "k"))
+
+    needs = F.col("body").isNull()
+    with pytest.raises(RuntimeError):
+        rewrite(table, needs, fill, 2)
+    left = table.read().where(needs).count()
+    assert 0 < left < 26 and rewrite(table, needs, fill, 2) == 2 and rewrite(table, needs, fill, 2) == 0
+    assert rows_of(table) == {(k, 0, f"made {k}" if k % 3 else "has") for k in range(40)} and sum(calls[2:]) == left + calls[2]
