@@ -54,7 +54,7 @@ class PerplexityConfig:
     #: Bytes of the documents' text in which their commonest n-grams are counted.
     part_bytes: int = 1 << 25
     #: Parts of the table that are joined one after the other, and bytes of text for each shard of a part.
-    rounds: int = 3
+    rounds: int = 5
     shard_bytes: int = 1 << 26
 
 
@@ -220,20 +220,19 @@ def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: Perp
             for batch in batches:
                 refs = batch.column(0).to_numpy()
                 for row, n, grams, owner in _grams(batch.column(1)):
-                    base = np.zeros(len(n))
+                    # A round looks up its own part only.
+                    shard = X.mix(grams)
+                    mine = shard % np.uint64(rounds) == np.uint64(number)
+                    grams, owner, shard = grams[mine], owner[mine], shard[mine]
                     at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
                     hit = known[at] == grams if len(known) else np.zeros(len(grams), dtype=bool)
-                    if number == 0:
-                        base += np.bincount(owner[hit], weights[at[hit]], minlength=len(n))
-                    grams, owner = grams[~hit], owner[~hit]
+                    base = np.zeros(len(n)) + np.bincount(owner[hit], weights[at[hit]], minlength=len(n))
+                    grams, owner, shard = grams[~hit], owner[~hit], shard[~hit]
                     keep = maybe_in(seen, grams.view(np.int64))
-                    if number == 0:
-                        single = ~keep & (grams >> np.uint64(32) == np.uint64(NONE))
-                        base += unknown * np.bincount(owner[single], minlength=len(n))
+                    single = ~keep & (grams >> np.uint64(32) == np.uint64(NONE))
+                    base += unknown * np.bincount(owner[single], minlength=len(n))
                     grams, owner = grams[keep], owner[keep]
-                    shard = X.mix(grams)
-                    mine = shard % np.uint64(rounds) == np.uint64(number)
-                    grams, owner, shard = grams[mine], owner[mine], (shard[mine] // np.uint64(rounds) % np.uint64(shards)).astype(np.int64)
+                    shard = (shard[keep] // np.uint64(rounds) % np.uint64(shards)).astype(np.int64)
                     by = np.lexsort((owner, shard))
                     grams, owner, shard = grams[by], owner[by], shard[by]
                     here = refs[row : row + len(n)]
@@ -251,11 +250,12 @@ def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: Perp
                     names = ["shard", "refs", "each", "grams", "base_refs", "base", "words"]
                     if rows:
                         yield pa.RecordBatch.from_arrays([*sums, *blank], names=names)
-                    if number == 0 and (n > 0).any():
-                        has = n > 0
+                    # The words of a text are counted in the first round.
+                    has = n > 0 if number == 0 else base != 0
+                    if has.any():
                         one = np.array([0, int(has.sum())], dtype=np.int32)
                         none = [pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int32(), pa.int64())]
-                        given = [pa.ListArray.from_arrays(pa.array(one), pa.array(v)) for v in (here[has], base[has], n[has].astype(np.int64))]
+                        given = [pa.ListArray.from_arrays(pa.array(one), pa.array(v)) for v in (here[has], base[has], n[has].astype(np.int64) * (number == 0))]
                         yield pa.RecordBatch.from_arrays([pa.array([int(here[has][0] % shards)]), *none, *given], names=names)
 
         return docs.select("ref", F.col("text").cast("string").alias("text")).mapInArrow(run, "shard long, refs array<long>, each array<int>, grams array<long>, base_refs array<long>, base array<double>, words array<long>")
