@@ -208,7 +208,7 @@ def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: Perp
     common = spark.sparkContext.broadcast((grams, top["weight"].to_numpy(dtype=np.float64)[order]))
     drop(hot)
     seen = id_filter(table, "gram")
-    shards, rounds = max(32, -(-size // config.shard_bytes)), config.rounds
+    shards, rounds = max(16, -(-size // config.shard_bytes)), config.rounds
 
     def keys(number: int):
         def run(batches):
