@@ -163,10 +163,86 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+OP11_SQL = """
+WITH entries AS (
+  SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS e
+  FROM (SELECT unnest(range(0, 256)) AS i)
+), crc AS (
+  SELECT list(e ORDER BY i) AS t FROM entries
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (
+  SELECT conv_id, count(*) AS size FROM turns GROUP BY conv_id
+), plan AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM sizes, crc
+), firsts AS (
+  SELECT p.*, least(h, coalesce(size, 0)) AS lent FROM plan p LEFT JOIN sizes s ON s.conv_id = base
+), rebuilt AS (
+  SELECT f.conv_id, pos, role, text FROM firsts f JOIN turns t ON t.conv_id = base AND pos < h
+  UNION ALL SELECT f.conv_id, pos - h + lent, role, text FROM firsts f JOIN turns t ON t.conv_id = f.conv_id AND pos >= h
+), sequences AS (
+  SELECT f.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s FROM firsts f LEFT JOIN rebuilt r ON r.conv_id = f.conv_id GROUP BY f.conv_id
+), prefixes AS (
+  SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ends, CASE WHEN d > 0 THEN strlen(s[d].text) ELSE 0 END AS bytes FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM sequences)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS m, count(*) AS n, any_value(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM prefixes GROUP BY p, d
+), placed AS (
+  SELECT x.conv_id, x.d, m FROM prefixes x JOIN nodes v ON v.d = x.d AND v.p = x.p
+), linked AS (
+  SELECT v.m, v.d, v.n, v.bytes, v.ids, a.m AS parent FROM nodes v LEFT JOIN placed a ON a.conv_id = v.m AND a.d = v.d - 1
+), children AS (
+  SELECT parent AS m, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL
+), counted AS (
+  SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.m = l.m AND c.d = l.d
+), sums AS (
+  SELECT a.m, a.d, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n - 1) * v.bytes) AS saved FROM counted v JOIN placed a ON a.conv_id = v.m AND a.d <= v.d GROUP BY a.m, a.d
+)
+SELECT c.m AS conv_id, c.d AS depth, c.parent AS parent_conv_id, c.n AS n_convs, c.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(c.ids) AS ends_sha256
+FROM counted c JOIN sums s ON s.m = c.m AND s.d = c.d
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE entries AS (
+  SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS e
+  FROM (SELECT unnest(range(0, 256)) AS i)
+), crc AS (
+  SELECT list(e ORDER BY i) AS t FROM entries
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS k, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM counted, crc
+), typed AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), shorter AS (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest WHERE a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.rest
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.rest
+), ranked AS (
+  SELECT x.word, other, o.n AS other_n, count(*) OVER (PARTITION BY x.word) AS n_near, row_number() OVER (PARTITION BY x.word ORDER BY o.n DESC, other) AS nth FROM near x JOIN words o ON o.word = other
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND nth = 1
+), walked AS (
+  SELECT word, word AS root, 0 AS step FROM formed
+  UNION ALL SELECT w.word, f.form, step + 1 FROM walked w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL
+), ended AS (
+  SELECT word, arg_max(root, step) AS root FROM walked GROUP BY word
+)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ended e ON e.word = f.word
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_packing, op2_quality_classifier, op3_source_mixing, op4_quality_rules, op5_substring_dedup, op6_line_dedup, op7_url_filter, op8_minhash_near_dedup, op9_cutting_stock_packing, op10_exact_topk, op11_prefix_trie, op12_vector_packing, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_exact_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_spelling_variants": OP13_SQL}
