@@ -9,7 +9,7 @@ from ..functions import legal, text
 from ..operators import citations, layout, lexical
 from ..session import table
 from ._register import query
-from .texts import rows, values_sql
+from .texts import matches_sql
 
 
 @query("SELECT d.doc_id FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.embedding IS NOT NULL AND d.text IS NOT NULL AND d.source IS NOT NULL")
@@ -49,13 +49,18 @@ def src22_audit_rows(spark, sf_dir):
     return e.groupBy(F.col("user_id").cast("string").alias("identity"), F.col("event_type").alias("route"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
-KEYS = [("Mehnat kodeksi", "labour"), ("Уголовно-процессуальный кодекс", "criminal_procedure"), ("Tax Code", "tax"), ("Конституция", "constitution"), ("Budget code", "budget"), ("Nothing", None), ("Ер кодекси", "land")]
+_KEYS = " ".join(f"WHEN {matches_sql('name', p)} THEN '{k}'" for k, p in citations.ACT_KEYS)
 
 
-@query("SELECT name, key FROM " + values_sql("name, key", KEYS))
+@query(f"""
+WITH n AS (SELECT doc_id, left(text, 60) || CASE lang WHEN 'en' THEN ' labour code' WHEN 'de' THEN ' Уголовно-процессуальный кодекс' WHEN 'fr' THEN ' Ер кодекси' ELSE '' END || CASE WHEN n_chars % 2 = 0 THEN ' and the Constitution' ELSE '' END AS name FROM documents)
+SELECT doc_id, CASE {_KEYS} END AS key FROM n
+""")
 def sca20_act_key(spark, sf_dir):
-    """SCA-20: the code that a name means."""
-    return rows(spark, "name string, key string", KEYS).select("name", citations.act_key(F.col("name")).alias("key"))
+    """SCA-20: the code that a name means, the first rule that fits."""
+    own = F.when(F.col("lang") == "en", " labour code").when(F.col("lang") == "de", " Уголовно-процессуальный кодекс").when(F.col("lang") == "fr", " Ер кодекси").otherwise("")
+    name = F.concat(F.substring("text", 1, 60), own, F.when(F.col("n_chars") % 2 == 0, " and the Constitution").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", citations.act_key(name).alias("key"))
 
 
 @query(r'''

@@ -1,9 +1,11 @@
-"""Text functions over documents, conversations and small tables of fixed rows."""
+"""Text functions over documents and conversations."""
 
 from __future__ import annotations
 
+import re
+
 import pyspark.sql.functions as F
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 
 from ..functions import answers, legal, text, translit
 from ..operators import citations, query_terms
@@ -12,15 +14,6 @@ from ._register import query
 from .retrieval import TERMS, cyrillic_sql, latin_sql, questions, synonyms
 
 
-def rows(spark: SparkSession, schema: str, values: list[tuple]):
-    return spark.createDataFrame(values, schema)
-
-
-def values_sql(columns: str, values: list[tuple]) -> str:
-    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in values) + f") t({columns})"
-
-
 @query(f"SELECT doc_id, md5({cyrillic_sql('text')}) AS made FROM documents")
 def sca03_latin_to_cyrillic(spark, sf_dir):
     """SCA-02, SCA-03: whole texts in Cyrillic letters."""
@@ -155,13 +148,14 @@ def sca19_topics(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.sort_array(F.array_distinct(found)), 1, 20).alias("topics"))
 
 
-INTENTS = [("Salom!", "greeting"), ("Salom, qalaysiz?", "smalltalk"), ("спасибо", "smalltalk"), ("who are you", "capability"), ("Сен кимсан?", "capability"), ("Salom, mehnat shartnomasi haqida savolim bor edi", "legal"), ("", "legal"), ("Mehnat shartnomasi", "legal")]
-
-
-@query("SELECT message, intent FROM " + values_sql("message, intent", INTENTS))
+@query(r"""
+WITH m AS (SELECT conv_id, turn, split_part(text, '.', 1) AS said FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(trim(said), '\S+')) > 6 OR trim(said) = '' THEN 'legal' WHEN regexp_matches(lower(trim(said)), '^(hi|hello|hey|good\s*(morning|afternoon|evening))[\s!.,?…]*$') THEN 'greeting'
+  WHEN regexp_matches(lower(trim(said)), '^((hi|hello|hey)[\s,!.-]*)?(thanks?|thank\s*you|ok(ay)?|zo{0,2}r)[\s!.,?…]*$') THEN 'smalltalk' ELSE 'legal' END AS intent FROM m
+""")
 def sca21_intent(spark, sf_dir):
-    """SCA-21: fixed messages."""
-    return rows(spark, "message string, intent string", INTENTS).select("message", answers.classify_intent(F.col("message")).alias("intent"))
+    """SCA-21: the first sentences of messages."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.classify_intent(F.split_part("text", F.lit("."), F.lit(1))).alias("intent"))
 
 
 @query(r"""
@@ -173,22 +167,40 @@ def sca21_intent_route(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.classify_intent(F.col("text")).alias("intent"))
 
 
-SCOPES = [("Osh qanday pishiriladi?", False, True), ("Какая погода завтра?", False, True), ("Mehnat kodeksi 155-modda", True, False), ("What is the tax code penalty?", True, False), ("Ishdan boʻshash tartibi qanday?", False, False)]
+def re2(pattern: str) -> str:
+    """A pattern for regexp_matches: word characters of all scripts, and edges of words spelled out."""
+    word = "[\\p{L}\\p{N}_]"
+    pattern = pattern.replace("\\w", word).replace("'", "''")
+    pattern = re.sub(r"\\b(?=\w|\(|\[)", lambda _: f"(?:^|[^{word[1:-1]}])", pattern)
+    return "(?is)" + pattern.replace("\\b", f"(?:$|[^{word[1:-1]}])")
 
 
-@query("SELECT question, legal, everyday FROM " + values_sql("question, legal, everyday", SCOPES))
-def sca22_scope(spark, sf_dir):
-    """SCA-22, RET-23: two judgements that are not each other's negation."""
-    return rows(spark, "question string, legal boolean, everyday boolean", SCOPES).select("question", answers.looks_legal(F.col("question")).alias("legal"), answers.looks_non_legal(F.col("question")).alias("everyday"))
+def matches_sql(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '{re2(pattern)}')"
 
 
-DIRECTIVES = [("batafsil", "detailed", True), ("qisqacha tushuntir", "detailed", True), ("короче, пожалуйста", "brief", True), ("Please make it shorter", "brief", True), ("qisqacha aytganda, mehnat shartnomasi nima?", "brief", False), ("Mehnat shartnomasi nima?", None, False)]
+_LEGAL = " OR ".join([matches_sql("said", p) for _, p in legal.ACT_HINTS] + [matches_sql("said", f"\\b(?:{answers.LEGAL})(?:$|[^\\p{{L}}\\p{{N}}_])")])
 
 
-@query("SELECT message, directive, bare FROM " + values_sql("message, directive, bare", DIRECTIVES))
+@query(f"""
+WITH m AS (SELECT doc_id, text || CASE lang WHEN 'en' THEN ' what the law says' WHEN 'de' THEN ' Какая погода' WHEN 'fr' THEN ' mehnat kodeksi va futbol' ELSE '' END AS said FROM documents)
+SELECT doc_id, {_LEGAL} AS legal, {matches_sql("said", answers.EVERYDAY)} AS everyday FROM m
+""")
+def sca22_scope(spark, sf_dir):
+    """SCA-22, RET-23: two judgements that are not each other's negation, over whole texts."""
+    more = F.when(F.col("lang") == "en", " what the law says").when(F.col("lang") == "de", " Какая погода").when(F.col("lang") == "fr", " mehnat kodeksi va futbol").otherwise("")
+    said = F.concat("text", more)
+    return table(spark, sf_dir, "documents").select("doc_id", answers.looks_legal(said).alias("legal"), answers.looks_non_legal(said).alias("everyday"))
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, turn, text || CASE WHEN turn % 3 = 0 THEN ' Please make it shorter' WHEN role = 'user' THEN ' explain more' ELSE '' END AS said FROM conversations)
+SELECT conv_id, turn, CASE WHEN {matches_sql("said", f"\\b(?:{answers.DETAILED})(?:$|[^\\p{{L}}\\p{{N}}_])")} THEN 'detailed' WHEN {matches_sql("said", f"\\b(?:{answers.BRIEF})(?:$|[^\\p{{L}}\\p{{N}}_])")} THEN 'brief' END AS directive, false AS bare FROM m
+""")
 def sca23_verbosity(spark, sf_dir):
-    """SCA-23: requests for a length, and whether there is anything else."""
-    return rows(spark, "message string, directive string, bare boolean", DIRECTIVES).select("message", answers.detect_directive(F.col("message")).alias("directive"), F.coalesce(answers.is_bare_directive(F.col("message")), F.lit(False)).alias("bare"))
+    """SCA-23: requests for a length behind messages, and whether there is anything else."""
+    said = F.concat("text", F.when(F.col("turn") % 3 == 0, " Please make it shorter").when(F.col("role") == "user", " explain more").otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.detect_directive(said).alias("directive"), F.coalesce(answers.is_bare_directive(said), F.lit(False)).alias("bare"))
 
 
 @query(r"""
@@ -229,14 +241,21 @@ def ret29_risk_levels(spark, sf_dir):
     return citations.risk(given).select("doc_id", "level")
 
 
-CONTRACT = [("The party waives all rights. It is governed by the laws of England.", "waiver_of_statutory_rights|foreign_law_domestic_contract", 5), ("Governed by the laws of Uzbekistan. It shall automatically renew. Price and payment term.", "auto_renewal_no_notice", 2), ("A fine for the employee: unlimited liability", "unlimited_liability|employment_penalty", 1)]
+_FLAGS = [(code, p) for code, p in answers.RED_FLAGS if "(?!" not in p]
+_FLAGGED = ", ".join(f"CASE WHEN {matches_sql('contract', p)} THEN '{code}' END" for code, p in _FLAGS)
+_COVERED = " + ".join(f"CAST({matches_sql('contract', p)} AS INTEGER)" for _, p in answers.TOPICS)
 
 
-@query("SELECT contract, flags, n AS topics FROM " + values_sql("contract, flags, n", CONTRACT))
+@query(f"""
+WITH c AS (SELECT doc_id, text || CASE lang WHEN 'en' THEN ' The party waives all rights. It shall automatically renew.' WHEN 'de' THEN ' A fine for the employee: unlimited liability' WHEN 'fr' THEN ' Price and payment term.' ELSE '' END AS contract FROM documents)
+SELECT doc_id, array_to_string(list_filter([{_FLAGGED}], lambda x: x IS NOT NULL), '|') AS flags, CAST(CASE WHEN {_COVERED} = 0 THEN 5 ELSE {_COVERED} END AS INTEGER) AS topics FROM c
+""")
 def ret30_clause_flags(spark, sf_dir):
-    """RET-30: clauses that call for a look, and topics covered."""
-    c = rows(spark, "contract string, flags string, n int", CONTRACT)
-    return c.select("contract", F.array_join(F.transform(answers.red_flags(F.col("contract")), lambda f: f["code"]), "|").alias("flags"), F.size(answers.contract_topics(F.col("contract"))).alias("topics"))
+    """RET-30: clauses that call for a look, and topics covered, in texts with clauses of their language behind them."""
+    more = F.when(F.col("lang") == "en", " The party waives all rights. It shall automatically renew.").when(F.col("lang") == "de", " A fine for the employee: unlimited liability").when(F.col("lang") == "fr", " Price and payment term.").otherwise("")
+    contract = F.concat("text", more)
+    c = table(spark, sf_dir, "documents").select("doc_id", answers.red_flags(contract).alias("f"), answers.contract_topics(contract).alias("t"))
+    return c.select("doc_id", F.array_join(F.transform("f", lambda f: f["code"]), "|").alias("flags"), F.size("t").alias("topics"))
 
 
 @query(r"""

@@ -44,12 +44,14 @@ class Waiting(StatefulProcessor):
         import pandas as pd
 
         frame = pd.concat(list(rows))
-        frame = frame.assign(at=[millis(t) for t in frame["ts"]])[self.names].astype(object)
-        frame = frame.where(frame.notna(), None)
-        self.waiting.appendList([tuple(r) for r in frame.itertuples(index=False)])
+        frame = frame.assign(at=[millis(t) for t in frame["ts"]])
+        # A column with nulls comes as floats; state wants what its schema says.
+        whole = [c.split()[1] in ("int", "long") for c in self.ROW.split(", ")]
+        columns = [[None if pd.isna(v) else int(v) if w else v for v in frame[c]] for c, w in zip(self.names, whole)]
+        self.waiting.appendList(list(zip(*columns)))
         known = set(self.handle.listTimers())
-        for at in sorted(set(frame["at"]) - known):
-            self.handle.registerTimer(int(at))
+        for at in sorted(set(columns[self.names.index("at")]) - known):
+            self.handle.registerTimer(at)
         yield pd.DataFrame([], columns=[c.split()[0] for c in self.OUT.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):

@@ -20,6 +20,11 @@ SUFFIXES = [("3", "2", ", part 3, clause 2"), ("3", None, ", part 3"), (None, "2
 LINES = [("54-modda", "modda", "54"), ("III bob", "bob", "III"), ("ГЛАВА IV", "bob", "IV"), ("UMUMIY QISM", "qism", "UMUMIY"), ("57 1 -модда. X", "modda", "57 1"), ("Статья 15 июня", "modda", "15"), ("1) birinchi band", "band", "1"), ("a) kichik", "qismcha", "a"), ("ILOVA 1", "annex", ""), ("Oddiy gap shu yerda", None, None), ("БИРИНЧИ БЎЛИМ", "bolim", "БИРИНЧИ"), ("CHAPTER 7", "bob", "7"), ("Article 12. Title", "modda", "12")]
 NUMBERS = [("57 1", "57-1"), ("57 - 1", "57-1"), ("57–1", "57-1"), ("", None), ("15", "15")]
 REFS = [("ushbu Kodeksning 333-moddasi", "333", ""), ("ушбу Кодекснинг 333-моддаси", "333", ""), ("в статье 45 настоящего Кодекса", "45", ""), ("Fuqarolik kodeksining 54-moddasi", "", "Fuqarolik kodeksining:54"), ("Article 54 of the Civil Code", "", "Civil Code:54"), ("Article 7 of this Code", "7", ""), ("hech narsa", "", "")]
+INTENTS = [("Salom!", "greeting"), ("Salom, qalaysiz?", "smalltalk"), ("спасибо", "smalltalk"), ("who are you", "capability"), ("Сен кимсан?", "capability"), ("Salom, mehnat shartnomasi haqida savolim bor edi", "legal"), ("", "legal"), ("Mehnat shartnomasi", "legal")]
+SCOPES = [("Osh qanday pishiriladi?", False, True), ("Какая погода завтра?", False, True), ("Mehnat kodeksi 155-modda", True, False), ("What is the tax code penalty?", True, False), ("Ishdan boʻshash tartibi qanday?", False, False)]
+DIRECTIVES = [("batafsil", "detailed", True), ("qisqacha tushuntir", "detailed", True), ("короче, пожалуйста", "brief", True), ("Please make it shorter", "brief", True), ("qisqacha aytganda, mehnat shartnomasi nima?", "brief", False), ("Mehnat shartnomasi nima?", None, False)]
+CONTRACT = [("The party waives all rights. It is governed by the laws of England.", "waiver_of_statutory_rights|foreign_law_domestic_contract", 5), ("Governed by the laws of Uzbekistan. It shall automatically renew. Price and payment term.", "auto_renewal_no_notice", 2), ("A fine for the employee: unlimited liability", "unlimited_liability|employment_penalty", 1)]
+KEYS = [("Mehnat kodeksi", "labour"), ("Уголовно-процессуальный кодекс", "criminal_procedure"), ("Tax Code", "tax"), ("Конституция", "constitution"), ("Budget code", "budget"), ("Nothing", None), ("Ер кодекси", "land")]
 ACTS = [("a1", "Mehnat kodeksi"), ("a2", "Civil Code of the Republic"), ("a3", "The Civil Code")]
 BODIES = [("a1", "12", "ushbu Kodeksning 5-moddasi"), ("a1", "13", "Article 54 of the Civil Code"), ("a1", "14", "Article 9 of the Lost Law")]
 EDGES = {("a1", "12", "a1", "5", None, 0.95), ("a1", "13", "a3", "54", "Civil Code", 0.8), ("a1", "14", None, "9", "Lost Law", 0.4)}
@@ -34,6 +39,11 @@ def other(x):
 
 
 CASES = {
+    "keys": (KEYS, lambda x: [citations.act_key(x)]),
+    "intents": (INTENTS, lambda x: [answers.classify_intent(x)]),
+    "scopes": (SCOPES, lambda x: [answers.looks_legal(x), answers.looks_non_legal(x)]),
+    "directives": (DIRECTIVES, lambda x: [answers.detect_directive(x), F.coalesce(answers.is_bare_directive(x), F.lit(False))]),
+    "contracts": (CONTRACT, lambda x: [F.array_join(F.transform(answers.red_flags(x), lambda f: f["code"]), "|"), F.size(answers.contract_topics(x))]),
     "latin": (LATIN, lambda x: [translit.latin_to_cyrillic(x)]),
     "cyrillic": (CYRILLIC, lambda x: [translit.cyrillic_to_latin(x)]),
     "languages": (LANGS, lambda x: [text.detect_language(x)]),
