@@ -49,8 +49,8 @@ class PerplexityConfig:
     #: Relative rank error of the quantiles is 1 / accuracy.
     accuracy: int = 10_000
     #: N-grams that are sent to every executor: the commonest of the trusted text, and of the documents.
-    common: int = 200_000
-    frequent: int = 100_000
+    common: int = 400_000
+    frequent: int = 200_000
     #: Bytes of the documents' text in which their commonest n-grams are counted.
     part_bytes: int = 1 << 25
     #: Parts of the table that are joined one after the other, and bytes of text for each shard of a part.
