@@ -199,14 +199,19 @@ def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: Perp
         least = k
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     hot = cut(frequent_grams(docs, size, config))
-    # Two tables of a fixed number of rows each.
-    top = table.where(size_class >= F.lit(least)).select("gram", F.col("weight").cast("double").alias("weight"))
-    lacks = F.when(F.shiftrightunsigned("gram", 32) == NONE, unknown).otherwise(0.0)
-    hot_weights = hot.join(table.select(F.col("gram").alias("g"), "weight"), F.col("gram") == F.col("g"), "left").select("gram", F.coalesce(F.col("weight").cast("double"), lacks).alias("weight"))
-    top = top.union(hot_weights).distinct().toPandas()
-    grams, order = np.unique(top["gram"].to_numpy().view(np.uint64), return_index=True)
-    common = spark.sparkContext.broadcast((grams, top["weight"].to_numpy(dtype=np.float64)[order]))
-    drop(hot)
+    # Two tables of a fixed number of rows each meet on the driver, as Arrow; neither join nor
+    # collection may leave shuffle files for the rounds, so what comes from the table is cut first.
+    given = attach(table, hot.select("gram", F.lit(True).alias("hot")), ["gram"], "left", config.frequent)
+    top = cut(given.where((size_class >= F.lit(least)) | F.col("hot")).select("gram", F.col("weight").cast("double").alias("weight")))
+    held, asked = top.toArrow(), hot.toArrow()
+    drop(hot, top)
+    grams = held.column("gram").to_numpy().view(np.uint64)
+    lacking = np.setdiff1d(asked.column("gram").to_numpy().view(np.uint64), grams)
+    weights = np.concatenate([held.column("weight").to_numpy(), np.where(lacking >> np.uint64(32) == np.uint64(NONE), unknown, 0.0)])
+    grams = np.concatenate([grams, lacking])
+    order = np.argsort(grams)
+    common = spark.sparkContext.broadcast((grams[order], weights[order]))
+    del held, asked, grams, weights, order
     seen = id_filter(table, "gram")
     shards, rounds = max(16, -(-size // config.shard_bytes)), config.rounds
 
@@ -304,6 +309,9 @@ def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: Perp
     found = total.groupBy("ref").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     found = cut(found.select("ref", (F.col("n") / F.col("rows")).cast("long").alias("n_words"), (-F.col("s") / (F.col("n") + F.col("rows"))).alias("log_perplexity")))
     drop(*done)
+    # All that reads them is written.
+    common.destroy()
+    seen.destroy()
     return found
 
 

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 
@@ -181,3 +182,21 @@ def test_a_hot_word_that_the_model_lacks_travels_with_the_text(spark):
     few = Q.PerplexityConfig(frequent=0, common=1)
     a, b = ({r.doc_id: round(r.log_perplexity, 6) for r in Q.quality_scores(rows, trusted, c).collect()} for c in (Q.PerplexityConfig(), few))
     assert a == b and len(a) == 80
+
+
+def test_common_grams_leave_no_shuffle_files_and_no_python_rows(spark, monkeypatch):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def kept():
+        paths = disk.getAllFiles().mkString("\n").split("\n")
+        return {p: os.path.getsize(p) for p in paths if "shuffle_" in p and os.path.exists(p)}
+
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("n-grams became rows of Python objects"))
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(400)) for _ in range(300)]
+    docs = documents(spark, texts).select(F.col("doc_id").alias("ref"), "text")
+    table, unknown = kneser_ney(bigram_counts(docs))
+    before = kept()
+    perplexities(docs, table, unknown, PerplexityConfig(common=1000, frequent=2000))
+    new = [size for path, size in kept().items() if path not in before]
+    assert sum(new) < table.count()  # a shuffle of the table takes several bytes for each of its rows
