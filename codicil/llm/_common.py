@@ -189,8 +189,10 @@ def id_filter(ids: DataFrame, column: str):
     out = np.zeros((SEGMENTS, size // 8), dtype=np.uint8)
     # A cut, so that the shuffle files of the ids go before the next work starts.
     parts = cut(rows.repartition(SEGMENTS, segment).mapInArrow(build, "segment int, bits binary"))
-    for r in parts.collect():
-        out[r["segment"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
+    found = parts.toArrow()
+    for segment, bits in zip(found.column("segment"), found.column("bits")):
+        out[segment.as_py()] |= np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+    del found
     drop(parts)
     return ids.sparkSession.sparkContext.broadcast(out)
 

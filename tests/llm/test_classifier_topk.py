@@ -200,3 +200,12 @@ def test_common_grams_leave_no_shuffle_files_and_no_python_rows(spark, monkeypat
     perplexities(docs, table, unknown, PerplexityConfig(common=1000, frequent=2000))
     new = [size for path, size in kept().items() if path not in before]
     assert sum(new) < table.count()  # a shuffle of the table takes several bytes for each of its rows
+
+
+def test_broadcasts_go_with_the_work(spark):
+    docs = documents(spark, TEXTS).select(F.col("doc_id").alias("ref"), "text")
+    table, unknown = kneser_ney(bigram_counts(docs))
+    at = spark.sparkContext._temp_dir
+    before = set(os.listdir(at))
+    perplexities(docs, table, unknown, PerplexityConfig())
+    assert set(os.listdir(at)) <= before
