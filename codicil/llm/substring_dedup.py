@@ -18,7 +18,8 @@ Two kinds of unit tile and slide over every text.
    clustered by components (``minhash_dedup.linked``); equal ones are a cluster by themselves.
 4. Every cluster keeps its first occurrence by (doc_id, start).  Matches of equal units at one
    distance that touch join, and a third pass brings the words around what they cover, so that
-   each grows word by word until the words differ (words are compared by hashes).  Two matches
+   each grows word by word until the words differ (words are compared by hashes).  Matches so
+   deep inside others (a phrase said over and over) that this changes no removal stay as they are.  Two matches
    with changed words between them are one passage only if those words are few and apart and the
    exact Jaccard similarity of the whole says so (``grown``).
 5. What a document repeats is merged into disjoint spans; those of at least ``least`` words are
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from ._common import attach, cut, drop, id_filter, maybe_in, small_batches
+from ._common import attach, bounded, cut, drop, id_filter, maybe_in, small_batches
 from .minhash_dedup import MinHashConfig, linked
 
 
@@ -43,7 +44,7 @@ class PassageConfig:
     #: Words of a paragraph at least; shorter lines are joined.
     paragraph: int = 20
     #: Words of a window's key, and places in a window: any passage of run + window - 1 words
-    #: that repeats is found.
+    #: that repeats is found.  A window has at most 62 places.
     run: int = 20
     window: int = 31
     width: int = 5
@@ -56,8 +57,8 @@ class PassageConfig:
 KEYS = "key long, place int"
 #: ``group`` names equal units; bands and set are null for units that only equal ones meet.
 PLACES = "doc_id long, start int, n_words int, group long, bands array<long>, set array<long>"
-#: 32 bits of a hash of each word before and after a place, nearest first.
-AROUND = "doc_id long, start int, before array<int>, after array<int>"
+#: 32 bits of a hash (four bytes) of each word after a place (right) or before it, nearest first.
+AROUND = "doc_id long, start int, right boolean, words binary"
 
 
 def units(np, mix, h, a, b, first, least: int, width: int):
@@ -109,14 +110,47 @@ def units(np, mix, h, a, b, first, least: int, width: int):
     return firsts[some], lasts[some]
 
 
+def runs(np, anchor, first, size: int, window: int):
+    """The places where the smallest ``anchor`` of ``window`` neighbouring places changes.
+
+    Places are the words at which a run of ``size`` words of one text begins; a text with fewer
+    than ``window`` places is one window.  The first of equal anchors is taken.  Anchors are
+    compared by their upper 32 bits; the lower ones name the place.
+    """
+    n = first[1:] - first[:-1] - size + 1
+    value = (anchor & np.uint64(0xFFFFFFFF << 32)) | np.arange(len(anchor), dtype=np.uint64)
+    low, span = value, 1
+    while 2 * span <= window:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    if span < window:
+        more = window - span
+        low = np.minimum(low[:-more], low[more:])
+    windows = np.where(n >= window, n - window + 1, 0)
+    at = np.repeat(first[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    found = low[at]
+    short = np.flatnonzero((n > 0) & (n < window))
+    if len(short):
+        ends = np.stack([first[short], first[short] + n[short]], axis=1).reshape(-1)
+        found = np.concatenate([found, np.minimum.reduceat(np.append(value, np.uint64(2**64 - 1)), ends)[::2]])
+    found = (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # Smallest places of neighbouring windows never go back.
+    found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+    return np.sort(found) if len(short) else found
+
+
 def spot(np, mix, doc_id, start):
     """A number for each place (document, word) of int64 arrays."""
     return mix(mix(doc_id.view(np.uint64)) * np.uint64(3) + start.astype(np.uint64)).view(np.int64)
 
 
+def edge(at, right):
+    """A number for the words after (right) or before a place."""
+    return 2 * at + right
+
+
 def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> DataFrame:
     """The keys of all units (KEYS), or the units that hold one of the filter ``keys`` (PLACES),
-    or the words AROUND the beginnings and ends of units that the filter ``wanted`` holds.
+    or the words AROUND the beginnings and ends of units, once each, that the filter ``wanted`` holds.
 
     ``place`` tells different holders of a key apart: of a band key by the paragraph's words, of
     the key of equal units by document and start.
@@ -131,6 +165,7 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
         from . import _text as X
 
         u = np.uint64
+        factors = X.mix(np.arange(1, bands * rows + 1, dtype=u)) | u(1)
 
         def spread(n):
             """For groups of n members: the number of each member in its group."""
@@ -146,19 +181,20 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
         def lists(values, n, kind):
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values, kind))
 
-        def words_of(short, firsts, lasts, backwards):
-            n = lasts - firsts
-            at = spread(n)
-            at = np.repeat(lasts, n) - 1 - at if backwards else np.repeat(firsts, n) + at
-            return lists(short[at], n, pa.int32())
-
-        def around(ids, short, first, owner, at):
-            """The words before and after the word places ``at`` of the texts ``owner``, of those that ``wanted`` holds."""
-            keep = maybe_in(wanted, spot(np, X.mix, ids[owner], at - first[owner]))
+        def around(ids, short, first, at, right):
+            """The words before, or after, the word places ``at`` that ``wanted`` holds."""
+            at = np.sort(at, kind="stable")
+            at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+            owner = np.searchsorted(first, at, side="left" if right else "right") - 1
+            keep = maybe_in(wanted, spot(np, X.mix, ids[owner], edge(at - first[owner], right)))
             at, owner = at[keep], owner[keep]
             if len(at):
-                left, right = np.maximum(at - window, first[owner]), np.minimum(at + window, first[owner + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - first[owner]).astype(np.int32)), words_of(short, left, at, True), words_of(short, at, right, False)], names=["doc_id", "start", "before", "after"])
+                n = np.minimum(window, first[owner + 1] - at if right else at - first[owner])
+                step = spread(n)
+                near = short[np.repeat(at, n) + step if right else np.repeat(at, n) - 1 - step]
+                offsets = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(near)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - first[owner]).astype(np.int32)), pa.array(np.full(len(at), right)), packed], names=["doc_id", "start", "right", "words"])
 
         def places(ids, first, owner, firsts, lasts, whole, band, rolled):
             """Units with a shared key."""
@@ -193,17 +229,25 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
                 edges = np.unique(np.concatenate([first, np.searchsorted(starts, np.flatnonzero(data == 10))]))
                 a, b = units(np, X.mix, h, edges[:-1], edges[1:], first, least, width)
                 owner = np.searchsorted(first, a, side="right") - 1
-                if wanted is not None and len(a):
-                    yield from around(ids, short, first, np.concatenate([owner, owner]), np.concatenate([a, b]))
-                elif len(a):
+                at = h[:0].view(np.int64)
+                if len(h) >= size:
+                    anchor = X.mix(X.mix(X.mix(h[:-3] * u(3) + h[1:-2]) * u(3) + h[2:-1]) * u(3) + h[3:])
+                    at = runs(np, anchor, first, size, window)
+                if wanted is not None:
+                    yield from around(ids, short, first, np.concatenate([a, at]), False)
+                    yield from around(ids, short, first, np.concatenate([b, at + size]), True)
+                    continue
+                if len(a):
                     rolled = h
                     for _ in range(width - 1):
                         rolled = X.mix(rolled[:-1] * u(5) + h[len(h) - len(rolled) + 1 :])
                     # Shingles that leave their paragraph are out of the minima.
                     pairs = np.stack([a, b - (width - 1)], axis=1).reshape(-1)
                     registers = np.empty((len(a), bands * rows), dtype=u)
-                    for k in range(bands * rows):
-                        values = np.append(X.mix(rolled + u(0x51ED2701 * (2 * k + 1))), u(2**64 - 1))
+                    values = np.full(len(rolled) + 1, 2**64 - 1, dtype=u)
+                    for k, factor in enumerate(factors):
+                        # The shingles are mixed already: a product with an odd number orders them anew.
+                        np.multiply(rolled, factor, out=values[:-1])
                         registers[:, k] = np.minimum.reduceat(values, pairs)[::2]
                     band, whole = X.band_keys(registers, bands), folded(h, a, b, 1)
                     if keys is None:
@@ -213,26 +257,9 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
                         for lo in range(0, len(a), 16_384):
                             k = slice(lo, lo + 16_384)
                             yield from places(ids, first, owner[k], a[k], b[k], whole[k], band[k], rolled)
-                # The places where the smallest hash of a window changes.
-                if len(h) < size:
-                    continue
-                anchor = X.mix(X.mix(X.mix(h[:-3] * u(3) + h[1:-2]) * u(3) + h[2:-1]) * u(3) + h[3:])
-                chosen, owner = [], []
-                for k in np.flatnonzero(first[1:] - first[:-1] >= size):
-                    values = anchor[first[k] : first[k + 1] - size + 1]
-                    if len(values) > window:
-                        inside = np.lib.stride_tricks.sliding_window_view(values, window).argmin(axis=1)
-                        inside = np.unique(inside + np.arange(len(inside)))
-                    else:
-                        inside = np.array([int(values.argmin())])
-                    chosen.append(inside + first[k])
-                    owner.append(np.full(len(inside), k))
-                if not chosen:
-                    continue
-                at, owner = np.concatenate(chosen), np.concatenate(owner)
-                if wanted is not None:
-                    yield from around(ids, short, first, np.concatenate([owner, owner]), np.concatenate([at, at + size]))
+                if not len(at):
                     continue
+                owner = np.searchsorted(first, at, side="right") - 1
                 whole = folded(h, at, at + size, 2)
                 if keys is None:
                     yield found(whole, (spot(np, X.mix, ids[owner], at - first[owner]) >> 32).astype(np.int32))
@@ -245,12 +272,6 @@ def _pass(docs: DataFrame, config: PassageConfig, keys=None, wanted=None) -> Dat
     return rows_in.mapInArrow(run, AROUND if wanted is not None else KEYS if keys is None else PLACES)
 
 
-def _leading(same: Column) -> Column:
-    """How many words are the same from the beginning on."""
-    ends = F.array_position(same, F.lit(False))
-    return F.coalesce(F.when(ends > 0, ends - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
-
-
 def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
     """doc_id, start, n_words, component_id, first_doc_id, first_start, first_words: one row for each passage to remove.
 
@@ -308,7 +329,9 @@ def streaks(places: DataFrame, config: PassageConfig) -> DataFrame:
 
     gap is the number of words to the next one at that distance, null if it is two windows or more:
     what both matches go on for is not in it yet, which is less than a window for each.
-    A window holds what two documents have in common at one distance.
+    inner says that growth changes nothing: the match is in no chain, the matches that overlap
+    in its document reach further than it can grow, and a later one of them stays the later one.
+    A window holds what two documents have in common at one distance, or the matches of one document.
     """
     found = _later(places, "group").select("doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"), F.col("group").alias("component_id"), F.col("first.doc_id").alias("first_doc_id"), (F.col("start") - F.col("first.start")).alias("shift"))
     order = Window.partitionBy(*_DISTANCE).orderBy("start", "end")
@@ -316,9 +339,19 @@ def streaks(places: DataFrame, config: PassageConfig) -> DataFrame:
     new = found.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
     numbered = new.withColumn("streak", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     one = numbered.groupBy(*_DISTANCE, "streak").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id"))
-    gap = F.lead("start").over(Window.partitionBy(*_DISTANCE).orderBy("start")) - F.col("end")
-    gap = F.when(gap < 2 * config.window, gap)
-    return one.select("doc_id", "start", "end", "component_id", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"), "shift", gap.alias("gap"))
+    order = Window.partitionBy(*_DISTANCE).orderBy("start")
+    gap = F.lead("start").over(order) - F.col("end")
+    before = F.col("start") - F.lag("end").over(order)
+    near = 2 * config.window
+    one = one.withColumn("gap", F.when(gap < near, gap)).withColumn("alone", F.coalesce(gap >= near, F.lit(True)) & F.coalesce(before >= near, F.lit(True)))
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    one = one.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1))
+    one = one.withColumn("piece", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    piece = Window.partitionBy("doc_id", "piece")
+    left, right = F.col("start") - config.window, F.col("end") + config.window
+    inner = F.col("alone") & (left > F.min("start").over(piece)) & (right < F.max("end").over(piece)) & (F.col("start") + config.window < F.max("start").over(piece))
+    return one.select("doc_id", "start", "end", "component_id", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"), "shift", "gap", inner.alias("inner"))
 
 
 def _lost_shingles(same: Column, gap: Column, width: int) -> Column:
@@ -334,8 +367,39 @@ def _lost_shingles(same: Column, gap: Column, width: int) -> Column:
     return F.when((F.size(same) == gap) & (seen["most"] < width), seen["lost"])
 
 
+def _matched(rows: DataFrame, window: int) -> DataFrame:
+    """``rows`` with, for the words ``one`` and ``two``: same (bit k: whether word k is the same), n (words of the longer) and lead (words that are the same from the beginning on)."""
+    if window > 62:
+        raise ValueError("a window has at most 62 places")
+    names = rows.columns[:-2]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def table(column, blank):
+            """A row of words for each value, and the numbers of words."""
+            _, offsets, data = column.buffers()
+            offsets = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1] // 4
+            n = np.diff(offsets)
+            values = np.frombuffer(data, dtype=np.uint32)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint32)
+            out = np.full((len(n), window + 1), blank, dtype=np.int64)
+            out[np.arange(window + 1) < n[:, None]] = values
+            return out, n
+
+        for batch in batches:
+            (one, n), (two, m) = table(batch.column(len(names)), -1), table(batch.column(len(names) + 1), -2)
+            equal = one == two
+            same = equal @ (1 << np.arange(window + 1, dtype=np.int64))
+            more = [pa.array(same), pa.array(np.maximum(n, m)), pa.array(equal.argmin(axis=1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=[*names, "same", "n", "lead"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    return rows.mapInArrow(run, f"{kinds}, same long, n int, lead int")
+
+
 def grown(docs: DataFrame, spans: DataFrame, config: PassageConfig) -> DataFrame:
-    """Spans (_SPAN) with the words around them that both texts have in common: each once grown to the left, once to the right.
+    """Spans (_SPAN) with the words around them that both texts have in common: each once grown to the left, once to the right, but for inner ones.
 
     A match that went on for a whole window would hold one more shared unit, so that far is
     enough.  Spans at one distance between which never ``width`` neighbouring words differ are a
@@ -349,8 +413,9 @@ def grown(docs: DataFrame, spans: DataFrame, config: PassageConfig) -> DataFrame
         F.struct(F.lit(False).alias("right"), F.col("start").alias("at"), F.col("first_start").alias("first_at")),
         F.struct(F.lit(True).alias("right"), F.col("end").alias("at"), last.alias("first_at")),
     )
-    edges = cut(spans.select(*_SPAN, "shift", "gap", F.explode(sides).alias("s")).select(*_SPAN, "shift", "gap", "s.*"))
-    asked = edges.select("doc_id", "at").union(edges.select("first_doc_id", "first_at")).toDF("doc_id", "start").distinct()
+    open_ = spans.where("not inner")
+    edges = open_.select(*_SPAN, "shift", "gap", F.explode(sides).alias("s")).select(*_SPAN, "shift", "gap", "s.*")
+    asked = edges.select("doc_id", "at", "right").union(edges.select("first_doc_id", "first_at", "right").distinct())
 
     def spots(batches):
         import numpy as np
@@ -359,28 +424,34 @@ def grown(docs: DataFrame, spans: DataFrame, config: PassageConfig) -> DataFrame
         from . import _text as X
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(spot(np, X.mix, batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["spot"])
+            doc_id, at, right = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(spot(np, X.mix, doc_id, edge(at.astype(np.int64), right)))], names=["spot"])
 
     spotted = cut(asked.mapInArrow(spots, "spot long"))
     sent = id_filter(spotted, "spot")
-    # Places that are the end of one unit and the beginning of another come twice.
-    words = cut(_pass(docs, config, wanted=sent).dropDuplicates(["doc_id", "start"]))
-    own = words.select(F.col("doc_id").alias("d"), F.col("start").alias("p"), F.col("before").alias("b1"), F.col("after").alias("a1"))
-    theirs = words.select(F.col("doc_id").alias("e"), F.col("start").alias("q"), F.col("before").alias("b2"), F.col("after").alias("a2"))
-    both = edges.join(own, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("p"))).join(theirs, (F.col("first_doc_id") == F.col("e")) & (F.col("first_at") == F.col("q")))
+    words = _pass(docs, config, wanted=sent)
+    # Each task brings a place of a document once; only rows that share a doc_id bring it again.
+    if not bounded(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long")).count().where("count > 1"), 0):
+        words = words.dropDuplicates(["doc_id", "start", "right"])
+    words = cut(words)
+    own = words.select(F.col("doc_id").alias("d"), F.col("start").alias("p"), F.col("right").alias("r1"), F.col("words").alias("one"))
+    theirs = words.select(F.col("doc_id").alias("e"), F.col("start").alias("q"), F.col("right").alias("r2"), F.col("words").alias("two"))
+    both = edges.join(own, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("p")) & (F.col("right") == F.col("r1")))
+    both = both.join(theirs, (F.col("first_doc_id") == F.col("e")) & (F.col("first_at") == F.col("q")) & (F.col("right") == F.col("r2")))
+    out = cut(_matched(both.select(*_SPAN, "shift", "gap", "right", "one", "two"), config.window))
+    drop(spotted, words)
     right = F.col("right")
-    same = lambda one, two: F.zip_with(F.col(one), F.col(two), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    out = cut(both.select(*_SPAN, "shift", "gap", "right", F.when(right, same("a1", "a2")).otherwise(same("b1", "b2")).alias("same")))
-    drop(edges, spotted, words)
-    side = lambda which: F.max(F.when(which, F.col("same")))
-    ends = out.groupBy(*_SPAN, "shift", "gap").agg(side(~right).alias("before"), side(right).alias("after"))
+    side = lambda which, column: F.max(F.when(which, F.col(column)))
+    ends = out.groupBy(*_SPAN, "shift", "gap").agg(side(~right, "same").alias("before"), side(~right, "n").alias("n_before"), side(~right, "lead").alias("left"), side(right, "same").alias("after"), side(right, "n").alias("n_after"), side(right, "lead").alias("more"))
     order = Window.partitionBy(*_DISTANCE).orderBy("start")
+    ends = ends.withColumn("next", F.lead("before").over(order)).withColumn("n_next", F.lead("n_before").over(order))
     # The words between two matches: those after the first one, then those before the second.
-    near = F.least("gap", F.size("after"))
-    between = F.concat(F.slice("after", F.lit(1), near), F.reverse(F.slice("next", F.lit(1), F.col("gap") - near)))
-    ends = ends.withColumn("next", F.lead("before").over(order))
-    lost = F.when(F.col("gap").isNotNull() & F.col("next").isNotNull(), _lost_shingles(between, F.col("gap"), width))
-    ends = ends.select(*_SPAN, "shift", _leading(F.col("before")).alias("left"), _leading(F.col("after")).alias("more"), lost.alias("lost"))
+    gap, near = F.col("gap"), F.least("gap", "n_after")
+    bit = lambda of, k: F.call_function("shiftright", F.col(of), k).bitwiseAND(F.lit(1)) == 1
+    between = F.transform(F.sequence(F.lit(0), gap - 1), lambda k: F.when(k < near, bit("after", k)).otherwise(bit("next", gap - 1 - k)))
+    known = gap.isNotNull() & F.col("next").isNotNull() & (F.col("n_next") >= gap - near)
+    lost = F.when(known, _lost_shingles(between, gap, width))
+    ends = ends.select(*_SPAN, "shift", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("more", F.lit(0)).alias("more"), lost.alias("lost"))
     chained = ends.withColumn("new", F.when(F.lag("lost").over(order).isNull(), 1).otherwise(0))
     chained = chained.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     start, end, changed = F.col("start") - F.col("left"), F.col("end") + F.col("more"), F.coalesce("lost", F.lit(0))
@@ -388,8 +459,9 @@ def grown(docs: DataFrame, spans: DataFrame, config: PassageConfig) -> DataFrame
     chains = chained.groupBy(*_DISTANCE, "chain").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.min("component_id").alias("component_id"), F.sum(changed).alias("lost"), F.collect_list(span).alias("spans"))
     common = F.col("end") - F.col("start") - (width - 1) - F.col("lost")
     whole = 100 * common >= config.percent * (common + 2 * F.col("lost"))
-    spans = F.when(whole, F.array(F.struct("start", "end", "component_id"))).otherwise(F.col("spans"))
-    return chains.select("doc_id", "first_doc_id", "shift", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.component_id", "first_doc_id", (F.col("s.start") - F.col("shift")).alias("first_start"))
+    parts = F.when(whole, F.array(F.struct("start", "end", "component_id"))).otherwise(F.col("spans"))
+    found = chains.select("doc_id", "first_doc_id", "shift", F.explode(parts).alias("s")).select("doc_id", "s.start", "s.end", "s.component_id", "first_doc_id", (F.col("s.start") - F.col("shift")).alias("first_start"))
+    return found.union(spans.where("inner").select(*_SPAN))
 
 
 def _similar(places: DataFrame, groups: DataFrame) -> DataFrame:

@@ -213,3 +213,44 @@ def test_a_long_passage_keeps_to_its_words_and_one_changed_word_joins(spark):
     for r in repeated_passages(documents(spark, texts)).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.n_words))
     assert {i: sorted(x) for i, x in got.items()} == want
+
+
+def test_windows_choose_the_first_smallest_place():
+    import numpy as np
+
+    from codicil.llm.substring_dedup import runs
+
+    r = np.random.default_rng(4)
+    for size, window in ((20, 31), (4, 5), (7, 1), (5, 8)):
+        n = np.concatenate([r.integers(0, 120, 40), [0, size - 1, size, size + window - 2, size + window - 1, size + window, 0]])
+        first = np.concatenate([[0], np.cumsum(n)])
+        # Few different values: ties within windows, as in texts that say one phrase over and over.
+        anchor = (r.integers(0, 9, int(first[-1]) - 3).astype(np.uint64)) << np.uint64(40)
+        want = set()
+        for a, b in zip(first[:-1], first[1:]):
+            values = anchor[a : max(a, b - size + 1)]
+            for k in range(max(1, len(values) - window + 1) if len(values) else 0):
+                want.add(int(a + k + values[k : k + window].argmin()))
+        assert runs(np, anchor, first, size, window).tolist() == sorted(want)
+
+
+def test_matches_deep_inside_others_are_not_grown_and_removals_are_the_same(spark, monkeypatch):
+    import pyspark.sql.functions as F
+
+    from codicil.llm import substring_dedup as S
+
+    r, texts, inner = random.Random(8), [], []
+    for k in range(30):
+        phrase, edge = prose(300 + k % 5, 1 + k % 5), prose(400 + k % 3, r.randint(0, 25))
+        spam = " ".join([phrase] * r.randint(30, 150))
+        texts.append(" ".join([prose(500 + k, r.randint(0, 40)), edge, spam, edge, prose(600 + k, r.randint(0, 40)), prose(700 + k % 4, 60)]))
+    docs, grown = documents(spark, texts), S.grown
+    got = sorted(map(tuple, repeated_passages(docs).collect()))
+
+    def all_grown(docs, spans, config):
+        inner.append((spans.where("inner").count(), spans.count()))
+        return grown(docs, spans.withColumn("inner", F.lit(False)), config)
+
+    monkeypatch.setattr(S, "grown", all_grown)
+    assert got and got == sorted(map(tuple, repeated_passages(docs).collect()))
+    assert inner[0][0] > 0.2 * inner[0][1]
