@@ -71,11 +71,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     left = ends - starts
     out = mix(left.astype(_U) + _U(0x9E3779B97F4A7C15))
     long = np.flatnonzero(left > LONG_WORD)
-    rows, at, left = np.arange(len(starts)), starts.copy(), left.copy()
-    if len(long):
-        left[long] = 0
-        go = left > 0
-        rows, at, left = rows[go], at[go], left[go]
+    # All words have a first step; only those of more than eight bytes are picked out for more.
+    out = mix(out * _U(3) ^ (eight[starts] & _KEEP[np.minimum(left, 8)]))
+    rows = np.flatnonzero((left > 8) & (left <= LONG_WORD))
+    at, left = starts[rows] + 8, left[rows] - 8
     while len(rows):
         out[rows] = mix(out[rows] * _U(3) ^ (eight[at] & _KEEP[np.minimum(left, 8)]))
         at, left = at + 8, left - 8

@@ -94,6 +94,17 @@ def _grams(column):
         yield row, n, np.concatenate([two, one]), np.concatenate([owner[1:][inside], owner])
 
 
+def _looked_up(known, grams):
+    """The order of ``grams`` by size, and for each in that order its place in the sorted ``known`` and whether it is there.
+
+    Sorted ones walk the table from its beginning to its end, which takes half the time of
+    jumping about in it.
+    """
+    by = np.argsort(grams)
+    at = np.minimum(np.searchsorted(known, grams[by]), max(0, len(known) - 1))
+    return by, at, known[at] == grams[by] if len(known) else np.zeros(len(grams), dtype=bool)
+
+
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """gram, n over all texts; each task sums its own before the shuffle."""
     small_batches(docs.sparkSession)
@@ -229,8 +240,8 @@ def perplexities(docs: DataFrame, table: DataFrame, unknown: float, config: Perp
                     shard = X.mix(grams)
                     mine = shard % np.uint64(rounds) == np.uint64(number)
                     grams, owner, shard = grams[mine], owner[mine], shard[mine]
-                    at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
-                    hit = known[at] == grams if len(known) else np.zeros(len(grams), dtype=bool)
+                    by, at, hit = _looked_up(known, grams)
+                    grams, owner, shard = grams[by], owner[by], shard[by]
                     base = np.zeros(len(n)) + np.bincount(owner[hit], weights[at[hit]], minlength=len(n))
                     grams, owner, shard = grams[~hit], owner[~hit], shard[~hit]
                     keep = maybe_in(seen, grams.view(np.int64))

@@ -209,3 +209,33 @@ def test_broadcasts_go_with_the_work(spark):
     before = set(os.listdir(at))
     perplexities(docs, table, unknown, PerplexityConfig())
     assert set(os.listdir(at)) <= before
+
+
+def test_grams_are_looked_up_in_order_and_hashes_are_those_of_the_bytes():
+    import hashlib
+
+    import pyarrow as pa
+
+    from codicil.llm import _text as X
+    from codicil.llm import quality_classifier as Q
+
+    r = np.random.default_rng(6)
+    known, grams = np.unique(r.integers(0, 90, 40).astype(np.uint64)), r.integers(0, 100, 500).astype(np.uint64)
+    by, at, hit = Q._looked_up(known, grams)
+    assert sorted(by) == list(range(500)) and (np.diff(at) >= 0).all()
+    assert hit.tolist() == np.isin(grams[by], known).tolist() and (known[at[hit]] == grams[by][hit]).all()
+    assert not Q._looked_up(known[:0], grams)[2].any()
+
+    def plain(word):
+        if len(word) > X.LONG_WORD:
+            return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        one = lambda x: int(X.mix(np.array([x % 2**64], dtype=np.uint64))[0])
+        h = one(len(word) + 0x9E3779B97F4A7C15)
+        for k in range(0, len(word), 8):
+            h = one(h * 3 % 2**64 ^ int.from_bytes(word[k : k + 8], "little"))
+        return h
+
+    texts = [" ".join("xyZ"[k % 3] * n for k, n in enumerate((1, 7, 8, 9, 16, 17, 255, 256, 257, 300, 3))), "", "last Été"]
+    ((_, data, offsets),) = X.chunks(pa.array(texts))
+    starts, ends, _ = X.words(data, offsets)
+    assert X.word_hashes(data, starts, ends, lower=False).tolist() == [plain(w.encode()) for t in texts for w in t.split()]
