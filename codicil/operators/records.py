@@ -160,31 +160,34 @@ def fold_payments(calls: DataFrame, price: int = DEFAULT.price_tiyin, timeout_ms
     reason 4.  A fold for each transaction, whose calls are few.
     """
 
-    def fold(key, rows):
-        import pandas as pd
-
-        state, created, performed, cancelled, reason, refused, amount, user = 0, 0, 0, 0, None, 0, None, None
-        for r in rows.assign(step=rows["method"].map(CALL_ORDER)).sort_values(["at", "step"], kind="stable").itertuples():
-            if r.method == "create":
-                if state == 0 and r.amount == price:
-                    state, created, amount, user = 1, r.at, r.amount, r.user_id
-                elif state == 0 or r.amount != amount:
-                    refused += 1
-            elif r.method == "perform":
-                if state == 1 and r.at - created > timeout_ms:
-                    state, cancelled, reason, refused = -1, r.at, 4, refused + 1
-                elif state == 1:
-                    state, performed = 2, r.at
-                elif state <= 0:
-                    refused += 1
-            elif r.method == "cancel":
-                if state in (1, 2):
-                    state, cancelled, reason = -state, r.at, r.reason
-                elif state == 0:
-                    refused += 1
-        return pd.DataFrame([(key[0], user, amount, state, created, performed, cancelled, reason, refused)], columns=[c.split()[0] for c in LEDGER.split(", ")])
-
-    return calls.groupBy("payme_id").applyInPandas(fold, LEDGER)
+    say = lambda c, m: F.coalesce(c["method"] == m, F.lit(False))
+    same = lambda x, y: F.coalesce(x == y, F.lit(False))
+
+    def apply(s: Column, c: Column) -> Column:
+        state, create, perform, cancel = s["state"], say(c, "create"), say(c, "perform"), say(c, "cancel")
+        new = create & (state == 0) & same(c["amount"], F.lit(price))
+        late = perform & (state == 1) & F.coalesce(c["at"] - s["create_time"] > timeout_ms, F.lit(False))
+        done = perform & (state == 1) & ~late
+        undone = cancel & state.isin(1, 2)
+        other = create & ~new & ((state == 0) | ~same(c["amount"], s["amount"]))
+        refused = other | late | (perform & (state <= 0)) | (cancel & (state == 0))
+        return F.struct(
+            F.when(new, c["user_id"]).otherwise(s["user_id"]).alias("user_id"),
+            F.when(new, c["amount"]).otherwise(s["amount"]).alias("amount"),
+            F.when(new, 1).when(late, -1).when(done, 2).when(undone, -state).otherwise(state).alias("state"),
+            F.when(new, c["at"]).otherwise(s["create_time"]).alias("create_time"),
+            F.when(done, c["at"]).otherwise(s["perform_time"]).alias("perform_time"),
+            F.when(late | undone, c["at"]).otherwise(s["cancel_time"]).alias("cancel_time"),
+            F.when(late, 4).when(undone, c["reason"]).otherwise(s["reason"]).alias("reason"),
+            (s["refused"] + refused.cast("int")).alias("refused"),
+        )
+
+    kinds = dict(f.split() for f in LEDGER.split(", "))
+    begin = F.struct(*[F.lit(None if n in ("user_id", "amount", "reason") else 0).cast(kinds[n]).alias(n) for n in kinds if n != "payme_id"])
+    step = F.coalesce(*[F.when(F.col("method") == m, n) for m, n in CALL_ORDER.items()], F.lit(len(CALL_ORDER)))
+    call = F.struct(F.col("at").isNull().alias("late"), F.col("at").cast("long").alias("at"), step.alias("step"), F.col("amount").cast("long").alias("amount"), F.col("reason").cast("int").alias("reason"), F.col("user_id").cast("string").alias("user_id"), "method")
+    folded = calls.groupBy(F.col("payme_id").cast("string").alias("payme_id")).agg(F.aggregate(F.sort_array(F.collect_list(call)), begin, apply).alias("e"))
+    return folded.select("payme_id", "e.*").select(*kinds)
 
 
 def one_open_each(ledger: DataFrame) -> DataFrame:
