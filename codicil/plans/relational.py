@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from ..config import DEFAULT as C
 from ..operators import records
 from ..operators.containment import held
-from ..session import table
+from ..session import small, table
 from ._register import query
 
 long = lambda c: F.col(c).cast("long").alias(c)
@@ -191,9 +191,11 @@ def join12_late_resolution(spark, sf_dir):
     """JOIN-12, ING-10, T-15: dangling references resolved by the shortest name that holds them."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("edge_id"), F.expr("char(97 + s_suppkey % 26) || char(97 + s_suppkey * 7 % 26)").alias("raw"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target"), "p_name")
-    pairs = held(p.withColumn("name", F.lower("p_name")), s.select("edge_id", F.lower("raw").alias("needle")), "name", "needle")
-    best = pairs.groupBy("edge_id").agg(F.min(F.struct(F.length("p_name"), "target")).alias("b"))
-    return best.select("edge_id", F.col("b.target").alias("target"), F.lit(0.75).alias("confidence"))
+    # Edges of one spelling have one target, so names meet spellings and not edges.
+    edges = s.select("edge_id", F.lower("raw").alias("needle"))
+    pairs = held(p.withColumn("name", F.lower("p_name")), edges.select("needle").distinct(), "name", "needle")
+    best = pairs.groupBy("needle").agg(F.min(F.struct(F.length("p_name"), "target")).alias("b"))
+    return edges.dropDuplicates(["edge_id", "needle"]).join(small(best, 100_000), "needle").groupBy("edge_id").agg(F.min("b").alias("b")).select("edge_id", F.col("b.target").alias("target"), F.lit(0.75).alias("confidence"))
 
 
 @query("""
