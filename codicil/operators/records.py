@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from ..config import DEFAULT
+from ..session import small, spread
 
 
 def history(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
@@ -54,16 +55,20 @@ def alerts_for(alerts: DataFrame, subscriptions: DataFrame, names: list[str]) ->
 
     The disjunction is two joins: an equality on the kind, and a containment for keyword
     subscriptions, which meet the alerts by their rarest characters; neither is a nested loop.
-    An empty keyword reaches nothing.
+    An empty keyword reaches nothing.  Both sides are made distinct before they meet and what a kind
+    reaches is left out of the other join, so the pairs, which may be many times the alerts, need no
+    shuffle.
     """
-    from .containment import held
+    from .containment import SENT, held
 
     kinds = subscriptions.where("act_type IS NOT NULL").select("user_id", "act_type").distinct()
     words = subscriptions.where("keyword IS NOT NULL").select("user_id", F.lower("keyword").alias("_keyword")).distinct()
-    by_kind = alerts.join(kinds, "act_type").select("user_id", *alerts.columns)
+    alerts, columns = spread(alerts.distinct()), alerts.columns
+    by_kind = alerts.join(small(kinds, SENT), "act_type").select("user_id", *columns)
     text = F.lower(F.concat_ws("\n", *names))
     by_word = held(alerts.withColumn("_text", text), words, "_text", "_keyword", counted=False)
-    return by_kind.unionByName(by_word.select("user_id", *alerts.columns)).distinct()
+    by_word = by_word.select("user_id", *columns).distinct().join(small(kinds, SENT), ["user_id", "act_type"], "left_anti")
+    return by_kind.unionByName(by_word.select("user_id", *columns))
 
 
 def decayed(weight: Column, created: Column, now: Column, half_life_weeks: float = DEFAULT.memory_half_life_weeks) -> Column:

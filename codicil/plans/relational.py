@@ -124,7 +124,9 @@ def flt04_alerts_for_user(spark, sf_dir):
         F.expr("CASE WHEN s_acctbal <= 5000 THEN '#' || lpad(cast(s_suppkey AS string), 8, '0') END").alias("keyword"),
     )
     alerts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("alert_id"), F.col("c_mktsegment").alias("act_type"), F.col("c_name").alias("name"))
-    return records.alerts_for(alerts, subs, ["name"]).select("user_id", "alert_id").distinct()
+    found = records.alerts_for(alerts, subs, ["name"]).select("user_id", "alert_id")
+    # Rows are distinct already unless an alert stands in several.
+    return found.distinct() if alerts.distinct().groupBy("alert_id").count().where("count > 1").limit(1).count() else found
 
 
 @query("SELECT doc_id, 'S' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS tag, source || ', ' || (doc_id % 40) || '-modda' AS citation, round(n_chars / 7.0, 4) AS score FROM documents")
